@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from roadweave.llm import htmltext, langid, merkle, mixing, neardup, packing, quality
+from roadweave.llm import chat, htmltext, langid, merkle, mixing, neardup, packing, quality
 from roadweave.llm.common import table
 
 
@@ -18,6 +18,14 @@ def op2_gam_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.classify(docs, model)
 
 
+def op3_prefix_tree_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    said = "</s>[INST] ok [/INST]"
+    extra = spark.createDataFrame([(-7, 0, "user", said), (-7, 1, "assistant", said)], "conv_id long, turn long, role string, text string")
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(extra)
+    vocabulary = public_tokenizers.path("byte_bpe_50k.tiktoken")
+    return chat.digests(chat.sequences(turns, vocabulary, public_tokenizers.PATTERN), vocabulary, public_tokenizers.PATTERN)
+
+
 def op4_probminhash_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.near_duplicates(table(spark, sf_dir, "documents"))
 
