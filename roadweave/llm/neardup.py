@@ -6,9 +6,10 @@ first. A process ends as soon as its next arrival is later than every register o
 texts agree in a register with the probability Jaccard similarity of their weights.
 
 Registers are banded. Within each bucket every member is verified against one member only, the
-centre, and the links found are merged into groups. Buckets that still hold members of different
-groups get another centre, or, once few members are left, their pairs of different groups, so no
-link is lost and no bucket is paired in full. Exact copies are merged before all this.
+centre, and the links found are merged into groups. In buckets that still hold members of different
+groups, some members outside the largest group become centres in turn; they meet members of other
+groups whose distances to the first centre allow a link, until no such bucket is left. So no link
+between groups is lost and no large bucket is paired in full. Exact copies are merged before all this.
 """
 
 from __future__ import annotations
@@ -29,8 +30,8 @@ SHINGLE = 5
 SIMILAR = 0.8
 BANDS = 24
 ROWS = 5
-#: Members of different groups up to which a bucket's pairs are listed instead of another centre.
-FEW = 24
+#: Members up to which all members of a mixed bucket become centres, and about how many do in a larger one.
+FEW = 64
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -81,8 +82,8 @@ def sketch(docs: DataFrame, bands: int = BANDS, rows: int = ROWS, width: int = S
     return lean.mapInArrow(run, "doc_id long, h1 long, h2 long, bands array<long>")
 
 
-def similarity(a: pa.Array, b: pa.Array, width: int = SHINGLE) -> np.ndarray:
-    """The larger of set Jaccard and probability Jaccard of each pair of texts, exactly."""
+def similarity(a: pa.Array, b: pa.Array, width: int = SHINGLE) -> tuple[np.ndarray, np.ndarray]:
+    """Set Jaccard and probability Jaccard of each pair of texts, exactly."""
 
     def sets(texts: pa.Array) -> list[tuple[np.ndarray, np.ndarray]]:
         coded = texts.dictionary_encode()
@@ -95,16 +96,15 @@ def similarity(a: pa.Array, b: pa.Array, width: int = SHINGLE) -> np.ndarray:
             own += [(h[at[i] : at[i + 1]], 1 + np.log(count[at[i] : at[i + 1]])) for i in range(c.n)]
         return [own[i] for i in coded.indices.to_pylist()]
 
-    out = np.zeros(len(a))
+    sets_alike, weights_alike = np.zeros(len(a)), np.zeros(len(a))
     for i, ((x, wx), (y, wy)) in enumerate(zip(sets(a), sets(b), strict=True)):
         if not len(x) or not len(y):
             continue
         both, ix, iy = np.intersect1d(x, y, assume_unique=True, return_indices=True)
-        jaccard = len(both) / (len(x) + len(y) - len(both))
-        if jaccard < SIMILAR and len(both) and (wx.max() > 1 or wy.max() > 1):
-            jaccard = max(jaccard, _probability_jaccard(wx, wy, ix, iy))
-        out[i] = jaccard
-    return out
+        sets_alike[i] = weights_alike[i] = len(both) / (len(x) + len(y) - len(both))
+        if len(both) and (wx.max() > 1 or wy.max() > 1):
+            weights_alike[i] = _probability_jaccard(wx, wy, ix, iy)
+    return sets_alike, weights_alike
 
 
 def _probability_jaccard(wx: np.ndarray, wy: np.ndarray, ix: np.ndarray, iy: np.ndarray) -> float:
@@ -120,17 +120,17 @@ def _probability_jaccard(wx: np.ndarray, wy: np.ndarray, ix: np.ndarray, iy: np.
     return float((1 / ((only_x + x_above) / px + (only_y + y_below) / py)).sum())
 
 
-def _verified(pairs: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
-    """a, b, similarity of the pairs that are similar enough."""
+def _verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
+    """a, b and their two similarities (j, p)."""
 
-    @F.arrow_udf("double")
+    @F.arrow_udf("struct<j: double, p: double>")
     def alike(a: pa.Array, b: pa.Array) -> pa.Array:
-        return pa.array(similarity(a, b))
+        j, p = similarity(a, b)
+        return pa.StructArray.from_arrays([pa.array(j), pa.array(p)], ["j", "p"])
 
     left = texts.select(F.col("rep").alias("a"), F.col("text").alias("text_a"))
     right = texts.select(F.col("rep").alias("b"), F.col("text").alias("text_b"))
-    joined = pairs.join(left, "a").join(right, "b")
-    return joined.select("a", "b", alike("text_a", "text_b").alias("similarity")).where(F.col("similarity") >= threshold)
+    return pairs.join(left, "a").join(right, "b").select("a", "b", alike("text_a", "text_b").alias("s")).select("a", "b", "s.j", "s.p")
 
 
 def near_duplicates(docs: DataFrame, threshold: float = SIMILAR, bands: int = BANDS, rows: int = ROWS, few: int = FEW) -> DataFrame:
@@ -155,29 +155,38 @@ def near_duplicates(docs: DataFrame, threshold: float = SIMILAR, bands: int = BA
     wanted = inside.select(F.col("rep").alias("doc_id")).distinct()
     texts = stored(given.join(wanted, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(F.col("doc_id").alias("rep"), "text"), "texts")
 
-    tried = stored(inside.where("rep <> centre").select(F.col("centre").alias("a"), F.col("rep").alias("b")).distinct(), "pairs")
-    links = stored(_verified(tried, texts, threshold), "links")
-    rest = inside.where("rep <> centre").select("band", "hash", "rep")  # centres have met all members
-    groups = stored(connected(links.select("a", "b")), "groups")
+    first = inside.where("rep <> centre").select(F.col("centre").alias("a"), F.col("rep").alias("b")).distinct()
+    tried = stored(_verified(first, texts), "tried")
+    # The centres have met all members of their buckets; the others keep their distance to them.
+    to_centre = tried.select(F.col("a").alias("centre"), F.col("b").alias("rep"), "j", "p")
+    rest = stored(inside.where("rep <> centre").join(to_centre, ["centre", "rep"]).select("band", "hash", "rep", "j", "p"), "rest")
+    # Both distances are metrics: members that differ by more than the link's distance from the same centre are not linked.
+    far = 1 - threshold + 1e-9
+    near = (F.abs(F.col("j") - F.col("mate_j")) <= far) | (F.abs(F.col("p") - F.col("mate_p")) <= far)
+    linked = (F.col("j") >= threshold) | (F.col("p") >= threshold)
+    links = stored(tried.where(linked).select("a", "b"), "links")
+    groups = stored(connected(links), "groups")
+    turn = 0
     while True:
-        labelled = rest.join(groups, rest["rep"] == groups["node"], "left").select("band", "hash", "rep", F.coalesce("label", "rep").alias("label"))
-        per_label = labelled.groupBy("band", "hash", "label").agg(F.count(F.lit(1)).alias("m"), F.min("rep").alias("least"))
-        per = per_label.groupBy("band", "hash").agg(
-            F.count(F.lit(1)).alias("labels"), F.sum("m").alias("n"), F.min(F.struct("m", "least", "label")).alias("s")
-        ).where("labels > 1")
-        mixed = stored(labelled.join(per, ["band", "hash"]).select("band", "hash", "rep", "label", "n", F.col("s.least").alias("centre"), F.col("s.label").alias("centre_label")), "mixed")
+        labelled = rest.join(groups, rest["rep"] == groups["node"], "left").select("band", "hash", "rep", "j", "p", F.coalesce("label", "rep").alias("label"))
+        per_label = labelled.groupBy("band", "hash", "label").agg(F.count(F.lit(1)).alias("m"))
+        per = per_label.groupBy("band", "hash").agg(F.count(F.lit(1)).alias("labels"), F.sum("m").alias("n"), F.max(F.struct("m", "label")).alias("top"))
+        per = per.where("labels > 1").select("band", "hash", "n", F.col("top.label").alias("top"), (F.col("n") - F.col("top.m")).alias("others"))
+        mixed = stored(labelled.join(per, ["band", "hash"]), "mixed")
         if mixed.isEmpty():
             break
-        big = mixed.where(F.col("n") > few)
-        centred = big.where("label <> centre_label").select(F.least("rep", "centre").alias("a"), F.greatest("rep", "centre").alias("b"))
-        small = mixed.where(F.col("n") <= few)
-        mate = small.select("band", "hash", F.col("rep").alias("mate"), F.col("label").alias("mate_label"))
-        listed = small.join(mate, ["band", "hash"]).where("rep < mate and label <> mate_label").select(F.col("rep").alias("a"), F.col("mate").alias("b"))
-        new = stored(centred.unionByName(listed).distinct().join(tried, ["a", "b"], "left_anti"), "pairs")
-        tried = tried.unionByName(new)
-        links = stored(links.unionByName(_verified(new, texts, threshold)), "links")
-        groups = stored(connected(links.select("a", "b")), "groups")
-        rest = stored(big.where("rep <> centre").select("band", "hash", "rep"), "rest")
+        some = F.pmod(F.xxhash64("rep", F.lit(turn)), F.col("others")) < few
+        chosen = F.when(F.col("n") <= few, F.lit(True)).otherwise((F.col("label") != F.col("top")) & some)
+        marked = stored(mixed.withColumn("centre", chosen), "marked")
+        mate = marked.where("centre").select("band", "hash", F.col("rep").alias("mate"), F.col("label").alias("mate_label"), F.col("j").alias("mate_j"), F.col("p").alias("mate_p"))
+        met = marked.join(mate, ["band", "hash"]).where((F.col("label") != F.col("mate_label")) & near)
+        new = met.select(F.least("rep", "mate").alias("a"), F.greatest("rep", "mate").alias("b")).distinct().join(tried.select("a", "b"), ["a", "b"], "left_anti")
+        found = stored(_verified(new, texts), "tried")
+        tried = tried.unionByName(found)
+        links = stored(links.unionByName(found.where(linked).select("a", "b")), "links")
+        groups = stored(connected(links), "groups")
+        rest = stored(marked.where("not centre").select("band", "hash", "rep", "j", "p"), "rest")
+        turn += 1
     degree = links.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count(F.lit(1)).alias("n_links"))
     full = (
         member.join(groups.withColumnRenamed("node", "copy_of"), "copy_of", "left")
