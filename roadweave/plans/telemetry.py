@@ -315,9 +315,9 @@ def icdi(spark: SparkSession, sf_dir: str) -> DataFrame:
     return risk.icdi(rows, time="frame_time", order="frame_id")
 
 
-@register("icdi", _ICDI + "SELECT event_id, zone_type, num_rows, round(mean_absence_confidence, 10) AS mean_absence_confidence, round(icdi, 10) AS icdi FROM ic")
+@register("icdi", _ICDI + "SELECT event_id, zone_type, num_rows, round(mean_absence_confidence, 12) AS mean_absence_confidence, round(icdi, 12) AS icdi FROM ic")
 def _(spark, sf_dir):
-    return _rounded(icdi(spark, sf_dir).select("event_id", "zone_type", "num_rows", "mean_absence_confidence", "icdi"), 10)
+    return _rounded(icdi(spark, sf_dir).select("event_id", "zone_type", "num_rows", "mean_absence_confidence", "icdi"), 12)
 
 
 @register("idas", _ICDI + "SELECT count(*) AS n, round(avg(icdi * CASE WHEN mean_absence_confidence >= 0.66 THEN 1.0 WHEN mean_absence_confidence >= 0.33 THEN 0.5 ELSE 0.1 END), 8) AS idas FROM ic")
