@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from roadweave.plans import telemetry
+from roadweave.plans import compliance, telemetry
 
-MODULES = (telemetry,)
+MODULES = (telemetry, compliance)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

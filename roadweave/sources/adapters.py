@@ -29,11 +29,11 @@ def frames(spark: SparkSession, sf_dir: str) -> DataFrame:
     zone = F.element_at(F.array(*map(F.lit, ("School", "Pedestrian Crossing", "Residential", "Highway", "Unknown"))), (F.col("user_id") % 5 + 1).cast("int"))
     return t.select(
         F.col("event_id").alias("frame_id"), "clip_id", F.col("cts").alias("frame_time"), (1 + F.col("user_id") % 4).cast("double").alias("severity"),
-        ((F.col("ay") + 0.5) / 100).alias("absence_confidence"), F.least(F.col("ax") / 200, F.lit(1.0)).alias("retrieval_score"), zone.alias("zone_type"),
+        ((F.col("ay") + 0.0317) / 100).alias("absence_confidence"), F.least(F.col("ax") / 200, F.lit(1.0)).alias("retrieval_score"), zone.alias("zone_type"),
     )
 
 
-FRAMES = """frames AS (SELECT event_id AS frame_id, clip_id, cts AS frame_time, CAST(1 + user_id % 4 AS DOUBLE) AS severity, (ay + 0.5) / 100 AS absence_confidence,
+FRAMES = """frames AS (SELECT event_id AS frame_id, clip_id, cts AS frame_time, CAST(1 + user_id % 4 AS DOUBLE) AS severity, (ay + 0.0317) / 100 AS absence_confidence,
   least(ax / 200, 1.0) AS retrieval_score, ['School', 'Pedestrian Crossing', 'Residential', 'Highway', 'Unknown'][user_id % 5 + 1] AS zone_type FROM tele)"""
 
 
