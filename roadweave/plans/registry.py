@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from roadweave.plans import compliance, telemetry
+from roadweave.plans import compliance, places, telemetry
 
-MODULES = (telemetry, compliance)
+MODULES = (telemetry, compliance, places)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
