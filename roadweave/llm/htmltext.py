@@ -20,6 +20,8 @@ from roadweave.llm.common import stored
 
 _TAG = re.compile(r"""<(?:!--.*?(?:-->|\Z)|(?P<end>/?)(?P<name>[a-zA-Z][^\s/>]*+)(?P<attrs>(?:[^>"']|"[^"]*+"|'[^']*+')*+)>|(?P<end2>/?)(?P<name2>[a-zA-Z][^\s/>]*+)(?P<attrs2>[^>]*+)>|[!?][^>]*+>)""", re.S)
 _ATTR = re.compile(r"""(?:^|\s)(class|id|role|style|hidden|aria-hidden)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""", re.I)
+#: A tag that the end of the page cuts off is markup too.
+_CUT = re.compile(r"</?[a-zA-Z][^<>]*\Z")
 _WORD = re.compile(r"[a-z]+")
 
 #: HTML element names by their part in a page.
@@ -50,7 +52,7 @@ class Page:
         self.steps: list[str] = [""]
         self.likely: list[bool] = [False]
         self.blocks: list[tuple[str, int, int]] = []
-        self._read(source)
+        self._read(_CUT.sub("", source))
 
     def _read(self, source: str) -> None:
         stack: list[tuple[str, int, str]] = [("", 0, "")]  # tag, node, state: "" kept, "x" gone, "h" headings alone

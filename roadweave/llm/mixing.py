@@ -163,6 +163,7 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, most: float = MOS
     names = docs.columns
     same = Window.partitionBy("_rw_id", "_rw_source", "_rw_size").orderBy(F.lit(1))
     keyed = docs.select("*", F.col("doc_id").alias("_rw_id"), F.col("source").alias("_rw_source"), word_count(F.col("text")).alias("_rw_size")).withColumn("_rw_dup", F.row_number().over(same))
-    taken = taken.select(F.col("doc_id").alias("_rw_k"), F.col("source").alias("_rw_s"), F.col("size").alias("_rw_z"), F.col("dup").alias("_rw_d"), "copies")
+    taken = taken.select(F.col("doc_id").alias("_rw_k"), F.col("source").alias("_rw_s"), F.col("size").alias("_rw_z"), F.col("dup").alias("_rw_d"), F.col("copies").alias("_rw_copies"))
     on = F.col("_rw_id").eqNullSafe(F.col("_rw_k")) & F.col("_rw_source").eqNullSafe(F.col("_rw_s")) & (F.col("_rw_size") == F.col("_rw_z")) & (F.col("_rw_dup") == F.col("_rw_d"))
-    return keyed.join(taken, on).where("copies > 0").withColumn("_rw_copy", F.explode(F.sequence(F.lit(1), F.col("copies")))).select(*names)
+    repeated = keyed.join(taken, on).where("_rw_copies > 0").withColumn("_rw_copy", F.explode(F.sequence(F.lit(1), F.col("_rw_copies"))))
+    return repeated.select(*names)
