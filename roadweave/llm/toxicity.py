@@ -361,7 +361,10 @@ def train(docs: DataFrame, labels: DataFrame, mod: int = 4, held: int = 2, rows:
     fuzzy = [f and bad[k] <= fair[k] for k, f in enumerate(fuzzy)]
     seen = [(y, [x for x in hits if x[0] % 2 or fuzzy[(x[0] - 1) // 2]]) for y, hits in seen]
     x = np.array([summed(h, weights) for _, h in seen]).reshape(-1, 5)
-    return Model(entries, fuzzy, weights, _logistic(x, np.array([float(y) for y, _ in seen]), Model().coefficients))
+    y, prior = np.array([float(y) for y, _ in seen]), Model().coefficients
+    # Labelled misspellings are rare: what a plain hit counts, less a fifth, is the prior for them.
+    prior[2] = 0.8 * _logistic(x, y, prior)[1]
+    return Model(entries, fuzzy, weights, _logistic(x, y, prior))
 
 
 _matchers: dict[int, Matcher] = {}
