@@ -6,10 +6,10 @@ first. A process ends as soon as its next arrival is later than every register o
 texts agree in a register with the probability Jaccard similarity of their weights.
 
 Registers are banded. Within each bucket every member is verified against one member only, the
-centre, and the links found are merged into groups. In buckets that still hold members of different
-groups, some members outside the largest group become centres in turn; they meet members of other
-groups whose distances to the first centre allow a link, until no such bucket is left. So no link
-between groups is lost and no large bucket is paired in full. Exact copies are merged before all this.
+centre, and the links found are merged into groups. Where a bucket still holds several groups, the
+members outside the largest one are compared with the others in blocks of texts: pairs are never
+rows, only links are, and a large group is dealt to many tasks. So no link between groups is lost.
+Exact copies are merged before all this.
 """
 
 from __future__ import annotations
@@ -30,8 +30,12 @@ SHINGLE = 5
 SIMILAR = 0.8
 BANDS = 24
 ROWS = 5
-#: Members up to which all members of a mixed bucket become centres, and about how many do in a larger one.
-FEW = 64
+#: Set Jaccard that a link by weights needs as well.
+HALF = 0.5
+#: Texts of a block when members of mixed buckets are compared.
+BLOCK = 64
+#: Cells of the dense matrix by which two blocks are compared at once.
+DENSE = 20_000_000
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -82,27 +86,29 @@ def sketch(docs: DataFrame, bands: int = BANDS, rows: int = ROWS, width: int = S
     return lean.mapInArrow(run, "doc_id long, h1 long, h2 long, bands array<long>")
 
 
+def weighted_sets(texts: pa.Array, width: int = SHINGLE) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Sorted shingle hashes and weights of each text; equal texts are read once."""
+    coded = texts.dictionary_encode()
+    if isinstance(coded, pa.ChunkedArray):
+        coded = coded.combine_chunks()
+    own: list[tuple[np.ndarray, np.ndarray]] = []
+    for c in chunks(pc.utf8_lower(coded.dictionary)):
+        doc, h, count = shingles(c, width)
+        at = np.searchsorted(doc, np.arange(c.n + 1))
+        own += [(h[at[i] : at[i + 1]], 1 + np.log(count[at[i] : at[i + 1]])) for i in range(c.n)]
+    return [own[i] for i in coded.indices.to_pylist()]
+
+
 def similarity(a: pa.Array, b: pa.Array, width: int = SHINGLE) -> tuple[np.ndarray, np.ndarray]:
-    """Set Jaccard and probability Jaccard of each pair of texts, exactly."""
-
-    def sets(texts: pa.Array) -> list[tuple[np.ndarray, np.ndarray]]:
-        coded = texts.dictionary_encode()
-        if isinstance(coded, pa.ChunkedArray):
-            coded = coded.combine_chunks()
-        own: list[tuple[np.ndarray, np.ndarray]] = []
-        for c in chunks(pc.utf8_lower(coded.dictionary)):
-            doc, h, count = shingles(c, width)
-            at = np.searchsorted(doc, np.arange(c.n + 1))
-            own += [(h[at[i] : at[i + 1]], 1 + np.log(count[at[i] : at[i + 1]])) for i in range(c.n)]
-        return [own[i] for i in coded.indices.to_pylist()]
+    """Set Jaccard of each pair of texts, and probability Jaccard where that is at least ``HALF``, exactly."""
 
     sets_alike, weights_alike = np.zeros(len(a)), np.zeros(len(a))
-    for i, ((x, wx), (y, wy)) in enumerate(zip(sets(a), sets(b), strict=True)):
+    for i, ((x, wx), (y, wy)) in enumerate(zip(weighted_sets(a, width), weighted_sets(b, width), strict=True)):
         if not len(x) or not len(y):
             continue
         both, ix, iy = np.intersect1d(x, y, assume_unique=True, return_indices=True)
         sets_alike[i] = weights_alike[i] = len(both) / (len(x) + len(y) - len(both))
-        if len(both) and (wx.max() > 1 or wy.max() > 1):
+        if sets_alike[i] >= HALF and (wx.max() > 1 or wy.max() > 1):
             weights_alike[i] = _probability_jaccard(wx, wy, ix, iy)
     return sets_alike, weights_alike
 
@@ -133,11 +139,48 @@ def _verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     return pairs.join(left, "a").join(right, "b").select("a", "b", alike("text_a", "text_b").alias("s")).select("a", "b", "s.j", "s.p")
 
 
-def near_duplicates(docs: DataFrame, threshold: float = SIMILAR, bands: int = BANDS, rows: int = ROWS, few: int = FEW) -> DataFrame:
+def common_counts(a: list[np.ndarray], b: list[np.ndarray]) -> np.ndarray:
+    """Shared elements of each set in ``a`` with each in ``b``."""
+    every, back = np.unique(np.concatenate([*a, *b]), return_inverse=True)
+    if len(every) * (len(a) + len(b)) > DENSE:
+        return np.array([[len(np.intersect1d(x, y, assume_unique=True)) for y in b] for x in a]).reshape(len(a), len(b))
+    cells = np.zeros((len(a) + len(b), len(every)), np.float32)
+    cells[np.repeat(np.arange(len(a) + len(b)), [len(x) for x in [*a, *b]]), back] = 1
+    return (cells[: len(a)] @ cells[len(a) :].T).round().astype(np.int64)
+
+
+def _block_links(met: DataFrame, threshold: float) -> DataFrame:
+    """a, b of the linked texts of different groups in pairs of blocks (asks, answers: arrays of rep, label, text)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for asks, answers in zip(batch.column(0), batch.column(1), strict=True):
+                x, y = asks.values, answers.values
+                sx, sy = weighted_sets(x.field("text")), weighted_sets(y.field("text"))
+                both = common_counts([h for h, _ in sx], [h for h, _ in sy])
+                size = np.array([len(h) for h, _ in sx])[:, None] + np.array([len(h) for h, _ in sy])
+                j = both / np.maximum(size - both, 1)
+                lx, ly = x.field("label").to_numpy(), y.field("label").to_numpy()
+                j[lx[:, None] == ly] = 0
+                found = [tuple(p) for p in np.argwhere(j >= threshold).tolist()]
+                for i, k in np.argwhere((j >= HALF) & (j < threshold)).tolist():
+                    (hx, wx), (hy, wy) = sx[i], sy[k]
+                    if wx.max() > 1 or wy.max() > 1:
+                        _, ix, iy = np.intersect1d(hx, hy, assume_unique=True, return_indices=True)
+                        if _probability_jaccard(wx, wy, ix, iy) >= threshold:
+                            found.append((i, k))
+                rx, ry = x.field("rep").to_numpy(), y.field("rep").to_numpy()
+                one, two = np.array([rx[i] for i, _ in found], np.int64), np.array([ry[k] for _, k in found], np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(one, two)), pa.array(np.maximum(one, two))], ["a", "b"])
+
+    return met.select("asks", "answers").mapInArrow(run, "a long, b long").distinct()
+
+
+def near_duplicates(docs: DataFrame, threshold: float = SIMILAR, bands: int = BANDS, rows: int = ROWS, block: int = BLOCK) -> DataFrame:
     """doc_id, copy_of, class_id, n_links, kept of each row of ``docs`` (doc_id, text).
 
     copy_of: smallest doc_id with exactly this text. class_id: smallest doc_id of the group joined by
-    links of at least ``threshold``. n_links: different texts that this text was verified to be
+    links: set Jaccard of at least ``threshold``, or probability Jaccard of at least that and set Jaccard of ``HALF``. n_links: different texts that this text was verified to be
     linked with. kept: whether the row is the one that stays of its group. Empty texts are copies of
     each other; null texts, and rows without id, stand alone. Of repeated rows all share one doc_id
     and so stay or go together.
@@ -149,44 +192,42 @@ def near_duplicates(docs: DataFrame, threshold: float = SIMILAR, bands: int = BA
     member = stored(sketched.select("doc_id", "h1", "h2").join(copies, ["h1", "h2"]).select("doc_id", "copy_of"), "copies")
     reps = sketched.where("bands is not null").join(member.where("doc_id = copy_of").select("doc_id"), "doc_id", "left_semi").dropDuplicates(["doc_id"])
     spread = reps.select(F.col("doc_id").alias("rep"), F.posexplode("bands").alias("band", "hash"))
-    # Members and smallest member of each bucket come from map-side sums, whatever its size.
-    bucket = spread.groupBy("band", "hash").agg(F.count(F.lit(1)).alias("n"), F.min("rep").alias("centre")).where("n > 1")
-    inside = stored(spread.join(bucket, ["band", "hash"]).select("band", "hash", "rep", "centre"), "buckets")
+    # Size and centre of each bucket come from map-side aggregates. The centre is the member with the
+    # most company in all its buckets: in a family of copies the text that the others are nearest to.
+    bucket = spread.groupBy("band", "hash").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    inside = stored(spread.join(bucket, ["band", "hash"]).select("band", "hash", "rep", "n"), "buckets")
+    company = inside.groupBy("rep").agg(F.sum("n").alias("company"))
+    inside = inside.join(company, "rep")
+    centre = inside.groupBy("band", "hash").agg(F.max_by("rep", F.struct("company", (-F.col("rep")).alias("first"))).alias("centre"))
+    inside = stored(inside.join(centre, ["band", "hash"]).select("band", "hash", "rep", "centre"), "members")
     wanted = inside.select(F.col("rep").alias("doc_id")).distinct()
     texts = stored(given.join(wanted, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(F.col("doc_id").alias("rep"), "text"), "texts")
 
-    first = inside.where("rep <> centre").select(F.col("centre").alias("a"), F.col("rep").alias("b")).distinct()
-    tried = stored(_verified(first, texts), "tried")
-    # The centres have met all members of their buckets; the others keep their distance to them.
-    to_centre = tried.select(F.col("a").alias("centre"), F.col("b").alias("rep"), "j", "p")
-    rest = stored(inside.where("rep <> centre").join(to_centre, ["centre", "rep"]).select("band", "hash", "rep", "j", "p"), "rest")
-    # Both distances are metrics: members that differ by more than the link's distance from the same centre are not linked.
-    far = 1 - threshold + 1e-9
-    near = (F.abs(F.col("j") - F.col("mate_j")) <= far) | (F.abs(F.col("p") - F.col("mate_p")) <= far)
-    linked = (F.col("j") >= threshold) | (F.col("p") >= threshold)
-    links = stored(tried.where(linked).select("a", "b"), "links")
+    pair = F.struct(F.least("centre", "rep").alias("a"), F.greatest("centre", "rep").alias("b"))
+    first = inside.where("rep <> centre").select(pair.alias("x")).select("x.a", "x.b").distinct()
+    links = stored(_verified(first, texts).where((F.col("j") >= threshold) | (F.col("p") >= threshold)).select("a", "b"), "links")
     groups = stored(connected(links), "groups")
-    turn = 0
-    while True:
-        labelled = rest.join(groups, rest["rep"] == groups["node"], "left").select("band", "hash", "rep", "j", "p", F.coalesce("label", "rep").alias("label"))
-        per_label = labelled.groupBy("band", "hash", "label").agg(F.count(F.lit(1)).alias("m"))
-        per = per_label.groupBy("band", "hash").agg(F.count(F.lit(1)).alias("labels"), F.sum("m").alias("n"), F.max(F.struct("m", "label")).alias("top"))
-        per = per.where("labels > 1").select("band", "hash", "n", F.col("top.label").alias("top"), (F.col("n") - F.col("top.m")).alias("others"))
-        mixed = stored(labelled.join(per, ["band", "hash"]), "mixed")
-        if mixed.isEmpty():
-            break
-        some = F.pmod(F.xxhash64("rep", F.lit(turn)), F.col("others")) < few
-        chosen = F.when(F.col("n") <= few, F.lit(True)).otherwise((F.col("label") != F.col("top")) & some)
-        marked = stored(mixed.withColumn("centre", chosen), "marked")
-        mate = marked.where("centre").select("band", "hash", F.col("rep").alias("mate"), F.col("label").alias("mate_label"), F.col("j").alias("mate_j"), F.col("p").alias("mate_p"))
-        met = marked.join(mate, ["band", "hash"]).where((F.col("label") != F.col("mate_label")) & near)
-        new = met.select(F.least("rep", "mate").alias("a"), F.greatest("rep", "mate").alias("b")).distinct().join(tried.select("a", "b"), ["a", "b"], "left_anti")
-        found = stored(_verified(new, texts), "tried")
-        tried = tried.unionByName(found)
-        links = stored(links.unionByName(found.where(linked).select("a", "b")), "links")
+
+    # Buckets that still hold several groups: members outside the largest one ask all members that
+    # share such a bucket with that group, in blocks, once for all bands.
+    labelled = inside.where("rep <> centre").join(groups, F.col("rep") == F.col("node"), "left").select("band", "hash", "rep", F.coalesce("label", "rep").alias("label"))
+    per_label = labelled.groupBy("band", "hash", "label").agg(F.count(F.lit(1)).alias("m"))
+    top = per_label.groupBy("band", "hash").agg(F.count(F.lit(1)).alias("labels"), F.max_by("label", F.struct("m", "label")).alias("top")).where("labels > 1")
+    mixed = stored(labelled.join(top, ["band", "hash"]).select("top", "rep", "label").distinct(), "mixed")
+    if not mixed.isEmpty():
+        size = mixed.groupBy("top").agg(F.count(F.lit(1)).alias("n"), F.sum((F.col("label") != F.col("top")).cast("long")).alias("asking"))
+
+        def blocks(members: DataFrame, count: str, name: str) -> DataFrame:
+            dealt = members.join(size, "top").withColumn(name, F.pmod(F.xxhash64(F.lit(name), "rep"), F.ceil(F.col(count) / block)))
+            full = dealt.join(texts, "rep").groupBy("top", name).agg(F.collect_list(F.struct("rep", "label", "text")).alias(f"{name}s"))
+            return stored(full, name)
+
+        asks, answers = blocks(mixed.where("label <> top"), "asking", "ask"), blocks(mixed, "n", "answer")
+        # Pairs of blocks as small rows first, so that a large group is dealt to many tasks.
+        met = asks.select("top", "ask").join(answers.select("top", "answer"), "top").repartition("top", "ask", "answer")
+        met = met.join(asks, ["top", "ask"]).join(answers, ["top", "answer"])
+        links = stored(links.unionByName(_block_links(met, threshold)).distinct(), "links")
         groups = stored(connected(links), "groups")
-        rest = stored(marked.where("not centre").select("band", "hash", "rep", "j", "p"), "rest")
-        turn += 1
     degree = links.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count(F.lit(1)).alias("n_links"))
     full = (
         member.join(groups.withColumnRenamed("node", "copy_of"), "copy_of", "left")
