@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from roadweave.plans import compliance, places, telemetry
+from roadweave.plans import assembly, compliance, places, telemetry
 
-MODULES = (telemetry, compliance, places)
+MODULES = (telemetry, compliance, places, assembly)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

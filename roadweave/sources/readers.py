@@ -101,7 +101,11 @@ def read_jsonl_last(spark: SparkSession, path: str, schema: T.StructType | str,
 def read_text_any(spark: SparkSession, path: str) -> DataFrame:
     """file, value: lines of files that are UTF-8, or else Windows-1252, decided for each file."""
     files = spark.read.format("binaryFile").load(path)
-    text = F.when(F.is_valid_utf8(F.col("content").cast("string")), F.decode("content", "UTF-8")).otherwise(F.decode("content", "windows-1252"))
+    # Windows-1252 is Latin-1 but for the bytes 0x80 to 0x9F.
+    high = [(chr(b), bytes([b]).decode("cp1252", "ignore")) for b in range(0x80, 0xA0)]
+    before, after = "".join(a for a, b in high if b), "".join(b for _, b in high if b)
+    western = F.translate(F.decode("content", "ISO-8859-1"), before, after)
+    text = F.when(F.is_valid_utf8(F.col("content").cast("string")), F.col("content").cast("string")).otherwise(western)
     return files.select(F.col("path").alias("file"), F.explode(F.split(text, r"\r?\n")).alias("value")).where("value <> ''")
 
 
