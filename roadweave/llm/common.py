@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from roadweave.functions.storage import shared_dir, stored
+
+__all__ = ["WORD_PATTERN", "bounded_sample", "fold", "partitions_for", "shared_dir", "stored", "table"]
+
 #: White space of the word contract: space and the ASCII controls 9 to 13.
 WORD_PATTERN = r"[^\x20\x09-\x0D]+"
 
@@ -17,41 +18,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share, from ``spark.checkpoint.dir``.
-
-    Only where the setting is absent (tests on one machine) a temporary folder is used.
-    """
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    context = spark.sparkContext
-    if not found:
-        found = context._jsc.sc().getCheckpointDir()
-        found = found.get() if found.isDefined() else None
-    if not found:
-        found = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
-        context.setCheckpointDir(found)
-    elif not context._jsc.sc().getCheckpointDir().isDefined():
-        context.setCheckpointDir(found)
-    return found
-
-
-def stored(df: DataFrame, name: str) -> DataFrame:
-    """``df`` written as Parquet in the shared folder and read again.
-
-    This cuts the lineage, survives lost executors, and gives the optimiser true sizes.
-    """
-    spark = df.sparkSession
-    path = f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def checkpointed(df: DataFrame) -> DataFrame:
-    """``df`` after a reliable checkpoint in the shared folder."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint()
-
-
 def fold(doc_id: str | Column, mod: int) -> Column:
     """crc32 of the id as text, modulo ``mod``; null ids give null."""
     col = F.col(doc_id) if isinstance(doc_id, str) else doc_id
