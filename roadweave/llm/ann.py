@@ -255,8 +255,10 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 10, recall: float =
 
     got = stored(_top(met.mapInArrow(rank, _FOUND), k), "ann-found")
     few = asked.join(got.where(F.col("rank") == min(k, max(1, n - 1))).select(F.col("query_id").alias("id")), "id", "left_anti")
-    few = few.limit(4 * MEASURED + 1).collect()
-    if few and len(few) <= 4 * MEASURED:
-        again = brute_force(base, [(r["id"], r["v"]) for r in few], k)
+    few = stored(few, "ann-few")
+    slices = math.ceil(few.count() / GROUP)
+    for s in range(slices):  # none or few as a rule; each slice is bounded
+        part = few.where(F.pmod(F.xxhash64("id"), F.lit(slices)) == s).collect()
+        again = stored(brute_force(base, [(r["id"], r["v"]) for r in part], k), "ann-again")
         got = got.join(again.select("query_id").distinct(), "query_id", "left_anti").unionByName(again)
     return got.select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")

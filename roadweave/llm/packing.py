@@ -168,12 +168,12 @@ def tokenise(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end_id:
     return docs.select("doc_id", "text").mapInArrow(pieces, schema)
 
 
-def best_two_fit(counts: dict[int, int], capacity: int = CAPACITY) -> list[tuple[int, list[int]]]:
+def two_fit_patterns(counts: dict[int, int], capacity: int, loose: int) -> list[tuple[int, list[int]]]:
     """Patterns (times, lengths) that use each length exactly as often as counted.
 
     A bin opens with the longest length left and is filled greedily with the longest that fits.
-    Then its smallest length gives way to the two unpacked lengths that fit the widened gap more
-    tightly, if there are such. Equal bins are made together, as many as the counts allow.
+    Where more than ``loose`` is left over, its smallest length then gives way to the two unpacked
+    lengths that fit the widened gap more tightly, if there are such. Equal bins are made together, as many as the counts allow.
     """
     left = {k: v for k, v in counts.items() if v > 0}
     order = sorted(left)
@@ -195,7 +195,7 @@ def best_two_fit(counts: dict[int, int], capacity: int = CAPACITY) -> list[tuple
             bin_.append(got)
             used[got] = used.get(got, 0) + 1
             gap -= got
-        if gap and len(bin_) > 1:
+        if gap > loose and len(bin_) > 1:
             small = min(bin_)
             room, best = gap + small, (small, 0, 0)
             used[small] -= 1
@@ -227,6 +227,15 @@ def best_two_fit(counts: dict[int, int], capacity: int = CAPACITY) -> list[tuple
     return patterns
 
 
+def best_two_fit(counts: dict[int, int], capacity: int = CAPACITY) -> list[tuple[int, list[int]]]:
+    """The patterns with the fewest bins over several tolerances.
+
+    Filling every gap to the last token uses up the short lengths that later bins need.
+    """
+    plans = [two_fit_patterns(counts, capacity, loose) for loose in (0, 1, 2, 4, 8, 16, 32, 64, 128)]
+    return min(plans, key=lambda p: sum(times for times, _ in p))
+
+
 def _slots(patterns: list[tuple[int, list[int]]]) -> dict[int, list[tuple[int, int, int, int]]]:
     """For each length the runs (first number, first sequence, places a bin, first offset's key)."""
     runs: dict[int, list[tuple[int, int, int, list[int]]]] = {}
