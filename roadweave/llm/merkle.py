@@ -190,7 +190,7 @@ def edited_fingerprints(docs: DataFrame) -> DataFrame:
     lean = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     lean = lean.withColumn("key", F.coalesce("doc_id", F.lit(-(1 << 63))))
     dealt, parts = _ranges(lean)
-    sorted_ = dealt.repartition(parts, "part").withColumn("tie", F.xxhash64("text")).sortWithinPartitions("part", "guest", F.desc("key"), F.desc("tie"))
+    sorted_ = dealt.repartitionById(parts, "part").withColumn("tie", F.xxhash64("text")).sortWithinPartitions("part", "guest", F.desc("key"), F.desc("tie"))
     schema = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
