@@ -30,10 +30,10 @@ SHINGLE = 5
 SIMILAR = 0.8
 BANDS = 24
 ROWS = 5
-#: Set Jaccard that a link by weights needs as well.
-HALF = 0.5
 #: Texts of a block when members of mixed buckets are compared.
-BLOCK = 64
+BLOCK = 128
+#: Texts whose shingles a task remembers (speed only).
+KEPT = 4000
 #: Cells of the dense matrix by which two blocks are compared at once.
 DENSE = 20_000_000
 _STEP = np.uint64(0x9E3779B97F4A7C15)
@@ -86,57 +86,35 @@ def sketch(docs: DataFrame, bands: int = BANDS, rows: int = ROWS, width: int = S
     return lean.mapInArrow(run, "doc_id long, h1 long, h2 long, bands array<long>")
 
 
-def weighted_sets(texts: pa.Array, width: int = SHINGLE) -> list[tuple[np.ndarray, np.ndarray]]:
-    """Sorted shingle hashes and weights of each text; equal texts are read once."""
+def shingle_sets(texts: pa.Array, width: int = SHINGLE) -> list[np.ndarray]:
+    """Sorted shingle hashes of each text; equal texts are read once."""
     coded = texts.dictionary_encode()
     if isinstance(coded, pa.ChunkedArray):
         coded = coded.combine_chunks()
-    own: list[tuple[np.ndarray, np.ndarray]] = []
+    own: list[np.ndarray] = []
     for c in chunks(pc.utf8_lower(coded.dictionary)):
-        doc, h, count = shingles(c, width)
+        doc, h, _ = shingles(c, width)
         at = np.searchsorted(doc, np.arange(c.n + 1))
-        own += [(h[at[i] : at[i + 1]], 1 + np.log(count[at[i] : at[i + 1]])) for i in range(c.n)]
+        own += [h[at[i] : at[i + 1]] for i in range(c.n)]
     return [own[i] for i in coded.indices.to_pylist()]
 
 
-def similarity(a: pa.Array, b: pa.Array, width: int = SHINGLE) -> tuple[np.ndarray, np.ndarray]:
-    """Set Jaccard of each pair of texts, and probability Jaccard where that is at least ``HALF``, exactly."""
-
-    sets_alike, weights_alike = np.zeros(len(a)), np.zeros(len(a))
-    for i, ((x, wx), (y, wy)) in enumerate(zip(weighted_sets(a, width), weighted_sets(b, width), strict=True)):
-        if not len(x) or not len(y):
-            continue
-        both, ix, iy = np.intersect1d(x, y, assume_unique=True, return_indices=True)
-        sets_alike[i] = weights_alike[i] = len(both) / (len(x) + len(y) - len(both))
-        if sets_alike[i] >= HALF and (wx.max() > 1 or wy.max() > 1):
-            weights_alike[i] = _probability_jaccard(wx, wy, ix, iy)
-    return sets_alike, weights_alike
-
-
-def _probability_jaccard(wx: np.ndarray, wy: np.ndarray, ix: np.ndarray, iy: np.ndarray) -> float:
-    """Sum over common d of 1 / sum over e of max(x_e / x_d, y_e / y_d), by sorting the ratios."""
-    px, py = wx[ix], wy[iy]
-    only_x, only_y = wx.sum() - px.sum(), wy.sum() - py.sum()
-    ratio = px / py
-    order = np.argsort(ratio, kind="stable")
-    px, py = px[order], py[order]
-    # For d, elements of a larger ratio x/y take their x side, the others their y side.
-    x_above = px.sum() - np.cumsum(px)
-    y_below = np.cumsum(py)
-    return float((1 / ((only_x + x_above) / px + (only_y + y_below) / py)).sum())
-
-
-def _verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
-    """a, b and their two similarities (j, p)."""
+def similarity(a: pa.Array, b: pa.Array, width: int = SHINGLE) -> np.ndarray:
+    """Jaccard similarity of the shingle sets of each pair of texts, exactly; 0 if one has none."""
+    out = np.zeros(len(a))
+    for i, (x, y) in enumerate(zip(shingle_sets(a, width), shingle_sets(b, width), strict=True)):
+        if len(x) and len(y):
+            both = len(np.intersect1d(x, y, assume_unique=True))
+            out[i] = both / (len(x) + len(y) - both)
+    return out
 
-    @F.arrow_udf("struct<j: double, p: double>")
-    def alike(a: pa.Array, b: pa.Array) -> pa.Array:
-        j, p = similarity(a, b)
-        return pa.StructArray.from_arrays([pa.array(j), pa.array(p)], ["j", "p"])
 
+def _verified(pairs: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
+    """a, b of the pairs that are similar enough."""
+    alike = F.arrow_udf("double")(lambda a, b: pa.array(similarity(a, b)))
     left = texts.select(F.col("rep").alias("a"), F.col("text").alias("text_a"))
     right = texts.select(F.col("rep").alias("b"), F.col("text").alias("text_b"))
-    return pairs.join(left, "a").join(right, "b").select("a", "b", alike("text_a", "text_b").alias("s")).select("a", "b", "s.j", "s.p")
+    return pairs.join(left, "a").join(right, "b").where(alike("text_a", "text_b") >= threshold).select("a", "b")
 
 
 def common_counts(a: list[np.ndarray], b: list[np.ndarray]) -> np.ndarray:
@@ -153,24 +131,30 @@ def _block_links(met: DataFrame, threshold: float) -> DataFrame:
     """a, b of the linked texts of different groups in pairs of blocks (asks, answers: arrays of rep, label, text)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kept: dict[int, np.ndarray] = {}  # the sets of the blocks that a task met last
+
+        def sets(block: pa.StructArray) -> list[np.ndarray]:
+            reps = block.field("rep").to_pylist()
+            new = [i for i, r in enumerate(reps) if r not in kept]
+            if new:
+                if len(kept) > KEPT:
+                    kept.clear()
+                    new = list(range(len(reps)))
+                kept.update(zip([reps[i] for i in new], shingle_sets(block.field("text").take(pa.array(new))), strict=True))
+            return [kept[r] for r in reps]
+
         for batch in batches:
             for asks, answers in zip(batch.column(0), batch.column(1), strict=True):
                 x, y = asks.values, answers.values
-                sx, sy = weighted_sets(x.field("text")), weighted_sets(y.field("text"))
-                both = common_counts([h for h, _ in sx], [h for h, _ in sy])
-                size = np.array([len(h) for h, _ in sx])[:, None] + np.array([len(h) for h, _ in sy])
+                sx = sets(x)
+                sy = sets(y)
+                both = common_counts(sx, sy)
+                size = np.array([len(h) for h in sx])[:, None] + np.array([len(h) for h in sy])
                 j = both / np.maximum(size - both, 1)
                 lx, ly = x.field("label").to_numpy(), y.field("label").to_numpy()
                 j[lx[:, None] == ly] = 0
-                found = [tuple(p) for p in np.argwhere(j >= threshold).tolist()]
-                for i, k in np.argwhere((j >= HALF) & (j < threshold)).tolist():
-                    (hx, wx), (hy, wy) = sx[i], sy[k]
-                    if wx.max() > 1 or wy.max() > 1:
-                        _, ix, iy = np.intersect1d(hx, hy, assume_unique=True, return_indices=True)
-                        if _probability_jaccard(wx, wy, ix, iy) >= threshold:
-                            found.append((i, k))
-                rx, ry = x.field("rep").to_numpy(), y.field("rep").to_numpy()
-                one, two = np.array([rx[i] for i, _ in found], np.int64), np.array([ry[k] for _, k in found], np.int64)
+                i, k = np.nonzero(j >= threshold)
+                one, two = x.field("rep").to_numpy()[i], y.field("rep").to_numpy()[k]
                 yield pa.RecordBatch.from_arrays([pa.array(np.minimum(one, two)), pa.array(np.maximum(one, two))], ["a", "b"])
 
     return met.select("asks", "answers").mapInArrow(run, "a long, b long").distinct()
@@ -180,7 +164,7 @@ def near_duplicates(docs: DataFrame, threshold: float = SIMILAR, bands: int = BA
     """doc_id, copy_of, class_id, n_links, kept of each row of ``docs`` (doc_id, text).
 
     copy_of: smallest doc_id with exactly this text. class_id: smallest doc_id of the group joined by
-    links: set Jaccard of at least ``threshold``, or probability Jaccard of at least that and set Jaccard of ``HALF``. n_links: different texts that this text was verified to be
+    links: a Jaccard similarity of the shingle sets of at least ``threshold``. n_links: different texts that this text was verified to be
     linked with. kept: whether the row is the one that stays of its group. Empty texts are copies of
     each other; null texts, and rows without id, stand alone. Of repeated rows all share one doc_id
     and so stay or go together.
@@ -205,7 +189,7 @@ def near_duplicates(docs: DataFrame, threshold: float = SIMILAR, bands: int = BA
 
     pair = F.struct(F.least("centre", "rep").alias("a"), F.greatest("centre", "rep").alias("b"))
     first = inside.where("rep <> centre").select(pair.alias("x")).select("x.a", "x.b").distinct()
-    links = stored(_verified(first, texts).where((F.col("j") >= threshold) | (F.col("p") >= threshold)).select("a", "b"), "links")
+    links = stored(_verified(first, texts, threshold), "links")
     groups = stored(connected(links), "groups")
 
     # Buckets that still hold several groups: members outside the largest one ask all members that
