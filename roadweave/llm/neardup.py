@@ -185,7 +185,8 @@ def near_duplicates(docs: DataFrame, threshold: float = SIMILAR, bands: int = BA
     centre = inside.groupBy("band", "hash").agg(F.max_by("rep", F.struct("company", (-F.col("rep")).alias("first"))).alias("centre"))
     inside = stored(inside.join(centre, ["band", "hash"]).select("band", "hash", "rep", "centre"), "members")
     wanted = inside.select(F.col("rep").alias("doc_id")).distinct()
-    texts = stored(given.join(wanted, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(F.col("doc_id").alias("rep"), "text"), "texts")
+    # Merged at every size: the texts move once by doc_id, and small inputs show the plan of large ones.
+    texts = stored(given.join(wanted.hint("merge"), "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(F.col("doc_id").alias("rep"), "text"), "texts")
 
     pair = F.struct(F.least("centre", "rep").alias("a"), F.greatest("centre", "rep").alias("b"))
     first = inside.where("rep <> centre").select(pair.alias("x")).select("x.a", "x.b").distinct()
