@@ -7,7 +7,9 @@ tables yield is merged and ranked by the exact distance.
 
 K follows the number of rows, so that a bucket holds about ``BUCKET`` rows. How many buckets a query
 visits is measured, not guessed: a bounded sample of queries is compared with a brute-force search
-over all rows, and the smallest number of probes that reaches the wanted recall is taken.
+over all rows, and the smallest number of probes that reaches the wanted recall is taken. Where K
+directions have no such number, K is lowered; where no K has one, all queries are searched exactly.
+The sample's recall is measured again on the result, and less than ``LEAST`` of it is an error.
 Vectors travel in blocks of one bucket, queries in groups; a bucket of any size is many blocks.
 """
 
@@ -16,6 +18,7 @@ from __future__ import annotations
 import math
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import reduce
 from itertools import product
 
 import numpy as np
@@ -34,6 +37,9 @@ GROUP = 256
 MEASURED = 64
 #: Recall that the measured queries must reach (0.9 is asked for).
 RECALL = 0.96
+LEAST = 0.9
+#: Queries of a pass over all rows where nothing but an exact search will do.
+EXACT = 4096
 WIDTH = 1.6
 
 
@@ -163,22 +169,46 @@ def _top(found: DataFrame, k: int) -> DataFrame:
     return ranked.where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 
-def _probes_needed(base: DataFrame, hashes: Hashes, sample: list[tuple[int, list[float]]], k: int, recall: float) -> int:
-    """Buckets to visit in each table so that the sample's true neighbours are found often enough."""
-    truth = brute_force(base, sample, k)
-    hits = truth.join(base.select(F.col("id").alias("vec_id"), "v"), "vec_id").select("query_id", "v").collect()  # MEASURED * k rows
-    if not hits:
-        return 1
-    own = {i: np.array(v) for i, v in sample}
+def _probes_needed(hashes: Hashes, own: dict[int, np.ndarray], hits: list[tuple[int, np.ndarray]], recall: float) -> int | None:
+    """Buckets to visit in each table so that the sample's true neighbours (query, vector) are found often enough; None if no number of probes does."""
     most = 3 ** min(hashes.k, 6)
     ranks = []
-    at = hashes.places(np.array([r["v"] for r in hits]))
+    at = hashes.places(np.array([v for _, v in hits]))
     codes = _codes(np.floor(at))
     orders = {i: [dict(zip(c.tolist(), r.tolist(), strict=True)) for _, r, c in probe_order(hashes.places(v[None])[0], most)] for i, v in own.items()}
-    for j, row in enumerate(hits):
-        ranks.append(min(orders[row["query_id"]][t].get(int(codes[j, t]), most + 1) for t in range(codes.shape[1])))
+    for j, (query, _) in enumerate(hits):
+        ranks.append(min(orders[query][t].get(int(codes[j, t]), most) for t in range(codes.shape[1])))
     ranks.sort()
-    return min(most, ranks[min(len(ranks) - 1, math.ceil(recall * len(ranks)))] + 1)
+    needed = ranks[min(len(ranks) - 1, math.ceil(recall * len(ranks)))]
+    return None if needed >= most else needed + 1
+
+
+def fitted(dimension: int, most: int, scale: float, tables: int, seed: int, own: dict[int, np.ndarray], hits: list[tuple[int, np.ndarray]], recall: float) -> tuple[Hashes, int] | None:
+    """Hashes of the most directions, ``most`` at most, whose probes reach the recall, and the probes; None if there are none."""
+    for functions in range(most, 0, -1):
+        hashes = Hashes.make(dimension, functions, scale, tables, seed)
+        probes = _probes_needed(hashes, own, hits, recall) if hits else 1
+        if probes:
+            return hashes, probes
+    return None
+
+
+def _exact(base: DataFrame, asked: DataFrame, k: int) -> DataFrame | None:
+    """The exact nearest of all ``asked``, in bounded slices; None if there are none."""
+    slices, parts = math.ceil(asked.count() / EXACT), []
+    for s in range(slices):
+        part = asked.where(F.pmod(F.xxhash64("id"), F.lit(slices)) == s).collect()
+        parts.append(stored(brute_force(base, [(r["id"], r["v"]) for r in part], k), "ann-exact"))
+    return reduce(DataFrame.unionByName, parts) if parts else None
+
+
+def _check_recall(got: DataFrame, truth: DataFrame) -> None:
+    """Raises an error if less than LEAST of the sample's true neighbours, or others as near, were found."""
+    last = truth.groupBy("query_id").agg(F.max("score").alias("last"), F.count(F.lit(1)).alias("n"))
+    near = got.join(F.broadcast(last), "query_id").where(F.col("score") <= F.col("last") * (1 + 1e-9)).groupBy("query_id").agg(F.count(F.lit(1)).alias("m"))
+    sums = last.join(near, "query_id", "left").agg(F.sum(F.least("n", F.coalesce("m", F.lit(0)))).alias("m"), F.sum("n").alias("n")).collect()[0]
+    if sums["n"] and sums["m"] < LEAST * sums["n"]:
+        raise RuntimeError(f"{sums['m']} of {sums['n']} true neighbours of the measured queries were found, less than {LEAST}")
 
 
 def search(vectors: DataFrame, queries: DataFrame, k: int = 10, recall: float = RECALL, tables: int = TABLES, seed: int = 1) -> DataFrame:
@@ -187,7 +217,8 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 10, recall: float =
     Both tables have (vec_id, embedding). Vectors that are null, zero, of another length than most, or
     hold null or non-finite parts take no part. Ties go to the smaller vec_id. A vec_id that occurs
     more than once counts once, by its nearest row. Fewer candidates than ``k`` give all of them. A query
-    that the probes leave with fewer than ``k`` is searched again among all rows.
+    that the probes leave with fewer than ``k`` is searched again among all rows, and all queries are
+    where no number of probes reaches ``recall``.
     """
     spark = vectors.sparkSession
     base, asked = usable(vectors), usable(queries)
@@ -204,10 +235,14 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 10, recall: float =
     scale = base.agg(F.avg(F.aggregate("v", F.lit(0.0), lambda a, x: a + x * x))).collect()[0][0]
     scale = math.sqrt(scale)  # of a projection: the root of the mean squared norm
     functions = max(1, round(math.log(max(n / BUCKET, 1)) / math.log(3)) + 1)
-    hashes = Hashes.make(dimension, functions, scale, tables, seed)
     order = F.xxhash64(F.lit(seed), "id")
     sample = [(r["id"], r["v"]) for r in asked.orderBy(order, "id").limit(MEASURED).collect()]
-    probes = _probes_needed(base, hashes, sample, k, recall)
+    truth = stored(brute_force(base, sample, k), "ann-truth")
+    hits = truth.join(base.select(F.col("id").alias("vec_id"), "v"), "vec_id").select("query_id", "v").collect()  # MEASURED * k rows
+    fit = fitted(dimension, functions, scale, tables, seed, {i: np.array(v) for i, v in sample}, [(r["query_id"], np.array(r["v"])) for r in hits], recall)
+    if fit is None:
+        return _exact(base, asked, k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
+    hashes, probes = fit
     shared = spark.sparkContext.broadcast(hashes)
 
     def placed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -256,9 +291,8 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 10, recall: float =
     got = stored(_top(met.mapInArrow(rank, _FOUND), k), "ann-found")
     few = asked.join(got.where(F.col("rank") == min(k, max(1, n - 1))).select(F.col("query_id").alias("id")), "id", "left_anti")
     few = stored(few, "ann-few")
-    slices = math.ceil(few.count() / GROUP)
-    for s in range(slices):  # none or few as a rule; each slice is bounded
-        part = few.where(F.pmod(F.xxhash64("id"), F.lit(slices)) == s).collect()
-        again = stored(brute_force(base, [(r["id"], r["v"]) for r in part], k), "ann-again")
+    again = _exact(base, few, k)  # none or few as a rule
+    if again is not None:
         got = got.join(again.select("query_id").distinct(), "query_id", "left_anti").unionByName(again)
+    _check_recall(got, truth)
     return got.select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")

@@ -1,4 +1,5 @@
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from roadweave.llm import ann
@@ -43,3 +44,49 @@ def test_few_and_odd_vectors(spark):
     assert {(r.query_id, r["rank"], r.vec_id) for r in got} == {(0, 1, 3), (0, 2, 100), (0, 3, 8), (100, 1, 3), (100, 2, 0), (100, 3, 8)}
     empty = spark.createDataFrame([], "vec_id long, embedding array<double>")
     assert ann.search(empty, empty).count() == 0
+
+
+def noisy_neighbours(rng, queries=40, each=10):
+    """Unit vectors in 64 dimensions and neighbours of each at a distance of 1.03."""
+    unit = lambda x: x / np.linalg.norm(x, axis=-1, keepdims=True)
+    q = unit(rng.standard_normal((queries, 64)))
+    side = rng.standard_normal((queries, each, 64))
+    side = unit(side - (side * q[:, None]).sum(2, keepdims=True) * q[:, None])
+    cos = 1 - 1.03**2 / 2
+    near = cos * q[:, None] + np.sqrt(1 - cos**2) * side
+    return dict(enumerate(q)), [(i, v) for i in range(queries) for v in near[i]]
+
+
+def test_directions_are_lowered_until_the_recall_is_met():
+    own, hits = noisy_neighbours(np.random.default_rng(2))
+    assert ann._probes_needed(ann.Hashes.make(64, 10, 1.0), own, hits, 0.96) is None  # as at 11 million rows
+    hashes, probes = ann.fitted(64, 10, 1.0, ann.TABLES, 1, own, hits, 0.96)
+    assert hashes.k < 10
+    found = 0
+    for i, v in hits:
+        at = ann._codes(np.floor(hashes.places(v[None])[0]))
+        found += any(at[t] in set(codes.tolist()) for t, _, codes in ann.probe_order(hashes.places(own[i][None])[0], probes))
+    assert found >= 0.96 * len(hits)
+
+
+def test_recall_is_met_with_small_buckets(spark, monkeypatch):
+    """Buckets so small that K is what 10 million rows ask for."""
+    own, hits = noisy_neighbours(np.random.default_rng(3), 20, 40)
+    x = np.array([*own.values(), *(v for _, v in hits)])
+    monkeypatch.setattr(ann, "BUCKET", len(x) / 3**9)
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    found = {}
+    for r in ann.search(df, df.where("vec_id < 20")).collect():
+        found.setdefault(r.query_id, set()).add(r.vec_id)
+    ids = np.arange(len(x))
+    assert sum(len({v for v, _ in exact(ids, x, q, x[q], 10)} & found[q]) for q in range(20)) >= 0.9 * 200
+    monkeypatch.setattr(ann, "fitted", lambda *a: None)
+    rows = ann.search(df, df.where("vec_id < 20")).collect()
+    assert {(r.query_id, r["rank"], r.vec_id) for r in rows} == {(q, n + 1, v) for q in range(20) for n, (v, _) in enumerate(exact(ids, x, q, x[q], 10))}
+
+
+def test_low_recall_is_an_error(spark):
+    truth = spark.createDataFrame([(1, 1, 2, 0.1), (1, 2, 3, 0.2)], "query_id long, rank int, vec_id long, score double")
+    ann._check_recall(truth, truth)
+    with pytest.raises(RuntimeError):
+        ann._check_recall(truth.where("vec_id = 2"), truth)
