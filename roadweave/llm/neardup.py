@@ -1,14 +1,16 @@
 """Near-duplicate documents by ProbMinHash signatures, banding and exact verification.
 
-Each distinct five-word shingle of a text, weighted by 1 + ln(count), sends arrivals of a Poisson
-process with its weight as rate to random registers; a register keeps the element that arrives
-first. A process ends as soon as its next arrival is later than every register of its text. Two
-texts agree in a register with the probability Jaccard similarity of their weights.
+Each distinct five-word shingle of a text sends arrivals of a Poisson process with its weight as rate
+to random registers; a register keeps the element that arrives first. A process ends as soon as its
+next arrival is later than every register of its text. Two texts agree in a register with the
+probability Jaccard similarity of their weights. All weights are 1 here, however often a shingle
+occurs, so this is the Jaccard similarity of the shingle sets, which links are defined by.
 
 Registers are banded. Within each bucket every member is verified against one member only, the
 centre, and the links found are merged into groups. Where a bucket still holds several groups, the
 members outside the largest one are compared with the others in blocks of texts: pairs are never
-rows, only links are, and a large group is dealt to many tasks. So no link between groups is lost.
+rows, only links are, and a large group is dealt to many tasks. So no link between groups that share
+a bucket is lost; banding misses a pair at 0.8 with a probability of 7e-5.
 Exact copies are merged before all this.
 """
 
@@ -74,8 +76,8 @@ def sketch(docs: DataFrame, bands: int = BANDS, rows: int = ROWS, width: int = S
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for c in chunks(pc.utf8_lower(batch.column(1))):
-                doc, h, count = shingles(c, width)
-                sig = _band_hashes(signatures(doc, h, 1 + np.log(count), c.n, bands * rows), bands, rows).view(np.int64)
+                doc, h, _ = shingles(c, width)
+                sig = _band_hashes(signatures(doc, h, np.ones(len(h)), c.n, bands * rows), bands, rows).view(np.int64)
                 has = np.bincount(doc, minlength=c.n) > 0
                 flat = pa.ListArray.from_arrays(pa.array(np.arange(0, sig.size + 1, bands, dtype=np.int32)), pa.array(sig.ravel()))
                 flat = pc.if_else(pa.array(has), flat, pa.scalar(None, flat.type))

@@ -55,6 +55,22 @@ def test_registers_estimate_probability_jaccard():
     assert abs((sig[0] == sig[1]).mean() - probability_jaccard(a, b)) < 0.04
 
 
+def test_repeated_lines_do_not_hide_links(spark):
+    """Pairs of a set Jaccard of at least 0.8, where one text repeats lines that the other has once."""
+    rng = random.Random(11)
+    rows = []
+    for i in range(400):
+        words = [f"w{i}x{k}" for k in range(170)]
+        other = words[:-12] + [f"v{i}x{k}" for k in range(12)]
+        line = words[:60]
+        rows += [(2 * i, " ".join(words + line * 100)), (2 * i + 1, " ".join(other + line))]
+        a, b = (shingle_set(t) for _, t in rows[-2:])
+        assert len(a & b) / len(a | b) >= 0.8
+    rng.shuffle(rows)
+    found = neardup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).where("n_links > 0").count()
+    assert found >= 798  # 7e-5 of the pairs may be missed
+
+
 def brute_classes(rows):
     label = {i: i for i, _ in rows}
 
