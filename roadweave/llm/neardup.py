@@ -168,16 +168,34 @@ def near_duplicates(docs: DataFrame, threshold: float = SIMILAR, bands: int = BA
     copy_of: smallest doc_id with exactly this text. class_id: smallest doc_id of the group joined by
     links: a Jaccard similarity of the shingle sets of at least ``threshold``. n_links: different texts that this text was verified to be
     linked with. kept: whether the row is the one that stays of its group. Empty texts are copies of
-    each other; null texts, and rows without id, stand alone. Of repeated rows all share one doc_id
-    and so stay or go together.
+    each other; null texts, and rows without id, stand alone. Of rows that repeat one doc_id and text
+    one is kept at most; a doc_id with several texts is in the group of each.
+    """
+    given = _given(docs)
+    full = _classes(given, threshold, bands, rows, block)
+    each = full.withColumn("_no", F.explode(F.sequence(F.lit(1).cast("long"), "times")))
+    each = each.select("doc_id", "copy_of", "class_id", "n_links", (F.col("first") & (F.col("_no") == 1)).alias("kept"))
+    alone = given.where("text is null or doc_id is null").select("doc_id", F.col("doc_id").alias("copy_of"), F.col("doc_id").alias("class_id"), F.lit(0).cast("long").alias("n_links"), F.lit(True).alias("kept"))
+    return each.unionByName(alone)
+
+
+def _given(docs: DataFrame) -> DataFrame:
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+
+
+def _classes(given: DataFrame, threshold: float, bands: int = BANDS, rows: int = ROWS, block: int = BLOCK) -> DataFrame:
+    """doc_id, h1, times, copy_of, class_id, n_links, first of each different doc_id and text (h1: its hash).
+
+    times: rows that repeat both. first: whether it is the one that stays of its group. Texts are
+    represented by their hash, so that texts which share a doc_id are compared each.
     """
-    given = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     sketched = stored(sketch(given.where("text is not null and doc_id is not null"), bands, rows), "sketch")
+    once = sketched.groupBy("doc_id", "h1", "h2").agg(F.count(F.lit(1)).alias("times"))
     copies = sketched.groupBy("h1", "h2").agg(F.min("doc_id").alias("copy_of"))
     # A representative's own row is the one whose id is the smallest of its text.
-    member = stored(sketched.select("doc_id", "h1", "h2").join(copies, ["h1", "h2"]).select("doc_id", "copy_of"), "copies")
-    reps = sketched.where("bands is not null").join(member.where("doc_id = copy_of").select("doc_id"), "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    spread = reps.select(F.col("doc_id").alias("rep"), F.posexplode("bands").alias("band", "hash"))
+    member = stored(once.join(copies, ["h1", "h2"]).select("doc_id", "h1", "times", "copy_of"), "copies")
+    reps = sketched.where("bands is not null").join(member.where("doc_id = copy_of").select("doc_id", "h1"), ["doc_id", "h1"], "left_semi").dropDuplicates(["h1"])
+    spread = reps.select(F.col("h1").alias("rep"), F.posexplode("bands").alias("band", "hash"))
     # Size and centre of each bucket come from map-side aggregates. The centre is the member with the
     # most company in all its buckets: in a family of copies the text that the others are nearest to.
     bucket = spread.groupBy("band", "hash").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
@@ -186,9 +204,10 @@ def near_duplicates(docs: DataFrame, threshold: float = SIMILAR, bands: int = BA
     inside = inside.join(company, "rep")
     centre = inside.groupBy("band", "hash").agg(F.max_by("rep", F.struct("company", (-F.col("rep")).alias("first"))).alias("centre"))
     inside = stored(inside.join(centre, ["band", "hash"]).select("band", "hash", "rep", "centre"), "members")
-    wanted = inside.select(F.col("rep").alias("doc_id")).distinct()
+    wanted = member.where("doc_id = copy_of").join(inside.select(F.col("rep").alias("h1")).distinct(), "h1", "left_semi").select("doc_id", "h1")
     # Merged at every size: the texts move once by doc_id, and small inputs show the plan of large ones.
-    texts = stored(given.join(wanted.hint("merge"), "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(F.col("doc_id").alias("rep"), "text"), "texts")
+    hashed = given.where("text is not null").withColumn("h1", F.xxhash64("text"))
+    texts = stored(hashed.join(wanted.hint("merge"), ["doc_id", "h1"], "left_semi").dropDuplicates(["h1"]).select(F.col("h1").alias("rep"), "text"), "texts")
 
     pair = F.struct(F.least("centre", "rep").alias("a"), F.greatest("centre", "rep").alias("b"))
     first = inside.where("rep <> centre").select(pair.alias("x")).select("x.a", "x.b").distinct()
@@ -216,20 +235,26 @@ def near_duplicates(docs: DataFrame, threshold: float = SIMILAR, bands: int = BA
         links = stored(links.unionByName(_block_links(met, threshold)).distinct(), "links")
         groups = stored(connected(links), "groups")
     degree = links.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count(F.lit(1)).alias("n_links"))
-    full = (
-        member.join(groups.withColumnRenamed("node", "copy_of"), "copy_of", "left")
-        .join(degree.withColumnRenamed("node", "copy_of"), "copy_of", "left")
-        .select("doc_id", "copy_of", F.coalesce("label", "copy_of").alias("class_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
-    )
-    alone = given.where("text is null or doc_id is null").select("doc_id", F.col("doc_id").alias("copy_of"), F.col("doc_id").alias("class_id"), F.lit(0).cast("long").alias("n_links"))
-    return full.unionByName(alone).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("class_id"), F.lit(True)))
+    # One row a text; the first row of a group has the smallest doc_id, and of several texts with it the smallest hash.
+    text = member.groupBy("h1").agg(F.min("doc_id").alias("copy_of")).join(groups.withColumnRenamed("node", "h1"), "h1", "left").withColumn("label", F.coalesce("label", "h1"))
+    head = text.groupBy("label").agg(F.min(F.struct("copy_of", "h1")).alias("head"))
+    text = text.join(head, "label").join(degree.withColumnRenamed("node", "h1"), "h1", "left")
+    text = text.select("h1", F.col("head.copy_of").alias("class_id"), (F.col("head.h1") == F.col("h1")).alias("_is"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
+    full = member.join(text, "h1")
+    return full.select("doc_id", "h1", "times", "copy_of", "class_id", "n_links", (F.col("_is") & (F.col("doc_id") == F.col("class_id"))).alias("first"))
 
 
-def deduplicate(docs: DataFrame, threshold: float = SIMILAR) -> DataFrame:
-    """``docs`` with all columns, without the rows that have a smaller-numbered near-duplicate.
+def deduplicate(docs: DataFrame, threshold: float = SIMILAR, repeats: bool = True) -> DataFrame:
+    """``docs`` with all columns, without the rows that have a near-duplicate before them (by doc_id, then by hash).
 
-    Of rows that repeat one doc_id the group's first stays once.
+    Rows that repeat both doc_id and text all stay with their first; one of them does without ``repeats``.
     """
-    found = near_duplicates(docs, threshold)
-    gone = found.where("not kept").select(F.col("doc_id").alias("_rw_gone")).distinct()
-    return docs.join(gone, F.col("doc_id").cast("long") == F.col("_rw_gone"), "left_anti")
+    found = stored(_classes(_given(docs), threshold).select(F.col("doc_id").alias("_rw_id"), F.col("h1").alias("_rw_h1"), "times", "first"), "classes")
+    key = lambda other: (F.col("doc_id").cast("long") == other["_rw_id"]) & (F.xxhash64(F.col("text").cast("string")) == other["_rw_h1"])
+    again = found.where("first and times > 1").select("_rw_id", "_rw_h1")
+    gone = found.where("not first").select("_rw_id", "_rw_h1")
+    if repeats or again.isEmpty():
+        return docs.join(gone, key(gone), "left_anti")
+    gone = gone.unionByName(again)
+    one = docs.join(again, key(again)).dropDuplicates(["_rw_id", "_rw_h1"]).drop("_rw_id", "_rw_h1")
+    return docs.join(gone, key(gone), "left_anti").unionByName(one)

@@ -119,6 +119,23 @@ def test_odd_rows(spark, odd_docs, no_docs):
     assert neardup.near_duplicates(no_docs).count() == 0
 
 
+def test_repeated_rows_and_shared_ids(spark, odd_docs):
+    import corpus_pipeline
+
+    assert sorted(r.kept for r in neardup.near_duplicates(odd_docs).collect() if r.doc_id == 1) == [False, True]
+    one = corpus_pipeline.distinct(spark, odd_docs, "")
+    assert one.columns == odd_docs.columns and one.count() == odd_docs.count() - 1 and one.where("doc_id = 1").count() == 1
+    rng = random.Random(6)
+    a, b, c = (" ".join(rng.choice(WORDS) for _ in range(80)) for _ in range(3))
+    # 7 has two texts; both have near copies, and 9 repeats one of them.
+    rows = [(7, a), (7, b), (8, a + " end"), (9, b + " end"), (9, b + " end"), (10, c), (10, c), (11, c)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    kept = corpus_pipeline.distinct(spark, df, "").collect()
+    assert sorted((r.doc_id, r.text) for r in kept) == sorted([(7, a), (7, b), (10, c)])
+    found = neardup.near_duplicates(df).collect()
+    assert len(found) == 8 and sum(r.kept for r in found) == 3 and {r.class_id for r in found if r.doc_id in (8, 9)} == {7}
+
+
 def test_components(spark):
     rng = random.Random(4)
     edges = [(rng.randrange(60), rng.randrange(60)) for _ in range(40)] + [(100, k) for k in range(101, 140)] + [(k, k + 1) for k in range(200, 230)]
