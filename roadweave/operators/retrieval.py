@@ -2,13 +2,21 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import math
+from collections.abc import Iterator, Sequence
+from functools import reduce
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from roadweave.operators.textsim import tokens
 
+#: Clauses that a task compares with a query at once.
+BLOCK = 4096
+
 
 def distance(a: Column, b: Column) -> Column:
     """Euclidean distance of two vectors, in double precision."""
@@ -16,20 +24,52 @@ def distance(a: Column, b: Column) -> Column:
     return F.sqrt(F.aggregate(square, F.lit(0.0), lambda s, v: s + v))
 
 
-def _is_small(df: DataFrame, most_rows: int) -> bool:
-    return df.limit(most_rows + 1).count() <= most_rows
-
-
-def knn(queries: DataFrame, clauses: DataFrame, top: int = 15, each: int = 5, key: str = "query_id", part: str = "doc", clause: str = "clause_id", vector: str = "vector", most_rows: int = 50_000) -> DataFrame:
+def _near(asked: list, top: int):
+    """For mapInPandas: of (part, clause, v) the ``top`` nearest to each of the asked (key, v), ties by clause."""
+    keys, q = [k for k, _ in asked], np.array([v for _, v in asked], float)
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        best: dict[int, pd.DataFrame] = {}
+        for frame in frames:
+            for at in range(0, len(frame), BLOCK):
+                f = frame.iloc[at : at + BLOCK]
+                x = np.stack(f["_v"].to_numpy())
+                for i in range(len(q)):
+                    d = np.sqrt(((x - q[i]) ** 2).sum(1))
+                    worst = best[i]["distance"].iloc[-1] if i in best and len(best[i]) >= top else np.inf
+                    if len(d) > top:
+                        worst = min(worst, np.partition(d, top - 1)[top - 1])
+                    near = np.flatnonzero(d <= worst)  # ties stay
+                    if len(near):
+                        new = f.iloc[near][["_p", "_c"]].assign(distance=d[near])
+                        best[i] = pd.concat([best[i], new] if i in best else [new]).sort_values(["distance", "_c"]).head(top)
+        for i, f in best.items():
+            yield f.assign(_k=keys[i])[["_k", "_p", "_c", "distance"]]
+
+    return run
+
+
+def knn(queries: DataFrame, clauses: DataFrame, top: int = 15, each: int = 5, key: str = "query_id", part: str = "doc", clause: str = "clause_id", vector: str = "vector", asking: int = 1024) -> DataFrame:
     """key, part, clause, distance, rank: of the ``top`` nearest clauses of a query the first ``each`` of a part.
 
-    The clause index is a reference table (hundreds of rows): it is broadcast once its row count is
-    checked, so each query meets it without a shuffle. A larger index belongs into the approximate search.
+    Exact at any size: ``asking`` queries at a time pass over all clauses, and each task keeps the best
+    ``top`` of a query, so pairs are never rows. Null vectors and those of another length take no part.
     """
-    if not _is_small(clauses, most_rows):
-        raise ValueError(f"the clause index has more than {most_rows} rows; use an approximate search")
-    c = clauses.select(F.col(part), F.col(clause), F.col(vector).alias("_cv"))
-    scored = queries.select(key, F.col(vector).alias("_qv")).join(F.broadcast(c)).select(key, part, clause, distance(F.col("_qv"), F.col("_cv")).alias("distance"))
+    spark = clauses.sparkSession
+    wide = F.col(vector).cast("array<double>")
+    whole = wide.isNotNull() & ~F.exists(wide, lambda x: x.isNull())
+    q, c = queries.where(whole).select(F.col(key).alias("_k"), wide.alias("_v")), clauses.where(whole).select(F.col(part).alias("_p"), F.col(clause).alias("_c"), wide.alias("_v"))
+    kind = T.StructType([T.StructField("_k", q.schema["_k"].dataType), T.StructField("_p", c.schema["_p"].dataType), T.StructField("_c", c.schema["_c"].dataType), T.StructField("distance", T.DoubleType())])
+    sizes = {r[0]: r[1] for r in q.groupBy(F.size("_v")).count().collect()}  # one row a length
+    found = []
+    for size, n in sizes.items():
+        slices = math.ceil(n / asking)
+        for s in range(slices):
+            asked = q.where(F.size("_v") == size).where(F.pmod(F.xxhash64("_k"), F.lit(slices)) == s).collect()
+            if asked:
+                found.append(c.where(F.size("_v") == size).mapInPandas(_near([(r[0], r[1]) for r in asked], top), kind))
+    scored = reduce(DataFrame.unionByName, found) if found else spark.createDataFrame([], kind)
+    scored = scored.select(F.col("_k").alias(key), F.col("_p").alias(part), F.col("_c").alias(clause), "distance")
     near = scored.withColumn("_r", F.row_number().over(Window.partitionBy(key).orderBy("distance", clause))).where(F.col("_r") <= top)
     ranked = near.withColumn("rank", F.row_number().over(Window.partitionBy(key, part).orderBy("distance", clause)))
     return ranked.where(F.col("rank") <= each).select(key, part, clause, "distance", "rank")

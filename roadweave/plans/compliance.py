@@ -431,6 +431,18 @@ def knn_found(spark, sf_dir):
     return retrieval.knn(q, c), q
 
 
+def _whole(sql: str) -> str:
+    """The same over the whole table: ids divisible by 100 ask, all other rows are clauses."""
+    return sql.replace("WHERE vec_id < 50", "WHERE vec_id % 100 = 0").replace("WHERE vec_id BETWEEN 50 AND 467", "WHERE vec_id % 100 <> 0")
+
+
+def knn_found_whole(spark, sf_dir):
+    e = table(spark, sf_dir, "embeddings")
+    q = e.where("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("vector"))
+    c = e.where("vec_id % 100 <> 0").select(F.col("vec_id").alias("clause_id"), (F.col("label") % 2).alias("doc"), F.col("embedding").alias("vector"))
+    return retrieval.knn(q, c), q
+
+
 @register("knn_retrieval", _KNN + "SELECT query_id, doc, clause_id, round(distance, 9) AS distance, rank FROM kept")
 def _(spark, sf_dir):
     return _rounded(knn_found(spark, sf_dir)[0], 9)
@@ -441,14 +453,17 @@ def _(spark, sf_dir):
     return _rounded(retrieval.retrieval_relevance(*knn_found(spark, sf_dir)), 9)
 
 
+def _precision(found):
+    mark = F.when(F.col("clause_id") % 3 == 0, "").when(F.col("clause_id") % 3 == 1, "yes").otherwise("0")
+    return citations.precision_at_k(found.where("doc = 0").withColumn("relevant", citations.relevance(mark)), 3)
+
+
 @register(
     "precision_at_k",
     _KNN + ", a AS (SELECT query_id, rank, CASE WHEN clause_id % 3 = 0 THEN NULL ELSE clause_id % 3 = 1 END AS relevant FROM kept WHERE doc = 0), p AS (SELECT query_id, round(count(*) FILTER (relevant) / 3.0, 4) AS p FROM a WHERE rank <= 3 AND relevant IS NOT NULL GROUP BY 1) SELECT count(*) AS n_queries, round(avg(p), 9) AS precision FROM p",
 )
 def _(spark, sf_dir):
-    mark = F.when(F.col("clause_id") % 3 == 0, "").when(F.col("clause_id") % 3 == 1, "yes").otherwise("0")
-    rows = knn_found(spark, sf_dir)[0].where("doc = 0").withColumn("relevant", citations.relevance(mark))
-    return _rounded(citations.precision_at_k(rows, 3), 9)
+    return _rounded(_precision(knn_found(spark, sf_dir)[0]), 9)
 
 
 @register(
@@ -473,3 +488,18 @@ def _(spark, sf_dir):
     text = F.concat(F.lit("  "), section, F.lit("."), (F.col("doc_id") % 30).cast("string"), F.lit(" "), F.translate(F.substring("text", 1, 200), "\n", " "))
     pages = d.select(F.lit("IRC").alias("doc"), section.alias("section"), F.col("doc_id").alias("page"), text.alias("text"))
     return retrieval.clause_split(pages).groupBy("section", "clause_id").agg(F.count(F.lit(1)).alias("n"))
+
+
+@register("knn_retrieval_whole", _whole(SQL["knn_retrieval"]))
+def _(spark, sf_dir):
+    return _rounded(knn_found_whole(spark, sf_dir)[0], 9)
+
+
+@register("retrieval_relevance_whole", _whole(SQL["retrieval_relevance"]))
+def _(spark, sf_dir):
+    return _rounded(retrieval.retrieval_relevance(*knn_found_whole(spark, sf_dir)), 9)
+
+
+@register("precision_at_k_whole", _whole(SQL["precision_at_k"]))
+def _(spark, sf_dir):
+    return _rounded(_precision(knn_found_whole(spark, sf_dir)[0]), 9)
