@@ -238,11 +238,14 @@ def context(before: str, word: str, after: str) -> tuple[float, bool]:
     return address, bool(enclosed and (reported or not address))
 
 
-def summed(hits: list[tuple[int, float, bool]], weights: list[float]) -> np.ndarray:
-    """The model's inputs: log-odds of plain and of misspelled hits, their number, address; quoted hits count a third."""
+def summed(hits: list[tuple], weights: list[float]) -> np.ndarray:
+    """The model's inputs: log-odds of plain and of misspelled hits, their number, address; quoted hits count a third.
+
+    A hit is (code, address, quoted), or equal ones with their number as a fourth part.
+    """
     plain = bent = number = address = 0.0
-    for code, you, quoted in hits:
-        share = 1 / 3 if quoted else 1.0
+    for code, you, quoted, *times in hits:
+        share = (1 / 3 if quoted else 1.0) * (times[0] if times else 1)
         w = share * weights[(code - 1) // 2]
         if code % 2:
             plain += w
@@ -295,19 +298,25 @@ def _tokens(sample: DataFrame) -> DataFrame:
 
 
 def _observed(sample: DataFrame, entries: list[tuple[str, bool]], fuzzy: list[bool]) -> list[tuple[int, list]]:
-    """(toxic, hits) of each sampled text."""
+    """(toxic, hits) of each sampled text; all hits, those of equal code and quotation as one with the largest address and their number."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         matcher = Matcher(entries, fuzzy)
         for batch in batches:
             found: dict[int, list] = dict(matcher.hits(batch.column(0)))
-            hits = [[{"code": c, "address": a, "quoted": q} for c, a, q in found.get(i, [])[:64]] for i in range(batch.num_rows)]
-            kind = pa.list_(pa.struct([("code", pa.int32()), ("address", pa.float64()), ("quoted", pa.bool_())]))
+            hits = []
+            for i in range(batch.num_rows):
+                sums: dict[tuple[int, bool], tuple[float, int]] = {}
+                for c, a, q in found.get(i, []):
+                    most, n = sums.get((c, q), (a, 0))
+                    sums[c, q] = max(most, a), n + 1
+                hits.append([{"code": c, "address": a, "quoted": q, "times": n} for (c, q), (a, n) in sums.items()])
+            kind = pa.list_(pa.struct([("code", pa.int32()), ("address", pa.float64()), ("quoted", pa.bool_()), ("times", pa.int32())]))
             yield pa.RecordBatch.from_arrays([batch.column(1), batch.column(2), pa.array(hits, kind)], ["h", "toxic", "hits"])
 
-    rows = sample.select("text", "h", "toxic").mapInArrow(run, "h long, toxic int, hits array<struct<code: int, address: double, quoted: boolean>>").collect()
+    rows = sample.select("text", "h", "toxic").mapInArrow(run, "h long, toxic int, hits array<struct<code: int, address: double, quoted: boolean, times: int>>").collect()
     rows.sort(key=lambda r: (r["h"], r["toxic"]))
-    return [(r["toxic"], [(x["code"], x["address"], x["quoted"]) for x in r["hits"]]) for r in rows]
+    return [(r["toxic"], [(x["code"], x["address"], x["quoted"], x["times"]) for x in r["hits"]]) for r in rows]
 
 
 def _logistic(x: np.ndarray, y: np.ndarray, prior: np.ndarray, ridge: float = 1.0, steps: int = 30) -> np.ndarray:
@@ -354,8 +363,8 @@ def train(docs: DataFrame, labels: DataFrame, mod: int = 4, held: int = 2, rows:
     seen = _observed(sample, entries, fuzzy)
     bad, fair = Counter(), Counter()
     for toxic, hits in seen:
-        exact = any(c % 2 for c, _, _ in hits)
-        for k in {(c - 1) // 2 for c, _, _ in hits if not c % 2}:
+        exact = any(c % 2 for c, *_ in hits)
+        for k in {(c - 1) // 2 for c, *_ in hits if not c % 2}:
             if not exact:
                 (fair if toxic else bad)[k] += 1
     fuzzy = [f and bad[k] <= fair[k] for k, f in enumerate(fuzzy)]
