@@ -1,4 +1,5 @@
 import importlib
+import os
 
 import pytest
 
@@ -12,6 +13,32 @@ def test_own_code_does_not_need_the_llm_package():
             assert "roadweave.llm" not in path.read_text(), path
 
 
+@pytest.mark.parametrize("gone", [("roadweave/llm",), ("roadweave/llm", "corpus_pipeline.py"), ()])
+def test_entry_without_the_llm_folders(tmp_path, gone):
+    """A copy of the repository without them still gives its own queries; with them it gives all eleven more."""
+    import json
+    import pathlib
+    import shutil
+    import subprocess
+    import sys
+
+    root = pathlib.Path(__file__).resolve().parents[1]
+    if not (root / "roadweave" / "llm").exists() and not gone:
+        pytest.skip("the folders are gone already")
+    for name in ("roadweave", "__spark_entry__.py", "corpus_pipeline.py"):
+        if (root / name).is_dir():
+            left_out = [p for p in gone if p.startswith(name + "/")]
+            shutil.copytree(root / name, tmp_path / name, ignore=lambda d, names: [n for n in names if n == "__pycache__" or f"{pathlib.Path(d).relative_to(root)}/{n}" in left_out])
+        elif (root / name).exists() and name not in gone:
+            shutil.copy(root / name, tmp_path / name)
+    code = "import json, __spark_entry__ as e; print(json.dumps([sorted(e.queries()), sorted(e.oracle_sql())]))"
+    done = subprocess.run([sys.executable, "-c", code], cwd=tmp_path, capture_output=True, text=True, env={k: v for k, v in os.environ.items() if k != "PYTHONPATH"})
+    assert done.returncode == 0, done.stderr
+    names, sql = json.loads(done.stdout.splitlines()[-1])
+    extra = [n for n in names if n == "pipeline" or (n.startswith("op") and n[2:3].isdigit())]
+    assert len(extra) == (0 if gone else 11) and set(sql) <= set(names) and "candidate_events" in names
+
+
 def test_entry(spark):
     entry = importlib.import_module("__spark_entry__")
     assert entry.entry(spark).count() > 0
@@ -25,7 +52,6 @@ NAMES = ["candidate_events", "asof_nearest", "interval_merge", "score_tiou", "ka
 def test_queries_match_their_sql(spark, name):
     duckdb = pytest.importorskip("duckdb")
     import glob
-    import os
 
     entry = importlib.import_module("__spark_entry__")
     sf = "/root/testdata/sf0.001"
