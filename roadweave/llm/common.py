@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from roadweave.functions.storage import shared_dir, stored
 
-__all__ = ["WORD_PATTERN", "bounded_sample", "fold", "partitions_for", "shared_dir", "stored", "table"]
+__all__ = ["WORD_PATTERN", "bounded_sample", "fold", "held_out", "partitions_for", "shared_dir", "stored", "table"]
 
 #: White space of the word contract: space and the ASCII controls 9 to 13.
 WORD_PATTERN = r"[^\x20\x09-\x0D]+"
@@ -24,17 +24,32 @@ def fold(doc_id: str | Column, mod: int) -> Column:
     return F.crc32(col.cast("string").cast("binary")) % F.lit(mod)
 
 
+def held_out(doc_id: str, mod: int, held: int) -> Column:
+    """Whether a row is of the held-out fold; false for null ids."""
+    return F.coalesce(fold(doc_id, mod) == held, F.lit(False)).alias("held_out")
+
+
 def bounded_sample(df: DataFrame, key: str, bound: int, seed: int = 17) -> DataFrame:
-    """About ``bound`` rows of ``df`` at most, chosen by a hash of ``key``; all rows if there are fewer.
+    """``bound`` rows of ``df`` at most, chosen by a hash of ``key``; all rows if there are fewer.
 
-    The choice depends on keys alone, so it is the same for any partitioning and any rerun. Fitting
-    alone uses it; every result is computed over all rows.
+    The choice depends on keys alone, so it is the same for any partitioning and any rerun. Rows of
+    one key come or go together: the hashes are cut into ranges, and ranges are taken in turn while
+    their rows still fit, so a key that very many rows repeat is passed over. Fitting alone uses it;
+    every result is computed over all rows.
     """
     rows = df.count()
     if rows <= bound:
         return df
-    keep = max(1, int(bound / rows * (1 << 30)))
-    return df.where(F.pmod(F.xxhash64(F.lit(seed), F.col(key)), F.lit(1 << 30)) < keep)
+    share = F.pmod(F.xxhash64(F.lit(seed), F.col(key)), F.lit(1 << 30))
+    keep = max(1, int(min(1.0, 1.5 * bound / rows) * (1 << 30)))
+    ranges = 512  # rows that the driver gets
+    cut = F.floor(share * ranges / keep).cast("int")
+    taken, fitting = 0, []
+    for r in df.where(share < keep).groupBy(cut.alias("r")).count().orderBy("r").collect():
+        if taken + r["count"] <= bound:
+            taken += r["count"]
+            fitting.append(r["r"])
+    return df.where((share < keep) & cut.isin(fitting)) if fitting else df.limit(0)
 
 
 def partitions_for(spark: SparkSession, rows: int, per_task: int) -> int:

@@ -19,10 +19,10 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from roadweave.llm.common import bounded_sample, fold
+from roadweave.llm.common import bounded_sample, fold, held_out
 from roadweave.llm.textbytes import Chunk, chunks
 
-#: Rows that the machines are fitted on at most, about.
+#: Rows that the machines are fitted on at most.
 TRAIN_ROWS = 2000
 BITS = 12
 WIDTHS = (3, 4)
@@ -106,9 +106,14 @@ _PLAIN[91:97] = 32
 _PLAIN[123:128] = 32
 
 
+#: Texts of a chunk at most: each takes a row of counts, however short it is.
+CHUNK_ROWS = 512
+
+
 def _plain(texts: pa.Array) -> Iterator[Chunk]:
-    for chunk in chunks(pc.utf8_lower(texts), 1 << 18):
-        yield Chunk(chunk.lo, chunk.hi, _PLAIN[chunk.buf], chunk.offs)
+    for at in range(0, len(texts), CHUNK_ROWS):
+        for chunk in chunks(pc.utf8_lower(texts.slice(at, CHUNK_ROWS)), 1 << 18):
+            yield Chunk(at + chunk.lo, at + chunk.hi, _PLAIN[chunk.buf], chunk.offs)
 
 
 def _profiles(texts: pa.Array, bits: int) -> np.ndarray:
@@ -144,7 +149,7 @@ def _fit(x: np.ndarray, y: list[str], steps: int = 80, penalty: float = 1e-4) ->
 
 
 def train(docs: DataFrame, rows: int = TRAIN_ROWS, bits: int = BITS) -> Model | None:
-    """Machines from labelled ``docs`` (doc_id, text, lang), about ``rows`` of them at most.
+    """Machines from labelled ``docs`` (doc_id, text, lang), ``rows`` of them at most.
 
     The profiles are made in tasks; the driver gets ``rows`` of them. None if nothing is labelled.
     """
@@ -217,10 +222,10 @@ def with_language(docs: DataFrame, model: Model | None, text: str = "text", out:
 
 
 def identify(docs: DataFrame, model: Model | None, mod: int = 3, held: int = 1) -> DataFrame:
-    """doc_id, held_out, lang_pred, score of every row; repeated rows give repeated results."""
+    """doc_id, held_out, lang_pred, score of every row; repeated rows give repeated results, a null doc_id is not held out."""
     lean = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     got = with_language(lean, model)
-    return got.select("doc_id", (fold("doc_id", mod) == held).alias("held_out"), "_rw_lang.lang_pred", "_rw_lang.score")
+    return got.select("doc_id", held_out("doc_id", mod, held), "_rw_lang.lang_pred", "_rw_lang.score")
 
 
 def learnable(docs: DataFrame, mod: int = 3, held: int = 1) -> DataFrame:

@@ -17,10 +17,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from roadweave.llm.common import bounded_sample, fold
+from roadweave.llm.common import bounded_sample, fold, held_out
 from roadweave.llm.textbytes import Chunk, chunks
 
-#: Labelled rows that the tables are fitted on at most, about.
+#: Labelled rows that the tables are fitted on at most.
 TRAIN_ROWS = 20_000
 BINS = 32
 GRID = 8
@@ -196,12 +196,14 @@ def fit(x: np.ndarray, y: np.ndarray, rounds: int = 120, pair_rounds: int = 40,
 
 
 def train(docs: DataFrame, labels: DataFrame, mod: int = 5, held: int = 0, rows: int = TRAIN_ROWS) -> Gam:
-    """A model from ``labels`` (doc_id, quality) outside the held-out fold, about ``rows`` of them.
+    """A model from ``labels`` (doc_id, quality) outside the held-out fold, ``rows`` of them at most.
 
-    The sample's ids are few (``rows``), so they are broadcast; only features reach the driver.
+    A doc_id with several labels is what most of them say, one with several texts counts once, by
+    its least features. The sample's ids are few (``rows``), so they are broadcast; only features
+    reach the driver.
     """
-    known = labels.where(F.col("quality").isNotNull() & F.col("doc_id").isNotNull() & (fold("doc_id", mod) != held)).select(F.col("doc_id").cast("long").alias("_rw_id"), F.col("quality").cast("double").alias("_rw_y"))
-    sample = bounded_sample(known, "_rw_id", rows)
+    known = labels.where(F.col("quality").isNotNull() & F.col("doc_id").isNotNull() & (fold("doc_id", mod) != held)).select(F.col("doc_id").cast("long").alias("_rw_id"), (F.col("quality") > 0).cast("double").alias("_rw_y"))
+    sample = bounded_sample(known.groupBy("_rw_id").agg((F.avg("_rw_y") >= 0.5).cast("double").alias("_rw_y")), "_rw_id", rows)
     both = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(sample), F.col("doc_id") == F.col("_rw_id"))
 
     def profile(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -209,10 +211,11 @@ def train(docs: DataFrame, labels: DataFrame, mod: int = 5, held: int = 0, rows:
             x = features(batch.column(0))
             yield pa.RecordBatch.from_arrays([batch.column(1), batch.column(2), pa.array(list(x), pa.list_(pa.float64()))], ["doc_id", "y", "x"])
 
-    got = both.select("text", "doc_id", "_rw_y").mapInArrow(profile, "doc_id long, y double, x array<double>").collect()
-    got.sort(key=lambda r: (r["doc_id"], r["y"], r["x"]))
+    got = both.select("text", "doc_id", "_rw_y").mapInArrow(profile, "doc_id long, y double, x array<double>")
+    got = got.groupBy("doc_id").agg(F.min("y").alias("y"), F.min("x").alias("x")).collect()  # ``rows`` ids
+    got.sort(key=lambda r: r["doc_id"])
     x = np.array([r["x"] for r in got], float).reshape(-1, len(FEATURES))
-    return fit(x, np.array([float(r["y"] > 0) for r in got]))
+    return fit(x, np.array([r["y"] for r in got]))
 
 
 def with_quality(docs: DataFrame, model: Gam, text: str = "text", out: str = "_rw_quality") -> DataFrame:
@@ -227,7 +230,7 @@ def with_quality(docs: DataFrame, model: Gam, text: str = "text", out: str = "_r
 
 
 def classify(docs: DataFrame, model: Gam, mod: int = 5, held: int = 0, threshold: float = THRESHOLD) -> DataFrame:
-    """doc_id, held_out, score, predicted of every row; repeated rows give repeated results."""
+    """doc_id, held_out, score, predicted of every row; repeated rows give repeated results, a null doc_id is not held out."""
     lean = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     got = with_quality(lean, model)
-    return got.select("doc_id", (fold("doc_id", mod) == held).alias("held_out"), F.col("_rw_quality").alias("score"), (F.col("_rw_quality") >= threshold).cast("int").alias("predicted"))
+    return got.select("doc_id", held_out("doc_id", mod, held), F.col("_rw_quality").alias("score"), (F.col("_rw_quality") >= threshold).cast("int").alias("predicted"))

@@ -11,7 +11,7 @@ second person abuse. A logistic model over these sums gives the score.
 from __future__ import annotations
 
 import re
-from collections import Counter, defaultdict
+from collections import Counter
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
 
@@ -21,18 +21,25 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from roadweave.llm.common import bounded_sample, fold, stored
+from roadweave.llm.common import bounded_sample, fold, held_out, stored
 from roadweave.llm.textbytes import chunks, shingles
 
-#: Labelled rows that lexicon and model are learned from at most, about; entries of a lexicon at most.
+#: Labelled rows that lexicon and model are learned from at most; entries of a lexicon at most.
 TRAIN_ROWS = 16_000
 ENTRIES = 1000
 THRESHOLD = 0.3
 WINDOW = 8
 #: Likelihood ratio statistic that a word needs (20: one chance word in 130,000), and its least odds ratio.
 SIGNIFICANT, LEAST_RATIO = 20.0, 6.0
-#: Most that the weights of a text's hits add up to.
+#: Most that the weights of a text's hits add up to, and most that an entry weighs.
 CAP = 15.0
+MOST_ODDS = 8.0
+#: Letters of the words that may be learned, and of the stems.
+WORD_LETTERS = (3, 30)
+STEM_LETTERS = (4, 7)
+#: What a quoted hit counts, and how many times the hits that a text has by chance are taken away.
+QUOTED = 1 / 3
+CHANCE = 2.0
 #: Letters that an entry has at least for misspellings of it to count.
 FUZZY_LETTERS = 5
 #: Known words that a worker keeps before it starts anew (speed only).
@@ -165,6 +172,7 @@ class Model:
     fuzzy: list[bool] = field(default_factory=list)
     weights: list[float] = field(default_factory=list)
     coefficients: np.ndarray = field(default_factory=lambda: np.array([-3.0, 0.8, 0.6, 0.3, 0.3]))
+    rates: dict[int, float] = field(default_factory=dict)
 
 
 class Matcher:
@@ -184,7 +192,7 @@ class Matcher:
         return 0 if best[1] < 0 else 1 + 2 * best[1] + (best[0] > 0)
 
     def hits(self, texts: pa.Array) -> Iterator[tuple[int, list[tuple[int, float, bool]]]]:
-        """(row, hits as (code, weight of address, in quotation)) of each text that has any."""
+        """(row, hits as (code, weight of address, in quotation)) of each text that has any, after (0, its words, False)."""
         for c in chunks(pc.utf8_lower(texts)):
             starts, ends, doc = c.words
             if not len(starts):
@@ -210,7 +218,8 @@ class Matcher:
             if not len(found):
                 continue
             data = c.buf.tobytes()
-            by: dict[int, list] = defaultdict(list)
+            by: dict[int, list] = {}
+            lengths = np.bincount(doc, minlength=c.n)
             for i in found.tolist():
                 d = int(doc[i])
                 lo, hi = i, i
@@ -221,7 +230,7 @@ class Matcher:
                 before = data[starts[lo] : starts[i]].decode("utf-8", "replace")
                 word = data[starts[i] : ends[i]].decode("utf-8", "replace")
                 after = data[ends[i] : ends[hi]].decode("utf-8", "replace")
-                by[d].append((int(fresh[back[i]]), *context(before, word, after)))
+                by.setdefault(d, [(0, float(lengths[d]), False)]).append((int(fresh[back[i]]), *context(before, word, after)))
             yield from ((c.lo + d, found_) for d, found_ in by.items())
 
 
@@ -238,23 +247,42 @@ def context(before: str, word: str, after: str) -> tuple[float, bool]:
     return address, bool(enclosed and (reported or not address))
 
 
-def summed(hits: list[tuple], weights: list[float]) -> np.ndarray:
+def summed(hits: list[tuple], weights: list[float], rates: dict[int, float] | None = None) -> np.ndarray:
     """The model's inputs: log-odds of plain and of misspelled hits, their number, address; quoted hits count a third.
 
-    A hit is (code, address, quoted), or equal ones with their number as a fourth part.
+    A hit is (code, address, quoted), or equal ones with their number as a fourth part; code 0 tells
+    the words of the text. From the hits of a code ``CHANCE`` times those are taken away that a text
+    of so many words which is not toxic has (``rates``: hits a word).
     """
-    plain = bent = number = address = 0.0
+    words = address = 0.0
+    shares: dict[int, float] = {}
     for code, you, quoted, *times in hits:
-        share = (1 / 3 if quoted else 1.0) * (times[0] if times else 1)
-        w = share * weights[(code - 1) // 2]
-        if code % 2:
-            plain += w
-        else:
-            bent += w
-        number += share
+        if not code:
+            words = you
+            continue
+        shares[code] = shares.get(code, 0.0) + (QUOTED if quoted else 1.0) * (times[0] if times else 1)
         if not quoted:
             address = max(address, you)
-    return np.array([1.0, min(plain, CAP), min(bent, CAP), np.log1p(number), address])
+    plain = bent = number = 0.0
+    for code, share in shares.items():
+        share = max(0.0, share - CHANCE * words * (rates or {}).get(code, 0.0))
+        number += share
+        if code % 2:
+            plain += share * weights[(code - 1) // 2]
+        else:
+            bent += share * weights[(code - 1) // 2]
+    return np.array([1.0, min(plain, CAP), min(bent, CAP), np.log1p(number), address if number else 0.0])
+
+
+def chance_rates(seen: list[tuple[int, list]]) -> dict[int, float]:
+    """Hits of each code for each word of the texts that are not toxic."""
+    hits: Counter = Counter()
+    for toxic, own in seen:
+        if not toxic:
+            for code, words, _, times in own:
+                hits[code] += times if code else words
+    total = hits.pop(0, 0)
+    return {code: n / total for code, n in hits.items()} if total else {}
 
 
 def learn_lexicon(tokens: DataFrame, entries: int = ENTRIES) -> list[tuple[str, bool, float]]:
@@ -268,15 +296,18 @@ def learn_lexicon(tokens: DataFrame, entries: int = ENTRIES) -> list[tuple[str,
         return []
     per = stored(tokens.groupBy("token").agg(F.sum("toxic").alias("t"), F.sum(1 - F.col("toxic")).alias("n")), "toxic-counts")
     words = per.select(F.col("token").alias("entry"), "t", "n", F.lit(False).alias("stem"))
-    prefix = F.explode(F.transform(F.sequence(F.lit(4), F.lit(6)), lambda k: F.substr("token", F.lit(1), k)))
-    stems = per.where("length(token) >= 6").withColumn("entry", prefix).groupBy("entry").agg(F.sum("t").alias("t"), F.sum("n").alias("n"), F.count(F.lit(1)).alias("forms"))
-    stems = stems.where("t >= 8 and n <= 0.005 * t and forms >= 4").select("entry", "t", "n", F.lit(True).alias("stem"))
+    prefix = F.explode(F.transform(F.sequence(F.lit(STEM_LETTERS[0]), F.lit(STEM_LETTERS[1])), lambda k: F.substr("token", F.lit(1), k)))
+    stems = per.where(f"length(token) >= {STEM_LETTERS[1]}").withColumn("entry", prefix).groupBy("entry").agg(F.sum("t").alias("t"), F.sum("n").alias("n"), F.count(F.lit(1)).alias("forms"))
+    stems = stems.where("t >= 8 and forms >= 4").select("entry", "t", "n", F.lit(True).alias("stem"))
     t, n, base = F.col("t"), F.col("n"), toxic / (toxic + clean)
     surprise = 2 * (t * F.log(t / ((t + n) * base)) + F.when(n > 0, n * F.log(n / ((t + n) * (1 - base)))).otherwise(0.0))
     odds = F.log((t + base) / toxic) - F.log((n + 1 - base) / clean)
-    found = words.unionByName(stems).where("t >= 4").select("entry", "stem", surprise.alias("llr"), odds.alias("odds"))
+    found = words.unionByName(stems).where("t >= 4").select("entry", "stem", "t", "n", surprise.alias("llr"), odds.alias("odds"))
     found = found.where((F.col("llr") >= SIGNIFICANT) & (F.col("odds") >= float(np.log(LEAST_RATIO)))).orderBy(F.desc("llr"), "entry", "stem").limit(entries)
-    return [(r["entry"], r["stem"], min(r["odds"], 8.0)) for r in found.collect()]
+    rows = [(r["entry"], r["stem"], min(r["odds"], MOST_ODDS), r["t"] + r["n"]) for r in found.collect()]
+    # Of nested stems that nearly the same words have, the longest says most.
+    spare = {a for a, stem, _, of_a in rows if stem and any(other and b != a and b.startswith(a) and of_b >= 0.9 * of_a for b, other, _, of_b in rows)}
+    return [(entry, stem, odds) for entry, stem, odds, _ in rows if not (stem and entry in spare)]
 
 
 def _tokens(sample: DataFrame) -> DataFrame:
@@ -288,7 +319,7 @@ def _tokens(sample: DataFrame) -> DataFrame:
                 part = batch.slice(at, 200)
                 h, y, t = [], [], []
                 for text, key, toxic in zip(*(part.column(i).to_pylist() for i in range(3)), strict=True):
-                    own = {w for w in _PLAIN.findall(text.lower()) if 3 <= len(w) <= 30}
+                    own = {w for w in _PLAIN.findall(text.lower()) if WORD_LETTERS[0] <= len(w) <= WORD_LETTERS[1]}
                     h += [key] * len(own)
                     y += [toxic] * len(own)
                     t += own
@@ -304,9 +335,10 @@ def _observed(sample: DataFrame, entries: list[tuple[str, bool]], fuzzy: list[bo
         matcher = Matcher(entries, fuzzy)
         for batch in batches:
             found: dict[int, list] = dict(matcher.hits(batch.column(0)))
+            lengths = np.concatenate([np.bincount(c.words[2], minlength=c.n) for c in chunks(pc.utf8_lower(batch.column(0)))] or [np.zeros(0)])
             hits = []
             for i in range(batch.num_rows):
-                sums: dict[tuple[int, bool], tuple[float, int]] = {}
+                sums: dict[tuple[int, bool], tuple[float, int]] = {(0, False): (float(lengths[i]), 0)}
                 for c, a, q in found.get(i, []):
                     most, n = sums.get((c, q), (a, 0))
                     sums[c, q] = max(most, a), n + 1
@@ -319,28 +351,38 @@ def _observed(sample: DataFrame, entries: list[tuple[str, bool]], fuzzy: list[bo
     return [(r["toxic"], [(x["code"], x["address"], x["quoted"], x["times"]) for x in r["hits"]]) for r in rows]
 
 
-def _logistic(x: np.ndarray, y: np.ndarray, prior: np.ndarray, ridge: float = 1.0, steps: int = 30) -> np.ndarray:
-    """Coefficients by Newton's method, drawn to ``prior``."""
+def _logistic(x: np.ndarray, y: np.ndarray, prior: np.ndarray, ridge: float = 1.0, steps: int = 50) -> np.ndarray:
+    """Coefficients by Newton's method with halved steps, drawn to ``prior``."""
+
+    def loss(w: np.ndarray) -> float:
+        z = x @ w
+        return float(np.logaddexp(0, z).sum() - y @ z + ridge / 2 * ((w - prior) ** 2).sum())
+
     w = prior.copy()
     for _ in range(steps):
         p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-        g = x.T @ (p - y) + ridge * (w - prior)
-        hess = (x * (p * (1 - p))[:, None]).T @ x + ridge * np.eye(len(w))
-        step = np.linalg.solve(hess, g)
-        w = w - np.clip(step, -2, 2)
-        if np.abs(step).max() < 1e-6:
+        slope = x.T @ (p - y) + ridge * (w - prior)
+        step = np.linalg.solve((x * (p * (1 - p))[:, None]).T @ x + ridge * np.eye(len(w)), slope)
+        size, now = 1.0, loss(w)
+        while size > 1e-4 and loss(w - size * step) > now:
+            size /= 2
+        w = w - size * step
+        if np.abs(size * step).max() < 1e-6:
             break
     return w
 
 
 def train(docs: DataFrame, labels: DataFrame, mod: int = 4, held: int = 2, rows: int = TRAIN_ROWS) -> Model:
-    """Lexicon and model from ``labels`` (doc_id, toxic) outside the held-out fold, about ``rows`` of them.
+    """Lexicon and model from ``labels`` (doc_id, toxic) outside the held-out fold, ``rows`` of them at most.
 
-    Copies and most near copies of a text count once (they share their least shingle). Misspellings of an entry stay off where texts that are not toxic
-    have them more often than toxic ones.
+    Copies and most near copies of a text count once (they share their least shingle), toxic if most
+    of their labels are; so do all texts without words, which have no hits. A doc_id with several
+    labels is what most of them say. Misspellings of an entry stay off where texts that are not toxic
+    have them more often than toxic ones. Without labels of both kinds every text has one low score.
     """
     known = labels.where(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull() & (fold("doc_id", mod) != held))
-    known = bounded_sample(known.select(F.col("doc_id").cast("long").alias("_rw_id"), (F.col("toxic") > 0).cast("int").alias("toxic")), "_rw_id", rows)
+    mostly = (F.avg("toxic") >= 0.5).cast("int").alias("toxic")
+    known = bounded_sample(known.select(F.col("doc_id").cast("long").alias("_rw_id"), (F.col("toxic") > 0).cast("int").alias("toxic")).groupBy("_rw_id").agg(mostly), "_rw_id", rows)
     lean = docs.where("text is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     sample = lean.join(F.broadcast(known), F.col("doc_id") == F.col("_rw_id")).select("text", "toxic")  # ``rows`` ids
 
@@ -354,26 +396,33 @@ def train(docs: DataFrame, labels: DataFrame, mod: int = 4, held: int = 2, rows:
             out[c.lo : c.hi] = low
         return pa.array(out.view(np.int64))
 
-    sample = stored(sample.withColumn("h", least_shingle("text")).dropDuplicates(["h"]), "toxic-sample")
+    sample = sample.withColumn("h", least_shingle("text")).groupBy("h").agg(mostly, F.min_by("text", F.xxhash64("text")).alias("text"))
+    sample = bounded_sample(stored(sample, "toxic-sample"), "h", rows)
     lexicon = learn_lexicon(stored(_tokens(sample), "toxic-tokens"))
     if not lexicon:
         return Model()
-    entries, weights = [(w, stem) for w, stem, _ in lexicon], [odds for *_, odds in lexicon]
+    entries = [(w, stem) for w, stem, _ in lexicon]
     fuzzy = [not stem for _, stem in entries]
     seen = _observed(sample, entries, fuzzy)
+    # What a hit of an entry weighs: its log-odds by texts, as a stem's words often stand together.
+    by_texts = [Counter(k for y, hits in seen if y == side for k in {(c - 1) // 2 for c, *_ in hits if c % 2}) for side in (0, 1)]
+    all_texts = [sum(y == side for y, _ in seen) for side in (0, 1)]
+    base = all_texts[1] / len(seen)
+    weights = [float(min(MOST_ODDS, np.log((by_texts[1][k] + base) / all_texts[1]) - np.log((by_texts[0][k] + 1 - base) / all_texts[0]))) for k in range(len(entries))]
     bad, fair = Counter(), Counter()
     for toxic, hits in seen:
         exact = any(c % 2 for c, *_ in hits)
-        for k in {(c - 1) // 2 for c, *_ in hits if not c % 2}:
+        for k in {(c - 1) // 2 for c, *_ in hits if c and not c % 2}:
             if not exact:
                 (fair if toxic else bad)[k] += 1
     fuzzy = [f and bad[k] <= fair[k] for k, f in enumerate(fuzzy)]
-    seen = [(y, [x for x in hits if x[0] % 2 or fuzzy[(x[0] - 1) // 2]]) for y, hits in seen]
-    x = np.array([summed(h, weights) for _, h in seen]).reshape(-1, 5)
+    seen = [(y, [x for x in hits if not x[0] or x[0] % 2 or fuzzy[(x[0] - 1) // 2]]) for y, hits in seen]
+    rates = chance_rates(seen)
+    x = np.array([summed(h, weights, rates) for _, h in seen])
     y, prior = np.array([float(y) for y, _ in seen]), Model().coefficients
     # Labelled misspellings are rare: what a plain hit counts, less a fifth, is the prior for them.
     prior[2] = 0.8 * _logistic(x, y, prior)[1]
-    return Model(entries, fuzzy, weights, _logistic(x, y, prior))
+    return Model(entries, fuzzy, weights, _logistic(x, y, prior), rates)
 
 
 _matchers: dict[int, Matcher] = {}
@@ -392,14 +441,14 @@ def with_toxicity(docs: DataFrame, model: Model, text: str = "text", out: str =
             _matchers[key] = Matcher(m.entries, m.fuzzy)
         x = np.tile(summed([], m.weights), (len(texts), 1))
         for i, hits in _matchers[key].hits(texts):
-            x[i] = summed(hits, m.weights)
+            x[i] = summed(hits, m.weights, m.rates)
         return pa.array(1 / (1 + np.exp(-np.clip(x @ m.coefficients, -30, 30))))
 
     return docs.withColumn(out, score(F.col(text).cast("string")))
 
 
 def classify(docs: DataFrame, model: Model, mod: int = 4, held: int = 2, threshold: float = THRESHOLD) -> DataFrame:
-    """doc_id, held_out, score, predicted of every row; repeated rows give repeated results."""
+    """doc_id, held_out, score, predicted of every row; repeated rows give repeated results, a null doc_id is not held out."""
     lean = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     got = with_toxicity(lean, model)
-    return got.select("doc_id", (fold("doc_id", mod) == held).alias("held_out"), F.col("_rw_toxic").alias("score"), (F.col("_rw_toxic") >= threshold).cast("int").alias("predicted"))
+    return got.select("doc_id", held_out("doc_id", mod, held), F.col("_rw_toxic").alias("score"), (F.col("_rw_toxic") >= threshold).cast("int").alias("predicted"))

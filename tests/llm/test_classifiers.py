@@ -160,3 +160,63 @@ def test_labels_are_not_inputs(spark):
     plain = {r.doc_id: r.score for r in quality.classify(docs, model).collect()}
     changed = docs.withColumns({"lang": F.lit("zz"), "source": F.lit("q")})
     assert plain == {r.doc_id: r.score for r in quality.classify(changed, model).collect()}
+
+
+def test_bounded_sample_passes_over_a_hot_key(spark):
+    from roadweave.llm.common import bounded_sample
+
+    df = spark.range(30_000).select(F.when(F.col("id") % 3 == 0, 7).otherwise(F.col("id")).alias("k"))
+    got = bounded_sample(df, "k", 500)
+    assert 200 <= got.count() <= 500 and got.where("k = 7").count() == 0
+    assert sorted(r.k for r in got.collect()) == sorted(r.k for r in bounded_sample(df.repartition(3), "k", 500).collect())
+    assert bounded_sample(df.where("k = 7"), "k", 50).count() == 0 and bounded_sample(df, "k", 40_000).count() == 30_000
+
+
+def test_null_ids_are_not_held_out(spark, odd_docs):
+    docs, labels = corpus(spark, 120)
+    for got in (quality.classify(odd_docs, quality.train(docs, labels)), langid.identify(odd_docs, None), toxicity.classify(odd_docs, toxicity.Model())):
+        assert {r.held_out for r in got.where("doc_id is null").collect()} == {False} and got.where("held_out is null").count() == 0
+
+
+def test_many_short_texts_need_little_memory():
+    import resource
+
+    rng = random.Random(1)
+    texts = [" ".join(words(rng, lang, 8)) for lang in SYLLABLES for _ in range(20)]
+    x = langid._profiles(pa.array(texts), 12)
+    model = langid.Model(langid._fit(np.sqrt(x), [langid.family_of(lang) for lang in SYLLABLES for _ in range(20)]), [langid.Machines(["en"], np.zeros((0, 4096)), np.zeros(0))] * 2, 12)
+    before = resource.getrusage(resource.RUSAGE_SELF).ru_maxrss
+    langs, _ = langid._predict(pa.array(["abcd"] * 100_000), model)
+    assert len(langs) == 100_000 and resource.getrusage(resource.RUSAGE_SELF).ru_maxrss - before < 300_000  # KB
+
+
+def test_toxic_score_by_hand():
+    """The model's inputs computed hit by hit, without codes or memo."""
+    entries, weights = [("idiot", False), ("lowei", True)], [3.0, 2.0]
+    model = toxicity.Model(entries, [True, False], weights, np.array([-2.0, 0.5, 0.4, 0.3, 0.2]), {3: 0.01})
+    for text in ["nothing here", "you are an idiot", "an idoit and an idiot", 'he said "idiot" to them', "loweitum " + "word " * 49, "idiot " * 40]:
+        plain = bent = number = you = 0.0
+        n = len(text.split())
+        chance = {"lowei": 0.01}
+        found = {}
+        tokens = text.split()
+        for i, w in enumerate(tokens):
+            bare = "".join(c for c in w.lower() if c.isalpha())
+            hit = next(((e, edits(bare, e) if not stem else 0) for e, stem in entries if (stem and bare.startswith(e)) or (not stem and edits(bare, e) <= 1)), None) if bare else None
+            if hit:
+                around = tokens[max(0, i - 8) : i] + tokens[i + 1 : i + 9]
+                quoted = w.startswith('"') and w.endswith('"')
+                found.setdefault(hit, 0.0)
+                found[hit] += 1 / 3 if quoted else 1
+                you = max(you, float("you" in around and not quoted))
+        for (e, bends), count in found.items():
+            count = max(0.0, count - 2 * n * chance.get(e, 0.0))
+            number += count
+            if bends:
+                bent += count * weights[[x for x, _ in entries].index(e)]
+            else:
+                plain += count * weights[[x for x, _ in entries].index(e)]
+        z = -2 + 0.5 * min(plain, 15) + 0.4 * min(bent, 15) + 0.3 * np.log1p(number) + 0.2 * (you if number else 0)
+        matcher = toxicity.Matcher(entries, model.fuzzy)
+        hits = dict(matcher.hits(pa.array([text]))).get(0, [])
+        assert abs(toxicity.summed(hits, weights, model.rates) @ model.coefficients - z) < 1e-9, text
