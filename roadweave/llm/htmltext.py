@@ -26,39 +26,59 @@ _WORD = re.compile(r"[a-z]+")
 
 #: HTML element names by their part in a page.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style noscript template iframe svg math object canvas textarea title".split())
-GONE = frozenset("head nav footer aside form button select dialog menu audio video fieldset label".split())
+RAW = frozenset("script style noscript template iframe svg object canvas textarea title".split())
+GONE = frozenset("head nav footer aside form button select dialog menu audio video fieldset".split())
 BLOCK = frozenset(
     "address article aside blockquote body center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 "
     "header hgroup hr html li main nav ol p pre section summary table tbody td tfoot th thead tr ul caption".split()
 )
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
-#: Words in class, id or role that mark what is not the article.
-NOISE = frozenset(
-    "ad ads adv advert adverts advertisement advertising banner breadcrumb breadcrumbs byline comment comments consent cookie cookies copyright "
-    "discussion disqus footer gdpr login masthead menu modal nav navbar navigation newsletter notice notices overlay pager pagination popup promo "
-    "promotion recommended related replies reply respond search share sharing sidebar signup skip social sponsor sponsored subscribe toolbar widget "
-    "alert alerts contentinfo complementary feedback footnav header popover topbar".split()
+#: Elements that end an open one of their own kind, and elements that end tags inside do not reach beyond.
+ALONE = frozenset("li dd dt tr td th".split())
+HOLDERS = frozenset("main body section div td".split())
+WALLS = ("article", "body", "table", "td")
+#: Words in class, id or role that mark reader comments, other parts that are never the article, and parts that a
+#: page may also name its article by.
+READERS = frozenset("comment comments discussion disqus replies reply respond".split())
+NOISE = READERS | frozenset(
+    "ad ads adv advert adverts advertisement advertising breadcrumb breadcrumbs consent cookie cookies copyright footer gdpr masthead menu modal "
+    "nav navbar navigation newsletter pager pagination popup promo promotion sidebar signup sponsor sponsored subscribe contentinfo complementary footnav".split()
 )
+DOUBTFUL = frozenset("alert alerts banner feedback header login notice notices overlay popover recommended related search share sharing skip social toolbar topbar widget".split())
 LIKELY = frozenset("article content entry main post story body text".split())
 
 
 class Page:
-    """Blocks (text, container, characters in links) and containers (parent, tag, path) of one page."""
+    """Blocks (text, container, characters in links) and containers (parent, tag, path) of one page.
+
+    A container of a ``NOISE`` word is left out, one of a ``DOUBTFUL`` word only if it holds less than
+    half of the page's text; ``article`` and ``main`` only for words of ``READERS``. Elements inside a
+    line are never judged by doubtful words. Every pass is linear in the page, however deep it nests.
+    """
 
     def __init__(self, source: str):
         self.parents: list[int] = [-1]
         self.tags: list[str] = [""]
         self.steps: list[str] = [""]
+        self.paths: list[int] = [0]  # number of each container's path
         self.likely: list[bool] = [False]
+        self.holders: list[int] = [0]  # the container that each one's text counts for
         self.blocks: list[tuple[str, int, int]] = []
+        self._path_numbers: dict[tuple[int, str], int] = {}
+        self._doubts: list[tuple[int, int]] = [(-1, 0)]  # of each doubtful container: the one around it, its own characters
+        self._block_doubts: list[int] = []
         self._read(_CUT.sub("", source))
+        self._settle()
 
     def _read(self, source: str) -> None:
-        stack: list[tuple[str, int, str]] = [("", 0, "")]  # tag, node, state: "" kept, "x" gone, "h" headings alone
+        # tag, node, state ("" kept, "x" gone, "h" headings alone), doubtful container
+        stack: list[tuple[str, int, str, int]] = [("", 0, "", 0)]
+        places: dict[str, list[int]] = {}  # where the open elements of each name stand
+        blocks_at: list[int] = []
+        open_of = {"link": 0, "heading": 0, "article": 0}
         text: list[str] = []
         linked = 0
-        inside_link = 0
+        ended: set[str] = set()  # raw elements that no later end tag closes
         at = 0
 
         def flush() -> None:
@@ -66,51 +86,61 @@ class Page:
             if text:
                 joined = " ".join(entities.unescape("".join(text)).split())
                 if joined:
-                    self.blocks.append((joined, stack[-1][1], linked))
+                    _, node, _, doubt = stack[-1]
+                    self.blocks.append((joined, node, linked))
+                    self._block_doubts.append(doubt)
                 text, linked = [], 0
 
-        def shown() -> bool:
-            state = stack[-1][2]
-            return not state or (state == "h" and any(t in HEADINGS for t, _, _ in stack))
+        def kind(tag: str) -> str | None:
+            return "link" if tag == "a" else "heading" if tag in HEADINGS else "article" if tag in ("article", "main") else None
 
         def close(to: int) -> None:
-            nonlocal inside_link
-            if any(t in BLOCK for t, _, _ in stack[to:]):
+            if blocks_at and blocks_at[-1] >= to:
                 flush()
-            inside_link -= sum(t == "a" for t, _, _ in stack[to:])
+            for tag, *_ in stack[to:]:
+                places[tag].pop()
+                if (k := kind(tag)) is not None:
+                    open_of[k] -= 1
+            while blocks_at and blocks_at[-1] >= to:
+                blocks_at.pop()
             del stack[to:]
 
         def said(part: str) -> None:
             nonlocal linked
-            if part and shown():
+            state = stack[-1][2]
+            if part and (not state or (state == "h" and open_of["heading"])):
                 text.append(part)
-                if inside_link:
+                if open_of["link"]:
                     linked += len(part)
 
-        while at < len(source):
-            m = _TAG.search(source, at)
+        last = source.rfind(">") + 1  # no tag ends after it
+        while at < last:
+            m = _TAG.search(source, at, last)
             if not m:
-                said(source[at:])
                 break
             said(source[at : m.start()])
             at = m.end()
             tag = (m["name"] or m["name2"] or "").lower()
             if not tag:
+                if m[0].startswith("<!--") and not m[0].endswith("-->"):
+                    at = len(source)
                 continue
             if m["end"] or m["end2"]:
-                for i in range(len(stack) - 1, 0, -1):
-                    if stack[i][0] == tag:
-                        close(i)
-                        break
-                    if stack[i][0] in ("article", "body", "table", "td") and tag not in ("article", "body", "html", "table", "main"):
-                        break
-                else:
-                    if tag in BLOCK:
-                        flush()
+                own = places.get(tag)
+                wall = max((places[w][-1] for w in WALLS if places.get(w)), default=0)
+                if own and (own[-1] >= wall or tag in ("article", "body", "html", "table", "main")):
+                    close(own[-1])
+                elif not own and tag in BLOCK:
+                    flush()
                 continue
             if tag in RAW:
-                end = re.compile(rf"</{tag}\b[^>]*>", re.I).search(source, at)
-                at = end.end() if end else (len(source) if tag not in ("title", "noscript") else at)
+                end = None if tag in ended else re.compile(rf"</{tag}\b[^>]*>", re.I).search(source, at)
+                if end:
+                    at = end.end()
+                elif tag not in ("title", "noscript"):
+                    at = len(source)
+                else:
+                    ended.add(tag)
                 continue
             if tag == "br":
                 said(" ")
@@ -121,47 +151,71 @@ class Page:
                 continue
             if tag in BLOCK:
                 flush()
-                for i in range(len(stack) - 1, 0, -1):  # what this start tag ends by itself
-                    open_ = stack[i][0]
-                    if open_ == "p" or (open_ == tag and tag in ("li", "dd", "dt", "tr", "td", "th", "option")):
-                        close(i)
-                        break
-                    if open_ in BLOCK:
-                        break
-            attrs = m["attrs"] or m["attrs2"] or ""
-            marks: list[str] = []
-            classes = ""
-            hidden = False
-            if attrs:
-                for name, *values in _ATTR.findall(attrs):
-                    value, name = next((v for v in values if v), ""), name.lower()
-                    if name in ("class", "id", "role"):
-                        marks += _WORD.findall(value.lower())
-                        if name == "class":
-                            classes = re.sub(r"\d+", "#", ".".join(sorted(value.lower().split())))
-                    elif name == "style":
-                        hidden |= "display:none" in value.replace(" ", "").lower()
-                    elif name == "hidden" or value == "true":
-                        hidden = True
-            state = stack[-1][2]
-            within = any(t in ("article", "main") for t, _, _ in stack)
-            if state != "x":
-                noisy = tag not in ("html", "body", "main") and any(w in NOISE for w in marks)
-                if hidden or tag in GONE or (noisy and "header" not in marks):
-                    state = "x"
-                elif tag == "header" or (noisy and "header" in marks):
-                    state = "h" if within else "x"
-            node = stack[-1][1]
-            if tag in BLOCK:
-                self.parents.append(node)
-                self.tags.append(tag)
-                self.steps.append(f"{tag}.{classes}" if classes else tag)
-                self.likely.append(tag in ("article", "main") or any(w in LIKELY for w in marks))
-                node = len(self.parents) - 1
-            stack.append((tag, node, state))
-            inside_link += tag == "a"
+                if blocks_at:  # what this start tag ends by itself
+                    open_ = stack[blocks_at[-1]][0]
+                    if open_ == "p" or (open_ == tag and tag in ALONE):
+                        close(blocks_at[-1])
+            self._open(stack, places, blocks_at, open_of, kind(tag), tag, m["attrs"] or m["attrs2"] or "")
+        tail = source[at:]
+        said(tail[: tail.find("<!--")] if "<!--" in tail else tail)
         flush()
 
+    def _open(self, stack: list, places: dict, blocks_at: list, open_of: dict, kind: str | None, tag: str, attrs: str) -> None:
+        """Put a start tag on the stack, with its state, and with a container if it is a block."""
+        marks: list[str] = []
+        classes = ""
+        hidden = False
+        for name, *values in _ATTR.findall(attrs) if attrs else ():
+            value, name = next((v for v in values if v), ""), name.lower()
+            if name in ("class", "id", "role"):
+                marks += _WORD.findall(value.lower())
+                if name == "class":
+                    classes = re.sub(r"\d+", "#", ".".join(sorted(value.lower().split()))).replace("/", "|")
+            elif name == "style":
+                hidden |= "display:none" in value.replace(" ", "").lower()
+            elif name == "hidden" or value == "true":
+                hidden = True
+        _, node, state, doubt = stack[-1]
+        block = tag in BLOCK
+        if state != "x":
+            names = READERS if tag in ("article", "main") else () if tag in ("html", "body") else NOISE
+            if hidden or tag in GONE or any(w in names for w in marks):
+                state = "x"
+            elif tag == "header" or (block and names is NOISE and "header" in marks and open_of["article"]):
+                state = "h" if open_of["article"] else "x"
+            elif block and names is NOISE and any(w in DOUBTFUL for w in marks):
+                self._doubts.append((doubt, 0))
+                doubt = len(self._doubts) - 1
+        if block:
+            step = f"{tag}.{classes}" if classes else tag
+            self.paths.append(self._path_numbers.setdefault((self.paths[node], step), len(self._path_numbers) + 1))
+            self.parents.append(node)
+            self.tags.append(tag)
+            self.steps.append(step)
+            above = self.holders[node]
+            own = tag == "article" or (tag in HOLDERS and self.tags[above] not in ("article", "main"))
+            self.holders.append(len(self.parents) - 1 if own else above)
+            self.likely.append(tag in ("article", "main") or any(w in LIKELY for w in marks))
+            node = len(self.parents) - 1
+            blocks_at.append(len(stack))
+        places.setdefault(tag, []).append(len(stack))
+        stack.append((tag, node, state, doubt))
+        if kind is not None:
+            open_of[kind] += 1
+
+    def _settle(self) -> None:
+        """Leave out the blocks of doubtful containers that hold less than half of the page's text."""
+        sizes = [0] * len(self._doubts)
+        for (text, _, _), doubt in zip(self.blocks, self._block_doubts, strict=True):
+            sizes[doubt] += len(text)
+        total = sum(sizes)
+        for k in range(len(sizes) - 1, 0, -1):  # inner ones come later
+            sizes[self._doubts[k][0]] += sizes[k]
+        gone = [False] * len(sizes)
+        for k in range(1, len(sizes)):
+            gone[k] = gone[self._doubts[k][0]] or 2 * sizes[k] < total
+        self.blocks = [b for b, doubt in zip(self.blocks, self._block_doubts, strict=True) if not gone[doubt]]
+
     def path(self, node: int) -> str:
         steps = []
         while node > 0:
@@ -169,12 +223,24 @@ class Page:
             node = self.parents[node]
         return "/".join(reversed(steps))
 
+    def _on(self, path: str) -> set[int]:
+        """The containers on a path."""
+        number: int | None = 0
+        for step in path.split("/") if path else ():
+            number = self._path_numbers.get((number, step))
+            if number is None:
+                return set()
+        return {k for k, p in enumerate(self.paths) if p == number}
+
     def scores(self) -> dict[int, float]:
-        """Score of each container: the unlinked text of blocks in it, less for each level above."""
+        """Score of each container: the unlinked text of blocks in it, less for each level above.
+
+        Text counts for the article around it, or for ``main``, or for the nearest container that may hold a whole text.
+        """
         found: dict[int, float] = {}
         for text, node, linked in self.blocks:
             worth = max(0.0, len(text) - 2.0 * linked)
-            node = self.parents[node] if self.tags[node] not in ("article", "main", "body", "section", "div", "td", "") else node
+            node = self.holders[node]
             for share in (1.0, 0.5, 0.25):
                 if node < 0:
                     break
@@ -190,9 +256,7 @@ class Page:
 
     def text(self, path: str | None) -> str:
         """Blocks under the containers on ``path``, or under the page's own best one."""
-        roots = {k for k in range(len(self.parents)) if path is not None and self.path(k) == path} if path else set()
-        if path == "":
-            roots = {0}
+        roots = self._on(path) if path is not None else set()
         if not roots:
             own = self.best(1)
             roots = {own[0][0]} if own else {0}

@@ -1,4 +1,5 @@
 import hashlib
+import html as html_entities
 import random
 
 import pytest
@@ -81,3 +82,71 @@ def test_tree(text_of):
     lines = text.split("\n")
     cut = merkle.trees(["\n".join(lines[:20] + ["new line here"] + lines[20:])])[0]
     assert merkle.likeness(a, cut) > 0.9
+
+
+@pytest.mark.parametrize(
+    ("source", "text"),
+    [
+        ('<article class="share story"><p>kept</p></article>', "kept"),
+        ('<div class="notice-board"><p>the whole text</p></div>', "the whole text"),
+        ('<div class="text-widget"><p>abc</p></div>', "abc"),
+        ("<article><p>a <label>lab</label> <math><mi>x</mi></math></p></article>", "a lab x"),
+        ('<article><p>long text that is the article</p><div class="share">share me</div></article>', "long text that is the article"),
+        ('<article><p>one</p></article><article class="comment"><p>a reader says more than one</p></article>', "one"),
+        ("<p>text <!-- never closed", "text"),
+        ("a < b <a", "a < b"),
+    ],
+)
+def test_class_words_and_inline_elements(source, text):
+    assert htmltext.Page(source).text(None) == text
+
+
+def random_page(rng):
+    """A page and its main text, built side by side."""
+    word = lambda: rng.choice(["alpha", "beta", "gamma", "d&amp;d", "caf&eacute;", "x&lt;y", "z"])
+    read = lambda x: html_entities.unescape(x)
+    blocks = []
+
+    def paragraph():
+        words = [word() for _ in range(rng.randint(4, 12))]
+        inline = [f"<{t}>{w}</{t}>" if (t := rng.choice(["", "", "b", "i", "a", "span class=share", "label"])) and " " not in t else w for w in words]
+        blocks.append(read(" ".join(words)))
+        return f"<p>{rng.choice([' ', '  ', chr(10)]).join(inline)}" + rng.choice(["</p>", ""])
+
+    body = ""
+    for _ in range(rng.randint(2, 6)):
+        move = rng.randrange(4)
+        if move == 0:
+            w = word()
+            blocks.append(read(w))
+            body += f"<h2>{w}</h2>"
+        elif move == 1:
+            items = [word() for _ in range(3)]
+            blocks.extend(map(read, items))
+            body += "<ul>" + "".join(f"<li>{w}" for w in items) + "</ul>"
+        else:
+            body += paragraph()
+        body += rng.choice(["", "", "<script>if (a < b) '<p>'</script>", "<aside>side</aside>", '<div class="ad">buy</div>', "<form>your name<input></form>", "<!-- <p>no</p> -->", '<div class="comments"><p>reader text here</p></div>'])
+    before = rng.choice(["", "<nav><ul><li>menu</ul></nav>", "<header><h1>Site</h1></header>", '<div id="cookie-notice">we use cookies</div>'])
+    after = rng.choice(["", "<footer>&copy; x</footer>", '<div class="sidebar"><p>more</p></div>'])
+    return f"<html><head><title>t</title></head><body>{before}<article>{body}</article>{after}</body></html>", "\n".join(blocks)
+
+
+def test_extraction_against_pages_built_with_their_text(spark):
+    rng = random.Random(12)
+    made = [random_page(rng) for _ in range(300)]
+    df = spark.createDataFrame([(i, f"http://h{i % 7}.example/", source) for i, (source, _) in enumerate(made)], "page_id long, url string, html string")
+    got = {r.page_id: r.text for r in htmltext.extract(df).collect()}
+    for i, (source, text) in enumerate(made):
+        assert htmltext.Page(source).text(None) == text, source
+        assert got[i] == text, source
+
+
+@pytest.mark.parametrize("source", ["<div>" * 100_000 + "deep", "<b>" * 50_000 + "<div>x</div>" * 50_000, "<td>" + "<b></div>" * 100_000, "<title>" * 100_000 + '<a "' * 100_000, '<div class="notice">' * 50_000 + "deep"])
+def test_pages_are_read_in_linear_time(source):
+    import time
+
+    began = time.process_time()
+    page = htmltext.Page(source)
+    page.text(page.path(page.best(1)[0][0]) if page.best(1) else None)
+    assert time.process_time() - began < 6
