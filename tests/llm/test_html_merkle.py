@@ -150,3 +150,80 @@ def test_pages_are_read_in_linear_time(source):
     page = htmltext.Page(source)
     page.text(page.path(page.best(1)[0][0]) if page.best(1) else None)
     assert time.process_time() - began < 6
+
+
+def flat_likeness(a, b):
+    """Dice share of the leaves, without the tree."""
+    from collections import Counter
+
+    if a.root == b.root:
+        return 1.0
+    x, y = Counter(a.leaves.tolist()), Counter(b.leaves.tolist())
+    n = sum(x.values()) + sum(y.values())
+    return min(2 * sum((x & y).values()) / n, 1 - 1 / (n + 1)) if n else 0.0
+
+
+def naive_branches(a, b):
+    """(section, paragraph) of a that b lacks: a paragraph is spare if no free one of b's unmatched sections is like it."""
+    from collections import Counter
+
+    def sections(t):
+        out, at = [], 0
+        for h, n in t.sections.tolist():
+            out.append((h, [(k, t.paragraphs["hash"][k]) for k in range(at, at + n)]))
+            at += n
+        return out
+
+    sa, sb = sections(a), sections(b)
+    free = Counter(h for h, _ in sb)
+    mine = []
+    for i, (h, inside) in enumerate(sa):
+        if free[h]:
+            free[h] -= 1
+        else:
+            mine += [(i, k, p) for k, p in inside]
+    taken = Counter(h for h, _ in sa)
+    theirs = Counter()
+    for h, inside in sb:
+        if taken[h]:
+            taken[h] -= 1
+        else:
+            theirs.update(p for _, p in inside)
+    out = []
+    for i, k, p in mine:
+        if theirs[p]:
+            theirs[p] -= 1
+        else:
+            out.append((i, k))
+    return out if a.root != b.root else []
+
+
+def test_descent_is_the_naive_comparison(spark, text_of):
+    rng = random.Random(3)
+    rows = [(i, text_of(rng.randint(1, 300))) for i in range(60)]
+    rows += [(100 + i, t.replace("\n", " ", 2)) for i, (_, t) in enumerate(rows[:20])] + [(200, ""), (201, None)]
+    got = {r.doc_id: r for r in merkle.edited_fingerprints(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    order = sorted(rows, reverse=True)
+    for (k, t), (_, follower) in zip(order, order[1:] + order[:1]):
+        t, follower = t or "", follower or ""
+        third = len(t) // 3
+        a, b, c = (merkle.trees([x])[0] for x in (t, t[: len(t) - third] + follower[:third], follower))
+        assert got[k].near_edited == flat_likeness(a, b) and got[k].near_next == flat_likeness(a, c)
+        assert [tuple(x) for x in got[k].differs] == naive_branches(a, b)
+        assert got[k].fingerprint == a.text() and merkle.parse(got[k].fingerprint).text() == a.text()
+
+
+def test_hot_keys_are_several_ranges(spark):
+    rows = [(None, f"n {i}") for i in range(600)] + [(7, f"s {i}") for i in range(600)] + [(i, f"o {i}") for i in range(10, 40)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    merkle.RANGE_ROWS, old = 100, merkle.RANGE_ROWS
+    lean = df.withColumn("key", F.coalesce("doc_id", F.lit(-(1 << 63)))).withColumn("tie", F.xxhash64("text"))
+    dealt, parts = merkle._ranges(lean)
+    sizes = [r["count"] for r in dealt.where("guest = 0").groupBy("part").count().collect()]
+    got = merkle.edited_fingerprints(df).collect()
+    merkle.RANGE_ROWS = old
+    assert sum(sizes) == len(rows) and max(sizes) < 300 and dealt.agg(F.max("part")).collect()[0][0] < parts
+    tie = {r.text: r.tie for r in lean.collect()}
+    order = sorted(rows, key=lambda r: (-(2**63) if r[0] is None else r[0], tie[r[1]]), reverse=True)
+    want = sorted(hashlib.sha256((t[: len(t) - len(t) // 3] + f[: len(t) // 3]).encode()).hexdigest() for (_, t), (_, f) in zip(order, order[1:] + order[:1]))
+    assert sorted(r.edited_sha256 for r in got) == want
