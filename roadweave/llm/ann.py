@@ -10,7 +10,9 @@ visits is measured, not guessed: a bounded sample of queries is compared with a
 over all rows, and the smallest number of probes that reaches the wanted recall is taken. Where K
 directions have no such number, K is lowered; where no K has one, all queries are searched exactly.
 The sample's recall is measured again on the result, and less than ``LEAST`` of it is an error.
-Vectors travel in blocks of one bucket, queries in groups; a bucket of any size is many blocks.
+Vectors travel in blocks of one bucket, queries in groups. Blocks and groups are dealt as pairs, by all
+that names a pair, so a bucket of any size is the work of many tasks; that a bucket is large is known
+by a join on salted keys, which no bucket fills one task of.
 """
 
 from __future__ import annotations
@@ -18,7 +20,6 @@ from __future__ import annotations
 import math
 from collections.abc import Iterator
 from dataclasses import dataclass
-from functools import reduce
 from itertools import product
 
 import numpy as np
@@ -38,8 +39,10 @@ MEASURED = 64
 #: Recall that the measured queries must reach (0.9 is asked for).
 RECALL = 0.96
 LEAST = 0.9
-#: Queries of a pass over all rows where nothing but an exact search will do.
+#: Queries that are sent to all rows at once where nothing but an exact search will do; more of them are dealt in pairs of blocks too.
 EXACT = 4096
+#: Tasks that a large bucket is dealt to at least, before it is blocks.
+SALTS = 64
 WIDTH = 1.6
 
 
@@ -193,13 +196,70 @@ def fitted(dimension: int, most: int, scale: float, tables: int, seed: int, own:
     return None
 
 
-def _exact(base: DataFrame, asked: DataFrame, k: int) -> DataFrame | None:
-    """The exact nearest of all ``asked``, in bounded slices; None if there are none."""
-    slices, parts = math.ceil(asked.count() / EXACT), []
-    for s in range(slices):
-        part = asked.where(F.pmod(F.xxhash64("id"), F.lit(slices)) == s).collect()
-        parts.append(stored(brute_force(base, [(r["id"], r["v"]) for r in part], k), "ann-exact"))
-    return reduce(DataFrame.unionByName, parts) if parts else None
+_KEY = ["tab", "code"]
+
+
+def _blocks(spread: DataFrame, counts: DataFrame) -> DataFrame:
+    """tab, code, block, rows: the rows (tab, code, id, v) in blocks of about BLOCK by hash of the id."""
+    large = counts.where(F.col("m") > BLOCK).select(*_KEY, "m", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))).alias("salt"))
+    salted = spread.withColumn("salt", F.pmod(F.xxhash64(F.lit("salt"), "id"), F.lit(SALTS)))
+    block = F.pmod(F.xxhash64("id"), F.ceil(F.coalesce("m", F.lit(1)) / BLOCK)).alias("block")
+    dealt = salted.join(large, [*_KEY, "salt"], "left").select(*_KEY, block, "id", "v")
+    return stored(dealt.groupBy(*_KEY, "block").agg(F.collect_list(F.struct("id", "v")).alias("rows")), "ann-blocks")
+
+
+def _groups(wanted: DataFrame, asked: DataFrame, groups: int) -> DataFrame:
+    """tab, code, m, g, asks: the queries (id) that want a bucket of ``m`` rows, with their vectors, in groups."""
+    g = F.pmod(F.xxhash64(F.lit("group"), "id"), F.lit(groups)).alias("g")
+    full = wanted.join(asked, "id").select(*_KEY, "m", g, "id", "v")
+    return stored(full.groupBy(*_KEY, "m", "g").agg(F.collect_list(F.struct("id", "v")).alias("asks")), "ann-groups")
+
+
+def _met(blocks: DataFrame, groups: DataFrame) -> DataFrame:
+    """rows, asks of each block and group of one bucket: small keys are paired first, vectors then follow them."""
+    salts = F.sequence(F.lit(0).cast("long"), F.least(F.lit(SALTS).cast("long"), F.ceil(F.col("m") / BLOCK)) - 1)
+    names = groups.select(*_KEY, "g", F.explode(salts).alias("salt"))
+    pairs = blocks.select(*_KEY, "block", F.pmod("block", F.lit(SALTS)).alias("salt")).join(names, [*_KEY, "salt"]).select(*_KEY, "block", "g")
+    pairs = stored(pairs, "ann-pairs")
+    left = pairs.join(blocks, [*_KEY, "block"])
+    right = pairs.join(groups.drop("m"), [*_KEY, "g"])
+    return left.join(right, [*_KEY, "block", "g"]).select("rows", "asks")
+
+
+def _ranked(met: DataFrame, dimension: int, k: int) -> DataFrame:
+    """The ``k`` nearest of each query among the rows it met, exactly."""
+
+    def rank(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        best = _Best(k)
+        for batch in batches:
+            for rows, asks in zip(batch.column(0), batch.column(1), strict=True):
+                rows, asks = rows.values, asks.values
+                x, q = _matrix(rows.field("v"), dimension), _matrix(asks.field("v"), dimension)
+                for got in _nearest(asks.field("id").to_numpy(), q, rows.field("id").to_numpy(), x, k):
+                    best.add(*got)
+                if len(best.found) > 50_000:
+                    yield pa.RecordBatch.from_pandas(best.frame(), preserve_index=False)
+        yield pa.RecordBatch.from_pandas(best.frame(), preserve_index=False)
+
+    return _top(met.mapInArrow(rank, _FOUND), k)
+
+
+def _exact(base: DataFrame, asked: DataFrame, k: int, dimension: int) -> DataFrame | None:
+    """The exact nearest of all ``asked``; None if there are none.
+
+    Up to EXACT queries go to all rows in one pass. More are one bucket of all rows: blocks of rows
+    and groups of queries in pairs.
+    """
+    n = asked.count()
+    if n == 0:
+        return None
+    if n <= EXACT:
+        return stored(brute_force(base, [(r["id"], r["v"]) for r in asked.collect()], k), "ann-exact")
+    one = [F.lit(0).alias("tab"), F.lit(0).cast("long").alias("code")]
+    counts = base.agg(F.count(F.lit(1)).alias("m")).select(*one, "m")
+    wanted = asked.select(*one, F.lit(base.count()).cast("long").alias("m"), "id")
+    met = _met(_blocks(base.select(*one, "id", "v"), counts), _groups(wanted, asked, math.ceil(n / GROUP)))
+    return stored(_ranked(met, dimension, k), "ann-exact")
 
 
 def _check_recall(got: DataFrame, truth: DataFrame) -> None:
@@ -241,7 +301,7 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 10, recall: float =
     hits = truth.join(base.select(F.col("id").alias("vec_id"), "v"), "vec_id").select("query_id", "v").collect()  # MEASURED * k rows
     fit = fitted(dimension, functions, scale, tables, seed, {i: np.array(v) for i, v in sample}, [(r["query_id"], np.array(r["v"])) for r in hits], recall)
     if fit is None:
-        return _exact(base, asked, k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
+        return _exact(base, asked, k, dimension).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
     hashes, probes = fit
     shared = spark.sparkContext.broadcast(hashes)
 
@@ -263,35 +323,17 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 10, recall: float =
                         table.append(np.full(len(c), t))
                         code.append(c)
                 who = np.concatenate(who)
-                yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(who)), part.column(1).take(pa.array(who)), pa.array(np.concatenate(table).astype(np.int32)), pa.array(np.concatenate(code))], ["id", "v", "tab", "code"])
+                yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(who)), pa.array(np.concatenate(table).astype(np.int32)), pa.array(np.concatenate(code))], ["id", "tab", "code"])
 
     indexed = base.mapInArrow(placed, "id long, v array<double>, codes array<long>")
-    spread = indexed.select("id", "v", F.posexplode("codes").alias("tab", "code"))
-    # Blocks of a bucket: by hash of the id, as many as its share of the rows asks for.
-    counts = stored(spread.groupBy("tab", "code").agg(F.count(F.lit(1)).alias("m")), "ann-buckets")
-    block = F.pmod(F.xxhash64("id"), F.ceil(F.col("m") / BLOCK)).cast("int").alias("block")
-    blocks = spread.join(counts, ["tab", "code"]).select("tab", "code", block, "id", "v").groupBy("tab", "code", "block").agg(F.collect_list(F.struct("id", "v")).alias("rows"))
-    groups = max(1, math.ceil(asking / GROUP))
-    wanted = asked.mapInArrow(probed, "id long, v array<double>, tab int, code long").join(counts.select("tab", "code"), ["tab", "code"])
-    wanted = wanted.groupBy("tab", "code", F.pmod(F.xxhash64("id"), F.lit(groups)).alias("g")).agg(F.collect_list(F.struct("id", "v")).alias("asks"))
-    met = blocks.join(wanted, ["tab", "code"]).select("rows", "asks")
-
-    def rank(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        best = _Best(k)
-        for batch in batches:
-            for rows, asks in zip(batch.column(0), batch.column(1), strict=True):
-                rows, asks = rows.values, asks.values
-                x, q = _matrix(rows.field("v"), dimension), _matrix(asks.field("v"), dimension)
-                for got in _nearest(asks.field("id").to_numpy(), q, rows.field("id").to_numpy(), x, k):
-                    best.add(*got)
-                if len(best.found) > 50_000:
-                    yield pa.RecordBatch.from_pandas(best.frame(), preserve_index=False)
-        yield pa.RecordBatch.from_pandas(best.frame(), preserve_index=False)
-
-    got = stored(_top(met.mapInArrow(rank, _FOUND), k), "ann-found")
+    spread = indexed.select("id", "v", F.posexplode("codes").alias(*_KEY))
+    counts = stored(spread.groupBy(*_KEY).agg(F.count(F.lit(1)).alias("m")), "ann-buckets")
+    wanted = asked.mapInArrow(probed, "id long, tab int, code long").join(counts, _KEY)  # ids alone: no vector meets a bucket before it is blocks
+    met = _met(_blocks(spread, counts), _groups(wanted, asked, max(1, math.ceil(asking / GROUP))))
+    got = stored(_ranked(met, dimension, k), "ann-found")
     few = asked.join(got.where(F.col("rank") == min(k, max(1, n - 1))).select(F.col("query_id").alias("id")), "id", "left_anti")
     few = stored(few, "ann-few")
-    again = _exact(base, few, k)  # none or few as a rule
+    again = _exact(base, few, k, dimension)  # none or few as a rule
     if again is not None:
         got = got.join(again.select("query_id").distinct(), "query_id", "left_anti").unionByName(again)
     _check_recall(got, truth)

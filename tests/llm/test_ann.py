@@ -90,3 +90,38 @@ def test_low_recall_is_an_error(spark):
     ann._check_recall(truth, truth)
     with pytest.raises(RuntimeError):
         ann._check_recall(truth.where("vec_id = 2"), truth)
+
+
+def test_a_hot_bucket_is_many_tasks(spark, monkeypatch):
+    """A third of all rows is one vector's neighbourhood: its blocks and groups are dealt as pairs."""
+    monkeypatch.setattr(ann, "BLOCK", 64)
+    monkeypatch.setattr(ann, "GROUP", 4)
+    rng = np.random.default_rng(4)
+    x = rng.standard_normal((3000, 8)) * 5
+    x[:1000] = x[0] + rng.standard_normal((1000, 8)) * 1e-3
+    spread = spark.createDataFrame([(0, 5 if i < 1000 else 6 + i, i, row.tolist()) for i, row in enumerate(x)], "tab int, code long, id long, v array<double>")
+    counts = spread.groupBy("tab", "code").count().withColumnRenamed("count", "m")
+    blocks = ann._blocks(spread, counts)
+    sizes = [r[0] for r in blocks.where("code = 5").select(F.size("rows")).collect()]
+    assert sum(sizes) == 1000 and max(sizes) < 3 * 64 and blocks.select(F.sum(F.size("rows"))).collect()[0][0] == 3000
+    asked = spread.where("id % 100 = 0").select("id", "v")
+    wanted = asked.select(F.lit(0).alias("tab"), F.lit(5).cast("long").alias("code"), F.lit(1000).cast("long").alias("m"), "id")
+    groups = ann._groups(wanted, asked, 8)
+    met = ann._met(blocks, groups)
+    assert met.count() == len(sizes) * groups.count()
+    got = {}
+    for r in ann._ranked(met, 8, 10).collect():
+        got.setdefault(r.query_id, {})[r["rank"]] = r.vec_id
+    ids = np.arange(1000)
+    assert got == {q: {n + 1: v for n, (v, _) in enumerate(exact(ids, x[:1000], q, x[q], 10))} for q in range(0, 3000, 100)}
+
+
+def test_many_exact_queries_are_pairs(spark, monkeypatch):
+    monkeypatch.setattr(ann, "EXACT", 3)
+    monkeypatch.setattr(ann, "BLOCK", 50)
+    monkeypatch.setattr(ann, "GROUP", 4)
+    x = np.random.default_rng(5).standard_normal((400, 6))
+    base = spark.createDataFrame([(i, row.tolist()) for i, row in enumerate(x)], "id long, v array<double>")
+    rows = ann._exact(base, base.where("id % 20 = 0"), 7, 6).collect()
+    assert {(r.query_id, r["rank"], r.vec_id) for r in rows} == {(q, n + 1, v) for q in range(0, 400, 20) for n, (v, _) in enumerate(exact(np.arange(400), x, q, x[q], 7))}
+    assert ann._exact(base, base.limit(0), 7, 6) is None
