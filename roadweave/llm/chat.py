@@ -1,7 +1,7 @@
 """Chat formatting with shared prefixes.
 
-Conversations are sorted by the chained hashes of their turns, so those that share initial turns are
-neighbours. A task walks its range of them as a depth-first traversal of their prefix tree and
+Conversations are sorted by the hashes of their turns, first turn first, so those that share initial
+turns are neighbours. A task walks its range of them as a depth-first traversal of their prefix tree and
 writes each turn's tokens once; position ids count along the path from the root, and each turn has
 the token intervals of its ancestors, which with its own earlier tokens are all it may attend to.
 A range never depends on one turn: equal prefixes are cut by conversation, and a sequence ends at a
@@ -99,13 +99,14 @@ class _Sequence:
             head, body, end = (encode(x) for x in format_turn(role, text))
             start, parent = len(self.ids), self.path[-1] if self.path else -1
             self.ids += [*head, *body, *end]
-            sees = [{"start": self.turns[k]["start"], "end": self.turns[k]["end"]} for k in self.path]
             merged: list[dict] = []
-            for s in sees:
-                if merged and merged[-1]["end"] == s["start"]:
-                    merged[-1]["end"] = s["end"]
+            if parent >= 0:  # what the parent sees, and the parent
+                above = self.turns[parent]
+                merged = list(above["sees"])
+                if merged and merged[-1]["end"] == above["start"]:
+                    merged[-1] = {"start": merged[-1]["start"], "end": above["end"]}
                 else:
-                    merged.append(dict(s))
+                    merged.append({"start": above["start"], "end": above["end"]})
             loss = (start + len(head), start + len(head) + len(body)) if role == "assistant" else (start, start)
             self.turns.append({"start": start, "end": len(self.ids), "parent": parent, "loss_start": loss[0], "loss_end": loss[1], "sees": merged})
             self.depths.append((self.depths[parent] if parent >= 0 else 0) + len(self.ids) - start)
@@ -135,8 +136,8 @@ def sequences(turns: DataFrame, vocabulary: str, pattern: str, max_tokens: int =
     )
     parts = partitions_for(spark, lean.count(), 20_000)
     conv = lean.groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", "role", "text"))).alias("said"))
-    chain = F.aggregate("said", F.array(F.lit(7).cast("long")), lambda acc, t: F.concat(acc, F.array(F.xxhash64(F.element_at(acc, -1), t["role"], t["text"]))))
-    dealt = conv.withColumn("chain", chain).repartitionByRange(parts, "chain", "conv_id").sortWithinPartitions("chain", "conv_id")
+    order = F.transform("said", lambda t: F.xxhash64(t["role"], t["text"]))
+    dealt = conv.withColumn("order", order).repartitionByRange(parts, "order", "conv_id").sortWithinPartitions("order", "conv_id")
 
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = _encoding(vocabulary, pattern).encode_ordinary

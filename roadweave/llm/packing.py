@@ -17,8 +17,9 @@ import json
 import re
 import zlib
 from array import array
-from bisect import bisect_right, insort
+from bisect import bisect_right
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -141,15 +142,17 @@ def tokenise(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end_id:
     """The pieces of each document: doc_id, piece, start, length, ids_crc32 and, if asked, ids.
 
     A null text counts as empty: one piece that holds only the end id. Repeated rows each give
-    their own pieces; other columns are ignored.
+    their own pieces; other columns are ignored. ``_rw_place`` numbers the rows of a task, so that
+    repeated rows can be told apart once the table is stored.
     """
-    schema = "doc_id long, piece int, start long, length long, ids_crc32 long" + (", ids array<int>" if with_ids else "")
+    schema = "doc_id long, piece int, start long, length long, ids_crc32 long, _rw_place int" + (", ids array<int>" if with_ids else "")
     end = np.asarray([end_id], "<u4").tobytes()
 
     def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tok = ChunkTokenizer.load(tokenizer)
+        place = 0
         for batch in batches:
-            rows: dict[str, list] = {k: [] for k in ("doc_id", "piece", "start", "length", "ids_crc32", "ids")}
+            rows: dict[str, list] = {k: [] for k in ("doc_id", "piece", "start", "length", "ids_crc32", "_rw_place", "ids")}
             for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
                 data = memoryview(tok.encode(text.as_py() or "") + end)
                 for i, (start, length) in enumerate(piece_bounds(len(data) // 4, capacity)):
@@ -159,10 +162,12 @@ def tokenise(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end_id:
                     rows["start"].append(start)
                     rows["length"].append(length)
                     rows["ids_crc32"].append(zlib.crc32(part))
+                    rows["_rw_place"].append(place & 0x7FFFFFFF)
+                    place += 1
                     if with_ids:
                         rows["ids"].append(np.frombuffer(part, "<u4").astype(np.int32))
-            types = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int32())]
-            keep = 6 if with_ids else 5
+            types = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.list_(pa.int32())]
+            keep = 7 if with_ids else 6
             yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in list(zip(rows.values(), types, strict=True))[:keep]], list(rows)[:keep])
 
     return docs.select("doc_id", "text").mapInArrow(pieces, schema)
@@ -236,59 +241,82 @@ def best_two_fit(counts: dict[int, int], capacity: int = CAPACITY) -> list[tuple
     return min(plans, key=lambda p: sum(times for times, _ in p))
 
 
-def _slots(patterns: list[tuple[int, list[int]]]) -> dict[int, list[tuple[int, int, int, int]]]:
-    """For each length the runs (first number, first sequence, places a bin, first offset's key)."""
-    runs: dict[int, list[tuple[int, int, int, list[int]]]] = {}
-    numbered: dict[int, int] = {}
-    sequence = 0
-    for times, bin_ in patterns:
-        places: dict[int, list[int]] = {}
-        at = 0
-        for length in bin_:
-            places.setdefault(length, []).append(at)
-            at += length
-        for length, offsets in places.items():
-            first = numbered.get(length, 0)
-            insort(runs.setdefault(length, []), (first, sequence, times, offsets))
-            numbered[length] = first + times * len(offsets)
-        sequence += times
-    return runs
+@dataclass
+class Slots:
+    """Where the pieces of each length go: runs of numbers, by length and first number."""
+
+    keys: np.ndarray
+    firsts: np.ndarray
+    sequences: np.ndarray
+    places: np.ndarray
+    begins: np.ndarray
+    offsets: np.ndarray
+
+    @classmethod
+    def of(cls, patterns: list[tuple[int, list[int]]]) -> "Slots":
+        runs: list[tuple[int, int, int, list[int]]] = []
+        numbered: dict[int, int] = {}
+        sequence = 0
+        for times, bin_ in patterns:
+            own: dict[int, list[int]] = {}
+            at = 0
+            for length in bin_:
+                own.setdefault(length, []).append(at)
+                at += length
+            for length, offsets in own.items():
+                first = numbered.get(length, 0)
+                runs.append((length, first, sequence, offsets))
+                numbered[length] = first + times * len(offsets)
+            sequence += times
+        runs.sort(key=lambda r: r[:2])
+        sizes = np.array([len(r[3]) for r in runs], np.int64)
+        columns = [np.array([r[i] for r in runs], np.int64) for i in range(3)]
+        flat = np.array([x for r in runs for x in r[3]], np.int64)
+        return cls(cls.key(columns[0], columns[1]), columns[1], columns[2], sizes, np.cumsum(sizes) - sizes, flat)
+
+    @staticmethod
+    def key(length: np.ndarray, number: np.ndarray) -> np.ndarray:
+        return (length << 44) + number
+
+    def find(self, length: np.ndarray, number: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Sequence and offset of the pieces with these numbers among those of their length."""
+        at = np.searchsorted(self.keys, self.key(length, number), side="right") - 1
+        rel = number - self.firsts[at]
+        return self.sequences[at] + rel // self.places[at], self.offsets[self.begins[at] + rel % self.places[at]]
 
 
 def pack(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
-    """``pieces`` (a stored table with doc_id, piece, length) plus sequence_id and offset.
+    """``pieces`` (a stored table with doc_id, piece, length and perhaps _rw_place) plus sequence_id and offset.
 
-    Pieces of one length are alike for packing. They are numbered by salt (a hash of the row),
-    then within it by doc_id, piece and the other columns; repeated rows take neighbouring numbers.
+    Pieces of one length are alike for packing. They are numbered by salt (a hash of the row and its
+    place in the table), then within it by doc_id, piece and the other columns, so neither a hot
+    length nor rows that repeat each other meet in one task.
     """
     spark = pieces.sparkSession
     n = pieces.count()
     salts = max(1, -(-n // 20_000))
-    columns = pieces.columns
-    salted = pieces.withColumn("_rw_salt", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(salts)).cast("int"))
+    columns = [c for c in pieces.columns if c != "_rw_place"]
+    own = [c for c in ("doc_id", "piece", "_rw_place") if c in pieces.columns]
+    salted = pieces.withColumn("_rw_salt", F.pmod(F.xxhash64(*own), F.lit(salts)).cast("int"))
     per = salted.groupBy("length", "_rw_salt").agg(F.count(F.lit(1)).alias("_rw_n"))
     per = per.withColumn("_rw_before", F.sum("_rw_n").over(Window.partitionBy("length").orderBy("_rw_salt").rowsBetween(Window.unboundedPreceding, -1)))
     per = stored(per, "pack-counts")
     # At most ``capacity`` rows reach the driver.
     counts = {int(r[0]): int(r[1]) for r in per.groupBy("length").agg(F.sum("_rw_n")).collect()}
-    runs = _slots(best_two_fit(counts, capacity))
-    flat = [(length, i, first, seq, len(offsets), offsets) for length, found in runs.items() for i, (first, seq, _, offsets) in enumerate(found)]
-    table = spark.createDataFrame(flat or [(0, 0, 0, 0, 1, [0])], "length long, _rw_run int, _rw_first long, _rw_seq long, _rw_places int, _rw_offsets array<int>")
-    slots = table.groupBy("length").agg(F.array_sort(F.collect_list(F.struct("_rw_first", "_rw_seq", "_rw_places", "_rw_offsets"))).alias("_rw_runs"))
-    ordered = Window.partitionBy("length", "_rw_salt").orderBy("doc_id", "piece", *[c for c in columns if c not in ("doc_id", "piece", "length", "ids")])
+    shared = spark.sparkContext.broadcast(Slots.of(best_two_fit(counts, capacity)))
+
+    @F.arrow_udf("struct<sequence_id: long, offset: long>")
+    def place(lengths: pa.Array, numbers: pa.Array) -> pa.Array:
+        found = shared.value.find(lengths.to_numpy(zero_copy_only=False).astype(np.int64), numbers.to_numpy(zero_copy_only=False).astype(np.int64))
+        return pa.StructArray.from_arrays([pa.array(x) for x in found], ["sequence_id", "offset"])
+
+    ordered = Window.partitionBy("length", "_rw_salt").orderBy(*own, *[c for c in columns if c not in (*own, "length", "ids")])
     joined = (
         salted.withColumn("_rw_no", F.row_number().over(ordered) - 1)
         .join(per.select("length", "_rw_salt", "_rw_before"), ["length", "_rw_salt"])
-        .join(F.broadcast(slots), "length")  # at most ``capacity`` rows
-        .withColumn("_rw_no", F.col("_rw_no") + F.coalesce("_rw_before", F.lit(0)))
-        .withColumn("_rw_at", F.expr("element_at(filter(_rw_runs, r -> r._rw_first <= _rw_no), -1)"))
-        .withColumn("_rw_rel", F.col("_rw_no") - F.col("_rw_at._rw_first"))
-    )
-    return joined.select(
-        *columns,
-        (F.col("_rw_at._rw_seq") + F.floor(F.col("_rw_rel") / F.col("_rw_at._rw_places"))).cast("long").alias("sequence_id"),
-        F.expr("element_at(_rw_at._rw_offsets, cast(_rw_rel % _rw_at._rw_places as int) + 1)").cast("long").alias("offset"),
+        .withColumn("_rw_at", place("length", F.col("_rw_no") + F.coalesce("_rw_before", F.lit(0))))
     )
+    return joined.select(*columns, "_rw_at.sequence_id", "_rw_at.offset")
 
 
 def pack_documents(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end_id: int = END_ID, with_ids: bool = False) -> DataFrame:

@@ -19,14 +19,22 @@ _INVERSE = np.uint64(pow(int(_BASE), -1, 1 << 64))
 _powers: dict[str, np.ndarray] = {"up": np.ones(1, np.uint64), "down": np.ones(1, np.uint64)}
 
 
+#: Powers that a worker keeps (16 bytes each); those of longer texts are made anew.
+KEPT = 1 << 22
+
+
 def _power_table(n: int) -> tuple[np.ndarray, np.ndarray]:
-    if len(_powers["up"]) <= n:
-        size = max(n + 1, 1 << 20)
-        for name, base in (("up", _BASE), ("down", _INVERSE)):
-            steps = np.full(size, base, np.uint64)
-            steps[0] = 1
-            _powers[name] = np.cumprod(steps, dtype=np.uint64)
-    return _powers["up"], _powers["down"]
+    if len(_powers["up"]) > n:
+        return _powers["up"], _powers["down"]
+    size = max(n + 1, 1 << 20)
+    made = {}
+    for name, base in (("up", _BASE), ("down", _INVERSE)):
+        steps = np.full(size, base, np.uint64)
+        steps[0] = 1
+        made[name] = np.cumprod(steps, dtype=np.uint64)
+    if size <= KEPT:
+        _powers.update(made)
+    return made["up"], made["down"]
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -58,6 +66,10 @@ class Chunk:
     def n(self) -> int:
         return self.hi - self.lo
 
+    @cached_property
+    def _down(self) -> np.ndarray:
+        return _power_table(len(self.buf))[1]
+
     @cached_property
     def prefix(self) -> np.ndarray:
         up, _ = _power_table(len(self.buf))
@@ -68,8 +80,7 @@ class Chunk:
 
     def hashes(self, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
         """Hash of each byte range; equal bytes have equal hashes wherever they stand."""
-        _, down = _power_table(len(self.buf))
-        raw = (self.prefix[ends] - self.prefix[starts]) * down[starts]
+        raw = (self.prefix[ends] - self.prefix[starts]) * self._down[starts]
         return mix(raw + (ends - starts).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
 
     @cached_property

@@ -71,3 +71,18 @@ def test_odd_rows(spark):
     assert got[2].loss_chars == 200_000 and got[-7].loss_chars == 21 and got[3].loss_chars == 0
     empty = spark.createDataFrame([], SCHEMA)
     assert chat.sequences(empty, VOCABULARY, PATTERN).count() == 0
+
+
+def test_long_conversations_are_linear(spark):
+    """20,000 turns in one conversation, and a fork after each of 300 turns."""
+    import time
+
+    rows = [(1, t, ("user", "assistant")[t % 2], f"turn {t}") for t in range(20_000)]
+    rows += [(100 + c, t, "user", f"shared {t}" if t < c else f"own {c}") for c in range(40) for t in range(c + 1)]
+    df = spark.createDataFrame(rows, SCHEMA)
+    began = time.time()
+    made = chat.sequences(df, VOCABULARY, PATTERN)
+    got = {r.conv_id: r for r in chat.digests(made, VOCABULARY, PATTERN).collect()}
+    assert time.time() - began < 40
+    for k, (n, turns, loss) in expected(rows).items():
+        assert (got[k].n_turns, got[k].turns_sha256, got[k].loss_chars) == (n, turns, len(loss))

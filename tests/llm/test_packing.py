@@ -74,3 +74,20 @@ def test_ids_come_back(spark):
     docs = spark.createDataFrame([(1, "hello world")], "doc_id long, text string")
     (row,) = packing.pack_documents(docs, PATH, with_ids=True).collect()
     assert Tokenizer.from_file(PATH).decode(row["ids"][:-1]) == "hello world" and row["ids"][-1] == 2
+
+
+def test_repeated_rows_of_one_id_are_many_tasks(spark):
+    """Rows alike in all columns: numbered apart by their places in the stored table."""
+    from pyspark.sql import functions as F
+
+    from roadweave.llm.common import stored
+
+    docs = spark.range(0, 60_000, 1, 4).select(F.lit(1).cast("long").alias("doc_id"), F.lit("one two three").alias("text"))
+    pieces = stored(packing.tokenise(docs, PATH), "same-pieces")
+    salts = pieces.groupBy(F.pmod(F.xxhash64("doc_id", "piece", "_rw_place"), F.lit(3))).count().collect()
+    assert len(salts) == 3 and max(r["count"] for r in salts) < 30_000
+    rows = packing.pack(pieces)
+    assert rows.columns == ["doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"]
+    assert rows.count() == 60_000 == rows.select("sequence_id", "offset").distinct().count()
+    ends = rows.groupBy("sequence_id").agg(F.sum("length").alias("s"), F.max(F.col("offset") + F.col("length")).alias("e"))
+    assert ends.where("s <> e or s > 1024").count() == 0
