@@ -20,12 +20,15 @@ import math
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import MapType
 
 from roadweave.llm.common import WORD_PATTERN, stored
 
 WEIGHTS = (5, 2, 1)
 MOST_COPIES = 3
 BLOCK = 256
+#: Equal rows that one task numbers or writes.
+REPEATS = 1024
 
 
 def word_count(text: Column) -> Column:
@@ -36,30 +39,30 @@ def word_count(text: Column) -> Column:
 def source_targets(sizes: DataFrame, weights: tuple[float, ...] = WEIGHTS, most: float = MOST_COPIES) -> DataFrame:
     """source, source_size, target: shares of all words by weight, none above ``most`` times its size.
 
-    Sources stand in code-point order, null last, and take the weights in turn. A source is full
-    where the level (words per unit of weight) passes most * size / weight; going through the
-    sources by that point, the first level that needs no more filling is the level of the rest.
-    The windows run over one row per source.
+    Sources stand in code-point order, null last, and take the weights in turn; they are numbered by
+    ranges of sources, so any number of them is many tasks. A source is full where the level (words
+    per unit of weight) passes most * size / weight; the level rises until no more source is full.
     """
+    order = F.col("source").asc_nulls_last()
     per = sizes.groupBy("source").agg(F.sum("size").alias("source_size"))
-    order = Window.orderBy(F.col("source").asc_nulls_last())
-    picked = F.element_at(F.array(*[F.lit(float(w)) for w in weights]), (F.pmod(F.row_number().over(order) - 1, F.lit(len(weights))) + 1).cast("int"))
-    full = Window.orderBy("_rw_full", "_rw_no").rowsBetween(Window.unboundedPreceding, -1)
-    whole = Window.orderBy("_rw_no").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    ranked = (
-        per.withColumn("_rw_weight", picked)
-        .withColumn("_rw_no", F.row_number().over(order))
-        .withColumn("_rw_full", F.lit(float(most)) * F.col("source_size") / F.col("_rw_weight"))
-        .withColumn("_rw_all", F.sum("source_size").over(whole).cast("double"))
-        .withColumn("_rw_weights", F.sum("_rw_weight").over(whole))
-        .withColumn("_rw_taken", F.coalesce(F.sum(F.lit(float(most)) * F.col("source_size")).over(full), F.lit(0.0)))
-        .withColumn("_rw_rest", F.col("_rw_weights") - F.coalesce(F.sum("_rw_weight").over(full), F.lit(0.0)))
-        .withColumn("_rw_level", F.try_divide(F.col("_rw_all") - F.col("_rw_taken"), F.col("_rw_rest")))
-        .withColumn("_rw_first", F.min(F.when(F.col("_rw_level") <= F.col("_rw_full"), F.struct("_rw_full", "_rw_no", "_rw_level"))).over(whole))
-    )
+    ranged = stored(per.repartitionByRange(order).withColumn("_rw_range", F.spark_partition_id()), "mix-sources")
+    before = Window.orderBy("_rw_range").rowsBetween(Window.unboundedPreceding, -1)  # one row a range
+    starts = ranged.groupBy("_rw_range").agg(F.count(F.lit(1)).alias("n")).select("_rw_range", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("_rw_before"))
+    number = F.row_number().over(Window.partitionBy("_rw_range").orderBy(order)) - 1 + F.col("_rw_before")
+    picked = F.element_at(F.array(*[F.lit(float(w)) for w in weights]), (F.pmod(number, F.lit(len(weights))) + 1).cast("int"))
     at_most = F.lit(float(most)) * F.col("source_size")
-    target = F.least(F.coalesce(F.col("_rw_first._rw_level") * F.col("_rw_weight"), at_most), at_most)
-    return ranked.select("source", "source_size", target.alias("target"))
+    weighted = stored(ranged.join(starts, "_rw_range").select("source", "source_size", picked.alias("_rw_weight")), "mix-weights")
+    level, full = 0.0, -1
+    while True:
+        is_full = at_most / F.col("_rw_weight") < F.lit(level)
+        sums = weighted.agg(
+            F.sum("source_size").alias("all"), F.sum(F.when(is_full, at_most)).alias("taken"), F.sum(F.when(~is_full, F.col("_rw_weight"))).alias("rest"), F.count(F.when(is_full, 1)).alias("full")
+        ).collect()[0]
+        if sums["full"] == full or not sums["rest"]:
+            break
+        full, level = sums["full"], (float(sums["all"] or 0) - (sums["taken"] or 0.0)) / sums["rest"]
+    level_target = F.lit(level) * F.col("_rw_weight") if sums["rest"] else at_most
+    return weighted.select("source", "source_size", F.least(level_target, at_most).alias("target"))
 
 
 def _unit(*parts: Column) -> Column:
@@ -96,30 +99,42 @@ def _fold(members: Column, seed: int) -> Column:
     return F.aggregate(F.slice(members, 2, 1 << 30), start, step)
 
 
+def _row_hash(docs: DataFrame) -> Column:
+    """A hash of all columns of a row (but maps, which have none); nulls count by their places."""
+    cols = [F.col(f"`{f.name}`") for f in docs.schema.fields if not isinstance(f.dataType, MapType)]
+    return F.xxhash64(*cols, F.concat(*[c.isNull().cast("string") for c in cols]))
+
+
 def copies(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, most: float = MOST_COPIES, seed: int = 8, block: int = BLOCK) -> DataFrame:
-    """doc_id, source, size, source_size, target, copies, dup of each row of ``docs`` (doc_id, text, source).
+    """doc_id, source, size, source_size, target, copies, dup, h of each row of ``docs`` (doc_id, text, source).
 
-    ``dup`` numbers rows of the same doc_id, source and size. Null and empty texts have size 0 and
-    no copies beyond the whole part of their source. Null ids and sources are values like others.
+    ``h`` is a hash of the whole row, ``dup`` numbers rows that are alike in every column: such rows
+    are counted, not gathered, so a row that very many repeat is no task of its own. Null and empty
+    texts have size 0 and no copies beyond the whole part of their source. Null ids and sources are
+    values like others. An empty table gives an empty result.
     """
-    sized = docs.select("doc_id", "source", word_count(F.col("text")).alias("size"))
-    same = Window.partitionBy("doc_id", "source", "size").orderBy(F.lit(1))
-    sized = stored(sized.withColumn("dup", F.row_number().over(same)), "mix-sizes")
-    targets = stored(source_targets(sized, weights, most), "mix-targets")
+    sized = docs.select("doc_id", "source", word_count(F.col("text")).alias("size"), _row_hash(docs).alias("h"))
+    once = stored(sized.groupBy("doc_id", "source", "size", "h").agg(F.count(F.lit(1)).alias("times")), "mix-sizes")
+    chunk = F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("times") - 1) / REPEATS))).alias("c")
+    many = once.where(F.col("times") > REPEATS).select("*", chunk).repartition("h", "c")
+    few = once.where(F.col("times") <= REPEATS).withColumn("c", F.lit(0).cast("long"))
+    last = F.least(F.col("times"), (F.col("c") + 1) * REPEATS)
+    sized = few.unionByName(many).select("doc_id", "source", "size", "h", F.explode(F.sequence(F.col("c") * REPEATS + 1, last)).alias("dup"))
+    targets = stored(source_targets(once.select("source", (F.col("size") * F.col("times")).alias("size")), weights, most), "mix-targets")
     per = targets.withColumn("_rw_ratio", F.coalesce(F.try_divide(F.col("target"), F.col("source_size").cast("double")), F.lit(0.0)))
     # One row per source: small, and joined by whatever plan its true size allows.
     rows = sized.join(per, sized["source"].eqNullSafe(per["source"])).select(sized["*"], "source_size", "target", "_rw_ratio")
     rows = rows.withColumn("_rw_whole", F.floor("_rw_ratio").cast("int")).withColumn("p", F.col("_rw_ratio") - F.col("_rw_whole"))
     fixed = (F.col("size") == 0) | (F.col("p") <= 0)
-    done = rows.where(fixed).select("doc_id", "source", "dup", "size", F.lit(0.0).alias("p"))
+    done = rows.where(fixed).select("doc_id", "h", "source", "dup", "size", F.lit(0.0).alias("p"))
 
     # Some small documents of each source wait for what the tree leaves over.
     facts = rows.where(~fixed).groupBy("source").agg(F.count(F.lit(1)).alias("n"), F.avg("size").alias("mean"))
     facts = stored(facts.withColumnRenamed("source", "_rw_source"), "mix-facts")
     most_rows = facts.agg(F.max("n")).collect()[0][0] or 0
-    small = (F.col("size") <= F.col("mean")) & (_unit(F.lit(seed), F.lit("reserve"), F.col("doc_id"), F.col("dup")) * F.col("n") < F.lit(float(block)))
+    small = (F.col("size") <= F.col("mean")) & (_unit(F.lit(seed), F.lit("reserve"), F.col("doc_id"), F.col("h"), F.col("dup")) * F.col("n") < F.lit(float(block)))
     open_ = rows.where(~fixed).join(facts, F.col("source").eqNullSafe(F.col("_rw_source")))
-    open_ = open_.select("source", F.col("doc_id").alias("key"), "dup", "size", "p", small.alias("_rw_small"))
+    open_ = open_.select("source", F.struct("doc_id", "h").alias("key"), "dup", "size", "p", small.alias("_rw_small"))
     reserve, level = open_.where("_rw_small").drop("_rw_small"), open_.where("not _rw_small").drop("_rw_small")
 
     def folded(members: DataFrame, by: list[str], stage: str) -> DataFrame:
@@ -128,12 +143,12 @@ def copies(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, most: float =
         return stored(gathered.select("source", _fold(inner, seed).alias("f")), stage)
 
     def decided(fold: DataFrame) -> DataFrame:
-        return fold.select("source", F.explode("f.done").alias("d")).select(F.col("d.key").alias("doc_id"), "source", "d.dup", "d.size", "d.p")
+        return fold.select("source", F.explode("f.done").alias("d")).select("d.key.doc_id", "d.key.h", "source", "d.dup", "d.size", "d.p")
 
     nearest = F.when(F.col("p") >= 0.5, 1.0).otherwise(0.0)
 
     def settled(last: DataFrame) -> DataFrame:
-        return last.select(F.col("key").alias("doc_id"), "source", "dup", "size", nearest.alias("p"))
+        return last.select("key.doc_id", "key.h", "source", "dup", "size", nearest.alias("p"))
 
     while most_rows > 0:
         blocks = max(1, math.ceil(most_rows / block))
@@ -154,16 +169,30 @@ def copies(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, most: float =
         fold = folded(moved, [], "mix-reserve")
         done = done.unionByName(decided(fold)).unionByName(settled(fold.select("source", "f.carry.key", "f.carry.dup", "f.carry.size", "f.carry.p")))
     joined = done.join(per.withColumnRenamed("source", "_rw_source"), F.col("source").eqNullSafe(F.col("_rw_source")))
-    return joined.select("doc_id", "source", "size", "source_size", "target", (F.floor("_rw_ratio") + F.col("p")).cast("int").alias("copies"), "dup")
+    return joined.select("doc_id", "source", "size", "source_size", "target", (F.floor("_rw_ratio") + F.col("p")).cast("int").alias("copies"), "dup", "h")
 
 
 def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, most: float = MOST_COPIES, seed: int = 8) -> DataFrame:
-    """The mixed documents: each row of ``docs``, with all its columns, as often as its copies say."""
-    taken = copies(docs, weights, most, seed)
-    names = docs.columns
-    same = Window.partitionBy("_rw_id", "_rw_source", "_rw_size").orderBy(F.lit(1))
-    keyed = docs.select("*", F.col("doc_id").alias("_rw_id"), F.col("source").alias("_rw_source"), word_count(F.col("text")).alias("_rw_size")).withColumn("_rw_dup", F.row_number().over(same))
-    taken = taken.select(F.col("doc_id").alias("_rw_k"), F.col("source").alias("_rw_s"), F.col("size").alias("_rw_z"), F.col("dup").alias("_rw_d"), F.col("copies").alias("_rw_copies"))
-    on = F.col("_rw_id").eqNullSafe(F.col("_rw_k")) & F.col("_rw_source").eqNullSafe(F.col("_rw_s")) & (F.col("_rw_size") == F.col("_rw_z")) & (F.col("_rw_dup") == F.col("_rw_d"))
-    repeated = keyed.join(taken, on).where("_rw_copies > 0").withColumn("_rw_copy", F.explode(F.sequence(F.lit(1), F.col("_rw_copies"))))
-    return repeated.select(*names)
+    """The mixed documents: each row of ``docs``, with all its columns, as often as its copies say.
+
+    Rows that are alike in every column are one row with all their copies. Texts are shuffled once.
+    """
+    key = ["_rw_h", "_rw_id", "_rw_source", "_rw_size"]
+    per = copies(docs, weights, most, seed).groupBy("h", "doc_id", "source", "size").agg(F.sum("copies").alias("_rw_copies"), F.count(F.lit(1)).alias("_rw_times"))
+    taken = stored(per.where("_rw_copies > 0").select(F.col("h").alias("_rw_k"), F.col("doc_id").alias("_rw_d"), F.col("source").alias("_rw_s"), F.col("size").alias("_rw_z"), "_rw_copies", "_rw_times"), "mix-taken")
+    names = [F.col(f"`{c}`") for c in docs.columns]
+    keyed = docs.select("*", _row_hash(docs).alias("_rw_h"), F.col("doc_id").alias("_rw_id"), F.col("source").alias("_rw_source"), word_count(F.col("text")).alias("_rw_size"))
+
+    def on(other: DataFrame) -> Column:
+        same = F.col("_rw_id").eqNullSafe(other["_rw_d"]) & F.col("_rw_source").eqNullSafe(other["_rw_s"])
+        return (F.col("_rw_h") == other["_rw_k"]) & (F.col("_rw_size") == other["_rw_z"]) & same
+
+    single, again = taken.where("_rw_times = 1"), taken.where("_rw_times > 1")
+    mixed = keyed.join(single, on(single)).withColumn("_rw_copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_rw_copies")))).select(*names)
+    if again.isEmpty():
+        return mixed
+    one = keyed.join(again, on(again)).dropDuplicates(key)
+    one = one.withColumn("_rw_c", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("_rw_copies") - 1) / REPEATS)))).repartition("_rw_h", "_rw_c")
+    last = F.least(F.col("_rw_copies"), (F.col("_rw_c") + 1) * REPEATS)
+    repeated = one.withColumn("_rw_copy", F.explode(F.sequence(F.col("_rw_c") * REPEATS + 1, last)))
+    return mixed.unionByName(repeated.select(*names))

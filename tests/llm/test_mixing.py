@@ -71,3 +71,58 @@ def test_odd_rows(spark, odd_docs, no_docs):
 def test_main_path_is_native(spark, odd_docs):
     plan = mixing.copies(odd_docs)._jdf.queryExecution().toString()
     assert "Python" not in plan and "Arrow" not in plan and "Pandas" not in plan
+
+
+def naive_fold(members, seed_of):
+    """The pairs in turn, as plain arithmetic: (carry, done)."""
+    carry, done = dict(members[0]), []
+    for m in members[1:]:
+        i, j = carry, dict(m)
+        fill_i, drain_j, drain_i, fill_j = (1 - i["p"]) * i["size"], j["p"] * j["size"], i["p"] * i["size"], (1 - j["p"]) * j["size"]
+        up, down = min(fill_i, drain_j), min(drain_i, fill_j)
+        before = i["p"] * i["size"] + j["p"] * j["size"]
+        if seed_of(i, j) * (up + down) < down:
+            i["p"], j["p"], i_done = (1.0, j["p"] - up / j["size"], True) if fill_i <= drain_j else (i["p"] + up / i["size"], 0.0, False)
+        else:
+            i["p"], j["p"], i_done = (0.0, j["p"] + down / j["size"], True) if drain_i <= fill_j else (i["p"] - down / i["size"], 1.0, False)
+        assert abs(i["p"] * i["size"] + j["p"] * j["size"] - before) < 1e-9
+        carry, gone = (j, i) if i_done else (i, j)
+        done.append(gone)
+    return carry, done
+
+
+def test_rounding_is_the_naive_one(spark):
+    """One block: the SQL fold against plain arithmetic with the same random numbers."""
+    members = [{"key": k, "dup": 1, "size": 3 + k % 7, "p": round(0.1 + 0.8 * ((k * 37) % 11) / 11, 3)} for k in range(40)]
+    df = spark.createDataFrame([(members,)], "m array<struct<key: long, dup: long, size: long, p: double>>")
+    got = df.select(mixing._fold(F.col("m"), 8).alias("f")).collect()[0].f
+    pairs = spark.createDataFrame([(a["key"], b["key"]) for a in members for b in members], "a long, b long")
+    unit = {(r.a, r.b): r.u for r in pairs.select("a", "b", mixing._unit(F.lit(8), F.col("a"), F.lit(1).cast("long"), F.col("b"), F.lit(1).cast("long")).alias("u")).collect()}
+    carry, done = naive_fold(members, lambda i, j: unit[i["key"], j["key"]])
+    assert (got.carry.key, round(got.carry.p, 9)) == (carry["key"], round(carry["p"], 9))
+    assert [(d.key, round(d.p, 9)) for d in got.done] == [(d["key"], round(d["p"], 9)) for d in done]
+    assert all(d.p in (0.0, 1.0) for d in got.done)
+
+
+def test_rows_that_repeat_are_counted(spark, monkeypatch):
+    """Rows alike in all columns, and rows of one id, source and size with other texts."""
+    monkeypatch.setattr(mixing, "REPEATS", 16)
+    same = [(1, "one two three", "a", "x")] * 100
+    other = [(2, f"word{i} two", "a", "x") for i in range(20)] + [(3, "b c d e", "b", None), (3, "b c d e", "b", "y"), (None, None, None, None), (None, None, None, None)]
+    docs = spark.createDataFrame(same + other, "doc_id long, text string, source string, extra string")
+    rows = mixing.copies(docs).collect()
+    assert len(rows) == len(same + other) and sorted(r["dup"] for r in rows if r.doc_id == 1) == list(range(1, 101))
+    mixed = mixing.mix(docs)
+    got = collections.Counter((r.doc_id, r.text, r.source, r.extra) for r in mixed.collect())
+    assert mixed.columns == docs.columns and sum(got.values()) == sum(r.copies for r in rows) and set(got) <= set(same + other)
+    assert got == collections.Counter((r.doc_id, r.text, r.source, r.extra) for r in mixing.mix(docs.repartition(5)).collect())
+    assert got[1, "one two three", "a", "x"] == sum(r.copies for r in rows if r.doc_id == 1)
+
+
+def test_many_sources_are_numbered_in_order(spark):
+    sizes = {f"s{i:04d}": 1 + (i * 7) % 50 for i in range(900)}
+    sizes[None] = 9
+    df = spark.createDataFrame(list(sizes.items()), "source string, size long")
+    got = {r.source: r.target for r in mixing.source_targets(df.repartition(9)).collect()}
+    expect = water(sizes)
+    assert all(abs(got[s] - expect[s]) < 1e-6 for s in sizes) and len(got) == len(sizes)
