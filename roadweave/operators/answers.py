@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 FOLDS = ("environment", "road_surface", "infrastructure")
+#: Levels of severity, the two tables of absence confidence, and the text of missing notes.
+SEVERITY = {"LOW": 1, "MEDIUM": 2, "HIGH": 3, "CRITICAL": 4}
+ABSENCE = {"Yes": 0.9, "Unclear": 0.5, "No": 0.1}
+ABSENCE_SHARP = {"Yes": 1.0, "Unclear": 0.5, "No": 0.0}
+NO_NOTES = "No additional notes provided."
 
 
 def _json(text: Column, schema: str) -> Column:
@@ -112,5 +117,47 @@ def telemetry_summary(parts: Sequence[tuple[str, Column, int]], skip_missing: bo
     return F.concat_ws(", ", *shown)
 
 
+def number_or(value: Column, otherwise: float) -> Column:
+    """A cell as a number; ``otherwise`` where it is blank, text or not a number."""
+    return F.coalesce(F.nanvl(F.trim(value.cast("string")).try_cast("double"), F.lit(None).cast("double")), F.lit(float(otherwise)))
+
+
+def reasoning_or_default(notes: Column) -> Column:
+    """Trimmed notes, or the fixed sentence where there are none."""
+    return F.coalesce(F.nullif(F.trim(notes), F.lit("")), F.lit(NO_NOTES))
+
+
+def prompt(template: str, values: dict[str, Column], most: int | None = None) -> Column:
+    """``template`` with each ``{name}`` replaced; missing values read NA; cut to ``most`` characters."""
+    out = F.lit(template)
+    for name, value in values.items():
+        out = F.replace(out, F.lit("{" + name + "}"), F.coalesce(value.cast("string"), F.lit("NA")))
+    return out if most is None else F.substring(out, 1, most)
+
+
+def audit_tables(predictions: DataFrame, rules: Mapping[str, str], absence: Mapping[str, float] = ABSENCE, severity: Mapping[str, int] = SEVERITY) -> dict[str, DataFrame]:
+    """verdicts, gold_verdicts, event_compliance, retrieval_results of parsed predictions.
+
+    ``predictions`` has event_id and for each rule of ``rules`` a struct <rule> (presence, severity,
+    cited_clause, reasoning), a struct gold_<rule> (presence), and the array of retrieved clauses
+    named by the rule's entry. A rule whose struct is null on either side gives no rows. Presence
+    and severity are written as in the answer; unknown presence has an absence confidence of 0.5,
+    unknown severity level 1. The retrieval score is 1 if the cited clause was retrieved, else 0.5.
+    """
+    yes = lambda c: F.when(c == "Yes", "NON_COMPLIANT").otherwise("COMPLIANT")
+    one = [F.struct(F.lit(rule).alias("rule"), F.col(rule).alias("said"), F.col(f"gold_{rule}").alias("gold"), F.col(found).alias("retrieved")) for rule, found in rules.items()]
+    rows = predictions.select("event_id", F.explode(F.array(*one)).alias("r")).select("event_id", "r.*").where("said is not null and gold is not null")
+    entry = lambda table, c, otherwise: F.coalesce(F.try_element_at(F.create_map(*[F.lit(x) for pair in table.items() for x in pair]), c), F.lit(otherwise))
+    cited = F.coalesce("said.cited_clause", F.lit(""))
+    hit = F.coalesce(F.array_contains("retrieved", F.col("said.cited_clause")), F.lit(False))
+    frame = F.lit("0").alias("frame_id")
+    return {
+        "verdicts": rows.select("event_id", frame, "rule", yes(F.col("said.presence")).alias("verdict"), cited.alias("cited_clause"), F.coalesce("said.reasoning", F.lit("")).alias("reasoning")),
+        "gold_verdicts": rows.select("event_id", frame, yes(F.col("gold.presence")).alias("gold_verdict")),
+        "event_compliance": rows.select("event_id", F.lit(None).cast("double").alias("start_time"), F.lit(None).cast("double").alias("end_time"), F.lit("Unknown").alias("zone_type"), entry(absence, F.col("said.presence"), 0.5).alias("absence_confidence"), entry(severity, F.col("said.severity"), 1).alias("severity"), F.when(hit, 1.0).otherwise(0.5).alias("retrieval_score"), "rule"),
+        "retrieval_results": rows.select(F.concat_ws("_", F.col("event_id").cast("string"), "rule").alias("event_id"), F.posexplode("retrieved").alias("p", "clause_id")).select("event_id", (F.col("p") + 1).alias("retrieval_rank"), "clause_id", F.lit(None).cast("string").alias("human_relevant")),
+    }
+
+
 def target_json(label: Column, confidence: Column, reasoning: Column) -> Column:
     return F.to_json(F.struct(label.alias("label"), confidence.alias("confidence"), reasoning.alias("reasoning")), {"ignoreNullFields": "false"})

@@ -8,7 +8,6 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-
 def filled(c: Column) -> Column:
     """Trimmed text, null where blank."""
     return F.nullif(F.trim(c), F.lit(""))
@@ -20,6 +19,7 @@ def normalise_clause(c: Column) -> Column:
 
 def parse_clause(c: Column) -> Column:
     """struct(irc, section, subclause) of ids like ``IRC35_6.2``; parts that are not there are null."""
+    # Fixed value: the form of a clause id.
     pattern = r"(?i)^IRC[-_]?(\d+)[-_](\d+)(?:\.(\d+))?"
     part = lambda i: F.nullif(F.regexp_extract(c, pattern, i), F.lit(""))
     return F.struct(part(1).alias("irc"), part(2).alias("section"), part(3).alias("subclause"))
@@ -27,6 +27,7 @@ def parse_clause(c: Column) -> Column:
 
 def parse_combined(c: Column) -> Column:
     """struct(irc, section, clause) of citations like ``IRC35/6.2.3``; all null where it does not parse."""
+    # Fixed value: the form of a combined citation.
     pattern = r"(?i)(?:IRC\s*)?([\w-]+)\s*[/\-:]\s*([\d.]+)"
     irc, clause = (F.nullif(F.regexp_extract(F.trim(c), pattern, i), F.lit("")) for i in (1, 2))
     return F.struct(irc.alias("irc"), F.split(clause, r"\.")[0].alias("section"), clause.alias("clause"))
@@ -61,6 +62,11 @@ def gold_clauses(rows: DataFrame, rule: str = "rule", clause: str = "cited_claus
     return rows.where(good).groupBy(rule).agg(F.array_sort(F.collect_set(normalise_clause(F.col(clause)))).alias("clauses"))
 
 
+def clause_table(clauses: DataFrame) -> DataFrame:
+    """clause_id (- read as _), text of a knowledge base, one row an id (the largest text of equals)."""
+    return clauses.where(filled(F.col("clause_id")).isNotNull()).groupBy(normalise_clause(F.col("clause_id")).alias("clause_id")).agg(F.max("text").alias("text"))
+
+
 def _share(part: Column) -> list[Column]:
     rows = F.lit(1)
     hit = F.sum(F.when(part, 1).otherwise(0)).cast("long")

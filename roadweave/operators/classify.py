@@ -54,6 +54,23 @@ def distribution(df: DataFrame, column: str, by: Sequence[str] = ()) -> DataFram
     return counted.withColumn("share", F.col("n") / F.sum("n").over(w))
 
 
+def imbalance(df: DataFrame, column: str, positive: str, by: Sequence[str] = ()) -> DataFrame:
+    """``by``, n_positive, n_other, ratio of others to positives (over 1 at least)."""
+    yes = F.sum(F.coalesce((F.col(column) == positive).cast("long"), F.lit(0)))
+    counted = df.groupBy(*by).agg(yes.alias("n_positive"), (F.count(F.lit(1)) - yes).alias("n_other"))
+    return counted.withColumn("ratio", F.col("n_other") / F.greatest(F.col("n_positive"), F.lit(1)))
+
+
+def pooled(df: DataFrame, pairs: Sequence[tuple[str, str]], by: Sequence[str] = ()) -> DataFrame:
+    """``by`` and the summary of several (predicted, gold) column pairs as one list; pairs with a missing side do not count.
+
+    Classes are those in gold, as the scores are macro means over the reference's classes.
+    """
+    both = F.explode(F.array(*[F.struct(F.col(p).alias("pred"), F.col(g).alias("gold")) for p, g in pairs]))
+    rows = df.select(*by, both.alias("_x")).select(*by, "_x.*").where("pred is not null and gold is not null")
+    return summary(rows, by=by, label_set="gold")
+
+
 def agreement(df: DataFrame, a: str, b: str, by: Sequence[str] = ()) -> DataFrame:
     """``by``, n, share of rows in which both columns are the same."""
     return df.where(F.col(a).isNotNull() & F.col(b).isNotNull()).groupBy(*by).agg(F.count(F.lit(1)).alias("n"), F.avg((F.col(a) == F.col(b)).cast("double")).alias("agreement"))

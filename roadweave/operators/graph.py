@@ -53,6 +53,17 @@ def flatten_reports(frames: DataFrame, violations: str = "violations") -> DataFr
     return v.withColumns({"event_id": ident, "is_compliant": F.col("_v").isNull()}).select("*", "_v.*").drop("_pos", "_v")
 
 
+def write_graphml(nodes: DataFrame, edges: DataFrame, folder: str) -> None:
+    """A GraphML document as text files whose lines are in order: head, nodes, edges, foot."""
+    spark = nodes.sparkSession
+    # The document's frame.
+    head = ['<?xml version="1.0" encoding="UTF-8"?>', '<graphml xmlns="http://graphml.graphdrawing.org/xmlns">', '<key id="type" for="node" attr.name="type" attr.type="string"/>', '<key id="label" for="node" attr.name="label" attr.type="string"/>', '<key id="relation" for="edge" attr.name="relation" attr.type="string"/>', '<graph edgedefault="directed">']
+    frame = spark.createDataFrame([(0, i, x) for i, x in enumerate(head)] + [(2, i, x) for i, x in enumerate(["</graph>", "</graphml>"])], "_part int, _no int, value string")
+    body = graphml_lines(nodes, edges).select(F.lit(1).alias("_part"), F.lit(0).alias("_no"), "value")
+    every = frame.unionByName(body)
+    every.repartitionByRange("_part", "_no", "value").sortWithinPartitions("_part", "_no", F.desc("value")).select("value").write.mode("overwrite").text(folder)
+
+
 def graphml_lines(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """Lines of a GraphML file's nodes and edges, nulls as empty text."""
     esc = lambda c: F.replace(F.replace(F.replace(F.coalesce(c, F.lit("")), F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;")), F.lit('"'), F.lit("&quot;"))

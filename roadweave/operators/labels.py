@@ -17,6 +17,20 @@ NOTE_RULES = (
     ("acceleration", ("accelerat",)),
     ("lane_change", ("lane",)),
 )
+#: Two more sets of note rules, and the words that make a reviewed event none.
+EVASIVE_RULES = (
+    ("not_evasive", ("not evasive", "not_evasive", "false", "no evasive")),
+    ("swerve", ("swerve", "sharp turn", "sharp_turn", "weave")),
+    ("acceleration", ("accelerat", "speed up", "throttle")),
+    ("lane_change", ("lane change", "lane_change", "overtake", "merge")),
+)
+REVIEW_RULES = (
+    ("not_evasive", ("riding straight", "no visible change", "no change in heading", "camera vibration", "sensor noise", "constant speed")),
+    ("swerve", ("swerv", "avoid")),
+    ("sharp_turn", ("sharp turn",)),
+    ("acceleration", ("accelerat",)),
+    ("lane_change", ("lane", "pass")),
+)
 ACTIONS = {"Acceleration": "Acceleration", "Deceleration": "Deceleration", "Lane_Change": "Lane_Change", "Braking": "Hard_Braking", "Emergency_Swerve": "Hard_Braking"}
 
 
@@ -32,6 +46,11 @@ def by_words(text: Column, rules: Sequence[tuple[str, Sequence[str]]] = NOTE_RUL
     return out
 
 
+def review_label(notes: Column, decision: Column) -> Column:
+    """``REVIEW_RULES`` over the notes; a rejected event is ``not_evasive``."""
+    return F.when(F.lower(F.coalesce(decision, F.lit(""))) == "reject", "not_evasive").otherwise(by_words(notes, REVIEW_RULES))
+
+
 def mapped(value: Column, table: Mapping[str, str], keep: bool = False) -> Column:
     """The value's entry; others are null, or stay with ``keep``."""
     m = F.create_map(*[F.lit(x) for pair in table.items() for x in pair])
@@ -46,12 +65,12 @@ def decision_label(decision: Column, category: Column, binary: bool = False) ->
 
 
 def peak_label(az: Column, jerk: Column) -> Column:
-    """Label from an event's peaks: braking, deceleration, acceleration, else null."""
+    """Label from an event's peaks (fixed limits): braking, deceleration, acceleration, else null."""
     return F.when((az > 2.5) & (jerk > 2.0), "braking").when(az > 1.2, "deceleration").when(az < -1.5, "acceleration")
 
 
 def maneuver(detections: Column, lateral_jerk: Column, az: Column, variant: str = "lateral") -> Column:
-    """Maneuver from detected things (array of labels) and peaks; the variants differ in what is asked first."""
+    """Maneuver from detected things (array of labels) and peaks, by fixed limits; the variants differ in what is asked first."""
     seen = lambda *w: F.exists(detections, lambda d: d.isin(*w))
     person, car = seen("person", "pedestrian", "animal"), seen("car", "truck", "bus", "motorcycle", "auto", "vehicle")
     if variant == "lateral":
@@ -60,7 +79,7 @@ def maneuver(detections: Column, lateral_jerk: Column, az: Column, variant: str
 
 
 def marking_state(coverage: Column, segments: Column, white: Column, yellow: Column) -> Column:
-    """struct(present, colour, continuity) of a road marking from measured features."""
+    """struct(present, colour, continuity) of a road marking from measured features, by fixed limits."""
     n = F.when(coverage > 0.0005, segments).otherwise(0)
     continuity = F.when(n >= 6, "broken").when(n >= 1, "solid").otherwise("absent")
     present = coverage > 0.0015
@@ -69,7 +88,7 @@ def marking_state(coverage: Column, segments: Column, white: Column, yellow: Col
 
 
 def sign_shape(circularity: Column, corners: Column, area: Column, saturation: Column, contrast: Column) -> Column:
-    """struct(shape, category, condition) of a sign from measured features; null shape: not a sign."""
+    """struct(shape, category, condition) of a sign from measured features, by fixed limits; null shape: not a sign."""
     shape = F.when(area < 250, F.lit(None).cast("string")).when(circularity > 0.75, "circle").when(corners == 3, "triangle").when(corners == 4, "rectangle")
     category = mapped(shape, {"circle": "mandatory", "triangle": "cautionary", "rectangle": "informatory"})
     return F.struct(shape.alias("shape"), category.alias("category"), F.when((saturation < 40) | (contrast < 20), "faded").otherwise("good").alias("condition"))
@@ -129,8 +148,36 @@ def inverse_weights(df: DataFrame, label: str) -> DataFrame:
     return df.join(counts, F.col(label).eqNullSafe(F.col("_l"))).drop("_l")
 
 
+def hash_unit(text: Column) -> Column:
+    """A number in [0, 1) from the md5 of a text."""
+    return F.conv(F.substring(F.md5(text), 1, 8), 16, 10).cast("double") / F.lit(float(1 << 32))
+
+
 def weighted_draws(df: DataFrame, weight: str, key: str, n: int, seed: int = 42) -> DataFrame:
-    """About ``n`` draws with replacement: each row n x weight / total times, the fraction decided by its hash."""
+    """``n`` draws with replacement, by weight: ``df`` plus ``draw`` (0 to n - 1).
+
+    Rows stand in the order of their hash on a line as long as all weights; a draw takes the row at
+    its place. Places come from sums per hash range (4096 rows), so no task sums up the whole table,
+    and draws meet rows by cells of the line.
+    """
+    rows = df.where(F.col(weight) > 0).withColumn("_h", hash_order(seed, F.col(key)))
+    rows = rows.withColumn("_part", F.substring("_h", 1, 3))
+    parts = rows.groupBy("_part").agg(F.sum(weight).alias("_w"))
+    one = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    parts = parts.select("_part", F.coalesce(F.sum("_w").over(one), F.lit(0.0)).alias("_from"), F.sum("_w").over(Window.partitionBy(F.lit(0))).alias("_total"))
+    inside = F.sum(weight).over(Window.partitionBy("_part").orderBy("_h", key).rowsBetween(Window.unboundedPreceding, 0))
+    placed = rows.withColumn("_to", inside).join(parts, "_part").withColumn("_to", F.col("_from") + F.col("_to")).withColumn("_lo", F.col("_to") - F.col(weight))
+    cell = lambda c: F.floor(c / F.col("_total") * F.lit(float(n)))
+    placed = placed.withColumn("_cell", F.explode(F.sequence(cell(F.col("_lo")), cell(F.col("_to")))))
+    total = parts.select("_total").limit(1)
+    draws = df.sparkSession.range(n).select(F.col("id").alias("draw"), hash_unit(F.concat(F.lit(f"{seed}|draw|"), F.col("id").cast("string"))).alias("_u")).crossJoin(total)  # single-row scalar
+    draws = draws.select("draw", (F.col("_u") * F.col("_total")).alias("_at"), F.floor(F.col("_u") * F.lit(float(n))).alias("_cell"))
+    met = placed.join(draws, "_cell").where((F.col("_at") >= F.col("_lo")) & (F.col("_at") < F.col("_to")))
+    return met.select(*df.columns, "draw")
+
+
+def shared_draws(df: DataFrame, weight: str, key: str, n: int, seed: int = 42) -> DataFrame:
+    """About ``n`` rows in shares of their weight: each n x weight / total times, the fraction decided by its hash."""
     total = df.agg(F.sum(weight).alias("_total"))
     expected = F.lit(float(n)) * F.col(weight) / F.col("_total")
     u = F.pmod(F.xxhash64(F.lit(seed), F.col(key)), F.lit(1 << 30)) / F.lit(float(1 << 30))

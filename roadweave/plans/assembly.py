@@ -5,21 +5,11 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from roadweave.operators import datasets, graph
+from roadweave.plans.base import registrar
 from roadweave.plans.telemetry import _CAND_FRAMES, _candidate_sql, _rounded, candidates, reviewed
 from roadweave.sources.adapters import TELEMETRY, table, telemetry
 
-QUERIES: dict = {}
-SQL: dict[str, str] = {}
-
-
-def register(name: str, sql: str | None = None):
-    def add(f):
-        QUERIES[name] = f
-        if sql:
-            SQL[name] = sql
-        return f
-
-    return add
+QUERIES, SQL, register = registrar()
 
 
 @register("event_ids", f"WITH {TELEMETRY}, {_candidate_sql()} SELECT clip_id, event_no, printf('%s_evt%04d', clip_id, row_number() OVER (PARTITION BY clip_id ORDER BY start_time, end_time) - 1) AS event_id FROM cand")

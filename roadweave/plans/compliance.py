@@ -6,22 +6,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from roadweave.operators import answers, citations, classify, labels, retrieval, review, textsim
+from roadweave.plans.base import registrar
 from roadweave.plans.telemetry import _rounded
 from roadweave.sources import adapters
 from roadweave.sources.adapters import LABELS, TELEMETRY, VERDICTS, table, telemetry
 
-QUERIES: dict = {}
-SQL: dict[str, str] = {}
-
-
-def register(name: str, sql: str | None = None):
-    def add(f):
-        QUERIES[name] = f
-        if sql:
-            SQL[name] = sql
-        return f
-
-    return add
+QUERIES, SQL, register = registrar()
 
 
 def _gold(spark, sf_dir):

@@ -6,21 +6,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from roadweave.operators import filters, graph, review, rider, spatial, timeseries
+from roadweave.plans.base import registrar
 from roadweave.plans.telemetry import AXES, GAP, _rounded, candidates
 from roadweave.sources.adapters import TELEMETRY, table, telemetry
 
-QUERIES: dict = {}
-SQL: dict[str, str] = {}
-
-
-def register(name: str, sql: str | None = None):
-    def add(f):
-        QUERIES[name] = f
-        if sql:
-            SQL[name] = sql
-        return f
-
-    return add
+QUERIES, SQL, register = registrar()
 
 
 _GPS = "gps AS (SELECT event_id, 17.5 + ay / 1000 AS lat, 78.2 + ax / 1000 AS lon FROM tele WHERE clip_id = 'view')"

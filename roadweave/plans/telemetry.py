@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from roadweave.operators import detect, intervals, review, risk, timeseries
+from roadweave.plans.base import registrar
 from roadweave.sources.adapters import FRAMES, TELEMETRY, frames, telemetry
 
 #: Samples of the events table are about 20 minutes apart, so gaps are hours.
@@ -41,18 +42,7 @@ def _candidate_sql(k: float = K, name: str = "cand", run: str = "runs") -> str:
     )
 
 
-QUERIES: dict = {}
-SQL: dict[str, str] = {}
-
-
-def register(name: str, sql: str | None = None):
-    def add(f):
-        QUERIES[name] = f
-        if sql:
-            SQL[name] = sql
-        return f
-
-    return add
+QUERIES, SQL, register = registrar()
 
 
 _ROUND_EVENT = "SELECT clip_id, event_no, round(start_time, 6) AS start_time, round(end_time, 6) AS end_time"

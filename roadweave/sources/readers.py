@@ -121,6 +121,24 @@ def knowledge_base(spark: SparkSession, path: str) -> DataFrame:
     return flat.unionByName(listed).where("clause_id is not null").groupBy("clause_id").agg(F.max_by("text", "file").alias("text"))
 
 
+def read_clause_texts(spark: SparkSession, path: str) -> DataFrame:
+    """clause_key ``<doc>_<clause>``, text from lines of JSON (doc, clause, text); a later file's text wins."""
+    rows = spark.read.schema("doc string, clause string, text string").json(path).withColumn("_file", F.col("_metadata.file_path"))
+    return rows.where("doc is not null and clause is not null").groupBy(F.concat_ws("_", "doc", "clause").alias("clause_key")).agg(F.max_by("text", F.struct("_file", "text")).alias("text"))
+
+
+def write_named(df: DataFrame, folder: str, by: str, sep: str = ",") -> None:
+    """One CSV file for each value of ``by``, named by it (``<value>.csv``), with a header."""
+    spark = df.sparkSession
+    df.repartition(by).write.mode("overwrite").partitionBy(by).option("header", True).option("sep", sep).csv(f"{folder}/_parts")
+    path = spark._jvm.org.apache.hadoop.fs.Path
+    files = path(folder).getFileSystem(spark._jsc.hadoopConfiguration())
+    for part in files.globStatus(path(f"{folder}/_parts/{by}=*/*.csv")):  # one file a value: metadata alone
+        value = part.getPath().getParent().getName().split("=", 1)[1]
+        files.rename(part.getPath(), path(f"{folder}/{value}.csv"))
+    files.delete(path(f"{folder}/_parts"), True)
+
+
 def result_files(spark: SparkSession, folder: str) -> DataFrame:
     """Rows of ``results_<model>_<config>.csv`` files with their model and config."""
     df = spark.read.csv(f"{folder.rstrip('/')}/results_*.csv", header=True)
@@ -129,7 +147,12 @@ def result_files(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def append_new(df: DataFrame, path: str, key: str, present: bool) -> None:
-    """Append the rows whose key the Parquet table at ``path`` lacks; ``present``: whether it is there yet."""
+    """Append the rows whose key the Parquet table at ``path`` lacks, one a key; ``present``: whether it is there yet.
+
+    Of rows that repeat a key the one of the least hash of all columns is written.
+    """
+    every = F.struct(*df.columns)
+    df = df.groupBy(F.col(key).alias("_key")).agg(F.min_by(every, F.xxhash64(*df.columns)).alias("_row")).select("_row.*")
     new = df.join(df.sparkSession.read.parquet(path).select(key).distinct(), key, "left_anti") if present else df
     new.write.mode("append").parquet(path)
 
