@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from roadweave.functions.storage import stored
 from roadweave.operators.textsim import tokens
 
 #: Clauses that a task compares with a query at once.
@@ -86,20 +87,28 @@ def tfidf_top(queries: DataFrame, documents: DataFrame, k: int = 5, query: str =
 
     Terms are joined, so only documents that share a term with a query are met; terms in more than
     ``most_share`` of the documents may be left out of the join. idf = ln((1 + N) / (1 + df)) + 1.
+    A document's words are counted once and stored. A term brings its idf and the queries that have
+    it, so the products and the document's own square are summed in one pass, before the shuffle by
+    document; terms that most documents share are so summed where they are met.
     """
     def terms(df: DataFrame, key: str) -> DataFrame:
         return df.select(key, F.explode(tokens(F.col(text))).alias("term")).groupBy(key, "term").agg(F.count(F.lit(1)).alias("tf"))
 
-    d = terms(documents, doc)
+    d = stored(terms(documents, doc), "tfidf-terms")
     n = documents.agg(F.count(F.lit(1)).cast("double").alias("N"))
     df = d.groupBy("term").agg(F.count(F.lit(1)).alias("df")).crossJoin(n)  # single-row scalar
     idf = df.where(F.col("df") <= most_share * F.col("N")).select("term", (F.log((1 + F.col("N")) / (1 + F.col("df"))) + 1).alias("idf"))
-    q = terms(queries, query).join(idf, "term").withColumn("qw", F.col("tf") * F.col("idf"))
-    w = d.join(idf, "term").withColumn("dw", F.col("tf") * F.col("idf"))
-    d_norm = w.groupBy(doc).agg(F.sqrt(F.sum(F.col("dw") * F.col("dw"))).alias("dn"))
+    q = stored(terms(queries, query).join(idf, "term").withColumn("qw", F.col("tf") * F.col("idf")).select(query, "term", "qw"), "tfidf-queries")
     q_norm = q.groupBy(query).agg(F.sqrt(F.sum(F.col("qw") * F.col("qw"))).alias("qn"))
-    dots = q.select(query, "term", "qw").join(w.select(doc, "term", "dw"), "term").groupBy(query, doc).agg(F.sum(F.col("qw") * F.col("dw")).alias("dot"))
-    scored = dots.join(d_norm, doc).join(q_norm, query).withColumn("score", F.round(F.col("dot") / (F.col("dn") * F.col("qn")), 9))
+    asking = q.groupBy("term").agg(F.collect_list(F.struct(F.col(query).alias("q"), "qw")).alias("qs"))
+    w = d.join(idf.join(asking, "term", "left"), "term").select(doc, (F.col("tf") * F.col("idf")).alias("dw"), "qs")
+    own = F.struct(F.lit(None).cast(q.schema[query].dataType).alias("q"), F.col("dw").alias("v"))
+    parts = F.concat(F.array(own), F.coalesce(F.transform("qs", lambda x: F.struct(x["q"].alias("q"), x["qw"].alias("v"))), F.array().cast(f"array<struct<q: {q.schema[query].dataType.simpleString()}, v: double>>")))
+    sums = w.select(doc, "dw", F.explode(parts).alias("p")).groupBy(doc, F.col("p.q").alias("q")).agg(F.sum(F.col("dw") * F.col("p.v")).alias("s"))
+    # The row without a query holds the square of the document's length.
+    per = sums.groupBy(doc).agg(F.max(F.when(F.col("q").isNull(), F.col("s"))).alias("dn2"), F.collect_list(F.when(F.col("q").isNotNull(), F.struct("q", "s"))).alias("dots"))
+    dots = per.select(doc, F.sqrt("dn2").alias("dn"), F.explode("dots").alias("x")).select(F.col("x.q").alias(query), doc, F.col("x.s").alias("dot"), "dn")
+    scored = dots.join(q_norm, query).withColumn("score", F.round(F.col("dot") / (F.col("dn") * F.col("qn")), 9))
     ranked = scored.withColumn("rank", F.row_number().over(Window.partitionBy(query).orderBy(F.desc("score"), doc)))
     return ranked.where(F.col("rank") <= k).select(query, doc, "score", "rank")
 
@@ -108,19 +117,28 @@ def clause_split(pages: DataFrame, doc: str = "doc", section: str = "section", p
     """doc, section, clause_id, heading, text, page: clauses of a section's pages, split at numbered line starts.
 
     Only numbers of the section itself (``6.2`` in section 6) begin a clause; a section without any is
-    one clause. The page is the one on which the clause begins.
+    one clause. A clause goes on over pages until the next number; its page is the one on which it
+    begins. Each page is split by itself and its pieces get clause numbers from sums over small rows,
+    so no section is gathered; of a clause no more pieces are than ``most`` characters can take.
     """
-    w = F.array_sort(F.collect_list(F.struct(F.col(page).alias("p"), F.col(text).alias("t"))))
-    whole = pages.groupBy(doc, section).agg(w.alias("pages"))
-    joined = F.array_join(F.transform("pages", lambda x: x["t"]), "\n")
-    whole = whole.withColumn("_all", F.concat(F.lit("\n"), joined))
-    mark = F.concat(F.lit("(?m)^[ \\t]*(?=("), F.regexp_replace(F.col(section).cast("string"), r"\.", r"\\\\."), F.lit(r"\.\d{1,2})\s+)"))
-    parts = F.split(F.col("_all"), mark)
-    cut = whole.select(doc, section, "pages", "_all", F.posexplode(parts).alias("no", "part"), F.size(parts).alias("n"))
-    number = F.regexp_extract("part", r"^(\d{1,2}\.\d{1,2})\s+", 1)
-    kept = cut.where((number != "") | (F.col("n") == 1)).withColumn("clause_id", F.when(number != "", number).otherwise(F.col(section).cast("string")))
-    body = F.trim(F.when(number != "", F.regexp_replace("part", r"^\d{1,2}\.\d{1,2}\s+", "")).otherwise(F.col("part")))
-    start = F.instr(F.col("_all"), F.col("part"))
-    ends = F.aggregate("pages", F.struct(F.lit(1).alias("at"), F.lit(None).cast("int").alias("page")), lambda s, x: F.struct((s["at"] + F.length(x["t"]) + 1).alias("at"), F.when(s["at"] <= start, x["p"].cast("int")).otherwise(s["page"]).alias("page")))
-    out = kept.select(doc, section, "clause_id", F.substring(F.split(body, "\n")[0], 1, heading).alias("heading"), F.substring(body, 1, most).alias("text"), ends["page"].alias("page"))
+    number = F.concat(F.lit("(?md)^[ \\t]*("), F.regexp_replace(F.col(section).cast("string"), r"\.", r"\\\\."), F.lit(r"\.\d{1,2})\s+"))
+    cut = pages.select(doc, section, F.col(page).alias("_p"), F.coalesce(F.col(text), F.lit("")).alias("_t"), F.xxhash64(text).alias("_h"))
+    cut = cut.select(doc, section, "_p", "_h", F.regexp_extract_all("_t", number, F.lit(1)).alias("_ids"), F.split("_t", number).alias("_parts"))
+    # Clauses before each page of its section: a sum over one small row a page.
+    light = cut.select(doc, section, "_p", "_h", F.size("_ids").alias("_n"))
+    rows = Window.partitionBy(doc, section).orderBy("_p", "_h")
+    light = light.groupBy(doc, section, "_p", "_h").agg(F.max("_n").alias("_n"))  # equal pages share their clauses
+    before = light.select(doc, section, "_p", "_h", F.coalesce(F.sum("_n").over(rows.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"), F.sum("_n").over(Window.partitionBy(doc, section)).alias("_all"))
+    b = before.toDF("_doc", "_section", "_bp", "_bh", "_before", "_all")
+    met = cut.join(b, F.col(doc).eqNullSafe(F.col("_doc")) & F.col(section).eqNullSafe(F.col("_section")) & F.col("_p").eqNullSafe(F.col("_bp")) & (F.col("_h") == F.col("_bh")))
+    pieces = met.select(doc, section, "_p", "_h", "_ids", "_before", "_all", F.posexplode("_parts").alias("_i", "_piece"))
+    clause = (F.col("_before") + F.col("_i")).alias("_clause")
+    pieces = pieces.select(doc, section, "_p", "_h", "_i", "_all", clause, F.when(F.col("_i") > 0, F.get("_ids", F.col("_i") - 1)).alias("_id"), F.substring("_piece", 1, most + 200).alias("_piece"))
+    pieces = pieces.where((F.col("_clause") > 0) | (F.col("_all") == 0)).where((F.col("_i") > 0) | (F.col("_piece") != ""))
+    order = Window.partitionBy(doc, section, "_clause").orderBy("_p", "_i", "_h")
+    kept = pieces.withColumn("_r", F.row_number().over(order)).where(F.col("_r") <= most + 200)
+    gathered = kept.groupBy(doc, section, "_clause").agg(F.array_sort(F.collect_list(F.struct("_p", "_i", "_h", "_piece"))).alias("_ps"), F.max("_id").alias("_id"))
+    body = F.trim(F.array_join(F.transform("_ps", lambda x: x["_piece"]), "\n"))
+    out = gathered.select(doc, section, F.coalesce("_id", F.col(section).cast("string")).alias("clause_id"), body.alias("_b"), F.col("_ps")[0]["_p"].alias("page"))
+    out = out.select(doc, section, "clause_id", F.substring(F.split("_b", "\n")[0], 1, heading).alias("heading"), F.substring("_b", 1, most).alias("text"), "page")
     return out.where(F.col("clause_id").isin(*wanted)) if wanted else out

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -73,11 +74,11 @@ def grid_events(df: DataFrame, columns: Sequence[str], widths: Sequence[int], ks
     Samples below the smallest k are dropped before the parameters multiply them.
     """
     spark = df.sparkSession
-    keep = None
-    for w in widths:
-        z = df.select(*config, CLIP, TIME, F.lit(w).alias("width"), *[F.abs(rolling_z_column(c, w)).alias(f"_z{i}") for i, c in enumerate(columns)])
-        least = F.greatest(*[F.coalesce(f"_z{i}", F.lit(0.0)) for i in range(len(columns))]) > min(ks)
-        keep = z.where(least) if keep is None else keep.unionByName(z.where(least))
+    # All widths in one pass over one sort, as columns; then one row a width.
+    wide = df.select(*config, CLIP, TIME, *[F.abs(rolling_z_column(c, w, clip=[*config, CLIP])).alias(f"_z{w}_{i}") for w in widths for i, c in enumerate(columns)])
+    per_width = F.array(*[F.struct(F.lit(w).alias("width"), *[F.col(f"_z{w}_{i}").alias(f"_z{i}") for i in range(len(columns))]) for w in widths])
+    keep = wide.select(*config, CLIP, TIME, F.explode(per_width).alias("_w")).select(*config, CLIP, TIME, "_w.*")
+    keep = keep.where(F.greatest(*[F.coalesce(f"_z{i}", F.lit(0.0)) for i in range(len(columns))]) > min(ks))
     grid = spark.createDataFrame([(float(k), int(c)) for k in ks for c in channels], "k double, channels int")
     votes = F.lit(0)
     for i in range(len(columns)):
@@ -96,6 +97,41 @@ def grid_search(df: DataFrame, gold: DataFrame, columns: Sequence[str], widths:
     return scored(events, gold, by, threshold, [*config, "width", "k", "channels"])
 
 
+def score_table(events: DataFrame, gold: DataFrame, config: Sequence[str], overlap: float = 0.5, tolerance: float = 0.5) -> DataFrame:
+    """``config``, n_pred, precision, recall, f1, fp_rate by tIoU, and f1_tolerance: one row a configuration, in one job."""
+    by_overlap = scored(events, gold, "tiou", overlap, config)
+    near = scored(events, gold, "tolerance", tolerance, config).select(*config, F.col("f1").alias("f1_tolerance"))
+    return by_overlap.select(*config, (F.col("tp") + F.col("fp")).alias("n_pred"), "precision", "recall", "f1", "fp_rate").join(near, list(config))
+
+
+def strategy_table(df: DataFrame, gold: DataFrame, settings: Sequence[tuple[str, str, dict]], overlap: float = 0.5, tolerance: float = 0.5) -> DataFrame:
+    """The score table of detection strategies: ``settings`` are (name, strategy, its options)."""
+    from roadweave.operators.detect import STRATEGIES
+
+    parts = [STRATEGIES[strategy](df, **options).select(CLIP, START, END).withColumn("config", F.lit(name)) for name, strategy, options in settings]
+    return score_table(reduce(DataFrame.unionByName, parts), gold, ["config"], overlap, tolerance)
+
+
+def filter_table(df: DataFrame, gold: DataFrame, settings: Sequence[tuple[str, float | None, float | None, int]], columns: Sequence[str], fs: float, width: int, k: float, gap: float, overlap: float = 0.5, tolerance: float = 0.5) -> DataFrame:
+    """The score table of filter settings (name, low, high, order) under one detector (the length of the filtered axes), with mean_snr_db.
+
+    The mean is over clips and axes; a setting without filter has 0 dB.
+    """
+    from roadweave.operators.detect import flags_to_events
+    from roadweave.operators.filters import filtered
+    from roadweave.operators.timeseries import magnitude, snr_db
+
+    events, snrs = [], []
+    names = [f"{c}_bpf" for c in columns]
+    for name, low, high, order in settings:
+        f = filtered(df.select(CLIP, TIME, *columns), columns, fs, low, high, order)
+        z = f.withColumn("_total", magnitude(*names)).withColumn("_z", rolling_z_column("_total", width))
+        events.append(flags_to_events(z, F.abs("_z") > k, gap).select(CLIP, START, END).withColumn("config", F.lit(name)))
+        snrs += [snr_db(f, c, b).select("snr_db").withColumn("config", F.lit(name)) for c, b in zip(columns, names, strict=True)]
+    snr = reduce(DataFrame.unionByName, snrs).groupBy("config").agg(F.avg("snr_db").alias("mean_snr_db"))
+    return score_table(reduce(DataFrame.unionByName, events), gold, ["config"], overlap, tolerance).join(snr, "config")
+
+
 def kappa(df: DataFrame, a: str, b: str, by: Sequence[str] = ()) -> DataFrame:
     """``by``, n, po, pe, kappa of two label columns; null where chance agreement is 1."""
     cells = df.where(F.col(a).isNotNull() & F.col(b).isNotNull()).groupBy(*by, a, b).agg(F.count(F.lit(1)).alias("c"))

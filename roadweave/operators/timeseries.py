@@ -10,8 +10,9 @@ from pyspark.sql import functions as F
 CLIP, TIME = "clip_id", "cts"
 
 
-def in_time(clip: str = CLIP, time: str = TIME):
-    return Window.partitionBy(clip).orderBy(time)
+def in_time(clip: str | Sequence[str] = CLIP, time: str = TIME):
+    """Rows of a clip (or of several key columns) by time."""
+    return Window.partitionBy(*([clip] if isinstance(clip, str) else clip)).orderBy(time)
 
 
 def sample_rate(df: DataFrame, clip: str = CLIP, time: str = TIME, forced: float | None = None) -> DataFrame:
@@ -52,7 +53,7 @@ def global_z(df: DataFrame, column: str, out: str = "z", clip: str = CLIP) -> Da
     return df.join(stats, F.col(clip) == F.col("_clip"), "left").withColumn(out, z).drop("_clip", "_mean", "_dev")
 
 
-def rolling_z_column(column: str, width: int, least: int = 1, epsilon: float = 0.0, clip: str = CLIP, time: str = TIME) -> Column:
+def rolling_z_column(column: str, width: int, least: int = 1, epsilon: float = 0.0, clip: str | Sequence[str] = CLIP, time: str = TIME) -> Column:
     """Centred rolling z-score over ``width`` rows: rows -(width//2) to (width-1)//2, sample deviation.
 
     Null where fewer than ``least`` values are in the window, or the deviation (plus ``epsilon``) is 0.
@@ -117,13 +118,13 @@ def asof_nearest(left: DataFrame, right: DataFrame, values: Sequence[str], toler
     return met.withColumn("_pick", pick).select("_row.*", *[F.col(f"_pick.{v}").alias(v) for v in values])
 
 
-def aligned(left: DataFrame, right: DataFrame, tolerance: float = 1e-8, clip: str = CLIP, time: str = TIME) -> DataFrame:
+def aligned(left: DataFrame, right: DataFrame, tolerance: float = 1e-8, relative: float = 1e-5, clip: str = CLIP, time: str = TIME) -> DataFrame:
     """Two streams joined by sample number; rows whose times differ, or that lack a partner, are marked ``misaligned``."""
     w = in_time(clip, time)
     a = left.withColumn("_i", F.row_number().over(w))
     b = right.withColumn("_i", F.row_number().over(w)).withColumnRenamed(time, "_time").withColumnRenamed(clip, "_clip")
     met = a.join(b, (F.col(clip) == F.col("_clip")) & (a["_i"] == b["_i"]), "full").drop("_i", "_clip")
-    off = F.abs(F.col(time) - F.col("_time")) > tolerance + 1e-5 * F.abs(F.col("_time"))
+    off = F.abs(F.col(time) - F.col("_time")) > tolerance + relative * F.abs(F.col("_time"))
     return met.withColumn("misaligned", F.coalesce(off, F.lit(True))).drop("_time")
 
 

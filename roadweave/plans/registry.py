@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from roadweave.plans import assembly, compliance, places, readings, telemetry
+from roadweave.plans import answering, assembly, compliance, places, readings, telemetry
 
-MODULES = (telemetry, compliance, places, assembly, readings)
+MODULES = (telemetry, compliance, places, assembly, readings, answering)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
