@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from roadweave.operators import datasets, graph
+from roadweave.operators import datasets, graph, intervals
 from roadweave.plans.base import registrar
 from roadweave.plans.telemetry import _CAND_FRAMES, _candidate_sql, _rounded, candidates, reviewed
 from roadweave.sources.adapters import TELEMETRY, table, telemetry
@@ -62,3 +62,74 @@ def _(spark, sf_dir):
 def _(spark, sf_dir):
     line = table(spark, sf_dir, "lineitem").select(F.col("l_returnflag").alias("rule"))
     return line.withColumn("kind", graph.detection_kind(F.col("rule"), ("A",), ("R",))).groupBy("rule", "kind").agg(F.count(F.lit(1)).alias("n"))
+
+
+_ROWS = "pr AS (SELECT o_orderkey AS event_idx, o_totalprice / 100 + CASE WHEN o_orderkey % 9 = 0 THEN 0.7 ELSE 0.1 END AS s, o_orderkey % 4 > 0 AS parsed, o_orderstatus = 'F' AS ev FROM orders WHERE o_orderkey % 5 > 0), gd AS (SELECT o_orderkey AS event_idx, o_totalprice / 100 AS start_time, CASE WHEN o_custkey % 3 > 0 THEN 'Confirm ' ELSE 'reject' END AS decision FROM orders)"
+_MET = f"WITH {_ROWS}, m AS (SELECT gd.*, pr.event_idx IS NULL OR abs(s - start_time) > 0.5 AS missing, parsed, ev FROM gd LEFT JOIN pr USING (event_idx)), y AS (SELECT *, CASE WHEN NOT missing THEN coalesce(parsed AND ev, false) END AS pred FROM m) "
+
+
+def indexed(spark, sf_dir):
+    o = table(spark, sf_dir, "orders").withColumnRenamed("o_orderkey", "event_idx")
+    start = F.col("o_totalprice") / 100
+    pred = o.where("event_idx % 5 > 0").select("event_idx", (start + F.when(F.col("event_idx") % 9 == 0, 0.7).otherwise(0.1)).alias("start_time"), (F.col("event_idx") % 4 > 0).alias("parsed"), (F.col("o_orderstatus") == "F").alias("pred_is_evasive"))
+    gold = o.select("event_idx", start.alias("start_time"), F.when(F.col("o_custkey") % 3 > 0, "Confirm ").otherwise("reject").alias("decision"))
+    return pred, gold
+
+
+@register("predictions_by_index", _MET + "SELECT event_idx, missing, pred FROM y")
+def _(spark, sf_dir):
+    return datasets.by_index(*indexed(spark, sf_dir)).select("event_idx", "missing", "pred")
+
+
+@register("true_positives", _MET + "SELECT event_idx FROM y WHERE pred AND lower(trim(decision)) = 'confirm' ORDER BY event_idx LIMIT 40")
+def _(spark, sf_dir):
+    return datasets.true_positives(*indexed(spark, sf_dir), 40).select("event_idx")
+
+
+# Greedy thinning walks the events of a category in order and carries the kept middles.
+_THIN = (
+    "{src}, walk(category, r, kept, ok, n) AS (SELECT category, 1::BIGINT, [mid], true, (SELECT count(*) FROM ord o WHERE o.category = ord.category) FROM ord WHERE r = 1 UNION ALL "
+    "SELECT w.category, o.r, CASE WHEN len(w.kept) < {each} AND len(list_filter(w.kept, lambda x: abs(x - o.mid) <= {apart})) = 0 THEN list_append(w.kept, o.mid) ELSE w.kept END, len(w.kept) < {each} AND len(list_filter(w.kept, lambda x: abs(x - o.mid) <= {apart})) = 0, w.n FROM walk w JOIN ord o ON o.category = w.category AND o.r = w.r + 1) "
+)
+
+
+@register("thinned_events", _THIN.format(src=f"WITH RECURSIVE {TELEMETRY}, {_candidate_sql()}, ord AS (SELECT clip_id AS category, event_no, (start_time + end_time) / 2 AS mid, row_number() OVER (PARTITION BY clip_id ORDER BY (start_time + end_time) / 2, event_no) AS r FROM cand)", each=20, apart=20000.0) + "SELECT category, event_no FROM walk JOIN ord USING (category, r) WHERE ok")
+def _(spark, sf_dir):
+    c = candidates(spark, sf_dir).select(F.col("clip_id").alias("category"), "event_no", ((F.col("start_time") + F.col("end_time")) / 2).alias("mid"))
+    return intervals.thinned(c, "mid", "category", [F.col("mid"), F.col("event_no")], 20000.0, 20).select("category", "event_no")
+
+
+_BACK = "CASE WHEN lag({c}) OVER w IS NULL THEN lead({c}) OVER w - {c} WHEN lead({c}) OVER w IS NULL THEN {c} - lag({c}) OVER w ELSE (lead({c}) OVER w - lag({c}) OVER w) / 2.0 END"
+
+
+@register(
+    "feature_backfill",
+    f"WITH {TELEMETRY}, j AS (SELECT *, {', '.join(f'{_BACK.format(c=c)} AS j_{c}' for c in ('ax', 'ay', 'az'))}, CASE WHEN count(az) OVER v >= 50 THEN (az - avg(az) OVER v) / (stddev_samp(az) OVER v + 1e-9) END AS z_az FROM tele WINDOW w AS (PARTITION BY clip_id ORDER BY cts), v AS (PARTITION BY clip_id ORDER BY cts ROWS BETWEEN 30 PRECEDING AND 30 FOLLOWING)), "
+    "q AS (SELECT event_id, z_az, sqrt(j_ax*j_ax + j_ay*j_ay + j_az*j_az) AS t FROM j) SELECT event_id, round(z_az, 6) AS z_az, round(t, 6) AS total_jerk, 30.0 AS speed, CASE WHEN z_az > 2.5 AND t > 2.0 THEN 'braking' WHEN z_az > 1.2 THEN 'deceleration' WHEN z_az < -1.5 THEN 'acceleration' END AS label FROM q",
+)
+def _(spark, sf_dir):
+    t = telemetry(spark, sf_dir).select("event_id", "clip_id", "cts", "ax", "ay", "az")
+    got = datasets.backfilled(t, 1.0, 61, {"speed": 30.0})
+    return _rounded(got.select("event_id", "z_az", "total_jerk", "speed", "label")).withColumn("speed", F.col("speed").cast("decimal(3,1)"))
+
+
+_SETS = (
+    f"WITH RECURSIVE {TELEMETRY}, {_candidate_sql()}, rv AS (SELECT clip_id, CASE WHEN event_no % 4 = 0 THEN start_time + 30 ELSE start_time END AS start_time, end_time FROM cand WHERE event_no % 3 = 1), "
+    "ev AS (SELECT 'gold' AS source, clip_id AS category, clip_id, start_time, end_time FROM rv UNION ALL SELECT 'imu', clip_id, clip_id, start_time, end_time FROM cand), "
+    "ord AS (SELECT *, (start_time + end_time) / 2 AS mid, row_number() OVER (PARTITION BY category ORDER BY source = 'imu', (start_time + end_time) / 2) AS r FROM ev)"
+)
+
+
+@register(
+    "rider_dataset",
+    _THIN.format(src=_SETS, each=8, apart=3600.0) + ", k AS (SELECT o.*, row_number() OVER (ORDER BY source = 'imu', o.category, mid) AS event_id FROM walk JOIN ord o USING (category, r) WHERE ok), "
+    "t AS (SELECT * FROM k WHERE event_id <= 30) SELECT CAST(event_id AS INTEGER) AS event_id, source, category, round(mid, 6) AS mid, round(coalesce((SELECT avg(ay) FROM tele WHERE tele.clip_id = t.clip_id AND cts BETWEEN mid - 3.0 AND mid + 3.0), 0), 6) AS mean_ay, round(greatest(0, start_time - 1.5), 6) AS clip_start, round(end_time + 1.5, 6) AS clip_end FROM t",
+)
+def _(spark, sf_dir):
+    from roadweave.operators import review
+
+    c = candidates(spark, sf_dir)
+    marked = c.withColumns({"decision": F.when(F.col("event_no") % 3 == 1, "confirm").otherwise("reject"), "adjusted_start": F.when(F.col("event_no") % 4 == 0, (F.col("start_time") + 30).cast("string")).otherwise(" ")})
+    named = lambda d: d.select("clip_id", F.col("clip_id").alias("category"), "start_time", "end_time")
+    got = datasets.rider_dataset(named(review.gold_events(marked)), named(c), telemetry(spark, sf_dir).select("clip_id", "cts", "ay"), ["ay"], apart=3600.0)
+    return _rounded(got.select("event_id", "source", "category", "mid", "mean_ay", "clip_start", "clip_end"))

@@ -16,10 +16,10 @@ QUERIES, SQL, register = registrar()
 
 def _gold(spark, sf_dir):
     v = adapters.verdicts(spark, sf_dir)
-    return citations.gold_clauses(v.where("event_id % 50 = 0"))
+    return citations.gold_clauses(v.where("verdict <> 'UNKNOWN'"))
 
 
-_GOLD = f"WITH {VERDICTS}, gold AS (SELECT rule, list_sort(list(DISTINCT replace(cited_clause, '-', '_'))) AS clauses FROM verdicts WHERE event_id % 50 = 0 GROUP BY 1) "
+_GOLD = f"WITH {VERDICTS}, gold AS (SELECT rule, list_sort(list(DISTINCT replace(cited_clause, '-', '_'))) AS clauses FROM verdicts WHERE verdict <> 'UNKNOWN' GROUP BY 1) "
 _CHR = "SELECT count(*) AS total, CAST(sum(CASE WHEN {hit} THEN 1 ELSE 0 END) AS BIGINT) AS hallucinated, round(sum(CASE WHEN {hit} THEN 1 ELSE 0 END) / count(*), 9) AS chr "
 
 
@@ -33,20 +33,20 @@ def _(spark, sf_dir):
     return _rounded(citations.chr_static(adapters.verdicts(spark, sf_dir), _gold(spark, sf_dir)), 9)
 
 
-_RETR = f"WITH {VERDICTS}, retr AS (SELECT event_id, list(DISTINCT cited_clause) AS retrieved FROM verdicts WHERE frame_id % 2 = 1 GROUP BY 1) "
+_RETR = f"WITH {VERDICTS}, retr AS (SELECT event_id, list(DISTINCT cited_clause) AS retrieved FROM verdicts WHERE verdict <> 'UNKNOWN' GROUP BY 1) "
 
 
 @register("chr_event", _RETR + _CHR.format(hit="NOT coalesce(list_contains(retrieved, cited_clause), false)") + "FROM verdicts LEFT JOIN retr USING (event_id) WHERE verdict = 'NON_COMPLIANT'")
 def _(spark, sf_dir):
     v = adapters.verdicts(spark, sf_dir)
-    retrieved = v.where("frame_id % 2 = 1").groupBy("event_id").agg(F.collect_set("cited_clause").alias("retrieved"))
+    retrieved = v.where("verdict <> 'UNKNOWN'").groupBy("event_id").agg(F.collect_set("cited_clause").alias("retrieved"))
     return _rounded(citations.chr_event(v, retrieved), 9)
 
 
-@register("chr_exists", f"WITH {VERDICTS}, k AS (SELECT DISTINCT cited_clause AS c FROM verdicts WHERE event_id % 400 = 0) " + _CHR.format(hit="c IS NULL") + "FROM verdicts LEFT JOIN k ON cited_clause = c")
+@register("chr_exists", f"WITH {VERDICTS}, k AS (SELECT DISTINCT cited_clause AS c FROM verdicts WHERE verdict = 'COMPLIANT' AND rule = 'O') " + _CHR.format(hit="c IS NULL") + "FROM verdicts LEFT JOIN k ON cited_clause = c")
 def _(spark, sf_dir):
     v = adapters.verdicts(spark, sf_dir)
-    return _rounded(citations.chr_exists(v, v.where("event_id % 400 = 0").select(F.col("cited_clause").alias("clause_id"))), 9)
+    return _rounded(citations.chr_exists(v, v.where("verdict = 'COMPLIANT' and rule = 'O'").select(F.col("cited_clause").alias("clause_id"))), 9)
 
 
 _NLI = f"WITH {VERDICTS}, nli AS (SELECT *, CASE (event_id + frame_id) % 4 WHEN 0 THEN 'ENTAILMENT' WHEN 1 THEN 'NEUTRAL' WHEN 2 THEN 'CONTRADICTION' END AS label FROM verdicts), "
@@ -67,20 +67,20 @@ def _(spark, sf_dir):
 
 @register(
     "haa",
-    _BEST + _RHR.rstrip() + ", g AS (SELECT event_id, frame_id, rule, max(verdict) AS gold_verdict FROM verdicts WHERE event_id % 3 = 0 GROUP BY 1, 2, 3), m AS (SELECT v.verdict, CASE WHEN v.frame_id % 5 = 0 THEN 'COMPLIANT' ELSE v.verdict END AS pred, gold_verdict FROM verdicts v LEFT JOIN g USING (event_id, frame_id, rule)), "
+    _BEST + _RHR.rstrip() + ", g AS (SELECT event_id, frame_id, rule, max(verdict) AS gold_verdict FROM verdicts WHERE rule = 'F' GROUP BY 1, 2, 3), m AS (SELECT v.verdict, CASE WHEN v.frame_id % 5 = 0 THEN 'COMPLIANT' ELSE v.verdict END AS pred, gold_verdict FROM verdicts v LEFT JOIN g USING (event_id, frame_id, rule)), "
     "a AS (SELECT count(gold_verdict) AS scored, count(*) - count(gold_verdict) AS unmatched, avg(CASE WHEN gold_verdict IS NOT NULL THEN CASE WHEN pred = gold_verdict THEN 1.0 ELSE 0.0 END END) AS accuracy FROM m) "
     "SELECT scored, unmatched, round(accuracy, 9) AS accuracy, round(accuracy * (1 - round(rhr, 4)), 9) AS haa FROM a, rr",
 )
 def _(spark, sf_dir):
     v = adapters.verdicts(spark, sf_dir)
-    gold = v.where("event_id % 3 = 0").select("event_id", "frame_id", "rule", F.col("verdict").alias("gold_verdict"), F.col("verdict").alias("gold_row"))
+    gold = v.where("rule = 'F'").select("event_id", "frame_id", "rule", F.col("verdict").alias("gold_verdict"), F.col("verdict").alias("gold_row"))
     pred = v.withColumn("verdict", F.when(F.col("frame_id") % 5 == 0, "COMPLIANT").otherwise(F.col("verdict")))
     return _rounded(citations.haa(pred, gold, citations.rhr(_best(spark, sf_dir))), 9)
 
 
 @register(
     "hcas_gated",
-    _GOLD.rstrip() + ", ge AS (SELECT rule, list(DISTINCT [split_part(cited_clause, '_', 1), split_part(split_part(cited_clause, '_', 2), '.', 1), split_part(cited_clause, '_', 2)]) AS g FROM verdicts WHERE event_id % 700 = 0 GROUP BY 1), "
+    _GOLD.rstrip() + ", ge AS (SELECT rule, list(DISTINCT [split_part(cited_clause, '_', 1), split_part(split_part(cited_clause, '_', 2), '.', 1), split_part(cited_clause, '_', 2)]) AS g FROM verdicts WHERE verdict = 'COMPLIANT' GROUP BY 1), "
     "p AS (SELECT split_part(cited_clause, '_', 1) AS i, split_part(split_part(cited_clause, '_', 2), '.', 1) AS s, split_part(cited_clause, '_', 2) AS c, g FROM verdicts JOIN ge USING (rule)), "
     "q AS (SELECT CASE WHEN len(list_filter(g, lambda x: x[1] = i)) > 0 THEN 1 ELSE 0 END AS a, CASE WHEN len(list_filter(g, lambda x: x[1] = i AND x[2] = s)) > 0 THEN 1 ELSE 0 END AS b, CASE WHEN len(list_filter(g, lambda x: x[1] = i AND x[2] = s AND x[3] = c)) > 0 THEN 1 ELSE 0 END AS d FROM p) "
     "SELECT count(*) AS n, round(avg(a), 9) AS ila, round(avg(b), 9) AS sla, round(avg(d), 9) AS cla, round(avg(round((a + b + d) / 3, 4)), 9) AS hcas FROM q",
@@ -88,7 +88,7 @@ def _(spark, sf_dir):
 def _(spark, sf_dir):
     v = adapters.verdicts(spark, sf_dir)
     combined = citations.parse_combined(F.translate("cited_clause", "_", "/"))
-    gold = v.where("event_id % 700 = 0").groupBy("rule").agg(F.collect_set(combined).alias("gold"))
+    gold = v.where("verdict = 'COMPLIANT'").groupBy("rule").agg(F.collect_set(combined).alias("gold"))
     return _rounded(citations.hcas_gated(v.select("rule", combined.alias("pred")).join(gold, "rule")), 9)
 
 
@@ -238,10 +238,10 @@ def _(spark, sf_dir):
 
 @register(
     "model_pairs",
-    "WITH m AS (SELECT l_orderkey, l_linenumber, l_returnflag FROM lineitem WHERE l_linenumber <= 3) SELECT CAST(a.l_linenumber AS BIGINT) AS model_a, CAST(b.l_linenumber AS BIGINT) AS model_b, count(*) AS n, count(*) FILTER (a.l_returnflag = b.l_returnflag) AS same FROM m a JOIN m b ON a.l_orderkey = b.l_orderkey AND a.l_linenumber < b.l_linenumber GROUP BY 1, 2",
+    "WITH m AS (SELECT l_orderkey, l_linenumber, l_returnflag FROM lineitem) SELECT CAST(a.l_linenumber AS BIGINT) AS model_a, CAST(b.l_linenumber AS BIGINT) AS model_b, count(*) AS n, count(*) FILTER (a.l_returnflag = b.l_returnflag) AS same FROM m a JOIN m b ON a.l_orderkey = b.l_orderkey AND a.l_linenumber < b.l_linenumber GROUP BY 1, 2",
 )
 def _(spark, sf_dir):
-    line = table(spark, sf_dir, "lineitem").where("l_linenumber <= 3").withColumn("l_linenumber", F.col("l_linenumber").cast("long"))
+    line = table(spark, sf_dir, "lineitem").withColumn("l_linenumber", F.col("l_linenumber").cast("long"))
     pairs = classify.model_pairs(line, ["l_orderkey"], "l_linenumber", "l_returnflag")
     return pairs.groupBy("model_a", "model_b").agg(F.count(F.lit(1)).alias("n"), F.sum((F.col("a") == F.col("b")).cast("long")).alias("same"))
 
@@ -273,7 +273,7 @@ def _(spark, sf_dir):
     return classify.without_rare(c, "label").select("c_custkey")
 
 
-_NOTE = "CASE doc_id % 8 WHEN 0 THEN 'Hard BRAKING near lane' WHEN 1 THEN 'Sensor noise' WHEN 2 THEN 'near-miss' WHEN 3 THEN 'avoid dog' WHEN 4 THEN 'sharp turn' WHEN 5 THEN 'accelerated' WHEN 6 THEN 'changed lane' ELSE left(text, 30) END"
+_NOTE = "CASE doc_id % 8 WHEN 0 THEN 'Hard BRAKING near lane' WHEN 1 THEN 'Sensor noise' WHEN 2 THEN 'near-miss' WHEN 3 THEN 'avoid dog' WHEN 4 THEN 'sharp turn' WHEN 5 THEN 'accelerated' WHEN 6 THEN 'changed lane' ELSE text END"
 
 
 @register(
@@ -283,7 +283,7 @@ _NOTE = "CASE doc_id % 8 WHEN 0 THEN 'Hard BRAKING near lane' WHEN 1 THEN 'Senso
 )
 def _(spark, sf_dir):
     names = F.array(*map(F.lit, ("Hard BRAKING near lane", "Sensor noise", "near-miss", "avoid dog", "sharp turn", "accelerated", "changed lane")))
-    note = F.coalesce(F.try_element_at(names, (F.col("doc_id") % 8 + 1).cast("int")), F.substring("text", 1, 30))
+    note = F.coalesce(F.try_element_at(names, (F.col("doc_id") % 8 + 1).cast("int")), F.col("text"))
     return table(spark, sf_dir, "documents").select("doc_id", labels.by_words(note).alias("category"))
 
 
@@ -373,6 +373,16 @@ def _(spark, sf_dir):
     return _rounded(textsim.cider(pairs(spark, sf_dir), "id", "d"), 9)
 
 
+@register(
+    "cider_clipped",
+    _GRAMS + "d AS (SELECT n, gram, count(*) AS df FROM k WHERE side = 'r' GROUP BY 1, 2), t AS (SELECT CAST((SELECT count(*) FROM prs) AS DOUBLE) AS tot), v AS (SELECT id, side, n, gram, c / greatest(1, words) * CASE WHEN df IS NULL THEN 0 ELSE ln(greatest(1.0, tot / greatest(df, 1))) END AS v FROM k LEFT JOIN d USING (n, gram), t), "
+    "p AS (SELECT coalesce(a.id, b.id) AS id, coalesce(a.n, b.n) AS n, coalesce(a.v, 0) AS x, coalesce(b.v, 0) AS y FROM (SELECT * FROM v WHERE side = 'c') a FULL JOIN (SELECT * FROM v WHERE side = 'r') b ON a.id = b.id AND a.n = b.n AND a.gram = b.gram), "
+    "q AS (SELECT id, n, coalesce(sum(least(x, y) * y) / nullif(sqrt(sum(x * x)) * sqrt(sum(y * y)), 0), 0) AS cs FROM p GROUP BY 1, 2), l AS (SELECT id, max(CASE WHEN side = 'c' THEN len(w) END) - max(CASE WHEN side = 'r' THEN len(w) END) AS dl FROM s GROUP BY 1) SELECT id, round(sum(cs) / 4 * exp(-any_value(dl) * any_value(dl) / 72.0) * 10, 9) AS cider FROM q JOIN l USING (id) GROUP BY 1",
+)
+def _(spark, sf_dir):
+    return _rounded(textsim.cider(pairs(spark, sf_dir), "id", "clipped"), 9)
+
+
 @register("cider_simple", _cider_sql(True))
 def _(spark, sf_dir):
     return _rounded(textsim.cider(pairs(spark, sf_dir), "id", "simple"), 9)
@@ -402,31 +412,51 @@ def _(spark, sf_dir):
     return _rounded(textsim.corpus_bleu(pairs(spark, sf_dir)), 9)
 
 
-@register("rouge_l")
+# A row of the table of common subsequences is the running maximum of its candidates: one more than the cell before where words agree, else the cell above.
+_LCS = (
+    f"WITH RECURSIVE {_PAIRS}, t AS (SELECT id, list_filter(regexp_split_to_array(lower(candidate), '[^a-z0-9]+'), lambda w: w <> '') AS a, list_filter(regexp_split_to_array(lower(reference), '[^a-z0-9]+'), lambda w: w <> '') AS b FROM prs), "
+    "dp(id, i, row) AS (SELECT id, 0, list_transform(b, lambda w: 0) FROM t UNION ALL SELECT d.id, d.i + 1, list_transform(range(1, len(b) + 1), lambda j: list_max(list_transform(range(1, j + 1), lambda x: CASE WHEN b[x] = a[d.i + 1] THEN CASE WHEN x > 1 THEN d.row[x - 1] ELSE 0 END + 1 ELSE d.row[x] END))) FROM dp d JOIN t USING (id) WHERE d.i < len(a)), "
+    "l AS (SELECT t.id, len(a) AS na, len(b) AS nb, coalesce(row[len(b)], 0) AS l FROM t JOIN dp ON dp.id = t.id AND dp.i = len(a)) "
+)
+
+
+@register("rouge_l", _LCS + "SELECT id, round(CASE WHEN l = 0 THEN 0 ELSE 2.0 * l / (na + nb) END, 9) AS rouge_l FROM l")
 def _(spark, sf_dir):
     return _rounded(textsim.rouge_l(pairs(spark, sf_dir)), 9)
 
 
-_KNN = (
-    "WITH q AS (SELECT vec_id AS query_id, embedding AS qv FROM embeddings WHERE vec_id < 50), c AS (SELECT vec_id AS clause_id, label % 2 AS doc, embedding AS cv FROM embeddings WHERE vec_id BETWEEN 50 AND 467), "
-    "d AS (SELECT query_id, doc, clause_id, list_distance(CAST(qv AS DOUBLE[]), CAST(cv AS DOUBLE[])) AS distance FROM q, c), t AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY distance, clause_id) AS r FROM d), "
-    "k AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id, doc ORDER BY distance, clause_id) AS INTEGER) AS rank FROM t WHERE r <= 15), kept AS (SELECT * FROM k WHERE rank <= 5) "
+_REPORT = (
+    _GRAMS.replace("prs AS (SELECT", "prs AS (SELECT a.conv_id % 3 AS fold,", 1)
+    + "mm AS (SELECT coalesce(a.id, b.id) AS id, coalesce(a.n, b.n) AS n, sum(least(coalesce(a.c, 0), coalesce(b.c, 0))) AS m, coalesce(sum(a.c), 0) AS t FROM (SELECT * FROM k WHERE side = 'c') a FULL JOIN (SELECT * FROM k WHERE side = 'r') b ON a.id = b.id AND a.n = b.n AND a.gram = b.gram GROUP BY 1, 2), "
+    "l AS (SELECT id, max(CASE WHEN side = 'c' THEN len(w) END) AS cw, max(CASE WHEN side = 'r' THEN len(w) END) AS rw FROM s GROUP BY 1), f AS (SELECT id, ns.n, coalesce(m, 0) AS m, coalesce(t, 0) AS t FROM (SELECT id, unnest([1, 2, 3, 4]) AS n FROM l) ns LEFT JOIN mm USING (id, n)), "
+    "g AS (SELECT id, sum(ln(CASE WHEN m = 0 THEN 0.1 ELSE m END / greatest(t, 1))) / 4 AS lg, max(CASE WHEN n = 1 THEN m END) AS m1 FROM f GROUP BY 1), bl AS (SELECT id, CASE WHEN m1 = 0 THEN 0 ELSE CASE WHEN cw > rw THEN 1 ELSE exp(1 - rw / cw) END * exp(lg) END AS bleu FROM g JOIN l USING (id)), "
+    "kf AS (SELECT k.*, fold FROM k JOIN prs USING (id)), df AS (SELECT fold, n, gram, count(*) AS df FROM kf GROUP BY 1, 2, 3), tt AS (SELECT fold, 2.0 * count(*) AS tot FROM prs GROUP BY 1), v AS (SELECT id, side, n, gram, c / greatest(1, words) * ln(greatest(1.0, tot / df)) AS v FROM kf JOIN df USING (fold, n, gram) JOIN tt USING (fold)), "
+    "p AS (SELECT coalesce(a.id, b.id) AS id, coalesce(a.n, b.n) AS n, coalesce(a.v, 0) AS x, coalesce(b.v, 0) AS y FROM (SELECT * FROM v WHERE side = 'c') a FULL JOIN (SELECT * FROM v WHERE side = 'r') b ON a.id = b.id AND a.n = b.n AND a.gram = b.gram), "
+    "q AS (SELECT id, n, coalesce(sum(x * y) / nullif(sqrt(sum(x * x)) * sqrt(sum(y * y)), 0), 0) AS cs FROM p GROUP BY 1, 2), ci AS (SELECT id, sum(cs) / 4 * exp(-any_value((cw - rw) * (cw - rw)) / 72.0) * 10 AS cider FROM q JOIN l USING (id) GROUP BY 1), "
+    "rows_ AS (SELECT id, fold, CASE id % 4 WHEN 0 THEN 'Yes' WHEN 1 THEN 'No' ELSE 'Unclear' END AS gold, CASE id % 5 WHEN 0 THEN 'Yes' WHEN 1 THEN 'No' ELSE 'Unclear' END AS pred FROM prs), "
+    "lb AS (SELECT fold, x AS lab FROM (SELECT DISTINCT fold FROM prs), (SELECT unnest(['Yes', 'No', 'Unclear']) AS x)), fc AS (SELECT lb.fold, lab, count(*) FILTER (gold = lab AND pred = lab) AS tp, count(*) FILTER (pred = lab) AS np, count(*) FILTER (gold = lab) AS ng FROM lb JOIN rows_ USING (fold) GROUP BY 1, 2), "
+    "mf AS (SELECT fold, avg(coalesce(2.0 * tp / nullif(np + ng, 0), 0)) AS f FROM fc GROUP BY 1) "
+    "SELECT CAST(fold AS BIGINT) AS fold, count(*) AS n_scored, count(bleu) AS n_pairs, round(avg(CASE WHEN pred = gold THEN 1.0 ELSE 0 END), 4) AS accuracy, round(any_value(f), 4) AS macro_f1, round(avg(bleu), 4) AS bleu, round(avg(cider), 4) AS cider FROM rows_ LEFT JOIN bl USING (id) LEFT JOIN ci USING (id) JOIN mf USING (fold) GROUP BY 1"
 )
 
 
-def knn_found(spark, sf_dir):
-    e = table(spark, sf_dir, "embeddings")
-    q = e.where("vec_id < 50").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("vector"))
-    c = e.where("vec_id between 50 and 467").select(F.col("vec_id").alias("clause_id"), (F.col("label") % 2).alias("doc"), F.col("embedding").alias("vector"))
-    return retrieval.knn(q, c), q
+@register("evaluation_report", _REPORT)
+def _(spark, sf_dir):
+    """Scores by fold: labels and texts together. ROUGE-L has a query of its own."""
+    say = lambda m: F.when(F.col("id") % m == 0, "Yes").when(F.col("id") % m == 1, "No").otherwise("Unclear")
+    rows = pairs(spark, sf_dir).withColumns({"fold": F.floor(F.col("id") / 1000) % 3, "gold": say(4), "pred": say(5)})
+    return textsim.report(rows, ["fold"], "id", ["Yes", "No", "Unclear"]).drop("rouge_l")
 
 
-def _whole(sql: str) -> str:
-    """The same over the whole table: ids divisible by 100 ask, all other rows are clauses."""
-    return sql.replace("WHERE vec_id < 50", "WHERE vec_id % 100 = 0").replace("WHERE vec_id BETWEEN 50 AND 467", "WHERE vec_id % 100 <> 0")
+_KNN = (
+    "WITH q AS (SELECT vec_id AS query_id, embedding AS qv FROM embeddings WHERE vec_id % 100 = 0), c AS (SELECT vec_id AS clause_id, label % 2 AS doc, embedding AS cv FROM embeddings WHERE vec_id % 100 <> 0), "
+    "d AS (SELECT query_id, doc, clause_id, list_distance(CAST(qv AS DOUBLE[]), CAST(cv AS DOUBLE[])) AS distance FROM q, c), t AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY distance, clause_id) AS r FROM d), "
+    "k AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id, doc ORDER BY distance, clause_id) AS INTEGER) AS rank FROM t WHERE r <= 15), kept AS (SELECT * FROM k WHERE rank <= 5) "
+)
 
 
-def knn_found_whole(spark, sf_dir):
+def knn_found(spark, sf_dir):
+    """The whole table: ids divisible by 100 ask, all other rows are clauses."""
     e = table(spark, sf_dir, "embeddings")
     q = e.where("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("vector"))
     c = e.where("vec_id % 100 <> 0").select(F.col("vec_id").alias("clause_id"), (F.col("label") % 2).alias("doc"), F.col("embedding").alias("vector"))
@@ -467,29 +497,25 @@ def _(spark, sf_dir):
     return retrieval.tfidf_top(table(spark, sf_dir, "benchmark"), table(spark, sf_dir, "documents"), 5, "item_id", "doc_id")
 
 
-@register(
-    "clause_split",
-    "WITH l AS (SELECT source, doc_id, n_chars, left(text, 200) AS t FROM documents WHERE lang IN ('fr', 'en')), x AS (SELECT CAST(regexp_extract(source, '\\d+') AS INTEGER) AS section, doc_id % 30 AS no, doc_id, t FROM l) "
-    "SELECT CAST(section AS VARCHAR) AS section, CAST(section AS VARCHAR) || '.' || no AS clause_id, count(*) AS n FROM x WHERE no < 100 GROUP BY 1, 2",
+_PAGES = (
+    "pg AS (SELECT regexp_extract(source, '\\d+', 0) AS section, doc_id, CASE WHEN doc_id % 3 > 0 THEN '  ' || regexp_extract(source, '\\d+', 0) || '.' || (doc_id % 30) || ' ' ELSE '' END || text AS t FROM documents WHERE text IS NOT NULL), "
+    "ct AS (SELECT *, regexp_extract_all(t, '(?m)^[ \\t]*(' || section || '\\.\\d{1,2})\\s+', 1) AS ids, regexp_split_to_array(t, '(?m)^[ \\t]*' || section || '\\.\\d{1,2}\\s+') AS parts FROM pg), "
+    "nb AS (SELECT *, coalesce(sum(len(ids)) OVER (PARTITION BY section ORDER BY doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS bef FROM ct), "
+    "pc AS (SELECT section, doc_id, bef, ids, unnest(range(0, len(parts))) AS i, unnest(parts) AS piece FROM nb), pd AS (SELECT section, doc_id, i, bef + i AS clause, CASE WHEN i > 0 THEN ids[i] END AS cid, piece FROM pc WHERE bef + i > 0 AND (i > 0 OR piece <> '')), "
+    "cl AS (SELECT section, clause, max(cid) AS clause_id, min(doc_id) AS page, trim(string_agg(piece, chr(10) ORDER BY doc_id, i)) AS body FROM pd GROUP BY 1, 2) "
 )
-def _(spark, sf_dir):
-    d = table(spark, sf_dir, "documents").where("lang in ('fr', 'en')")
-    section = F.regexp_extract("source", r"\d+", 0)
-    text = F.concat(F.lit("  "), section, F.lit("."), (F.col("doc_id") % 30).cast("string"), F.lit(" "), F.translate(F.substring("text", 1, 200), "\n", " "))
-    pages = d.select(F.lit("IRC").alias("doc"), section.alias("section"), F.col("doc_id").alias("page"), text.alias("text"))
-    return retrieval.clause_split(pages).groupBy("section", "clause_id").agg(F.count(F.lit(1)).alias("n"))
 
 
-@register("knn_retrieval_whole", _whole(SQL["knn_retrieval"]))
+@register("clause_split", f"WITH {_PAGES} SELECT section, clause_id, page, left(string_split(body, chr(10))[1], 120) AS heading, md5(left(body, 4000)) AS text_md5 FROM cl")
 def _(spark, sf_dir):
-    return _rounded(knn_found_whole(spark, sf_dir)[0], 9)
-
-
-@register("retrieval_relevance_whole", _whole(SQL["retrieval_relevance"]))
-def _(spark, sf_dir):
-    return _rounded(retrieval.retrieval_relevance(*knn_found_whole(spark, sf_dir)), 9)
+    """Documents of a source as pages of a section; two of three begin with a clause number, the others go on."""
+    d = table(spark, sf_dir, "documents").where("text is not null")
+    section = F.regexp_extract("source", r"\d+", 0)
+    mark = F.when(F.col("doc_id") % 3 > 0, F.concat(F.lit("  "), section, F.lit("."), (F.col("doc_id") % 30).cast("string"), F.lit(" "))).otherwise("")
+    pages = d.select(F.lit("IRC").alias("doc"), section.alias("section"), F.col("doc_id").alias("page"), F.concat(mark, "text").alias("text"))
+    return retrieval.clause_split(pages).select("section", "clause_id", "page", "heading", F.md5("text").alias("text_md5"))
 
 
-@register("precision_at_k_whole", _whole(SQL["precision_at_k"]))
-def _(spark, sf_dir):
-    return _rounded(_precision(knn_found_whole(spark, sf_dir)[0]), 9)
+# Names of an earlier round; the searches read the whole table under both.
+for _name in ("knn_retrieval", "retrieval_relevance", "precision_at_k"):
+    register(f"{_name}_whole", SQL[_name])(QUERIES[_name])

@@ -13,7 +13,7 @@ from roadweave.sources.adapters import TELEMETRY, table, telemetry
 QUERIES, SQL, register = registrar()
 
 
-_GPS = "gps AS (SELECT event_id, 17.5 + ay / 1000 AS lat, 78.2 + ax / 1000 AS lon FROM tele WHERE clip_id = 'view')"
+_GPS = "gps AS (SELECT event_id, 17.5 + ay / 1000 AS lat, 78.2 + ax / 1000 AS lon FROM tele)"
 
 
 @register(
@@ -25,8 +25,7 @@ _GPS = "gps AS (SELECT event_id, 17.5 + ay / 1000 AS lat, 78.2 + ax / 1000 AS lo
     "round(0.9996 * (m + n * tan(phi) * (a * a / 2 + (5 - t + 9 * c + 4 * c * c) * pow(a, 4) / 24 + (61 - 58 * t + t * t + 600 * c - 330 * ep) * pow(a, 6) / 720)) + CASE WHEN ml < 0 THEN 10000000 ELSE 0 END, 4) AS y FROM q",
 )
 def _(spark, sf_dir):
-    t = telemetry(spark, sf_dir).where("clip_id = 'view'")
-    gps = t.select("event_id", (F.lit(17.5) + F.col("ay") / 1000).alias("lat"), (F.lit(78.2) + F.col("ax") / 1000).alias("lon"))
+    gps = telemetry(spark, sf_dir).select("event_id", (F.lit(17.5) + F.col("ay") / 1000).alias("lat"), (F.lit(78.2) + F.col("ax") / 1000).alias("lon"))
     return _rounded(spatial.utm(gps).select("event_id", "x", "y"), 4)
 
 
@@ -153,7 +152,7 @@ def rider_rows(spark, sf_dir):
     d = table(spark, sf_dir, "documents").join(table(spark, sf_dir, "labels"), "doc_id")
     action = F.element_at(F.array(*map(F.lit, rider.ACTION)), (F.col("doc_id") % 4 + 1).cast("int"))
     clause = lambda m: F.concat(F.lit("c"), (F.col("doc_id") % m).cast("string"))
-    said = F.concat(F.substring("text", 1, 60), F.when(F.col("doc_id") % 3 == 0, " a car ahead made the rider brake hard and swerve at once").otherwise(" IRC:35 pavement gap"))
+    said = F.concat("text", F.when(F.col("doc_id") % 3 == 0, " a car ahead made the rider brake hard and swerve at once").otherwise(" IRC:35 pavement gap"))
     return d.select(
         F.col("doc_id").alias("event_id"), F.col("source").alias("rider"), F.when(F.col("doc_id") % 2 == 0, "V1").otherwise("V2").alias("model"), action.alias("evasive_action"),
         said.alias("evasive_reasoning"), F.when(F.col("doc_id") % 5 == 0, "traffic ahead").otherwise("empty").alias("env"), F.lit("smooth").alias("road_surface"), F.lit("none").alias("infrastructure"),
@@ -162,13 +161,20 @@ def rider_rows(spark, sf_dir):
     )
 
 
-@register(
-    "rider_metrics",
-    "WITH r AS (SELECT doc_id, source AS rider, CASE WHEN doc_id % 2 = 0 THEN 'V1' ELSE 'V2' END AS model, doc_id % 4 AS a, left(text, 60) || CASE WHEN doc_id % 3 = 0 THEN ' a car ahead made the rider brake hard and swerve at once' ELSE ' IRC:35 pavement gap' END AS s, CASE WHEN doc_id % 5 = 0 THEN 'traffic ahead' ELSE 'empty' END AS env, quality FROM documents JOIN labels USING (doc_id)), "
-    "o AS (SELECT rider, model, CASE WHEN doc_id % 5 IN (doc_id % 3, doc_id % 7) THEN 1 ELSE 0 END AS c, CASE WHEN regexp_matches(s, '(?i)(vehicle|motorcy|bike|auto|truck|bus|swerv|brake|obstacle|hazard|pothole|pedestrian|sudden|cut.?off|car|lorry|oncoming)') AND NOT regexp_matches(s, '(?i)(road surface|IRC[:-]?3[57]|IRC[:-]?6[67]|infrastructure|pavement)') AND len(list_filter(regexp_split_to_array(s, '\\s+'), lambda w: w <> '')) >= 8 THEN 1 ELSE 0 END AS h, "
-    "CASE WHEN quality = 0 THEN 1 ELSE 0 END AS i, CASE WHEN regexp_matches(s, CASE a WHEN 0 THEN '(?i)(accelerat|speed up|throttle|gap|pull away)' WHEN 1 THEN '(?i)(decelerat|slow|brake|following distance|slow.?down)' WHEN 2 THEN '(?i)(hard brak|emergency|sudden stop|collision|obstacle|cut.?off|brake)' ELSE '(?i)(lane change|swerv|lateral|overtake|merge)' END) THEN 1 ELSE 0 END AS d, "
-    "round((doc_id % 10 / 10 + 0.5) / 2, 4) AS cr, CASE WHEN model = 'V1' AND regexp_matches(env || ' ' || s || ' smooth none', '(?i)(speed|kmh|km/h|accelerat|decelerat|lateral|brake|km|velocity)') THEN 1 ELSE 0 END AS t, CASE WHEN env <> 'empty' THEN 1 ELSE 0 END AS v FROM r) "
-    "SELECT rider, model, count(*) AS n, round(avg(c), 4) AS rider_chr, round(avg(h), 4) AS rider_rhr, round(avg(i), 4) AS rider_icdi, round(avg(d), 4) AS rider_idas, round(avg(cr), 4) AS rider_crrs, round(avg(t), 4) AS rider_tipu, round(avg(v), 4) AS rider_tvgc FROM o GROUP BY 1, 2",
-)
+def _patterns(sql: str) -> str:
+    """SQL with the rider rules' patterns in it."""
+    action = "CASE a " + " ".join(f"WHEN {i} THEN '{p}'" for i, p in enumerate(rider.ACTION.values())) + " END"
+    for name, text in {"{HAZARD}": rider.HAZARD, "{BLEED}": rider.BLEED, "{TELEMETRY}": rider.TELEMETRY, "{ACTION}": action}.items():
+        sql = sql.replace(name, text)
+    return sql
+
+
+@register("rider_metrics", _patterns(
+    "WITH r AS (SELECT doc_id, source AS rider, CASE WHEN doc_id % 2 = 0 THEN 'V1' ELSE 'V2' END AS model, doc_id % 4 AS a, text || CASE WHEN doc_id % 3 = 0 THEN ' a car ahead made the rider brake hard and swerve at once' ELSE ' IRC:35 pavement gap' END AS s, CASE WHEN doc_id % 5 = 0 THEN 'traffic ahead' ELSE 'empty' END AS env, quality FROM documents JOIN labels USING (doc_id)), "
+    "o AS (SELECT rider, model, CASE WHEN doc_id % 5 IN (doc_id % 3, doc_id % 7) THEN 1 ELSE 0 END AS c, CASE WHEN regexp_matches(s, '{HAZARD}') AND NOT regexp_matches(s, '{BLEED}') AND len(list_filter(regexp_split_to_array(s, '\\s+'), lambda w: w <> '')) >= 8 THEN 1 ELSE 0 END AS h, "
+    "CASE WHEN quality = 0 THEN 1 ELSE 0 END AS i, CASE WHEN regexp_matches(s, {ACTION}) THEN 1 ELSE 0 END AS d, "
+    "round((doc_id % 10 / 10 + 0.5) / 2, 4) AS cr, CASE WHEN model = 'V1' AND regexp_matches(env || ' ' || s || ' smooth none', '{TELEMETRY}') THEN 1 ELSE 0 END AS t, CASE WHEN env <> 'empty' THEN 1 ELSE 0 END AS v FROM r) "
+    "SELECT rider, model, count(*) AS n, round(avg(c), 4) AS rider_chr, round(avg(h), 4) AS rider_rhr, round(avg(i), 4) AS rider_icdi, round(avg(d), 4) AS rider_idas, round(avg(cr), 4) AS rider_crrs, round(avg(t), 4) AS rider_tipu, round(avg(v), 4) AS rider_tvgc FROM o GROUP BY 1, 2"
+))
 def _(spark, sf_dir):
     return rider.summary(rider_rows(spark, sf_dir))

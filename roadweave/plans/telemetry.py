@@ -343,3 +343,51 @@ def _(spark, sf_dir):
     got = review.grid_search(telemetry(spark, sf_dir), gold, AXES, (10, 20, 40), (1.8, 2.0, 2.2, 2.6), (1, 2), GAP, "tolerance", 60.0)
     best = got.where("f1 is not null").orderBy(F.desc("f1"), "width", "k", "channels").limit(10)
     return _rounded(best.select("width", "k", "channels", "tp", "fp", "fn", "f1"))
+
+
+#: (name, strategy, flag in SQL, merged, options): the settings of the threshold ablation, then the sweep of k.
+STRATEGIES = [
+    ("fixed_global", "fixed_global", "abs(z) > 2.0", False, {}), ("adaptive_single", "adaptive_single", "abs(z_total) > 2.0", False, {}), ("adaptive_any", "adaptive_any", "v >= 1", False, {}),
+    ("adaptive_fusion", "adaptive_fusion", "v >= 2", False, {}), ("adaptive_fusion_merged", "adaptive_fusion_merged", "v >= 2", True, {}), ("adaptive_fusion_speed", "adaptive_fusion_speed", "sv >= 2", True, {}),
+]
+SWEEP = [(f"k={k}", "adaptive_fusion_merged", " + ".join(f"CASE WHEN abs(z_{c}) > {k} THEN 1 ELSE 0 END" for c in AXES) + " >= 2", True, {"k": k}) for k in (1.5, 2.0, 2.5, 3.0, 3.5)]
+
+
+def _events_sql(name: str, flag: str, merged: bool) -> str:
+    """CTEs that end in ``name``: clip_id, start_time, end_time of the runs of a flag, merged where they overlap."""
+    sql = _runs(f"{name}_r", "flags", flag) + f", {name}_e AS (SELECT clip_id, min(cts) AS start_time, max(cts) AS end_time FROM {name}_r GROUP BY clip_id, event_no)"
+    if not merged:
+        return sql + f", {name} AS (SELECT * FROM {name}_e)"
+    return sql + (
+        f", {name}_m AS (SELECT *, CASE WHEN start_time <= max(end_time) OVER (PARTITION BY clip_id ORDER BY start_time, end_time ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) THEN 0 ELSE 1 END AS fresh2 FROM {name}_e), "
+        f"{name}_o AS (SELECT *, sum(fresh2) OVER (PARTITION BY clip_id ORDER BY start_time, end_time ROWS UNBOUNDED PRECEDING) AS no FROM {name}_m), {name} AS (SELECT clip_id, min(start_time) AS start_time, max(end_time) AS end_time FROM {name}_o GROUP BY clip_id, no)"
+    )
+
+
+def _table_sql(base: str, settings: list[tuple[str, str, bool]], gold: str = "g", tolerance: float = 60.0, more: str = "", columns: str = "") -> str:
+    """The score table of several event CTEs (name, flag, merged) against ``gold``."""
+    parts = ", ".join(_events_sql(f"s{i}", flag, merged) for i, (_, flag, merged) in enumerate(settings))
+    union = " UNION ALL ".join(f"SELECT '{name}' AS config, clip_id, start_time, end_time FROM s{i}" for i, (name, _, _) in enumerate(settings))
+    return base + parts + ", " + _ev(gold, 2.4) + f", every AS ({union}), " + _score_table(gold, tolerance) + more + f" SELECT config, n_pred, round(p, 6) AS precision, round(r, 6) AS recall, round(CASE WHEN p + r = 0 THEN 0 ELSE 2 * p * r / (p + r) END, 6) AS f1, round((n_pred - tp) / n_pred, 6) AS fp_rate, round(CASE WHEN tt = 0 THEN 0 ELSE 2.0 * tt / (n_pred + ng) END, 6) AS f1_tolerance{columns} FROM sc"
+
+
+def _score_table(gold: str, tolerance: float) -> str:
+    return (
+        f"pn AS (SELECT config, count(*) AS n_pred FROM every WHERE clip_id IN (SELECT clip_id FROM {gold}) GROUP BY 1), "
+        f"pt AS (SELECT config, count(*) AS tp FROM every p JOIN {gold} g ON p.clip_id = g.clip_id WHERE (least(p.end_time, g.end_time) - greatest(p.start_time, g.start_time)) / nullif(greatest(p.end_time, g.end_time) - least(p.start_time, g.start_time), 0) >= 0.5 GROUP BY 1), "
+        f"pm AS (SELECT config, count(*) AS tt FROM every p JOIN {gold} g ON p.clip_id = g.clip_id WHERE abs((p.start_time + p.end_time) / 2 - (g.start_time + g.end_time) / 2) <= {tolerance} GROUP BY 1), "
+        f"sc AS (SELECT config, n_pred, coalesce(tp, 0) AS tp, coalesce(tt, 0) AS tt, (SELECT count(*) FROM {gold}) AS ng, coalesce(tp, 0) / n_pred AS p, coalesce(tp, 0) / (SELECT count(*) FROM {gold}) AS r FROM pn LEFT JOIN pt USING (config) LEFT JOIN pm USING (config))"
+    )
+
+
+def _strategies(settings):
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        t = timeseries.global_z(telemetry(spark, sf_dir), "ax").withColumn("total", timeseries.magnitude(*AXES))
+        common = {"gap": GAP, "width": WIDTH, "columns": AXES, "k": K}
+        return _rounded(review.strategy_table(t, candidates(spark, sf_dir, 2.4), [(name, strategy, common | options) for name, strategy, _, _, options in settings], tolerance=60.0))
+
+    return run
+
+
+register("threshold_ablation", _table_sql(_strategy_base(), [(name, flag, merged) for name, _, flag, merged, _ in STRATEGIES]))(_strategies(STRATEGIES))
+register("threshold_k_sweep", _table_sql(_strategy_base(), [(name, flag, merged) for name, _, flag, merged, _ in SWEEP]))(_strategies(SWEEP))
