@@ -50,3 +50,12 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     path = f"{session_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def spread(df: DataFrame, *keys: str) -> DataFrame:
+    """``df`` dealt by ``keys`` to all shuffle partitions, also where its rows are few.
+
+    For steps that cost much a row (windows, n-grams) and group by ``keys`` afterwards: that grouping
+    then needs no shuffle of its own, and adaptive execution does not put small partitions together.
+    """
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)

@@ -7,8 +7,9 @@ from collections.abc import Callable, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from roadweave.functions.storage import spread
 from roadweave.operators.intervals import merge_intervals
-from roadweave.operators.timeseries import CLIP, TIME, in_time, rolling_z_column
+from roadweave.operators.timeseries import CLIP, TIME, in_time, rolling_z, rolling_z_column
 
 
 def moving(speed: Column, least: float = 2.0) -> Column:
@@ -40,7 +41,7 @@ def candidate_aggregates(z: str = "z") -> list[Column]:
 
 def candidate_events(df: DataFrame, column: str, width: int, k: float, gap: float) -> DataFrame:
     """The flagship: rolling z-score, threshold, runs, aggregates."""
-    z = df.withColumn("z", rolling_z_column(column, width))
+    z = spread(df, CLIP).withColumn("z", rolling_z_column(column, width))
     return flags_to_events(z, F.abs("z") > k, gap, candidate_aggregates())
 
 
@@ -59,7 +60,7 @@ def speed_scaled_k(speed: Column, k: float) -> Column:
 
 
 def _with_rolling(df: DataFrame, columns: Sequence[str], width: int) -> DataFrame:
-    return df.withColumns({f"_z_{c}": rolling_z_column(c, width) for c in columns})
+    return rolling_z(df, {f"_z_{c}": (c, width) for c in columns})
 
 
 def fixed_global(df: DataFrame, gap: float, k: float = 3.0, z: str = "z", **_: object) -> DataFrame:

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from roadweave.functions.storage import stored
+from roadweave.functions.storage import spread, stored
 from roadweave.operators.textsim import tokens
 
 #: Clauses that a task compares with a query at once.
@@ -87,12 +87,12 @@ def tfidf_top(queries: DataFrame, documents: DataFrame, k: int = 5, query: str =
 
     Terms are joined, so only documents that share a term with a query are met; terms in more than
     ``most_share`` of the documents may be left out of the join. idf = ln((1 + N) / (1 + df)) + 1.
-    A document's words are counted once and stored. A term brings its idf and the queries that have
+    A document's words are counted once, where its text is dealt, and stored. A term brings its idf and the queries that have
     it, so the products and the document's own square are summed in one pass, before the shuffle by
     document; terms that most documents share are so summed where they are met.
     """
     def terms(df: DataFrame, key: str) -> DataFrame:
-        return df.select(key, F.explode(tokens(F.col(text))).alias("term")).groupBy(key, "term").agg(F.count(F.lit(1)).alias("tf"))
+        return spread(df.select(key, text), key).select(key, F.explode(tokens(F.col(text))).alias("term")).groupBy(key, "term").agg(F.count(F.lit(1)).alias("tf"))
 
     d = stored(terms(documents, doc), "tfidf-terms")
     n = documents.agg(F.count(F.lit(1)).cast("double").alias("N"))

@@ -8,8 +8,9 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from roadweave.functions.storage import stored
 from roadweave.operators.intervals import END, START, matched
-from roadweave.operators.timeseries import CLIP, TIME, rolling_z_column
+from roadweave.operators.timeseries import CLIP, TIME, rolling_z, rolling_z_column
 
 
 def decided(decision: Column, wanted: str = "confirm") -> Column:
@@ -51,7 +52,15 @@ def scored(pred: DataFrame, gold: DataFrame, by: str = "tiou", threshold: float
     """``config``, tp, fp, fn and rates, pooled over the clips that have gold events.
 
     With ``config`` columns in ``pred`` every configuration is scored against the same gold events in one job.
+    Events are few and made at some cost, and are read several times here: both sides are stored.
     """
+    pred = stored(pred.select(*config, CLIP, START, END), "scored-pred")
+    gold = stored(gold.select(CLIP, START, END), "scored-gold")
+    return _scored(pred, gold, by, threshold, config)
+
+
+def _scored(pred: DataFrame, gold: DataFrame, by: str, threshold: float, config: Sequence[str]) -> DataFrame:
+    """``scored`` over stored tables."""
     clips = gold.select(CLIP).distinct()
     inside = pred.join(clips, CLIP, "left_semi")
     n_gold = gold.agg(F.count(F.lit(1)).alias("ng"))
@@ -75,8 +84,8 @@ def grid_events(df: DataFrame, columns: Sequence[str], widths: Sequence[int], ks
     """
     spark = df.sparkSession
     # All widths in one pass over one sort, as columns; then one row a width.
-    wide = df.select(*config, CLIP, TIME, *[F.abs(rolling_z_column(c, w, clip=[*config, CLIP])).alias(f"_z{w}_{i}") for w in widths for i, c in enumerate(columns)])
-    per_width = F.array(*[F.struct(F.lit(w).alias("width"), *[F.col(f"_z{w}_{i}").alias(f"_z{i}") for i in range(len(columns))]) for w in widths])
+    wide = rolling_z(df.select(*config, CLIP, TIME, *columns), {f"_z{w}_{i}": (c, w) for w in widths for i, c in enumerate(columns)}, [*config, CLIP])
+    per_width = F.array(*[F.struct(F.lit(w).alias("width"), *[F.abs(f"_z{w}_{i}").alias(f"_z{i}") for i in range(len(columns))]) for w in widths])
     keep = wide.select(*config, CLIP, TIME, F.explode(per_width).alias("_w")).select(*config, CLIP, TIME, "_w.*")
     keep = keep.where(F.greatest(*[F.coalesce(f"_z{i}", F.lit(0.0)) for i in range(len(columns))]) > min(ks))
     grid = spark.createDataFrame([(float(k), int(c)) for k in ks for c in channels], "k double, channels int")
@@ -99,8 +108,9 @@ def grid_search(df: DataFrame, gold: DataFrame, columns: Sequence[str], widths:
 
 def score_table(events: DataFrame, gold: DataFrame, config: Sequence[str], overlap: float = 0.5, tolerance: float = 0.5) -> DataFrame:
     """``config``, n_pred, precision, recall, f1, fp_rate by tIoU, and f1_tolerance: one row a configuration, in one job."""
-    by_overlap = scored(events, gold, "tiou", overlap, config)
-    near = scored(events, gold, "tolerance", tolerance, config).select(*config, F.col("f1").alias("f1_tolerance"))
+    events, gold = stored(events.select(*config, CLIP, START, END), "scored-pred"), stored(gold.select(CLIP, START, END), "scored-gold")
+    by_overlap = _scored(events, gold, "tiou", overlap, config)
+    near = _scored(events, gold, "tolerance", tolerance, config).select(*config, F.col("f1").alias("f1_tolerance"))
     return by_overlap.select(*config, (F.col("tp") + F.col("fp")).alias("n_pred"), "precision", "recall", "f1", "fp_rate").join(near, list(config))
 
 

@@ -8,7 +8,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from roadweave.functions.storage import stored
+from roadweave.functions.storage import spread, stored
 
 
 def tokens(text: Column) -> Column:
@@ -25,9 +25,10 @@ def ngrams(words: Column, n: int) -> Column:
 def gram_rows(pairs: DataFrame, keys: Sequence[str], most: int = 4) -> DataFrame:
     """keys, cw, rw, n, gram, cc, cr: how often each n-gram stands in the candidate and in the reference (cw and rw words).
 
-    A pair without n-grams keeps one row, with a null gram. Both sides meet in one shuffle.
+    A pair without n-grams keeps one row, with a null gram. Texts are dealt by ``keys``, so n-grams
+    are counted where they are made and never shuffled one by one.
     """
-    sides = pairs.select(*keys, tokens(F.col("candidate")).alias("_c"), tokens(F.col("reference")).alias("_r"))
+    sides = spread(pairs, *keys).select(*keys, tokens(F.col("candidate")).alias("_c"), tokens(F.col("reference")).alias("_r"))
 
     def of_length(words: str, n: int, mine: int) -> Column:
         return F.transform(ngrams(F.col(words), n), lambda g: F.struct(F.lit(n).alias("n"), g.alias("gram"), F.lit(mine).alias("mine")))

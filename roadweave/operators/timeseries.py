@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from roadweave.functions.storage import spread
+
 CLIP, TIME = "clip_id", "cts"
 
 
@@ -64,6 +66,32 @@ def rolling_z_column(column: str, width: int, least: int = 1, epsilon: float = 0
     return F.when(F.count(column).over(w) >= least, z)
 
 
+def rolling_z(df: DataFrame, made: dict[str, tuple[str, int]], clip: str | Sequence[str] = CLIP, time: str = TIME) -> DataFrame:
+    """``df`` plus centred rolling z-scores: ``made`` names (column, width) for each new column.
+
+    The windows of ``rolling_z_column``, from running sums over one sort, so the cost does not grow
+    with the widths or their number. Values are centred by the clip's mean first; a deviation is 0,
+    and the score null, where the variance is below 1e-12 of the window's scale.
+    """
+    keys = [clip] if isinstance(clip, str) else list(clip)
+    w = in_time(keys, time)
+    whole, running = Window.partitionBy(*keys), w.rowsBetween(Window.unboundedPreceding, 0)
+    columns = sorted({c for c, _ in made.values()})
+    y = {c: f"_y_{c}" for c in columns}
+    out = spread(df, *keys).withColumns({y[c]: F.col(c) - F.avg(c).over(whole) for c in columns})
+    sums = {f"_{n}_{c}": f(F.col(y[c])) for c in columns for n, f in (("s", lambda v: F.sum(F.coalesce(v, F.lit(0.0)))), ("q", lambda v: F.sum(F.coalesce(v * v, F.lit(0.0)))), ("n", F.count))}
+    out = out.withColumns({k: v.over(running) for k, v in sums.items()} | {"_i": F.row_number().over(w), "_m": F.count(F.lit(1)).over(whole)})
+    out = out.withColumns({f"_all{k}": F.last(k).over(w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)) for k in sums})
+    scores = {}
+    for name, (c, width) in made.items():
+        below, above = width // 2, (width - 1) // 2
+        s, q, n = (F.coalesce(F.lead(f"_{k}_{c}", above).over(w), F.col(f"_all_{k}_{c}")) - F.coalesce(F.lag(f"_{k}_{c}", below + 1).over(w), F.lit(0)) for k in "sqn")
+        rest = q - s * s / n
+        dev = F.when((n > 1) & (rest > 1e-12 * F.greatest(q, F.lit(1e-300))), F.sqrt(rest / (n - 1)))
+        scores[name] = F.when(n >= 1, (F.col(y[c]) - s / n) / dev)
+    return out.select(*df.columns, *[v.alias(k) for k, v in scores.items()])
+
+
 def rolling_z_by_clip(df: DataFrame, column: str, widths: DataFrame, out: str = "z", clip: str = CLIP, time: str = TIME) -> DataFrame:
     """The same with a width for each clip (``widths``: clip, width), from prefix sums.
 

@@ -375,7 +375,7 @@ def _(spark, sf_dir):
 
 @register(
     "cider_clipped",
-    _GRAMS + "d AS (SELECT n, gram, count(*) AS df FROM k WHERE side = 'r' GROUP BY 1, 2), t AS (SELECT CAST((SELECT count(*) FROM prs) AS DOUBLE) AS tot), v AS (SELECT id, side, n, gram, c / greatest(1, words) * CASE WHEN df IS NULL THEN 0 ELSE ln(greatest(1.0, tot / greatest(df, 1))) END AS v FROM k LEFT JOIN d USING (n, gram), t), "
+    _GRAMS + "d AS (SELECT n, gram, count(*) AS df FROM k WHERE side = 'r' GROUP BY 1, 2), t AS (SELECT CAST((SELECT count(*) FROM prs) AS DOUBLE) AS tot), v AS (SELECT id, side, n, gram, c / greatest(1, words) * ln(greatest(1.0, tot / greatest(coalesce(df, 1), 1))) AS v FROM k LEFT JOIN d USING (n, gram), t), "
     "p AS (SELECT coalesce(a.id, b.id) AS id, coalesce(a.n, b.n) AS n, coalesce(a.v, 0) AS x, coalesce(b.v, 0) AS y FROM (SELECT * FROM v WHERE side = 'c') a FULL JOIN (SELECT * FROM v WHERE side = 'r') b ON a.id = b.id AND a.n = b.n AND a.gram = b.gram), "
     "q AS (SELECT id, n, coalesce(sum(least(x, y) * y) / nullif(sqrt(sum(x * x)) * sqrt(sum(y * y)), 0), 0) AS cs FROM p GROUP BY 1, 2), l AS (SELECT id, max(CASE WHEN side = 'c' THEN len(w) END) - max(CASE WHEN side = 'r' THEN len(w) END) AS dl FROM s GROUP BY 1) SELECT id, round(sum(cs) / 4 * exp(-any_value(dl) * any_value(dl) / 72.0) * 10, 9) AS cider FROM q JOIN l USING (id) GROUP BY 1",
 )
