@@ -12,6 +12,11 @@ members outside the largest one are compared with the others in blocks of texts:
 rows, only links are, and a large group is dealt to many tasks. So no link between groups that share
 a bucket is lost; banding misses a pair at 0.8 with a probability of 7e-5.
 Exact copies are merged before all this.
+
+A group of copies, a bucket or a family may hold a third of all rows. Joins of rows with one row of
+their group take the largest groups (at most ``HOT``, each with more than a ``HOT``-th of the rows) by
+broadcast, so that their rows stay where they are; members meet the centre of their bucket in blocks
+that are bounded by texts and characters.
 """
 
 from __future__ import annotations
@@ -21,7 +26,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from roadweave.llm.common import stored
@@ -32,8 +37,12 @@ SHINGLE = 5
 SIMILAR = 0.8
 BANDS = 24
 ROWS = 5
-#: Texts of a block when members of mixed buckets are compared.
+#: Texts, and characters, of a block in which texts are compared, about.
 BLOCK = 128
+BLOCK_CHARS = 4_000_000
+#: Groups at most whose rows are joined by broadcast; smaller ones than FEW rows are not.
+HOT = 10_000
+FEW = 64
 #: Texts whose shingles a task remembers (speed only).
 KEPT = 4000
 #: Cells of the dense matrix by which two blocks are compared at once.
@@ -71,7 +80,7 @@ def _band_hashes(sig: np.ndarray, bands: int, rows: int) -> np.ndarray:
 
 
 def sketch(docs: DataFrame, bands: int = BANDS, rows: int = ROWS, width: int = SHINGLE) -> DataFrame:
-    """doc_id, h1, h2 (hash of the whole text), bands (hash of each band, null without words)."""
+    """doc_id, h1, h2 (hash of the whole text), chars, bands (hash of each band, null without words)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -81,11 +90,11 @@ def sketch(docs: DataFrame, bands: int = BANDS, rows: int = ROWS, width: int = S
                 has = np.bincount(doc, minlength=c.n) > 0
                 flat = pa.ListArray.from_arrays(pa.array(np.arange(0, sig.size + 1, bands, dtype=np.int32)), pa.array(sig.ravel()))
                 flat = pc.if_else(pa.array(has), flat, pa.scalar(None, flat.type))
-                ids = [batch.column(i).slice(c.lo, c.n) for i in (0, 2, 3)]
-                yield pa.RecordBatch.from_arrays([*ids, flat], ["doc_id", "h1", "h2", "bands"])
+                ids = [batch.column(i).slice(c.lo, c.n) for i in (0, 2, 3, 4)]
+                yield pa.RecordBatch.from_arrays([*ids, flat], ["doc_id", "h1", "h2", "chars", "bands"])
 
-    lean = docs.select("doc_id", "text", F.xxhash64("text").alias("h1"), F.xxhash64(F.lit(4), "text", F.length("text")).alias("h2"))
-    return lean.mapInArrow(run, "doc_id long, h1 long, h2 long, bands array<long>")
+    lean = docs.select("doc_id", "text", F.xxhash64("text").alias("h1"), F.xxhash64(F.lit(4), "text", F.length("text")).alias("h2"), F.length("text").cast("long").alias("chars"))
+    return lean.mapInArrow(run, "doc_id long, h1 long, h2 long, chars long, bands array<long>")
 
 
 def shingle_sets(texts: pa.Array, width: int = SHINGLE) -> list[np.ndarray]:
@@ -111,12 +120,55 @@ def similarity(a: pa.Array, b: pa.Array, width: int = SHINGLE) -> np.ndarray:
     return out
 
 
+def _hot(sized: DataFrame, keys: list[str], n: str, rows: int) -> DataFrame:
+    """The keys of the groups that have more than a HOT-th of ``rows``: HOT at most."""
+    return stored(sized.where(F.col(n) > max(FEW, rows // HOT)).select(*keys), "hot")
+
+
+def _one_of(left: DataFrame, right: DataFrame, keys: list[str], hot: DataFrame) -> DataFrame:
+    """``left`` with the columns of ``right`` (one row a key); rows of hot keys are not shuffled."""
+    if hot.isEmpty():
+        return left.join(right, keys)
+    few = F.broadcast(hot)  # HOT rows at most, and so are their rows of ``right``
+    return left.join(F.broadcast(right.join(few, keys, "left_semi")), keys).unionByName(left.join(few, keys, "left_anti").join(right, keys))
+
+
+def _kept(left: DataFrame, right: DataFrame, keys: list[str], hot: DataFrame, how: str = "left_semi") -> DataFrame:
+    """Rows of ``left`` whose key is in ``right`` (or, by ``left_anti``, is not); rows of hot keys are not shuffled."""
+    # Merged at every size: the texts move once, and small inputs show the plan of large ones.
+    if hot.isEmpty():
+        return left.join(right.hint("merge"), keys, how)
+    few = F.broadcast(hot)
+    near = F.broadcast(right.join(few, keys, "left_semi"))
+    return left.join(few, keys, "left_semi").join(near, keys, how).unionByName(left.join(few, keys, "left_anti").join(right.hint("merge"), keys, how))
+
+
+def _parts(n: str, chars: str, block: int) -> Column:
+    """Blocks of a group of ``n`` texts with so many characters."""
+    return F.ceil(F.greatest(F.col(n) / block, F.col(chars) / BLOCK_CHARS))
+
+
 def _verified(pairs: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
-    """a, b of the pairs that are similar enough."""
-    alike = F.arrow_udf("double")(lambda a, b: pa.array(similarity(a, b)))
-    left = texts.select(F.col("rep").alias("a"), F.col("text").alias("text_a"))
-    right = texts.select(F.col("rep").alias("b"), F.col("text").alias("text_b"))
-    return pairs.join(left, "a").join(right, "b").where(alike("text_a", "text_b") >= threshold).select("a", "b")
+    """a, b of the pairs (centre, rep; parts: blocks of the bucket) that are similar enough.
+
+    Members of a centre are gathered in blocks, each of which also gets the centre's text.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for centre, members in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                reps, own = members.values.field("rep").to_numpy(), shingle_sets(members.values.field("text"))
+                mid = own[int(np.flatnonzero(reps == centre)[0])]
+                both = np.array([len(np.intersect1d(mid, x, assume_unique=True)) for x in own])
+                j = both / np.maximum(len(mid) + np.array([len(x) for x in own]) - both, 1)
+                near = reps[(j >= threshold) & (reps != centre)]
+                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(near, centre)), pa.array(np.maximum(near, centre))], ["a", "b"])
+
+    once = pairs.groupBy("centre", "rep").agg(F.max("parts").alias("parts"))
+    dealt = stored(once.select("centre", F.pmod(F.xxhash64("rep"), F.col("parts")).alias("block"), "rep"), "dealt")
+    middles = dealt.select("centre", "block").distinct().select("centre", "block", F.col("centre").alias("rep"))
+    full = dealt.unionByName(middles).join(texts, "rep").groupBy("centre", "block").agg(F.collect_list(F.struct("rep", "text")).alias("members"))
+    return full.select("centre", "members").mapInArrow(run, "a long, b long")
 
 
 def common_counts(a: list[np.ndarray], b: list[np.ndarray]) -> np.ndarray:
@@ -190,27 +242,30 @@ def _classes(given: DataFrame, threshold: float, bands: int = BANDS, rows: int =
     represented by their hash, so that texts which share a doc_id are compared each.
     """
     sketched = stored(sketch(given.where("text is not null and doc_id is not null"), bands, rows), "sketch")
-    once = sketched.groupBy("doc_id", "h1", "h2").agg(F.count(F.lit(1)).alias("times"))
-    copies = sketched.groupBy("h1", "h2").agg(F.min("doc_id").alias("copy_of"))
+    rows_ = sketched.count()
+    once = stored(sketched.groupBy("doc_id", "h1", "h2").agg(F.count(F.lit(1)).alias("times")), "rows")
+    copies = stored(once.groupBy("h1", "h2").agg(F.min("doc_id").alias("copy_of"), F.count(F.lit(1)).alias("n")), "texts-once")
+    hot_text, hot_row = _hot(copies, ["h1", "h2"], "n", rows_), _hot(once, ["doc_id", "h1"], "times", rows_)
     # A representative's own row is the one whose id is the smallest of its text.
-    member = stored(once.join(copies, ["h1", "h2"]).select("doc_id", "h1", "times", "copy_of"), "copies")
-    reps = sketched.where("bands is not null").join(member.where("doc_id = copy_of").select("doc_id", "h1"), ["doc_id", "h1"], "left_semi").dropDuplicates(["h1"])
-    spread = reps.select(F.col("h1").alias("rep"), F.posexplode("bands").alias("band", "hash"))
+    member = stored(_one_of(once, copies.select("h1", "h2", "copy_of"), ["h1", "h2"], hot_text).select("doc_id", "h1", "times", "copy_of"), "copies")
+    own = copies.select(F.col("copy_of").alias("doc_id"), "h1")
+    reps = _kept(sketched.where("bands is not null"), own, ["doc_id", "h1"], hot_row).dropDuplicates(["h1"])
+    spread = reps.select(F.col("h1").alias("rep"), "chars", F.posexplode("bands").alias("band", "hash"))
     # Size and centre of each bucket come from map-side aggregates. The centre is the member with the
     # most company in all its buckets: in a family of copies the text that the others are nearest to.
-    bucket = spread.groupBy("band", "hash").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    inside = stored(spread.join(bucket, ["band", "hash"]).select("band", "hash", "rep", "n"), "buckets")
+    key = ["band", "hash"]
+    bucket = stored(spread.groupBy(*key).agg(F.count(F.lit(1)).alias("n"), F.sum("chars").alias("all_chars")).where("n > 1"), "sizes")
+    hot_bucket = _hot(bucket, key, "n", bands * rows_)
+    inside = stored(_one_of(spread, bucket.select(*key, "n", _parts("n", "all_chars", block).alias("parts")), key, hot_bucket).select(*key, "rep", "n", "parts"), "buckets")
     company = inside.groupBy("rep").agg(F.sum("n").alias("company"))
     inside = inside.join(company, "rep")
-    centre = inside.groupBy("band", "hash").agg(F.max_by("rep", F.struct("company", (-F.col("rep")).alias("first"))).alias("centre"))
-    inside = stored(inside.join(centre, ["band", "hash"]).select("band", "hash", "rep", "centre"), "members")
-    wanted = member.where("doc_id = copy_of").join(inside.select(F.col("rep").alias("h1")).distinct(), "h1", "left_semi").select("doc_id", "h1")
-    # Merged at every size: the texts move once by doc_id, and small inputs show the plan of large ones.
+    centre = stored(inside.groupBy(*key).agg(F.max_by("rep", F.struct("company", (-F.col("rep")).alias("first"))).alias("centre")), "centres")
+    inside = stored(_one_of(inside, centre, key, hot_bucket).select(*key, "rep", "centre", "parts"), "members")
+    wanted = own.join(inside.select(F.col("rep").alias("h1")).distinct(), "h1", "left_semi")
     hashed = given.where("text is not null").withColumn("h1", F.xxhash64("text"))
-    texts = stored(hashed.join(wanted.hint("merge"), ["doc_id", "h1"], "left_semi").dropDuplicates(["h1"]).select(F.col("h1").alias("rep"), "text"), "texts")
+    texts = stored(_kept(hashed, wanted, ["doc_id", "h1"], hot_row).dropDuplicates(["h1"]).select(F.col("h1").alias("rep"), "text"), "texts")
 
-    pair = F.struct(F.least("centre", "rep").alias("a"), F.greatest("centre", "rep").alias("b"))
-    first = inside.where("rep <> centre").select(pair.alias("x")).select("x.a", "x.b").distinct()
+    first = inside.where("rep <> centre").select("centre", "rep", "parts")
     links = stored(_verified(first, texts, threshold), "links")
     groups = stored(connected(links), "groups")
 
@@ -236,11 +291,11 @@ def _classes(given: DataFrame, threshold: float, bands: int = BANDS, rows: int =
         groups = stored(connected(links), "groups")
     degree = links.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count(F.lit(1)).alias("n_links"))
     # One row a text; the first row of a group has the smallest doc_id, and of several texts with it the smallest hash.
-    text = member.groupBy("h1").agg(F.min("doc_id").alias("copy_of")).join(groups.withColumnRenamed("node", "h1"), "h1", "left").withColumn("label", F.coalesce("label", "h1"))
+    text = copies.groupBy("h1").agg(F.min("copy_of").alias("copy_of")).join(groups.withColumnRenamed("node", "h1"), "h1", "left").withColumn("label", F.coalesce("label", "h1"))
     head = text.groupBy("label").agg(F.min(F.struct("copy_of", "h1")).alias("head"))
     text = text.join(head, "label").join(degree.withColumnRenamed("node", "h1"), "h1", "left")
     text = text.select("h1", F.col("head.copy_of").alias("class_id"), (F.col("head.h1") == F.col("h1")).alias("_is"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
-    full = member.join(text, "h1")
+    full = _one_of(member, text, ["h1"], hot_text.select("h1").distinct())
     return full.select("doc_id", "h1", "times", "copy_of", "class_id", "n_links", (F.col("_is") & (F.col("doc_id") == F.col("class_id"))).alias("first"))
 
 
@@ -250,11 +305,13 @@ def deduplicate(docs: DataFrame, threshold: float = SIMILAR, repeats: bool = Tru
     Rows that repeat both doc_id and text all stay with their first; one of them does without ``repeats``.
     """
     found = stored(_classes(_given(docs), threshold).select(F.col("doc_id").alias("_rw_id"), F.col("h1").alias("_rw_h1"), "times", "first"), "classes")
-    key = lambda other: (F.col("doc_id").cast("long") == other["_rw_id"]) & (F.xxhash64(F.col("text").cast("string")) == other["_rw_h1"])
-    again = found.where("first and times > 1").select("_rw_id", "_rw_h1")
-    gone = found.where("not first").select("_rw_id", "_rw_h1")
+    key = ["_rw_id", "_rw_h1"]
+    hot = _hot(found, key, "times", found.agg(F.sum("times")).collect()[0][0] or 0)
+    keyed = docs.select("*", F.col("doc_id").cast("long").alias("_rw_id"), F.xxhash64(F.col("text").cast("string")).alias("_rw_h1"))
+    names = [F.col(f"`{c}`") for c in docs.columns]
+    again = found.where("first and times > 1").select(*key)
+    gone = found.where("not first").select(*key)
     if repeats or again.isEmpty():
-        return docs.join(gone, key(gone), "left_anti")
-    gone = gone.unionByName(again)
-    one = docs.join(again, key(again)).dropDuplicates(["_rw_id", "_rw_h1"]).drop("_rw_id", "_rw_h1")
-    return docs.join(gone, key(gone), "left_anti").unionByName(one)
+        return _kept(keyed, gone, key, hot, "left_anti").select(*names)
+    one = _kept(keyed, again, key, hot).dropDuplicates(key)
+    return _kept(keyed, gone.unionByName(again), key, hot, "left_anti").unionByName(one).select(*names)

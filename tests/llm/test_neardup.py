@@ -148,3 +148,32 @@ def test_components(spark):
                 label[k] = x
     got = {r.node: r.label for r in connected(spark.createDataFrame(edges, "a long, b long")).collect()}
     assert got == {k: min(v) for k, v in label.items() if len(v) > 1}
+
+
+def test_hot_copies_and_hot_rows(spark, monkeypatch):
+    """A third of the rows is one text under many ids, a third repeats one row; joins take them by broadcast."""
+    monkeypatch.setattr(neardup, "FEW", 5)
+    monkeypatch.setattr(neardup, "HOT", 20)
+    rng = random.Random(9)
+    texts = [" ".join(rng.choice(WORDS) for _ in range(60)) for _ in range(40)]
+    rows = [(i, texts[0]) for i in range(100)] + [(500, texts[1])] * 100 + [(1000 + i, t) for i, t in enumerate(texts[2:])] + [(2000 + i, t + " end") for i, t in enumerate(texts[:20])]
+    rng.shuffle(rows)
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = neardup.near_duplicates(df).collect()
+    assert len(got) == len(rows)
+    expect = brute_classes(sorted(set(rows)))
+    assert {r.doc_id: r.class_id for r in got} == expect
+    assert sum(r.kept for r in got) == len(set(expect.values()))
+    kept = neardup.deduplicate(df, repeats=False).collect()
+    assert sorted(r.doc_id for r in kept) == sorted(set(expect.values()))
+    assert neardup.deduplicate(df).count() == len(kept) + 99
+
+
+def test_unrelated_texts_with_shared_boilerplate(spark):
+    """One passage in all texts fills buckets with texts that are not linked; the links among them are still found."""
+    rng = random.Random(10)
+    shared = " ".join(rng.choice(WORDS) + str(k) for k in range(60))
+    own = [" ".join(rng.choice(WORDS) + str(rng.randrange(500)) for _ in range(rng.randint(20, 50))) for _ in range(120)]
+    rows = [(i, f"{shared} {t}") for i, t in enumerate(own)] + [(1000 + i, f"{shared} {t} more") for i, t in enumerate(own[:30])]
+    got = neardup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), block=16).collect()
+    assert {r.doc_id: r.class_id for r in got} == brute_classes(rows)
