@@ -179,17 +179,21 @@ def digests(made: DataFrame, vocabulary: str, pattern: str) -> DataFrame:
         names = [x.split()[0] for x in schema.split(", ")]
         for batch in batches:
             rows: list[list] = [[] for _ in names]
-            for seq, ids, loss, turns, members in zip(*(batch.column(i).to_pylist() for i in range(5)), strict=True):
+            for r in range(batch.num_rows):
+                seq, turns, members = (batch.column(i)[r].as_py() for i in (0, 3, 4))
+                ids, loss = (batch.column(i)[r].values.to_numpy(zero_copy_only=False) for i in (1, 2))
+                # Each turn is decoded once, however many conversations share it.
+                spans = [slice(t["start"], t["end"]) for t in turns]
+                raw = [enc.decode_bytes(ids[x].tolist()) for x in spans]
+                learned = [unescape(enc.decode_bytes(ids[x][loss[x]].tolist()).decode()) if loss[x].any() else "" for x in spans]
                 for m in members:
                     path, k = [], m["turn"]
                     while k >= 0:
-                        path.append(turns[k])
+                        path.append(k)
                         k = turns[k]["parent"]
                     path.reverse()
-                    spans = [ids[t["start"] : t["end"]] for t in path]
-                    whole = enc.decode_bytes([x for s in spans for x in s]).decode()
-                    learned = [unescape(enc.decode_bytes([i for i, on in zip(ids[t["start"] : t["end"]], loss[t["start"] : t["end"]], strict=True) if on]).decode()) for t in path]
-                    said, text = parse(whole), "".join(learned)
+                    whole = b"".join([raw[k] for k in path]).decode()
+                    said, text = parse(whole), "".join([learned[k] for k in path])
                     turn_bytes = "".join(f"{r}\n{t}\n" for r, t in said).encode()
                     values = (m["conv_id"], len(said), hashlib.sha256(turn_bytes).hexdigest(), len(text), hashlib.sha256(text.encode()).hexdigest(), len(whole), seq)
                     for column, v in zip(rows, values, strict=True):
