@@ -74,10 +74,9 @@ def _steady(sos: np.ndarray) -> np.ndarray:
     return out
 
 
-def _run(sos: np.ndarray, x: np.ndarray) -> np.ndarray:
-    """The sections one after another over rows of ``x`` (samples x signals), from the first row's steady state."""
-    state = _steady(sos)[:, :, None] * x[0]
-    out = np.empty_like(x)
+def _steps(sos: np.ndarray, x: np.ndarray, state: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The sections one after another over rows of ``x`` (samples x signals), and the states (section, 2, signal) after them."""
+    state, out = state.copy(), np.empty_like(x)
     for t in range(len(x)):
         v = x[t]
         for i, (b0, b1, b2, _, a1, a2) in enumerate(sos):
@@ -86,6 +85,29 @@ def _run(sos: np.ndarray, x: np.ndarray) -> np.ndarray:
             state[i, 1] = b2 * v - a2 * y
             v = y
         out[t] = v
+    return out, state
+
+
+#: Samples of a block: what a block gives is a matrix times its samples plus one times the states before it.
+BLOCK = 128
+
+
+def _run(sos: np.ndarray, x: np.ndarray) -> np.ndarray:
+    """The filter over rows of ``x``, from the first row's steady state, a block of samples at a time."""
+    k, n = x.shape[1], 2 * len(sos)
+    state = _steady(sos)[:, :, None] * x[0]
+    whole = len(x) // BLOCK * BLOCK
+    if whole < 4 * BLOCK:
+        return _steps(sos, x, state)[0]
+    from_x, state_x = _steps(sos, np.eye(BLOCK), np.zeros((len(sos), 2, BLOCK)))
+    from_s, state_s = _steps(sos, np.zeros((BLOCK, n)), np.eye(n).reshape(len(sos), 2, n))
+    state_x, state_s, flat = state_x.reshape(n, BLOCK), state_s.reshape(n, n), state.reshape(n, k)
+    out = np.empty_like(x)
+    for at in range(0, whole, BLOCK):
+        part = x[at : at + BLOCK]
+        out[at : at + BLOCK] = from_x @ part + from_s @ flat
+        flat = state_x @ part + state_s @ flat
+    out[whole:] = _steps(sos, x[whole:], flat.reshape(len(sos), 2, k))[0]
     return out
 
 

@@ -129,7 +129,7 @@ def filter_table(df: DataFrame, gold: DataFrame, settings: Sequence[tuple[str, f
     """
     from roadweave.operators.detect import flags_to_events
     from roadweave.operators.filters import filtered
-    from roadweave.operators.timeseries import magnitude, snr_db
+    from roadweave.operators.timeseries import magnitude
 
     events, snrs = [], []
     names = [f"{c}_bpf" for c in columns]
@@ -137,7 +137,11 @@ def filter_table(df: DataFrame, gold: DataFrame, settings: Sequence[tuple[str, f
         f = filtered(df.select(CLIP, TIME, *columns), columns, fs, low, high, order)
         z = f.withColumn("_total", magnitude(*names)).withColumn("_z", rolling_z_column("_total", width))
         events.append(flags_to_events(z, F.abs("_z") > k, gap).select(CLIP, START, END).withColumn("config", F.lit(name)))
-        snrs += [snr_db(f, c, b).select("snr_db").withColumn("config", F.lit(name)) for c, b in zip(columns, names, strict=True)]
+        # Variances of all axes in one pass.
+        spans = [v for c, b in zip(columns, names, strict=True) for v in (F.var_pop(c).alias(f"_r_{c}"), F.var_pop(b).alias(f"_f_{c}"))]
+        both = F.array(*[F.struct(F.col(f"_r_{c}").alias("r"), F.col(f"_f_{c}").alias("f")) for c in columns])
+        per = f.groupBy(CLIP).agg(*spans).select(F.explode(both).alias("x")).where("x.r > 0 and x.f > 0")
+        snrs.append(per.select((10 * F.log10(F.col("x.r") / F.col("x.f"))).alias("snr_db")).withColumn("config", F.lit(name)))
     snr = reduce(DataFrame.unionByName, snrs).groupBy("config").agg(F.avg("snr_db").alias("mean_snr_db"))
     return score_table(reduce(DataFrame.unionByName, events), gold, ["config"], overlap, tolerance).join(snr, "config")
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from roadweave.operators import filters, graph, review, rider, spatial, timeseries
 from roadweave.plans.base import registrar
-from roadweave.plans.telemetry import AXES, GAP, _rounded, candidates
+from roadweave.plans.telemetry import AXES, GAP, _ev, _rounded, _runs, _score_table, candidates
 from roadweave.sources.adapters import TELEMETRY, table, telemetry
 
 QUERIES, SQL, register = registrar()
@@ -129,23 +129,79 @@ def _(spark, sf_dir):
     return graph.flatten_reports(frames).select("frame_id", "event_id", "is_compliant", "rule")
 
 
-@register("zero_phase_filter")
+def _filter_sql(settings: list[tuple[str, float | None, float | None, int]], fs: float) -> str:
+    """CTEs that end in ``filtered`` (config, event_id, clip_id, cts, ax_bpf, ay_bpf, az_bpf): the filters as recursions over each clip's samples.
+
+    One recursion runs over all settings, clips and axes at once, forward; another backward over its
+    result. A row carries the states of the sections; settings with fewer sections have ones that
+    pass their input on. Coefficients and steady states are those of ``filters``.
+    """
+    made = {name: filters.sections(fs, low, high, order) for name, low, high, order in settings if (low, high) != (None, None)}
+    most = max(len(x) for x in made.values())
+    rows = []
+    for name, sos in made.items():
+        steady = filters._steady(sos)
+        cells = [f"'{name}'", str(3 * (2 * len(sos) + 1))]
+        for i in range(most):
+            own, state = (sos[i], steady[i]) if i < len(sos) else ([1.0, 0, 0, 1, 0, 0], [0.0, 0.0])
+            cells += [f"CAST({float(x)!r} AS DOUBLE)" for x in (own[0], own[1], own[2], own[4], own[5], state[0], state[1])]
+        rows.append("(" + ", ".join(cells) + ")")
+    names = ["config", "pad"] + [f"{c}{i}" for i in range(most) for c in ("b", "c", "d", "e", "f", "g", "h")]
+    states = ", ".join(f"s{i}, t{i}" for i in range(most))
+    first = ", ".join(f"g{i} * xs[1] AS s{i}, h{i} * xs[1] AS t{i}" for i in range(most))
+    # Through the sections: y of one is the input of the next.
+    steps = "x.xs[r.i + 1] AS v0, " + ", ".join(f"b{i} * v{i} + r.s{i} AS v{i + 1}" for i in range(most))
+    nexts = ", ".join(f"c{i} * v{i} - e{i} * v{i + 1} + t{i} AS n{i}, d{i} * v{i} - f{i} * v{i + 1} AS m{i}" for i in range(most))
+
+    def run(name: str, signal: str) -> str:
+        inner = f"SELECT r.config, r.clip_id, r.axis, r.i, {', '.join(f'r.t{i}' for i in range(most))}, {', '.join(f'co.{c}{i}' for i in range(most) for c in 'cdef')}, {steps} FROM {name} r JOIN {signal} x ON x.config = r.config AND x.clip_id = r.clip_id AND x.axis = r.axis JOIN co ON co.config = r.config WHERE r.i < len(x.xs)"
+        return (
+            f"{name}(config, clip_id, axis, i, y, {states}) AS (SELECT x.config, clip_id, axis, CAST(0 AS BIGINT), CAST(NULL AS DOUBLE), {first} FROM {signal} x JOIN co ON co.config = x.config UNION ALL "
+            f"SELECT config, clip_id, axis, i + 1, v{most}, {', '.join(f'n{i}, m{i}' for i in range(most))} FROM (SELECT *, {nexts} FROM ({inner})))"
+        )
+
+    plain = " ".join(f"UNION ALL SELECT '{name}', event_id, clip_id, cts, ax, ay, az FROM tele" for name, low, high, _ in settings if (low, high) == (None, None))
+    return (
+        f"co({', '.join(names)}) AS (VALUES {', '.join(rows)}), sig AS (SELECT clip_id, axis, list(v ORDER BY cts) AS x FROM (SELECT clip_id, cts, unnest(['ax', 'ay', 'az']) AS axis, unnest([ax, ay, az]) AS v FROM tele) GROUP BY 1, 2), "
+        "ext AS (SELECT config, clip_id, axis, list_concat(list_concat(list_transform(range(0, pad), lambda j: 2 * x[1] - x[pad + 1 - j]), x), list_transform(range(1, pad + 1), lambda j: 2 * x[len(x)] - x[len(x) - j])) AS xs FROM sig, co), "
+        + run("fw", "ext") + ", back AS (SELECT config, clip_id, axis, list(y ORDER BY i DESC) AS xs FROM fw WHERE i > 0 GROUP BY 1, 2, 3), " + run("bw", "back")
+        + ", z AS (SELECT bw.config, clip_id, axis, len(xs) - i + 1 - pad AS no, y FROM bw JOIN back USING (config, clip_id, axis) JOIN co USING (config) WHERE i > 0), num AS (SELECT *, row_number() OVER (PARTITION BY clip_id ORDER BY cts) AS no FROM tele), "
+        f"filtered AS (SELECT z.config, event_id, clip_id, cts, max(y) FILTER (axis = 'ax') AS ax_bpf, max(y) FILTER (axis = 'ay') AS ay_bpf, max(y) FILTER (axis = 'az') AS az_bpf FROM z JOIN num USING (clip_id, no) GROUP BY ALL {plain}) "
+    )
+
+
+_BAND = [("band", 0.05, 0.3, 4)]
+
+
+@register("zero_phase_filter", f"WITH RECURSIVE {TELEMETRY}, {_filter_sql(_BAND, 1.0)} SELECT event_id, round(ax_bpf, 6) AS ax_bpf, round(ay_bpf, 6) AS ay_bpf, round(az_bpf, 6) AS az_bpf FROM filtered")
 def _(spark, sf_dir):
     t = telemetry(spark, sf_dir)
     return _rounded(filters.filtered(t, AXES, 1.0, 0.05, 0.3, 4).select("event_id", *[f"{c}_bpf" for c in AXES]))
 
 
-@register("filter_ablation")
+#: Filter settings of the ablation (name, low, high, order), with cutoffs for one sample a second; then the sweep of orders.
+FILTERS = [
+    ("raw", None, None, 4), ("low_pass", None, 0.3, 4), ("high_pass", 0.02, None, 4), ("band", 0.02, 0.4, 4), ("band_higher_order", 0.02, 0.4, 6), ("narrow_band", 0.05, 0.3, 4),
+    *[(f"order_{n}", 0.05, 0.4, n) for n in (2, 4, 6, 8)],
+]
+
+
+def _ablation_sql() -> str:
+    total = "sqrt(ax_bpf*ax_bpf + ay_bpf*ay_bpf + az_bpf*az_bpf)"
+    w = "(PARTITION BY config, clip_id ORDER BY cts ROWS BETWEEN 10 PRECEDING AND 9 FOLLOWING)"
+    snr = " UNION ALL ".join(f"SELECT f.config, f.clip_id, 10 * log10(var_pop(t.{c}) / var_pop(f.{c}_bpf)) AS db FROM filtered f JOIN tele t USING (event_id) GROUP BY 1, 2" for c in AXES)
+    return (
+        f"WITH RECURSIVE {TELEMETRY}, {_filter_sql(FILTERS, 1.0)}, zt AS (SELECT config, clip_id, cts, ({total} - avg({total}) OVER {w}) / nullif(stddev_samp({total}) OVER {w}, 0) AS z FROM filtered), {_runs('fr', 'zt', 'abs(z) > 2.4', GAP, 'config, clip_id')}, "
+        f"every AS (SELECT config, clip_id, min(cts) AS start_time, max(cts) AS end_time FROM fr GROUP BY config, clip_id, event_no), {_ev('g', 2.4)}, {_score_table('g', 60.0)}, sn AS (SELECT config, avg(db) AS db FROM ({snr}) GROUP BY 1) "
+        "SELECT config, n_pred, round(CASE WHEN p + r = 0 THEN 0 ELSE 2 * p * r / (p + r) END, 6) AS f1, round(CASE WHEN tt = 0 THEN 0 ELSE 2.0 * tt / (n_pred + ng) END, 6) AS f1_tolerance, round(db, 6) AS mean_snr_db FROM sc JOIN sn USING (config)"
+    )
+
+
+@register("filter_ablation", _ablation_sql())
 def _(spark, sf_dir):
-    """Filter settings as a column, one detector, scores against one gold set."""
-    t = telemetry(spark, sf_dir).select("clip_id", "cts", *AXES)
-    events = None
-    for name, low, high, order in (("none", None, None, 4), ("low", None, 0.3, 4), ("high", 0.02, None, 4), ("band", 0.02, 0.4, 2)):
-        f = filters.filtered(t, AXES, 1.0, low, high, order).withColumn("filter", F.lit(name))
-        events = f if events is None else events.unionByName(f)
-    gold = candidates(spark, sf_dir, 2.4)
-    got = review.grid_events(events, [f"{c}_bpf" for c in AXES], (20,), (2.0, 2.4), (1,), GAP, ["filter"])
-    return _rounded(review.scored(got, gold, "tolerance", 60.0, ["filter", "width", "k", "channels"]))
+    """Filter settings as a column, one detector, both scores and the mean signal-to-noise ratio."""
+    got = review.filter_table(telemetry(spark, sf_dir), candidates(spark, sf_dir, 2.4), FILTERS, AXES, 1.0, 20, 2.4, GAP, tolerance=60.0)
+    return _rounded(got.select("config", "n_pred", "f1", "f1_tolerance", "mean_snr_db"))
 
 
 def rider_rows(spark, sf_dir):
