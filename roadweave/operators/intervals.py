@@ -67,6 +67,10 @@ def matched(pred: DataFrame, gold: DataFrame, by: str = "tiou", threshold: float
     else:
         score = -F.abs((F.col("ps") + F.col("pe")) / 2 - (F.col("gs") + F.col("ge")) / 2)
         passing, reach = score >= -threshold, threshold
+    if not bucket and by == "tiou":
+        # Twice the mean length: the rows that all intervals make are then about as many as the intervals, however long they are.
+        mean = p.select((F.col("pe") - F.col("ps")).alias("d")).unionByName(g.select((F.col("ge") - F.col("gs")).alias("d"))).agg(F.avg("d")).collect()[0][0]
+        bucket = max(1.0, 2 * (mean or 0.0))
     width = F.lit(bucket if bucket else max(1.0, 4 * reach))
     # Both sides stand in all buckets that they (or their widened middles) touch; the pair counts in the first shared one.
     def ends(s: str, e: str) -> tuple[Column, Column]:

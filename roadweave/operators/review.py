@@ -146,6 +146,16 @@ def filter_table(df: DataFrame, gold: DataFrame, settings: Sequence[tuple[str, f
     return score_table(reduce(DataFrame.unionByName, events), gold, ["config"], overlap, tolerance).join(snr, "config")
 
 
+def filter_grid(df: DataFrame, gold: DataFrame, bands: Sequence[tuple[float, float]], orders: Sequence[int], columns: Sequence[str], fs: float, widths: Sequence[int], ks: Sequence[float], channels: Sequence[int], gap: float, overlap: float = 0.5, tolerance: float = 0.5) -> DataFrame:
+    """The score table of all combinations of band, order, width, k and channels: filters are columns of one table, each made once."""
+    from roadweave.operators.filters import filtered
+
+    parts = [filtered(df.select(CLIP, TIME, *columns), columns, fs, low, high, order).withColumns({"low": F.lit(float(low)), "high": F.lit(float(high)), "order": F.lit(order)}) for low, high in bands for order in orders]
+    config = ["low", "high", "order"]
+    events = grid_events(reduce(DataFrame.unionByName, parts), [f"{c}_bpf" for c in columns], widths, ks, channels, gap, config)
+    return score_table(events, gold, [*config, "width", "k", "channels"], overlap, tolerance)
+
+
 def kappa(df: DataFrame, a: str, b: str, by: Sequence[str] = ()) -> DataFrame:
     """``by``, n, po, pe, kappa of two label columns; null where chance agreement is 1."""
     cells = df.where(F.col(a).isNotNull() & F.col(b).isNotNull()).groupBy(*by, a, b).agg(F.count(F.lit(1)).alias("c"))

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from roadweave.functions.storage import stored
 from roadweave.operators import filters, graph, review, rider, spatial, timeseries
 from roadweave.plans.base import registrar
 from roadweave.plans.telemetry import AXES, GAP, _ev, _rounded, _runs, _score_table, candidates
@@ -204,6 +205,39 @@ def _(spark, sf_dir):
     return _rounded(got.select("config", "n_pred", "f1", "f1_tolerance", "mean_snr_db"))
 
 
+#: The full grid: 5 bands x 2 orders x 5 widths x 6 k x 3 channels.
+BANDS = [(0.02, 0.4), (0.05, 0.3), (0.01, 0.45), (0.1, 0.4), (0.02, 0.3)]
+ORDERS, WIDTHS, KS, CHANNELS = (2, 4), (10, 16, 20, 30, 40), (1.5, 1.75, 2.0, 2.25, 2.5, 3.0), (1, 2, 3)
+
+
+def _grid_sql() -> str:
+    settings = [(f"{low}|{high}|{order}", low, high, order) for low, high in BANDS for order in ORDERS]
+    scores = []
+    for w in WIDTHS:
+        win = f"(PARTITION BY config, clip_id ORDER BY cts ROWS BETWEEN {w // 2} PRECEDING AND {(w - 1) // 2} FOLLOWING)"
+        scores.append(f"SELECT config, clip_id, cts, {w} AS width, " + ", ".join(f"abs(({c}_bpf - avg({c}_bpf) OVER {win}) / nullif(stddev_samp({c}_bpf) OVER {win}, 0)) AS z_{c}" for c in AXES) + " FROM filtered")
+    votes = " + ".join(f"CASE WHEN z_{c} > k THEN 1 ELSE 0 END" for c in AXES)
+    keys = "part, clip_id"
+    every = "every AS (SELECT part AS config, clip_id, min(cts) AS start_time, max(cts) AS end_time FROM gr GROUP BY part, clip_id, event_no)"
+    flags = f"fl AS (SELECT config || '|' || width || '|' || CAST(k AS DOUBLE) || '|' || channels AS part, clip_id, cts FROM zz, (SELECT unnest({list(KS)}) AS k), (SELECT unnest({list(CHANNELS)}) AS channels) WHERE {votes} >= channels)"
+    best = lambda name, f: f"SELECT '{name}' AS by, config, n_pred, {f} AS f1 FROM (SELECT *, row_number() OVER (ORDER BY {f} DESC, config) AS r FROM ro) WHERE r <= 10"
+    return (
+        f"WITH RECURSIVE {TELEMETRY}, {_filter_sql(settings, 1.0)}, zz AS ({' UNION ALL '.join(scores)}), {flags}, {_runs('gr', 'fl', 'true', GAP, keys)}, {every}, {_ev('g', 2.4)}, {_score_table('g', 60.0)}, "
+        "ro AS (SELECT config, n_pred, round(CASE WHEN p + r = 0 THEN 0 ELSE 2 * p * r / (p + r) END, 6) AS f1, round(CASE WHEN tt = 0 THEN 0 ELSE 2.0 * tt / (n_pred + ng) END, 6) AS ft FROM sc) "
+        + best("overlap", "f1") + " UNION ALL " + best("tolerance", "ft")
+    )
+
+
+@register("grid_search_full", _grid_sql())
+def _(spark, sf_dir):
+    """The best ten of all 900 settings by each score."""
+    got = review.filter_grid(telemetry(spark, sf_dir), candidates(spark, sf_dir, 2.4), BANDS, ORDERS, AXES, 1.0, WIDTHS, KS, CHANNELS, GAP, tolerance=60.0)
+    rows = got.where("f1 is not null").select(F.concat_ws("|", *[F.col(c).cast("string") for c in ("low", "high", "order", "width", "k", "channels")]).alias("config"), "n_pred", F.round("f1", 6).alias("f1"), F.round("f1_tolerance", 6).alias("ft"))
+    rows = stored(rows, "grid-scores")
+    best = lambda name, f: rows.orderBy(F.desc(f), "config").limit(10).select(F.lit(name).alias("by"), "config", "n_pred", F.col(f).alias("f1"))
+    return best("overlap", "f1").unionByName(best("tolerance", "ft"))
+
+
 def rider_rows(spark, sf_dir):
     d = table(spark, sf_dir, "documents").join(table(spark, sf_dir, "labels"), "doc_id")
     action = F.element_at(F.array(*map(F.lit, rider.ACTION)), (F.col("doc_id") % 4 + 1).cast("int"))
