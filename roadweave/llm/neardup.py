@@ -26,7 +26,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from roadweave.llm.common import stored
@@ -249,16 +249,16 @@ def _classes(given: DataFrame, threshold: float, bands: int = BANDS, rows: int =
     # A representative's own row is the one whose id is the smallest of its text.
     member = stored(_one_of(once, copies.select("h1", "h2", "copy_of"), ["h1", "h2"], hot_text).select("doc_id", "h1", "times", "copy_of"), "copies")
     own = copies.select(F.col("copy_of").alias("doc_id"), "h1")
-    reps = _kept(sketched.where("bands is not null"), own, ["doc_id", "h1"], hot_row).dropDuplicates(["h1"])
-    spread = reps.select(F.col("h1").alias("rep"), "chars", F.posexplode("bands").alias("band", "hash"))
+    reps = stored(_kept(sketched.where("bands is not null"), own, ["doc_id", "h1"], hot_row).dropDuplicates(["h1"]).select(F.col("h1").alias("rep"), "chars", "bands"), "representatives")
+    spread = reps.select("rep", "chars", F.posexplode("bands").alias("band", "hash"))
     # Size and centre of each bucket come from map-side aggregates. The centre is the member with the
     # most company in all its buckets: in a family of copies the text that the others are nearest to.
     key = ["band", "hash"]
     bucket = stored(spread.groupBy(*key).agg(F.count(F.lit(1)).alias("n"), F.sum("chars").alias("all_chars")).where("n > 1"), "sizes")
     hot_bucket = _hot(bucket, key, "n", bands * rows_)
     inside = stored(_one_of(spread, bucket.select(*key, "n", _parts("n", "all_chars", block).alias("parts")), key, hot_bucket).select(*key, "rep", "n", "parts"), "buckets")
-    company = inside.groupBy("rep").agg(F.sum("n").alias("company"))
-    inside = inside.join(company, "rep")
+    # A text stands in a bucket of each band at most, so this window is over few rows.
+    inside = stored(inside.withColumn("company", F.sum("n").over(Window.partitionBy("rep"))), "company")
     centre = stored(inside.groupBy(*key).agg(F.max_by("rep", F.struct("company", (-F.col("rep")).alias("first"))).alias("centre")), "centres")
     inside = stored(_one_of(inside, centre, key, hot_bucket).select(*key, "rep", "centre", "parts"), "members")
     wanted = own.join(inside.select(F.col("rep").alias("h1")).distinct(), "h1", "left_semi")
@@ -287,15 +287,17 @@ def _classes(given: DataFrame, threshold: float, bands: int = BANDS, rows: int =
         # Pairs of blocks as small rows first, so that a large group is dealt to many tasks.
         met = asks.select("top", "ask").join(answers.select("top", "answer"), "top").repartition("top", "ask", "answer")
         met = met.join(asks, ["top", "ask"]).join(answers, ["top", "answer"])
-        links = stored(links.unionByName(_block_links(met, threshold)).distinct(), "links")
-        groups = stored(connected(links), "groups")
+        more = stored(_block_links(met, threshold), "more-links")
+        links = stored(links.unionByName(more).distinct(), "links")
+        # The groups found so far are stars already.
+        groups = stored(connected(more.unionByName(groups.where("node <> label").select(F.col("node").alias("a"), F.col("label").alias("b")))), "groups")
     degree = links.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count(F.lit(1)).alias("n_links"))
     # One row a text; the first row of a group has the smallest doc_id, and of several texts with it the smallest hash.
     text = copies.groupBy("h1").agg(F.min("copy_of").alias("copy_of")).join(groups.withColumnRenamed("node", "h1"), "h1", "left").withColumn("label", F.coalesce("label", "h1"))
     head = text.groupBy("label").agg(F.min(F.struct("copy_of", "h1")).alias("head"))
     text = text.join(head, "label").join(degree.withColumnRenamed("node", "h1"), "h1", "left")
     text = text.select("h1", F.col("head.copy_of").alias("class_id"), (F.col("head.h1") == F.col("h1")).alias("_is"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
-    full = _one_of(member, text, ["h1"], hot_text.select("h1").distinct())
+    full = _one_of(member, stored(text, "text-classes"), ["h1"], hot_text.select("h1").distinct())
     return full.select("doc_id", "h1", "times", "copy_of", "class_id", "n_links", (F.col("_is") & (F.col("doc_id") == F.col("class_id"))).alias("first"))
 
 
