@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from roadweave.operators.intervals import END, START, grouped_by_gap
+from roadweave.operators.intervals import END, START, grouped_by_gap, grouped_over_ranges
 
 #: Risk of a zone, 1 for any other; weight of an infrastructure status.
 ZONE_RISK = {"School": 1.5, "Pedestrian Crossing": 1.4, "Residential": 1.2, "Highway": 1.0, "Unknown": 1.0}
@@ -50,16 +50,15 @@ def crrs(events: DataFrame, gap: float = 30.0, keys: Sequence[str] = (), legacy:
 
     Events without time make a group of their own each, or, with ``legacy``, count as time 0.
     """
-    by = list(keys) or ["_all"]
-    e = events if keys else events.withColumn("_all", F.lit(0))
+    e = events
     if legacy:
         e = e.withColumns({START: F.coalesce(START, F.lit(0.0)), END: F.coalesce(END, F.lit(0.0))})
-    timed = grouped_by_gap(e.where(F.col(START).isNotNull()), gap, by)
-    sized = timed.withColumn("weight", F.count(F.lit(1)).over(Window.partitionBy(*by, "group_no")))
+    there = e.where(F.col(START).isNotNull())
+    timed = grouped_by_gap(there, gap, list(keys)) if keys else grouped_over_ranges(there, gap)
+    sizes = timed.groupBy(*keys, "group_no").agg(F.count(F.lit(1)).alias("weight"))
+    sized = timed.join(sizes, [*keys, "group_no"]).select(*timed.columns, "weight")
     loose = e.where(F.col(START).isNull()).withColumns({"group_no": F.lit(None).cast("int"), "weight": F.lit(1).cast("long")})
     detail = sized.unionByName(loose)
-    if not keys:
-        detail = detail.drop("_all")
     return detail, detail.agg(F.count(F.lit(1)).alias("n"), F.try_divide(F.sum(F.col("icdi") * F.col("weight")), F.count(F.lit(1))).alias("crrs"))
 
 

@@ -339,3 +339,34 @@ def test_failure_policies(spark):
     df = spark.createDataFrame([("a", "a", False), ("b", "a", True)], "pred string, gold string, failed boolean")
     acc = lambda p: classify.summary(classify.with_failures(df, "pred", F.col("failed"), p)).collect()[0].accuracy
     assert (acc("excluded"), acc("other"), acc("wrong")) == (1.0, 0.5, 0.5)
+
+
+def test_groups_over_ranges_are_those_of_one_window(spark):
+    import random
+
+    from roadweave.operators import intervals
+
+    rng = random.Random(5)
+    rows = [(float(s), float(s + rng.randint(0, 9))) for s in (rng.randint(0, 4000) for _ in range(500))]
+    df = spark.createDataFrame(rows, "start_time double, end_time double").repartition(7)
+    got = {(r.start_time, r.end_time): r.group_no for r in intervals.grouped_over_ranges(df, 3.0).collect()}
+    reach, no, want = None, 0, {}
+    for s, e in sorted(rows):
+        no += reach is None or s - reach > 3.0
+        reach = e if reach is None else max(reach, e)
+        want.setdefault((s, e), no)
+    assert got == want
+
+
+@pytest.mark.parametrize("name", ["weighted_draws", "audit_compliance", "clause_split", "read_jsonl_last", "stream_candidates", "thinned_events", "rouge_l", "evaluation_report"])
+def test_more_queries_match_their_sql(spark, name):
+    from test_entry import test_queries_match_their_sql as matches_sql
+
+    matches_sql(spark, name)
+
+
+def test_filter_in_blocks_is_the_filter_by_samples():
+    x = np.random.default_rng(1).standard_normal((3000, 3))
+    sos = filters.sections(1.0, 0.05, 0.3, 4)
+    state = filters._steady(sos)[:, :, None] * x[0]
+    assert np.allclose(filters._run(sos, x), filters._steps(sos, x, state)[0], atol=1e-9)
