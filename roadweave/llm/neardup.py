@@ -121,8 +121,9 @@ def similarity(a: pa.Array, b: pa.Array, width: int = SHINGLE) -> np.ndarray:
 
 
 def _hot(sized: DataFrame, keys: list[str], n: str, rows: int) -> DataFrame:
-    """The keys of the groups that have more than a HOT-th of ``rows``: HOT at most."""
-    return stored(sized.where(F.col(n) > max(FEW, rows // HOT)).select(*keys), "hot")
+    """The keys of the groups that have more than a HOT-th of ``rows``: HOT at most, so the driver holds them."""
+    large = sized.where(F.col(n) > max(FEW, rows // HOT)).select(*keys)
+    return sized.sparkSession.createDataFrame(large.collect(), large.schema)
 
 
 def _one_of(left: DataFrame, right: DataFrame, keys: list[str], hot: DataFrame) -> DataFrame:
