@@ -150,10 +150,8 @@ def test_components(spark):
     assert got == {k: min(v) for k, v in label.items() if len(v) > 1}
 
 
-def test_hot_copies_and_hot_rows(spark, monkeypatch):
-    """A third of the rows is one text under many ids, a third repeats one row; joins take them by broadcast."""
-    monkeypatch.setattr(neardup, "FEW", 5)
-    monkeypatch.setattr(neardup, "HOT", 20)
+def test_hot_copies_and_hot_rows(spark):
+    """A third of the rows is one text under many ids, a third repeats one row."""
     rng = random.Random(9)
     texts = [" ".join(rng.choice(WORDS) for _ in range(60)) for _ in range(40)]
     rows = [(i, texts[0]) for i in range(100)] + [(500, texts[1])] * 100 + [(1000 + i, t) for i, t in enumerate(texts[2:])] + [(2000 + i, t + " end") for i, t in enumerate(texts[:20])]
