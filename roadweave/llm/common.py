@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from roadweave.functions.storage import shared_dir, stored
 
-__all__ = ["WORD_PATTERN", "bounded_sample", "fold", "held_out", "partitions_for", "shared_dir", "stored", "table"]
+__all__ = ["WORD_PATTERN", "bounded_sample", "finite_vector", "fold", "held_out", "matrix", "partitions_for", "shared_dir", "stored", "table", "usual_length", "whole_steps"]
 
 #: White space of the word contract: space and the ASCII controls 9 to 13.
 WORD_PATTERN = r"[^\x20\x09-\x0D]+"
@@ -56,3 +58,25 @@ def partitions_for(spark: SparkSession, rows: int, per_task: int) -> int:
     """Partitions for ``rows`` with ``per_task`` rows each, at least the session's shuffle partitions."""
     least = int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
     return max(least, -(-rows // per_task), 1)
+
+
+def finite_vector(vector_col: str) -> Column:
+    """Whether a vector is there and none of its components is null, NaN or infinite."""
+    v = F.col(vector_col).cast("array<double>")
+    return F.coalesce(~F.exists(v, lambda c: c.isNull() | F.isnan(c) | (F.abs(c) == float("inf"))), F.lit(False))
+
+
+def whole_steps(vector_col: str, scale: int = 256) -> Column:
+    """array<long>: floor(scale * c) of each component as double."""
+    return F.transform(F.col(vector_col).cast("array<double>"), lambda c: F.floor(c * F.lit(float(scale))).cast("long"))
+
+
+def usual_length(df: DataFrame, vector_col: str) -> int | None:
+    """The length that most vectors have (of equally frequent ones the smallest); None without vectors that hold something."""
+    found = df.groupBy(F.size(vector_col).alias("d")).count().where("d > 0").orderBy(F.desc("count"), "d").limit(1).collect()
+    return found[0]["d"] if found else None
+
+
+def matrix(column: pa.Array, width: int, kind: type) -> np.ndarray:
+    """A list column of equally long lists as a matrix."""
+    return np.asarray(column.flatten().to_numpy(zero_copy_only=False), kind).reshape(len(column), width)

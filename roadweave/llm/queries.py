@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from roadweave.llm import ann, chat, htmltext, langid, merkle, mixing, neardup, packing, quality, toxicity
+from roadweave.llm import ann, chat, htmltext, langid, merkle, mixing, neardup, negatives, packing, quality, toxicity, whitening
 from roadweave.llm.common import table
 
 
@@ -65,6 +65,18 @@ def op10_levenshtein_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.classify(docs, model)
 
 
+def op11_weighted_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    got = whitening.whiten(table(spark, sf_dir, "embeddings"))
+    each = got.select("vec_id", "n", "deviation", "explained", "identity_error", F.posexplode("whitened").alias("at", "whitened"))
+    return each.select("vec_id", (F.col("at") + 1).alias("component"), "n", "deviation", "whitened", F.col("explained")[F.col("at")].alias("explained"), "identity_error")
+
+
+def op13_one_bit_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    moved = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    rows = negatives.usable(table(spark, sf_dir, "embeddings").withColumn("label", moved))
+    return negatives.mine(rows, "vec_id % 50 = 0")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: f for name, f in globals().items() if name.startswith("op") and callable(f)}
 
