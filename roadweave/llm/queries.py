@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from roadweave.llm import ann, chat, htmltext, langid, merkle, mixing, neardup, negatives, packing, quality, toxicity, whitening
+from roadweave.llm import ann, chat, credentials, htmltext, langid, merkle, mixing, neardup, negatives, packing, quality, toxicity, whitening
 from roadweave.llm.common import table
 
 
@@ -71,6 +71,11 @@ def op11_weighted_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     return each.select("vec_id", (F.col("at") + 1).alias("component"), "n", "deviation", "whitened", F.col("explained")[F.col("at")].alias("explained"), "identity_error")
 
 
+def op12_automata_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return credentials.digests(credentials.find(docs, credentials.train(docs)))
+
+
 def op13_one_bit_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     moved = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
     rows = negatives.usable(table(spark, sf_dir, "embeddings").withColumn("label", moved))

@@ -23,7 +23,7 @@ def test_stages_keep_columns_and_clean_documents(spark):
 
 def test_registered_queries():
     names = sorted(queries())
-    assert [int(n[2:].split("_")[0]) for n in names if n.startswith("op")] and {int(n[2:].split("_")[0]) for n in names} == set(range(1, 11))
+    assert [int(n[2:].split("_")[0]) for n in names if n.startswith("op")] and {int(n[2:].split("_")[0]) for n in names} == set(range(1, 14))
     assert set(oracle_sql()) <= set(names)
     assert [n for n, _ in corpus_pipeline.STAGES] == ["language_id", "quality", "near_dedup", "mixing", "packing"]
 
