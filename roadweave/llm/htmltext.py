@@ -27,12 +27,14 @@ _WORD = re.compile(r"[a-z]+")
 #: HTML element names by their part in a page.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style noscript template iframe svg object canvas textarea title".split())
-GONE = frozenset("head nav footer aside form button select dialog menu audio video fieldset".split())
+GONE = frozenset("head nav footer aside button select dialog menu audio video".split())
+FORMS = frozenset("form fieldset".split())
 BLOCK = frozenset(
     "address article aside blockquote body center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 "
     "header hgroup hr html li main nav ol p pre section summary table tbody td tfoot th thead tr ul caption".split()
 )
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
+HEADER = frozenset(["header"])
 #: Elements that end an open one of their own kind, and elements that end tags inside do not reach beyond.
 ALONE = frozenset("li dd dt tr td th".split())
 HOLDERS = frozenset("main body section div td".split())
@@ -46,14 +48,31 @@ NOISE = READERS | frozenset(
 )
 DOUBTFUL = frozenset("alert alerts banner feedback header login notice notices overlay popover recommended related search share sharing skip social toolbar topbar widget".split())
 LIKELY = frozenset("article content entry main post story body text".split())
+#: Words before which a mark says what a page has or lacks, not what an element is, and words for a part of what a mark names.
+ABOUT = frozenset("has no non not with without".split())
+PARTS = frozenset(
+    "area bar block bottom box container content footer form frame group header holder inner item items left link links list message outer panel "
+    "region right row section slot text title top unit window wrap wrapper".split()
+)
+
+
+def marked(token: str, words: frozenset[str]) -> bool:
+    """Whether a class, id or role names one of ``words``: as its last word, or as its first before words for parts."""
+    said = _WORD.findall(token)
+    if not said or not ABOUT.isdisjoint(said):
+        return False
+    return said[-1] in words or (said[0] in words and all(w in PARTS or w in DOUBTFUL or w in words for w in said[1:]))
 
 
 class Page:
     """Blocks (text, container, characters in links) and containers (parent, tag, path) of one page.
 
-    A container of a ``NOISE`` word is left out, one of a ``DOUBTFUL`` word only if it holds less than
-    half of the page's text; ``article`` and ``main`` only for words of ``READERS``. Elements inside a
-    line are never judged by doubtful words. Every pass is linear in the page, however deep it nests.
+    Blocks are judged by the marks of the containers around them, elements inside a line by nothing but
+    ``hidden``. A container of a ``NOISE`` word, and a form, is left out; not so one that holds an
+    ``article`` or ``main``, nor one that holds most of the page's unlinked text where the page has no
+    article, or (forms aside) inside it. Of readers' comments only what holds ``main`` is kept. A container of a
+    ``DOUBTFUL`` word is left out if it holds less than half of the text that is left. Every pass is
+    linear in the page, however deep it nests.
     """
 
     def __init__(self, source: str):
@@ -62,10 +81,14 @@ class Page:
         self.steps: list[str] = [""]
         self.paths: list[int] = [0]  # number of each container's path
         self.likely: list[bool] = [False]
+        self.named: list[bool] = [False]  # by a whole LIKELY mark
         self.holders: list[int] = [0]  # the container that each one's text counts for
         self.blocks: list[tuple[str, int, int]] = []
         self._path_numbers: dict[tuple[int, str], int] = {}
-        self._doubts: list[tuple[int, int]] = [(-1, 0)]  # of each doubtful container: the one around it, its own characters
+        # of each container to be judged: the one around it, "noise", "form", "reader" or "doubtful", whether it is in an article, and in comments
+        self._doubts: list[tuple[int, str, bool, bool]] = [(-1, "", False, False)]
+        self._holds: list[bool] = [False]  # an article or main
+        self._article = False  # on the page, outside comments
         self._block_doubts: list[int] = []
         self._read(_CUT.sub("", source))
         self._settle()
@@ -168,7 +191,7 @@ class Page:
         for name, *values in _ATTR.findall(attrs) if attrs else ():
             value, name = next((v for v in values if v), ""), name.lower()
             if name in ("class", "id", "role"):
-                marks += _WORD.findall(value.lower())
+                marks += value.lower().split()
                 if name == "class":
                     classes = re.sub(r"\d+", "#", ".".join(sorted(value.lower().split()))).replace("/", "|")
             elif name == "style":
@@ -177,15 +200,33 @@ class Page:
                 hidden = True
         _, node, state, doubt = stack[-1]
         block = tag in BLOCK
-        if state != "x":
-            names = READERS if tag in ("article", "main") else () if tag in ("html", "body") else NOISE
-            if hidden or tag in GONE or any(w in names for w in marks):
-                state = "x"
-            elif tag == "header" or (block and names is NOISE and "header" in marks and open_of["article"]):
+        if state != "x" and (hidden or tag in GONE):
+            state = "x"
+        elif state != "x" and block and tag not in ("html", "body", "main"):
+            says = lambda words: any(marked(m, words) for m in marks)
+            judged = ""
+            if tag == "article":
+                state = "x" if marks and says(READERS) else state
+            elif tag == "header" or (marks and open_of["article"] and says(HEADER)):
                 state = "h" if open_of["article"] else "x"
-            elif block and names is NOISE and any(w in DOUBTFUL for w in marks):
-                self._doubts.append((doubt, 0))
+            elif marks and says(READERS):
+                judged = "reader"
+            elif marks and says(NOISE):
+                judged = "noise"
+            elif tag in FORMS:
+                judged = "form"
+            elif marks and says(DOUBTFUL):
+                judged = "doubtful"
+            if judged:
+                self._doubts.append((doubt, judged, bool(places.get("article")), judged == "reader" or self._doubts[doubt][3]))
+                self._holds.append(False)
                 doubt = len(self._doubts) - 1
+        if tag in ("article", "main") and state != "x":
+            self._article |= tag == "main" or not self._doubts[doubt][3]
+            at = doubt
+            while at > 0 and not self._holds[at] and (tag == "main" or self._doubts[at][1] != "reader"):
+                self._holds[at] = True
+                at = self._doubts[at][0]
         if block:
             step = f"{tag}.{classes}" if classes else tag
             self.paths.append(self._path_numbers.setdefault((self.paths[node], step), len(self._path_numbers) + 1))
@@ -195,7 +236,8 @@ class Page:
             above = self.holders[node]
             own = tag == "article" or (tag in HOLDERS and self.tags[above] not in ("article", "main"))
             self.holders.append(len(self.parents) - 1 if own else above)
-            self.likely.append(tag in ("article", "main") or any(w in LIKELY for w in marks))
+            self.likely.append(tag in ("article", "main") or any(w in LIKELY for m in marks for w in _WORD.findall(m)))
+            self.named.append(any(m in LIKELY for m in marks))
             node = len(self.parents) - 1
             blocks_at.append(len(stack))
         places.setdefault(tag, []).append(len(stack))
@@ -203,17 +245,28 @@ class Page:
         if kind is not None:
             open_of[kind] += 1
 
-    def _settle(self) -> None:
-        """Leave out the blocks of doubtful containers that hold less than half of the page's text."""
+    def _sums(self, gone: list[bool], unlinked: bool) -> list[int]:
+        """Characters in each container to be judged, without what is gone; the page's at 0."""
         sizes = [0] * len(self._doubts)
-        for (text, _, _), doubt in zip(self.blocks, self._block_doubts, strict=True):
-            sizes[doubt] += len(text)
-        total = sum(sizes)
+        for (text, _, linked), doubt in zip(self.blocks, self._block_doubts, strict=True):
+            if not gone[doubt]:
+                sizes[doubt] += max(0, len(text) - linked * unlinked)
         for k in range(len(sizes) - 1, 0, -1):  # inner ones come later
             sizes[self._doubts[k][0]] += sizes[k]
-        gone = [False] * len(sizes)
-        for k in range(1, len(sizes)):
-            gone[k] = gone[self._doubts[k][0]] or 2 * sizes[k] < total
+        return sizes
+
+    def _settle(self) -> None:
+        """Leave out the blocks of containers that are not of the article."""
+        gone = [False] * len(self._doubts)
+        sizes = self._sums(gone, True)
+        for k in range(1, len(gone)):
+            outer, judged, inside, _ = self._doubts[k]
+            most = judged != "reader" and 2 * sizes[k] > sizes[0] and ((inside and judged == "noise") or not self._article)
+            gone[k] = gone[outer] or (judged != "doubtful" and not self._holds[k] and not most)
+        sizes = self._sums(gone, False)
+        for k in range(1, len(gone)):
+            outer, judged, _, _ = self._doubts[k]
+            gone[k] |= gone[outer] or (judged == "doubtful" and 2 * sizes[k] < sizes[0])
         self.blocks = [b for b, doubt in zip(self.blocks, self._block_doubts, strict=True) if not gone[doubt]]
 
     def path(self, node: int) -> str:
@@ -248,18 +301,28 @@ class Page:
                 node = self.parents[node]
         return found
 
+    def _whole(self, node: int) -> int:
+        """The container that a part without a mark of its own belongs to: the one around it that is named as the text."""
+        around = self.parents[node]
+        while around > 0 and self.named[around] and not self.likely[node] and self.tags[around] != "body":
+            node, around = around, self.parents[around]
+        return node
+
     def best(self, n: int = 3) -> list[tuple[int, float]]:
         """The best containers with their shares of all scores, ties to the earlier one."""
         found = {k: v for k, v in self.scores().items() if v > 0}
-        total = sum(found.values())
-        return [(k, v / total) for k, v in sorted(found.items(), key=lambda x: (-x[1], x[0]))[:n]]
+        total, shares = sum(found.values()), {}
+        for k, v in sorted(found.items(), key=lambda x: (-x[1], x[0]))[:n]:
+            k = self._whole(k)
+            shares[k] = shares.get(k, 0.0) + v / total
+        return sorted(shares.items(), key=lambda x: (-x[1], x[0]))
 
     def text(self, path: str | None) -> str:
-        """Blocks under the containers on ``path``, or under the page's own best one."""
+        """Blocks under the containers on ``path``, or on that of the page's own best one."""
         roots = self._on(path) if path is not None else set()
         if not roots:
             own = self.best(1)
-            roots = {own[0][0]} if own else {0}
+            roots = self._on(self.path(own[0][0])) if own else {0}
         under: dict[int, bool] = {}
         for k in range(len(self.parents)):  # parents come before children
             under[k] = k in roots or (self.parents[k] >= 0 and under[self.parents[k]])
@@ -293,7 +356,8 @@ def extract(pages: DataFrame) -> DataFrame:
     """page_id, url, text, n_chars of each row of ``pages`` (page_id, url, html).
 
     Null and empty pages, and pages without text, have an empty text. Pages without a host vote
-    among themselves. Repeated rows are extracted each. Other columns are left out.
+    among themselves. Repeated rows are extracted each, of whatever length; an empty table gives an
+    empty result. Other columns are left out.
     """
     lean = pages.select("page_id", "url", F.coalesce(F.col("html").cast("string"), F.lit("")).alias("html"))
     lean = lean.withColumn("host", F.lower(F.regexp_extract(F.coalesce("url", F.lit("")), r"^(?:[a-zA-Z][\w+.-]*:)?//([^/?#]*)", 1)))

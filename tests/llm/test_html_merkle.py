@@ -94,6 +94,20 @@ def test_tree(text_of):
         ('<article><p>long text that is the article</p><div class="share">share me</div></article>', "long text that is the article"),
         ('<article><p>one</p></article><article class="comment"><p>a reader says more than one</p></article>', "one"),
         ("<p>text <!-- never closed", "text"),
+        ('<div class="site has-sidebar"><article><p>kept</p></article><div class="sidebar">gone</div></div>', "kept"),
+        ('<div class="modal-ready no-nav"><article><p>kept</p></article></div>', "kept"),
+        ('<form id="aspnetForm"><main><article><p>kept</p><form>your name</form></article></main></form>', "kept"),
+        ('<form><div><p>a text without an article in it</p></div><div class="ad">buy</div></form>', "a text without an article in it"),
+        ('<div class="modal"><p>the text of the whole page</p></div><footer>f</footer>', "the text of the whole page"),
+        ('<div class="ad"><p>an advert that is longer than the article itself</p></div><article><p>short</p></article>', "short"),
+        ('<article><pre>run it <span class="token comment"># set x</span></pre></article>', "run it # set x"),
+        ('<article><p>The <span class="copyright">copyright act</span> passed</p></article>', "The copyright act passed"),
+        ('<article><p>a</p><section id="newsletter-history"><p>b</p></section><div class="newsletter-box">c</div></article>', "a\nb"),
+        ('<div class="content"><div>long long long long</div><div>short tail</div></div>', "long long long long\nshort tail"),
+        ('<main><article><p>first</p></article><article><p>second</p></article></main>', "first\nsecond"),
+        ('<article><p>one</p></article><section class="comments"><article><p>a reader says more than one</p></article></section>', "one"),
+        ('<div class="comments-enabled site-footer-fixed"><main><p>kept</p></main></div>', "kept"),
+        ('<div id="main-nav">menu</div><div id="ad_1">buy</div><div class="post-comments">me too</div><div class="story">kept</div>', "kept"),
         ("a < b <a", "a < b"),
     ],
 )
@@ -129,7 +143,8 @@ def random_page(rng):
         body += rng.choice(["", "", "<script>if (a < b) '<p>'</script>", "<aside>side</aside>", '<div class="ad">buy</div>', "<form>your name<input></form>", "<!-- <p>no</p> -->", '<div class="comments"><p>reader text here</p></div>'])
     before = rng.choice(["", "<nav><ul><li>menu</ul></nav>", "<header><h1>Site</h1></header>", '<div id="cookie-notice">we use cookies</div>'])
     after = rng.choice(["", "<footer>&copy; x</footer>", '<div class="sidebar"><p>more</p></div>'])
-    return f"<html><head><title>t</title></head><body>{before}<article>{body}</article>{after}</body></html>", "\n".join(blocks)
+    start, end = rng.choice([("", ""), ("", ""), ('<div class="site has-sidebar">', "</div>"), ('<div class="modal-ready no-nav">', "</div>"), ('<form id="aspnetForm"><main>', "</main></form>"), ('<div class="modal">', "</div>")])
+    return f"<html><head><title>t</title></head><body>{start}{before}<article>{body}</article>{after}{end}</body></html>", "\n".join(blocks)
 
 
 def test_extraction_against_pages_built_with_their_text(spark):
