@@ -20,7 +20,7 @@ import math
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import MapType
+from pyspark.sql.types import ArrayType, DataType, MapType, StructType, VariantType
 
 from roadweave.llm.common import WORD_PATTERN, stored
 
@@ -99,10 +99,26 @@ def _fold(members: Column, seed: int) -> Column:
     return F.aggregate(F.slice(members, 2, 1 << 30), start, step)
 
 
+def _quoted(name: str) -> Column:
+    return F.col("`" + name.replace("`", "``") + "`")
+
+
+def _hashable(c: Column, kind: DataType) -> Column:
+    """A value that xxhash64 tells apart from others: maps as their sorted entries, with the places of nulls inside."""
+    if isinstance(kind, ArrayType):
+        return F.struct(F.size(c), F.transform(c, lambda x: F.struct(x.isNull(), _hashable(x, kind.elementType))))
+    if isinstance(kind, StructType):
+        return F.struct(*(x for f in kind.fields for x in (c.getField(f.name).isNull(), _hashable(c.getField(f.name), f.dataType))))
+    if isinstance(kind, MapType):
+        pairs = F.transform(F.map_entries(c), lambda e: F.struct(_hashable(e["key"], kind.keyType), e["value"].isNull(), _hashable(e["value"], kind.valueType)))
+        return F.struct(F.size(c), F.array_sort(pairs))
+    return F.to_json(c) if isinstance(kind, VariantType) else c
+
+
 def _row_hash(docs: DataFrame) -> Column:
-    """A hash of all columns of a row (but maps, which have none); nulls count by their places."""
-    cols = [F.col(f"`{f.name}`") for f in docs.schema.fields if not isinstance(f.dataType, MapType)]
-    return F.xxhash64(*cols, F.concat(*[c.isNull().cast("string") for c in cols]))
+    """A hash of all columns of a row, maps by their entries in whatever order; nulls count by their places."""
+    cols = [(_quoted(f.name), f.dataType) for f in docs.schema.fields]
+    return F.xxhash64(*(_hashable(c, kind) for c, kind in cols), F.concat(*[c.isNull().cast("string") for c, _ in cols]))
 
 
 def copies(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, most: float = MOST_COPIES, seed: int = 8, block: int = BLOCK) -> DataFrame:
@@ -175,12 +191,15 @@ def copies(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, most: float =
 def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, most: float = MOST_COPIES, seed: int = 8) -> DataFrame:
     """The mixed documents: each row of ``docs``, with all its columns, as often as its copies say.
 
-    Rows that are alike in every column are one row with all their copies. Texts are shuffled once.
+    Rows that are alike in every column, maps and what is nested included, are one row with all their
+    copies. Columns may have any name and type. Null and empty texts appear as often as the whole part
+    of their source's ratio, whatever their length texts are read whole, an empty table gives an empty
+    result. Texts are shuffled once.
     """
     key = ["_rw_h", "_rw_id", "_rw_source", "_rw_size"]
     per = copies(docs, weights, most, seed).groupBy("h", "doc_id", "source", "size").agg(F.sum("copies").alias("_rw_copies"), F.count(F.lit(1)).alias("_rw_times"))
     taken = stored(per.where("_rw_copies > 0").select(F.col("h").alias("_rw_k"), F.col("doc_id").alias("_rw_d"), F.col("source").alias("_rw_s"), F.col("size").alias("_rw_z"), "_rw_copies", "_rw_times"), "mix-taken")
-    names = [F.col(f"`{c}`") for c in docs.columns]
+    names = [_quoted(c) for c in docs.columns]
     keyed = docs.select("*", _row_hash(docs).alias("_rw_h"), F.col("doc_id").alias("_rw_id"), F.col("source").alias("_rw_source"), word_count(F.col("text")).alias("_rw_size"))
 
     def on(other: DataFrame) -> Column:

@@ -126,3 +126,17 @@ def test_many_sources_are_numbered_in_order(spark):
     got = {r.source: r.target for r in mixing.source_targets(df.repartition(9)).collect()}
     expect = water(sizes)
     assert all(abs(got[s] - expect[s]) < 1e-6 for s in sizes) and len(got) == len(sizes)
+
+
+def test_rows_that_differ_in_nested_values_are_told_apart(spark):
+    """Maps, maps inside structs and arrays, nulls at other places, and a column with a backtick in its name."""
+    schema = "doc_id long, text string, source string, m map<string,string>, n struct<a: map<string,int>, b: string>, `o``d.d` array<map<string,int>>, p array<int>"
+    base = (1, "a b c", "s", {"k": "1"}, ({"x": 1}, None), [{"y": 1}], [1, None])
+    others = [(3, {"k": "2"}), (3, {"k": None}), (3, None), (3, {"k": "1", "l": "1"}), (4, ({"x": 2}, None)), (4, ({"x": 1}, "b")), (4, None), (5, [{"y": 2}]), (5, [{"y": 1}, None]), (6, [None, 1]), (6, []), (6, None)]
+    rows = [base] + [tuple(v if i == at else x for i, x in enumerate(base)) for at, v in others]
+    df = spark.createDataFrame(rows, schema)
+    assert df.select(mixing._row_hash(df)).distinct().count() == len(rows)
+    got = mixing.mix(df, weights=(1,)).collect()  # one source: each row once
+    assert sorted(map(repr, got)) == sorted(map(repr, df.collect()))
+    turned = spark.createDataFrame([(1, {"a": 1, "b": 2})], "doc_id long, m map<string,int>").unionByName(spark.sql("select 1L doc_id, map('b', 2, 'a', 1) m"))
+    assert turned.select(mixing._row_hash(turned)).distinct().count() == 1
