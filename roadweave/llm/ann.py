@@ -112,9 +112,13 @@ def usable(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedd
 
 
 def _nearest(q_ids: np.ndarray, q: np.ndarray, ids: np.ndarray, x: np.ndarray, k: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-    """(query id, ids, distances) of the ``k`` nearest of a block to each query, exactly, itself left out."""
+    """(query id, ids, distances) of the ``k`` nearest ids of a block to each query, exactly, itself left out; an id by its nearest row."""
+    order = np.argsort(ids, kind="stable")
+    own, first = np.unique(ids[order], return_index=True)
     for i in range(len(q)):
         d = np.sqrt(((x - q[i]) ** 2).sum(1))
+        if len(own) < len(d):
+            d, ids = np.minimum.reduceat(d[order], first), own
         d[ids == q_ids[i]] = np.inf
         if len(d) > k:
             worst = np.partition(d, k - 1)[k - 1]
@@ -136,8 +140,9 @@ class _Best:
         old = self.found.get(query)
         if old is not None:
             ids, d = np.concatenate([old[0], ids]), np.concatenate([old[1], d])
-            ids, first = np.unique(ids, return_index=True)
-            d = d[first]
+            order = np.lexsort((d, ids))
+            ids, first = np.unique(ids[order], return_index=True)
+            d = d[order][first]
         order = np.lexsort((ids, d))[: self.k]
         self.found[query] = (ids[order], d[order])
 
@@ -168,7 +173,7 @@ def brute_force(base: DataFrame, queries: list[tuple[int, list[float]]], k: int)
 
 def _top(found: DataFrame, k: int) -> DataFrame:
     order = Window.partitionBy("query_id").orderBy("score", "vec_id")
-    ranked = found.dropDuplicates(["query_id", "vec_id"]).withColumn("rank", F.row_number().over(order))
+    ranked = found.groupBy("query_id", "vec_id").agg(F.min("score").alias("score")).withColumn("rank", F.row_number().over(order))
     return ranked.where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 
@@ -200,10 +205,10 @@ _KEY = ["tab", "code"]
 
 
 def _blocks(spread: DataFrame, counts: DataFrame) -> DataFrame:
-    """tab, code, block, rows: the rows (tab, code, id, v) in blocks of about BLOCK by hash of the id."""
+    """tab, code, block, rows: the rows (tab, code, id, v) in blocks of about BLOCK by hash of id and vector."""
     large = counts.where(F.col("m") > BLOCK).select(*_KEY, "m", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))).alias("salt"))
-    salted = spread.withColumn("salt", F.pmod(F.xxhash64(F.lit("salt"), "id"), F.lit(SALTS)))
-    block = F.pmod(F.xxhash64("id"), F.ceil(F.coalesce("m", F.lit(1)) / BLOCK)).alias("block")
+    salted = spread.withColumn("salt", F.pmod(F.xxhash64(F.lit("salt"), "id", "v"), F.lit(SALTS)))
+    block = F.pmod(F.xxhash64("id", "v"), F.ceil(F.coalesce("m", F.lit(1)) / BLOCK)).alias("block")
     dealt = salted.join(large, [*_KEY, "salt"], "left").select(*_KEY, block, "id", "v")
     return stored(dealt.groupBy(*_KEY, "block").agg(F.collect_list(F.struct("id", "v")).alias("rows")), "ann-blocks")
 
@@ -275,10 +280,12 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 10, recall: float =
     """query_id, rank, vec_id, score: the ``k`` nearest found of each query row among all other rows.
 
     Both tables have (vec_id, embedding). Vectors that are null, zero, of another length than most, or
-    hold null or non-finite parts take no part. Ties go to the smaller vec_id. A vec_id that occurs
-    more than once counts once, by its nearest row. Fewer candidates than ``k`` give all of them. A query
-    that the probes leave with fewer than ``k`` is searched again among all rows, and all queries are
-    where no number of probes reaches ``recall``.
+    hold null or non-finite parts, and null ids, take no part. Ties go to the smaller vec_id. A vec_id
+    that occurs more than once counts once, by its nearest row; a query never finds its own vec_id, and
+    of several vectors of a query's id the least asks (by its components in turn). Fewer candidates
+    than ``k`` give all of them. A query that the probes leave with fewer than ``k`` is searched again
+    among all rows, and all queries are where no number of probes reaches ``recall``. Empty tables give
+    an empty result. Further columns are not read.
     """
     spark = vectors.sparkSession
     base, asked = usable(vectors), usable(queries)
@@ -287,9 +294,10 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 10, recall: float =
     if not sizes:
         return empty
     dimension = sizes[0]["d"]
-    base = stored(base.where(F.size("v") == dimension), "ann-base")
-    asked = stored(asked.where(F.size("v") == dimension).dropDuplicates(["id"]), "ann-queries")
+    base = stored(base.where(F.size("v") == dimension).dropDuplicates(["id", "v"]), "ann-base")
+    asked = stored(asked.where(F.size("v") == dimension).groupBy("id").agg(F.min("v").alias("v")), "ann-queries")
     n, asking = base.count(), asked.count()
+    own_ids = base.agg(F.count_distinct("id")).collect()[0][0]
     if not asking:
         return empty
     scale = base.agg(F.avg(F.aggregate("v", F.lit(0.0), lambda a, x: a + x * x))).collect()[0][0]
@@ -298,7 +306,10 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 10, recall: float =
     order = F.xxhash64(F.lit(seed), "id")
     sample = [(r["id"], r["v"]) for r in asked.orderBy(order, "id").limit(MEASURED).collect()]
     truth = stored(brute_force(base, sample, k), "ann-truth")
-    hits = truth.join(base.select(F.col("id").alias("vec_id"), "v"), "vec_id").select("query_id", "v").collect()  # MEASURED * k rows
+    asks = spark.createDataFrame(sample, "query_id long, q array<double>")
+    away = F.aggregate(F.zip_with("v", "q", lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda a, x: a + x)
+    near = truth.join(base.select(F.col("id").alias("vec_id"), "v"), "vec_id").join(F.broadcast(asks), "query_id")
+    hits = near.groupBy("query_id", "vec_id").agg(F.min_by("v", away).alias("v")).select("query_id", "v").collect()  # MEASURED * k rows
     fit = fitted(dimension, functions, scale, tables, seed, {i: np.array(v) for i, v in sample}, [(r["query_id"], np.array(r["v"])) for r in hits], recall)
     if fit is None:
         return _exact(base, asked, k, dimension).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
@@ -331,7 +342,7 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 10, recall: float =
     wanted = asked.mapInArrow(probed, "id long, tab int, code long").join(counts, _KEY)  # ids alone: no vector meets a bucket before it is blocks
     met = _met(_blocks(spread, counts), _groups(wanted, asked, max(1, math.ceil(asking / GROUP))))
     got = stored(_ranked(met, dimension, k), "ann-found")
-    few = asked.join(got.where(F.col("rank") == min(k, max(1, n - 1))).select(F.col("query_id").alias("id")), "id", "left_anti")
+    few = asked.join(got.where(F.col("rank") == min(k, max(1, own_ids - 1))).select(F.col("query_id").alias("id")), "id", "left_anti")
     few = stored(few, "ann-few")
     again = _exact(base, few, k, dimension)  # none or few as a rule
     if again is not None:

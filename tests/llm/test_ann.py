@@ -125,3 +125,48 @@ def test_many_exact_queries_are_pairs(spark, monkeypatch):
     rows = ann._exact(base, base.where("id % 20 = 0"), 7, 6).collect()
     assert {(r.query_id, r["rank"], r.vec_id) for r in rows} == {(q, n + 1, v) for q in range(0, 400, 20) for n, (v, _) in enumerate(exact(np.arange(400), x, q, x[q], 7))}
     assert ann._exact(base, base.limit(0), 7, 6) is None
+
+
+def by_nearest_row(rows, asks, k):
+    """query -> [(vec_id, score)], an id by its nearest row, the query's own id left out."""
+    out = {}
+    for q, v in asks.items():
+        near = {}
+        for i, x in rows:
+            if i != q:
+                near[i] = min(near.get(i, np.inf), float(np.sqrt(((np.array(x) - np.array(v)) ** 2).sum())))
+        out[q] = sorted(near.items(), key=lambda p: (p[1], p[0]))[:k]
+    return out
+
+
+def test_a_repeated_id_counts_by_its_nearest_row(spark, monkeypatch):
+    """Ids with 1, 2 and 20 vectors, queries too, in one partition: probed, exact in one pass and exact in pairs."""
+    rng = np.random.default_rng(6)
+    rows = [(i, rng.standard_normal(4).tolist()) for i in range(1, 400) for _ in range((1, 1, 2, 20)[i % 4])]
+    rows += [(1, (0.01 * rng.standard_normal(4)).tolist()) for _ in range(20)] + [(0, [0.0, 0.0, 0.0, 1e-9]), (0, [5.0, 0.0, 0.0, 0.0])] + rows[:50]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").coalesce(1)
+    asks = {i: min(v for j, v in rows if j == i) for i in {i for i, _ in rows if i % 40 == 0}}
+    want = by_nearest_row(rows, asks, 10)
+
+    def run():
+        found = {}
+        for r in sorted(ann.search(df, df.where("vec_id % 40 = 0")).collect(), key=lambda r: (r.query_id, r["rank"])):
+            found.setdefault(r.query_id, []).append((r.vec_id, r.score))
+        return found
+
+    got = run()
+    assert sum(len({i for i, _ in want[q]} & {i for i, _ in got[q]}) for q in want) >= 0.9 * 10 * len(want)
+    for q, pairs in got.items():
+        whole = dict(by_nearest_row(rows, {q: asks[q]}, 1000)[q])
+        assert len(pairs) == 10 and all(abs(whole[i] - d) < 1e-12 for i, d in pairs)
+    monkeypatch.setattr(ann, "fitted", lambda *a: None)
+    close = lambda a, b: a.keys() == b.keys() and all([i for i, _ in a[q]] == [i for i, _ in b[q]] and np.allclose([d for _, d in a[q]], [d for _, d in b[q]], atol=1e-12) for q in a)
+    assert close(run(), want)
+    for name, n in (("EXACT", 3), ("BLOCK", 50), ("GROUP", 4)):
+        monkeypatch.setattr(ann, name, n)
+    assert close(run(), want)
+
+
+def test_the_nearest_of_two_vectors_of_an_id(spark):
+    df = spark.createDataFrame([(1, [1.0, 9.0]), (1, [1.0, 1.5]), (0, [1.0, 1.0]), (2, [1.0, 3.0])], "vec_id long, embedding array<double>").coalesce(1)
+    assert [(r["rank"], r.vec_id, r.score) for r in ann.search(df, df.where("vec_id = 0")).orderBy("rank").collect()] == [(1, 1, 0.5), (2, 2, 2.0)]
