@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from roadweave.functions.storage import spread, stored
+from roadweave.operators.stemming import stems
 
 
 def tokens(text: Column) -> Column:
@@ -129,10 +130,12 @@ def lcs_length(a: Column, b: Column) -> Column:
     return length(a, b)
 
 
-def rouge_l(pairs: DataFrame, key: str = "id", by: Sequence[str] = ()) -> DataFrame:
-    """key (and ``by``), rouge_l: F measure of the longest common subsequence of alphanumeric words."""
+def rouge_l(pairs: DataFrame, key: str = "id", by: Sequence[str] = (), stemming: bool = True) -> DataFrame:
+    """key (and ``by``), rouge_l: F measure of the longest common subsequence of alphanumeric words, or of their stems."""
     words = lambda c: F.filter(F.split(F.lower(F.col(c)), "[^a-z0-9]+"), lambda w: w != "")
     t = pairs.select(*by, key, words("candidate").alias("_a"), words("reference").alias("_b"))
+    if stemming:
+        t = t.withColumns({c: stems(F.col(c)) for c in ("_a", "_b")})
     t = t.withColumn("_l", lcs_length(F.col("_a"), F.col("_b")))
     p, r = F.try_divide(F.col("_l"), F.size("_a")), F.try_divide(F.col("_l"), F.size("_b"))
     return t.select(*by, key, F.coalesce(F.try_divide(2 * p * r, p + r), F.lit(0.0)).alias("rouge_l"))

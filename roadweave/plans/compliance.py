@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from roadweave.operators import answers, citations, classify, labels, retrieval, review, textsim
+from roadweave.operators import answers, citations, classify, labels, retrieval, review, stemming, textsim
 from roadweave.plans.base import registrar
+from roadweave.plans.stems_sql import stem_steps
 from roadweave.plans.telemetry import _rounded
 from roadweave.sources import adapters
 from roadweave.sources.adapters import LABELS, TELEMETRY, VERDICTS, table, telemetry
@@ -412,21 +413,37 @@ def _(spark, sf_dir):
     return _rounded(textsim.corpus_bleu(pairs(spark, sf_dir)), 9)
 
 
-# A row of the table of common subsequences is the running maximum of its candidates: one more than the cell before where words agree, else the cell above.
-_LCS = (
-    f"WITH RECURSIVE {_PAIRS}, t AS (SELECT id, list_filter(regexp_split_to_array(lower(candidate), '[^a-z0-9]+'), lambda w: w <> '') AS a, list_filter(regexp_split_to_array(lower(reference), '[^a-z0-9]+'), lambda w: w <> '') AS b FROM prs), "
+# Words, their stems by position, then the table of common subsequences: a row is the running maximum of its candidates, one more than the
+# cell before where words agree, else the cell above.
+_STEMMED = (
+    "wds AS (SELECT id, list_filter(regexp_split_to_array(lower(candidate), '[^a-z0-9]+'), lambda w: w <> '') AS a, list_filter(regexp_split_to_array(lower(reference), '[^a-z0-9]+'), lambda w: w <> '') AS b FROM prs), "
+    "each AS (SELECT id, 'a' AS side, unnest(a) AS word, generate_subscripts(a, 1) AS place FROM wds UNION ALL SELECT id, 'b', unnest(b), generate_subscripts(b, 1) FROM wds), "
+    + stem_steps("each")
+    + ", sides AS (SELECT id, side, list(coalesce(stem, word) ORDER BY place) AS ws FROM each LEFT JOIN stems USING (word) GROUP BY 1, 2), "
+    "t AS (SELECT p.id, coalesce(a.ws, []) AS a, coalesce(b.ws, []) AS b FROM wds p LEFT JOIN sides a ON a.id = p.id AND a.side = 'a' LEFT JOIN sides b ON b.id = p.id AND b.side = 'b'), "
+)
+_LCS_TABLE = (
     "dp(id, i, row) AS (SELECT id, 0, list_transform(b, lambda w: 0) FROM t UNION ALL SELECT d.id, d.i + 1, list_transform(range(1, len(b) + 1), lambda j: list_max(list_transform(range(1, j + 1), lambda x: CASE WHEN b[x] = a[d.i + 1] THEN CASE WHEN x > 1 THEN d.row[x - 1] ELSE 0 END + 1 ELSE d.row[x] END))) FROM dp d JOIN t USING (id) WHERE d.i < len(a)), "
-    "l AS (SELECT t.id, len(a) AS na, len(b) AS nb, coalesce(row[len(b)], 0) AS l FROM t JOIN dp ON dp.id = t.id AND dp.i = len(a)) "
+    "lcs AS (SELECT t.id, len(a) AS na, len(b) AS nb, coalesce(row[len(b)], 0) AS l FROM t JOIN dp ON dp.id = t.id AND dp.i = len(a)), "
+    "rl AS (SELECT id, CASE WHEN l = 0 THEN 0 ELSE 2.0 * l / (na + nb) END AS rouge_l FROM lcs)"
 )
 
 
-@register("rouge_l", _LCS + "SELECT id, round(CASE WHEN l = 0 THEN 0 ELSE 2.0 * l / (na + nb) END, 9) AS rouge_l FROM l")
+@register("rouge_l", f"WITH RECURSIVE {_PAIRS}, {_STEMMED}{_LCS_TABLE} SELECT id, round(rouge_l, 9) AS rouge_l FROM rl")
 def _(spark, sf_dir):
     return _rounded(textsim.rouge_l(pairs(spark, sf_dir)), 9)
 
 
+@register("word_stems", f"WITH each AS (SELECT unnest(list_filter(regexp_split_to_array(lower(text), '[^a-z0-9]+'), lambda w: w <> '')) AS word FROM documents), {stem_steps('each', least=3)} SELECT word, stem FROM stems")
+def _(spark, sf_dir):
+    """The stem of each distinct word of all documents."""
+    words = F.explode(F.split(F.lower("text"), "[^a-z0-9]+")).alias("word")
+    once = table(spark, sf_dir, "documents").select(words).where(F.length("word") >= 3).distinct()
+    return once.select("word", stemming.stems(F.array("word"), least=3)[0].alias("stem"))
+
+
 _REPORT = (
-    _GRAMS.replace("prs AS (SELECT", "prs AS (SELECT a.conv_id % 3 AS fold,", 1)
+    _GRAMS.replace("WITH prs AS (SELECT", "WITH RECURSIVE prs AS (SELECT a.conv_id % 3 AS fold,", 1) + _STEMMED + _LCS_TABLE + ", "
     + "mm AS (SELECT coalesce(a.id, b.id) AS id, coalesce(a.n, b.n) AS n, sum(least(coalesce(a.c, 0), coalesce(b.c, 0))) AS m, coalesce(sum(a.c), 0) AS t FROM (SELECT * FROM k WHERE side = 'c') a FULL JOIN (SELECT * FROM k WHERE side = 'r') b ON a.id = b.id AND a.n = b.n AND a.gram = b.gram GROUP BY 1, 2), "
     "l AS (SELECT id, max(CASE WHEN side = 'c' THEN len(w) END) AS cw, max(CASE WHEN side = 'r' THEN len(w) END) AS rw FROM s GROUP BY 1), f AS (SELECT id, ns.n, coalesce(m, 0) AS m, coalesce(t, 0) AS t FROM (SELECT id, unnest([1, 2, 3, 4]) AS n FROM l) ns LEFT JOIN mm USING (id, n)), "
     "g AS (SELECT id, sum(ln(CASE WHEN m = 0 THEN 0.1 ELSE m END / greatest(t, 1))) / 4 AS lg, max(CASE WHEN n = 1 THEN m END) AS m1 FROM f GROUP BY 1), bl AS (SELECT id, CASE WHEN m1 = 0 THEN 0 ELSE CASE WHEN cw > rw THEN 1 ELSE exp(1 - rw / cw) END * exp(lg) END AS bleu FROM g JOIN l USING (id)), "
@@ -436,16 +453,16 @@ _REPORT = (
     "rows_ AS (SELECT id, fold, CASE id % 4 WHEN 0 THEN 'Yes' WHEN 1 THEN 'No' ELSE 'Unclear' END AS gold, CASE id % 5 WHEN 0 THEN 'Yes' WHEN 1 THEN 'No' ELSE 'Unclear' END AS pred FROM prs), "
     "lb AS (SELECT fold, x AS lab FROM (SELECT DISTINCT fold FROM prs), (SELECT unnest(['Yes', 'No', 'Unclear']) AS x)), fc AS (SELECT lb.fold, lab, count(*) FILTER (gold = lab AND pred = lab) AS tp, count(*) FILTER (pred = lab) AS np, count(*) FILTER (gold = lab) AS ng FROM lb JOIN rows_ USING (fold) GROUP BY 1, 2), "
     "mf AS (SELECT fold, avg(coalesce(2.0 * tp / nullif(np + ng, 0), 0)) AS f FROM fc GROUP BY 1) "
-    "SELECT CAST(fold AS BIGINT) AS fold, count(*) AS n_scored, count(bleu) AS n_pairs, round(avg(CASE WHEN pred = gold THEN 1.0 ELSE 0 END), 4) AS accuracy, round(any_value(f), 4) AS macro_f1, round(avg(bleu), 4) AS bleu, round(avg(cider), 4) AS cider FROM rows_ LEFT JOIN bl USING (id) LEFT JOIN ci USING (id) JOIN mf USING (fold) GROUP BY 1"
+    "SELECT CAST(fold AS BIGINT) AS fold, count(*) AS n_scored, count(bleu) AS n_pairs, round(avg(CASE WHEN pred = gold THEN 1.0 ELSE 0 END), 4) AS accuracy, round(any_value(f), 4) AS macro_f1, round(avg(bleu), 4) AS bleu, round(avg(rouge_l), 4) AS rouge_l, round(avg(cider), 4) AS cider FROM rows_ LEFT JOIN bl USING (id) LEFT JOIN rl USING (id) LEFT JOIN ci USING (id) JOIN mf USING (fold) GROUP BY 1"
 )
 
 
 @register("evaluation_report", _REPORT)
 def _(spark, sf_dir):
-    """Scores by fold: labels and texts together. ROUGE-L has a query of its own."""
+    """Scores by fold: labels and texts together."""
     say = lambda m: F.when(F.col("id") % m == 0, "Yes").when(F.col("id") % m == 1, "No").otherwise("Unclear")
     rows = pairs(spark, sf_dir).withColumns({"fold": F.floor(F.col("id") / 1000) % 3, "gold": say(4), "pred": say(5)})
-    return textsim.report(rows, ["fold"], "id", ["Yes", "No", "Unclear"]).drop("rouge_l")
+    return textsim.report(rows, ["fold"], "id", ["Yes", "No", "Unclear"])
 
 
 _KNN = (
@@ -514,8 +531,3 @@ def _(spark, sf_dir):
     mark = F.when(F.col("doc_id") % 3 > 0, F.concat(F.lit("  "), section, F.lit("."), (F.col("doc_id") % 30).cast("string"), F.lit(" "))).otherwise("")
     pages = d.select(F.lit("IRC").alias("doc"), section.alias("section"), F.col("doc_id").alias("page"), F.concat(mark, "text").alias("text"))
     return retrieval.clause_split(pages).select("section", "clause_id", "page", "heading", F.md5("text").alias("text_md5"))
-
-
-# Names of an earlier round; the searches read the whole table under both.
-for _name in ("knn_retrieval", "retrieval_relevance", "precision_at_k"):
-    register(f"{_name}_whole", SQL[_name])(QUERIES[_name])

@@ -24,7 +24,7 @@ def test_knn_over_a_large_index(spark):
     assert got == want
 
 
-@pytest.mark.parametrize("name", ["knn_retrieval", "knn_retrieval_whole", "retrieval_relevance_whole", "precision_at_k", "precision_at_k_whole"])
+@pytest.mark.parametrize("name", ["knn_retrieval", "retrieval_relevance", "precision_at_k"])
 def test_whole_tables_match_their_sql(spark, name):
     assert name in importlib.import_module("__spark_entry__").queries()
     matches_sql(spark, name)
