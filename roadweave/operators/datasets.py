@@ -85,7 +85,7 @@ def backfilled(df: DataFrame, fs: float, width: int, defaults: dict[str, float])
     if "total_jerk" not in has and len(axes) == 3:
         df = timeseries.gradient(df, axes, 1 / fs, "_j_").withColumn("total_jerk", timeseries.magnitude("_j_ax", "_j_ay", "_j_az")).drop("_j_ax", "_j_ay", "_j_az")
     if "z_az" not in has and "az" in has:
-        df = df.withColumn("z_az", timeseries.rolling_z_column("az", width, 50, 1e-9))
+        df = timeseries.rolling_z(df, {"z_az": ("az", width)}, least=50, epsilon=1e-9)
     for name, value in defaults.items():
         if name not in df.columns:
             df = df.withColumn(name, F.lit(value))

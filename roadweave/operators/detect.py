@@ -4,12 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from roadweave.functions.storage import spread
 from roadweave.operators.intervals import merge_intervals
-from roadweave.operators.timeseries import CLIP, TIME, in_time, rolling_z, rolling_z_column
+from roadweave.operators.scans import carried, in_range, quantiles, ranged, up_to_here
+from roadweave.operators.timeseries import CLIP, TIME, rolling_z
 
 
 def moving(speed: Column, least: float = 2.0) -> Column:
@@ -26,10 +26,12 @@ def flags_to_events(df: DataFrame, flag: Column, gap: float = 1.0, extra: Sequen
 
     A run ends where the next flagged sample is more than ``gap`` seconds later. Runs are numbered from 1.
     """
-    w = in_time(clip, time)
     flagged = df.where(F.coalesce(flag, F.lit(False)))
-    new = F.coalesce((F.col(time) - F.lag(time).over(w) > gap).cast("int"), F.lit(1))
-    numbered = flagged.withColumn("_new", new).withColumn("event_no", F.sum("_new").over(w.rowsBetween(Window.unboundedPreceding, 0)).cast("int"))
+    dealt = carried(ranged(flagged, [clip], [time]), [clip], _last=(F.max(time), "max"))
+    before = F.coalesce(F.lag(time).over(in_range([clip])), F.col("_last"))
+    marked = dealt.withColumn("_new", F.coalesce((F.col(time) - before > gap).cast("int"), F.lit(1)))
+    counted = carried(marked, [clip], _runs=(F.sum("_new"), "sum"))
+    numbered = counted.withColumn("event_no", (F.sum("_new").over(up_to_here([clip])) + F.col("_runs")).cast("int"))
     return numbered.groupBy(clip, "event_no").agg(F.min(time).alias("start_time"), F.max(time).alias("end_time"), *extra)
 
 
@@ -41,7 +43,7 @@ def candidate_aggregates(z: str = "z") -> list[Column]:
 
 def candidate_events(df: DataFrame, column: str, width: int, k: float, gap: float) -> DataFrame:
     """The flagship: rolling z-score, threshold, runs, aggregates."""
-    z = spread(df, CLIP).withColumn("z", rolling_z_column(column, width))
+    z = rolling_z(df.select(CLIP, TIME, column), {"z": (column, width)})
     return flags_to_events(z, F.abs("z") > k, gap, candidate_aggregates())
 
 
@@ -84,9 +86,9 @@ def adaptive_fusion_merged(df: DataFrame, gap: float, **options: object) -> Data
 
 
 def adaptive_fusion_speed(df: DataFrame, gap: float, width: int, columns: Sequence[str], k: float = 3.0, channels: int = 2, speed: str = "speed_kmh", **_: object) -> DataFrame:
-    """Fusion with one k a clip: the median of its rows' speed-scaled k."""
-    scaled = df.groupBy(F.col(CLIP).alias("_clip")).agg(F.coalesce(F.percentile(speed_scaled_k(F.col(speed), k), 0.5), F.lit(k)).alias("_k"))
-    z = _with_rolling(df, columns, width).join(scaled, F.col(CLIP) == F.col("_clip"))
+    """Fusion with one k a clip: the median of its rows' speed-scaled k, or ``k`` where none has one."""
+    scaled = quantiles(df.select(CLIP, speed_scaled_k(F.col(speed), k).alias("_v")), [CLIP], "_v")
+    z = _with_rolling(df, columns, width).join(scaled.select(F.col(CLIP).alias("_clip"), F.col("q").alias("_k")), F.col(CLIP) == F.col("_clip"), "left").fillna(k, ["_k"])
     total = F.lit(0)
     for c in columns:
         total = total + F.coalesce((F.abs(F.col(f"_z_{c}")) > F.col("_k")).cast("int"), F.lit(0))

@@ -8,7 +8,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from roadweave.functions.storage import stored
+from roadweave.operators.scans import carried, in_range, ranged, up_to_here
 from roadweave.operators.timeseries import CLIP
 
 START, END = "start_time", "end_time"
@@ -38,28 +38,17 @@ def merge_intervals(events: DataFrame, gap: float = 0.0, clip: str = CLIP) -> Da
 
 
 def grouped_by_gap(events: DataFrame, gap: float, keys: Sequence[str] = (CLIP,)) -> DataFrame:
-    """``events`` plus group_no: a new group where a start is more than ``gap`` after all earlier ends."""
-    w = Window.partitionBy(*keys).orderBy(START, END)
-    reach = F.max(END).over(w.rowsBetween(Window.unboundedPreceding, -1))
-    new = F.coalesce((F.col(START) - reach > gap).cast("int"), F.lit(1))
-    return events.withColumn("_new", new).withColumn("group_no", F.sum("_new").over(w.rowsBetween(Window.unboundedPreceding, 0)).cast("int")).drop("_new")
+    """``events`` plus group_no: a new group where a start is more than ``gap`` after all earlier ends of its key.
 
-
-def grouped_over_ranges(events: DataFrame, gap: float) -> DataFrame:
-    """``grouped_by_gap`` over the whole table, without keys: ranges of starts are many tasks.
-
-    Each range takes the running end, and the number of groups, of the ranges before it (one row a
-    range). The dealt table is stored, as a range must stay what it was.
+    Ranges of (keys, start) are tasks; each takes the running end, and then the number of groups, of
+    those before it. Without ``keys`` the whole table is one key.
     """
-    dealt = stored(events.repartitionByRange(START, END).withColumn("_range", F.spark_partition_id()), "ranges")
-    before = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)  # one row a range
-    ends = dealt.groupBy("_range").agg(F.max(END).alias("_top")).select("_range", F.max("_top").over(before).alias("_carry"))
-    w = Window.partitionBy("_range").orderBy(START, END)
-    reach = F.greatest(F.max(END).over(w.rowsBetween(Window.unboundedPreceding, -1)), F.col("_carry"))
-    marked = dealt.join(ends, "_range").withColumn("_new", F.coalesce((F.col(START) - reach > gap).cast("int"), F.lit(1)))
-    sums = marked.groupBy("_range").agg(F.sum("_new").alias("_n")).select("_range", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_first"))
-    numbered = marked.withColumn("_no", F.sum("_new").over(w.rowsBetween(Window.unboundedPreceding, 0))).join(sums, "_range")
-    return numbered.select(*events.columns, (F.col("_no") + F.col("_first")).cast("int").alias("group_no"))
+    keys = list(keys)
+    dealt = carried(ranged(events, keys, [START, END]), keys, _reach=(F.max(END), "max"))
+    reach = F.greatest(F.max(END).over(in_range(keys).rowsBetween(Window.unboundedPreceding, -1)), F.col("_reach"))
+    marked = dealt.withColumn("_new", F.coalesce((F.col(START) - reach > gap).cast("int"), F.lit(1)))
+    counted = carried(marked, keys, _groups=(F.sum("_new"), "sum"))
+    return counted.select(*events.columns, (F.sum("_new").over(up_to_here(keys)) + F.col("_groups")).cast("int").alias("group_no"))
 
 
 def tiou(s1: Column, e1: Column, s2: Column, e2: Column) -> Column:

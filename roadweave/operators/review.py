@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 
 from roadweave.functions.storage import stored
 from roadweave.operators.intervals import END, START, matched
-from roadweave.operators.timeseries import CLIP, TIME, rolling_z, rolling_z_column
+from roadweave.operators.scans import quantiles
+from roadweave.operators.timeseries import CLIP, TIME, rolling_z
 
 
 def decided(decision: Column, wanted: str = "confirm") -> Column:
@@ -33,7 +34,7 @@ def gold_events(reviewed: DataFrame) -> DataFrame:
 def offset_calibration(reviewed: DataFrame) -> DataFrame:
     """One row: mean |offset| of confirmed starts, shares over 1 and 0.5 s, the median offset, and the mean after taking it off."""
     d = reviewed.where(decided(F.col("decision"))).select((adjusted(F.col("adjusted_start"), F.col(START)) - F.col(START)).alias("d"))
-    middle = d.agg(F.percentile("d", 0.5).alias("m"))
+    middle = quantiles(d, [], "d").select(F.col("q").alias("m"))
     share = lambda over: 100 * F.avg((F.abs("d") > over).cast("double"))
     return d.crossJoin(middle).agg(  # one row
         F.count(F.lit(1)).alias("n"), F.avg(F.abs("d")).alias("mean_abs"), share(1.0).alias("pct_over_1"), share(0.5).alias("pct_over_half"),
@@ -135,7 +136,7 @@ def filter_table(df: DataFrame, gold: DataFrame, settings: Sequence[tuple[str, f
     names = [f"{c}_bpf" for c in columns]
     for name, low, high, order in settings:
         f = filtered(df.select(CLIP, TIME, *columns), columns, fs, low, high, order)
-        z = f.withColumn("_total", magnitude(*names)).withColumn("_z", rolling_z_column("_total", width))
+        z = rolling_z(f.select(CLIP, TIME, magnitude(*names).alias("_total")), {"_z": ("_total", width)})
         events.append(flags_to_events(z, F.abs("_z") > k, gap).select(CLIP, START, END).withColumn("config", F.lit(name)))
         # Variances of all axes in one pass.
         spans = [v for c, b in zip(columns, names, strict=True) for v in (F.var_pop(c).alias(f"_r_{c}"), F.var_pop(b).alias(f"_f_{c}"))]

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from roadweave.operators.intervals import END, START, grouped_by_gap, grouped_over_ranges
+from roadweave.operators.intervals import END, START, grouped_by_gap
 
 #: Risk of a zone, 1 for any other; weight of an infrastructure status.
 ZONE_RISK = {"School": 1.5, "Pedestrian Crossing": 1.4, "Residential": 1.2, "Highway": 1.0, "Unknown": 1.0}
@@ -54,7 +54,7 @@ def crrs(events: DataFrame, gap: float = 30.0, keys: Sequence[str] = (), legacy:
     if legacy:
         e = e.withColumns({START: F.coalesce(START, F.lit(0.0)), END: F.coalesce(END, F.lit(0.0))})
     there = e.where(F.col(START).isNotNull())
-    timed = grouped_by_gap(there, gap, list(keys)) if keys else grouped_over_ranges(there, gap)
+    timed = grouped_by_gap(there, gap, list(keys))
     sizes = timed.groupBy(*keys, "group_no").agg(F.count(F.lit(1)).alias("weight"))
     sized = timed.join(sizes, [*keys, "group_no"]).select(*timed.columns, "weight")
     loose = e.where(F.col(START).isNull()).withColumns({"group_no": F.lit(None).cast("int"), "weight": F.lit(1).cast("long")})

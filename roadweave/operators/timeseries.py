@@ -4,10 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from roadweave.functions.storage import spread
+from roadweave.operators.scans import BLOCK, carried, haloed, in_range, numbered, quantiles, ranged, up_to_here
 
 CLIP, TIME = "clip_id", "cts"
 
@@ -21,20 +24,23 @@ def sample_rate(df: DataFrame, clip: str = CLIP, time: str = TIME, forced: float
     """clip, fs: 1 / median step of each clip (or ``forced``); a rate that is not positive is null."""
     if forced is not None:
         return df.select(clip).distinct().withColumn("fs", F.lit(float(forced)))
-    steps = df.withColumn("_dt", F.col(time) - F.lag(time).over(in_time(clip, time)))
-    fs = steps.groupBy(clip).agg(F.percentile("_dt", 0.5).alias("_m"))
-    return fs.select(clip, F.when(F.col("_m") > 0, F.try_divide(F.lit(1.0), F.col("_m"))).alias("fs"))
+    dealt = carried(ranged(df.select(clip, time), [clip], [time]), [clip], _last=(F.max(time), "max"))
+    steps = dealt.select(clip, (F.col(time) - F.coalesce(F.lag(time).over(in_range([clip])), F.col("_last"))).alias("_dt"))
+    middle = df.select(clip).distinct().join(quantiles(steps, [clip], "_dt").withColumnRenamed(clip, "_clip"), F.col(clip).eqNullSafe(F.col("_clip")), "left")
+    return middle.select(clip, F.when(F.col("q") > 0, F.try_divide(F.lit(1.0), F.col("q"))).alias("fs"))
 
 
 def gradient(df: DataFrame, columns: Sequence[str], dt: float, prefix: str = "jerk_", clip: str = CLIP, time: str = TIME) -> DataFrame:
     """Central differences inside a clip, one-sided at its ends, for evenly spaced samples; one sample gives null."""
-    w = in_time(clip, time)
+    values = F.struct(*columns)
+    dealt = carried(ranged(df, [clip], [time]), [clip], _last=(F.max_by(values, "_pos"), "last"), _next=(F.min_by(values, "_pos"), "next"))
+    w = in_range([clip])
 
     def slope(c: str) -> Column:
-        before, after = F.lag(c).over(w), F.lead(c).over(w)
+        before, after = F.coalesce(F.lag(c).over(w), F.col("_last")[c]), F.coalesce(F.lead(c).over(w), F.col("_next")[c])
         return F.when(before.isNull(), (after - F.col(c)) / dt).when(after.isNull(), (F.col(c) - before) / dt).otherwise((after - before) / (2 * dt))
 
-    return df.withColumns({f"{prefix}{c}": slope(c) for c in columns})
+    return dealt.select(*df.columns, *[slope(c).alias(f"{prefix}{c}") for c in columns])
 
 
 def magnitude(*columns: str) -> Column:
@@ -59,6 +65,7 @@ def rolling_z_column(column: str, width: int, least: int = 1, epsilon: float = 0
     """Centred rolling z-score over ``width`` rows: rows -(width//2) to (width-1)//2, sample deviation.
 
     Null where fewer than ``least`` values are in the window, or the deviation (plus ``epsilon``) is 0.
+    The plain window, for clips that one task can sort; ``rolling_z`` deals a clip to many.
     """
     w = in_time(clip, time).rowsBetween(-(width // 2), (width - 1) // 2)
     dev = F.stddev_samp(column).over(w) + F.lit(epsilon)
@@ -66,60 +73,99 @@ def rolling_z_column(column: str, width: int, least: int = 1, epsilon: float = 0
     return F.when(F.count(column).over(w) >= least, z)
 
 
-def rolling_z(df: DataFrame, made: dict[str, tuple[str, int]], clip: str | Sequence[str] = CLIP, time: str = TIME) -> DataFrame:
+def _merged(a: tuple, b: tuple) -> tuple:
+    """Counts, means and squared deviations of two sets of values put together."""
+    n = a[0] + b[0]
+    apart, share = b[1] - a[1], b[0] / np.maximum(n, 1.0)
+    return n, a[1] + apart * share, a[2] + b[2] + apart * apart * a[0] * share
+
+
+def window_scores(x: np.ndarray, valid: np.ndarray, widths: Sequence[int], least: int = 1, epsilon: float = 0.0) -> list[np.ndarray]:
+    """The rolling z-scores of one run of values for several widths; NaN where there is none.
+
+    Count, mean and squared deviations of windows of 1, 2, 4, ... rows are put together to those of each
+    width: no sums are subtracted, so what lies outside a window does not cost it digits.
+    """
+    side = max(widths)
+    pad = lambda v: np.concatenate([np.zeros(side), v, np.zeros(side)])
+    level = (pad(valid.astype(float)), pad(np.where(valid, x, 0.0)), np.zeros(len(x) + 2 * side))
+    ahead = lambda part, by: tuple(np.concatenate([v[by:], np.zeros(by)]) for v in part) if by else part
+    found: dict[int, tuple] = {}
+    taken = dict.fromkeys(widths, 0)
+    for bit in range(side.bit_length()):
+        for width in widths:
+            if width >> bit & 1:
+                part = ahead(level, taken[width])
+                found[width] = _merged(found[width], part) if width in found else part
+                taken[width] += 1 << bit
+        if (2 << bit) <= side:
+            level = _merged(level, ahead(level, 1 << bit))
+    out = []
+    for width in widths:
+        n, mean, squares = (v[side - width // 2 :][: len(x)] for v in found[width])
+        with np.errstate(divide="ignore", invalid="ignore"):
+            dev = np.sqrt(squares / (n - 1)) + epsilon
+            out.append(np.where((n >= max(least, 2)) & (dev != 0) & valid, (x - mean) / dev, np.nan))
+    return out
+
+
+def _rolled(df: DataFrame, made: dict[str, tuple[str, int | None]], keys: list[str], time: str, least: int, epsilon: float) -> DataFrame:
+    """``df`` plus scores; a width of None is the column _w of the row."""
+    wide = F.greatest(*[F.col("_w") if w is None else F.lit(w) for _, w in made.values()], F.lit(1))
+    size = F.greatest(F.lit(BLOCK), 4 * wide)
+    dealt = haloed(numbered(df, keys, [time]), size, F.floor(wide / 2), F.floor((wide - 1) / 2))
+    kept = [f for f in df.schema.fields if f.name != "_w"]
+    schema = T.StructType(kept + [T.StructField(name, T.DoubleType()) for name in made])
+    by_column: dict[str, list[tuple[str, int | None]]] = {}
+    for name, (column, width) in made.items():
+        by_column.setdefault(column, []).append((name, width))
+
+    def score(block: pa.Table) -> pa.Table:
+        order = np.argsort(block.column("_i").to_numpy(), kind="stable")
+        scores = {}
+        for column, wanted in by_column.items():
+            values = block.column(column).combine_chunks().cast(pa.float64())
+            valid = values.is_valid().to_numpy(zero_copy_only=False)[order]
+            x = values.fill_null(0.0).to_numpy(zero_copy_only=False)[order]
+            widths = [int(block.column("_w")[0].as_py()) if w is None else w for _, w in wanted]
+            for (name, _), z in zip(wanted, window_scores(x, valid, widths, least, epsilon), strict=True):
+                placed = np.empty(len(z))
+                placed[order] = z
+                gone = np.empty(len(z), bool)
+                gone[order] = np.isnan(z) & ~np.isnan(x) | ~valid
+                scores[name] = pa.array(placed, mask=gone)
+        out = block.select([f.name for f in kept])
+        for name in made:
+            out = out.append_column(name, scores[name])
+        return out.filter(block.column("_own"))
+
+    return dealt.groupBy(*keys, "_block").applyInArrow(score, schema)
+
+
+def rolling_z(df: DataFrame, made: dict[str, tuple[str, int]], clip: str | Sequence[str] = CLIP, time: str = TIME, least: int = 1, epsilon: float = 0.0) -> DataFrame:
     """``df`` plus centred rolling z-scores: ``made`` names (column, width) for each new column.
 
-    The windows of ``rolling_z_column``, from running sums over one sort, so the cost does not grow
-    with the widths or their number. Values are centred by the clip's mean first; a deviation is 0,
-    and the score null, where the variance is below 1e-12 of the window's scale.
+    The windows of ``rolling_z_column``, for clips of any length: blocks of a clip's rows, with the rows
+    around them that windows reach, are tasks of their own. The cost grows with the logarithm of the
+    widths, and a window's score depends on nothing outside it.
     """
-    keys = [clip] if isinstance(clip, str) else list(clip)
-    w = in_time(keys, time)
-    whole, running = Window.partitionBy(*keys), w.rowsBetween(Window.unboundedPreceding, 0)
-    columns = sorted({c for c, _ in made.values()})
-    y = {c: f"_y_{c}" for c in columns}
-    out = spread(df, *keys).withColumns({y[c]: F.col(c) - F.avg(c).over(whole) for c in columns})
-    sums = {f"_{n}_{c}": f(F.col(y[c])) for c in columns for n, f in (("s", lambda v: F.sum(F.coalesce(v, F.lit(0.0)))), ("q", lambda v: F.sum(F.coalesce(v * v, F.lit(0.0)))), ("n", F.count))}
-    out = out.withColumns({k: v.over(running) for k, v in sums.items()} | {"_i": F.row_number().over(w), "_m": F.count(F.lit(1)).over(whole)})
-    out = out.withColumns({f"_all{k}": F.last(k).over(w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)) for k in sums})
-    scores = {}
-    for name, (c, width) in made.items():
-        below, above = width // 2, (width - 1) // 2
-        s, q, n = (F.coalesce(F.lead(f"_{k}_{c}", above).over(w), F.col(f"_all_{k}_{c}")) - F.coalesce(F.lag(f"_{k}_{c}", below + 1).over(w), F.lit(0)) for k in "sqn")
-        rest = q - s * s / n
-        dev = F.when((n > 1) & (rest > 1e-12 * F.greatest(q, F.lit(1e-300))), F.sqrt(rest / (n - 1)))
-        scores[name] = F.when(n >= 1, (F.col(y[c]) - s / n) / dev)
-    return out.select(*df.columns, *[v.alias(k) for k, v in scores.items()])
+    return _rolled(df, dict(made), [clip] if isinstance(clip, str) else list(clip), time, least, epsilon)
 
 
 def rolling_z_by_clip(df: DataFrame, column: str, widths: DataFrame, out: str = "z", clip: str = CLIP, time: str = TIME) -> DataFrame:
-    """The same with a width for each clip (``widths``: clip, width), from prefix sums.
-
-    Sums up to each row are joined at both ends of its window, so the cost does not grow with the
-    width. Values are centred by the clip's mean first; a variance below 1e-12 of the scale is 0.
-    """
-    w = in_time(clip, time)
-    base = df.join(widths.select(F.col(clip).alias("_c"), F.col("width").alias("_w")), F.col(clip) == F.col("_c")).drop("_c")
-    base = base.withColumn("_y", F.col(column) - F.avg(column).over(Window.partitionBy(clip)))
-    running = w.rowsBetween(Window.unboundedPreceding, 0)
-    base = base.withColumns({"_i": F.row_number().over(w), "_n": F.count(F.lit(1)).over(Window.partitionBy(clip)), "_s": F.sum("_y").over(running), "_q": F.sum(F.col("_y") * F.col("_y")).over(running)})
-    base = base.withColumns({"_lo": F.greatest(F.lit(0), F.col("_i") - 1 - F.floor(F.col("_w") / 2)).cast("int"), "_hi": F.least(F.col("_n"), F.col("_i") + F.floor((F.col("_w") - 1) / 2)).cast("int")})
-    ends = base.select(F.col(clip).alias("_ec"), F.col("_i").alias("_ei"), F.col("_s").alias("_es"), F.col("_q").alias("_eq"))
-    low, high = ends.toDF("_lc", "_li", "_ls", "_lq"), ends.toDF("_hc", "_hi2", "_hs", "_hq")
-    met = base.join(high, (F.col(clip) == F.col("_hc")) & (F.col("_hi") == F.col("_hi2"))).join(low, (F.col(clip) == F.col("_lc")) & (F.col("_lo") == F.col("_li")), "left")
-    m = (F.col("_hi") - F.col("_lo")).cast("double")
-    s = F.col("_hs") - F.coalesce("_ls", F.lit(0.0))
-    q = F.col("_hq") - F.coalesce("_lq", F.lit(0.0))
-    spread = q - s * s / m
-    dev = F.when((m > 1) & (spread > 1e-12 * F.greatest(q, F.lit(1e-300))), F.sqrt(spread / (m - 1)))
-    return met.withColumn(out, (F.col("_y") - s / m) / dev).select(*df.columns, out)
+    """The same with a width for each clip (``widths``: clip, width); clips without one are left out."""
+    base = df.join(widths.select(F.col(clip).alias("_c"), F.col("width").cast("long").alias("_w")), F.col(clip) == F.col("_c")).drop("_c")
+    return _rolled(base, {out: (column, None)}, [clip], time, 1, 0.0)
 
 
 def fill_both(df: DataFrame, columns: Sequence[str], clip: str = CLIP, time: str = TIME) -> DataFrame:
     """Nulls take the last known value, at a clip's beginning the next one."""
-    w = in_time(clip, time)
-    back, ahead = w.rowsBetween(Window.unboundedPreceding, 0), w.rowsBetween(0, Window.unboundedFollowing)
-    return df.withColumns({c: F.coalesce(F.last(c, True).over(back), F.first(c, True).over(ahead)) for c in columns})
+    there = lambda c: F.when(F.col(c).isNotNull(), F.col("_pos"))
+    parts = {f"_last_{c}": (F.max_by(c, there(c)), "last") for c in columns} | {f"_next_{c}": (F.min_by(c, there(c)), "next") for c in columns}
+    dealt = carried(ranged(df, [clip], [time]), [clip], **parts)
+    back, ahead = up_to_here([clip]), Window.partitionBy("_range", clip).orderBy(F.desc("_pos")).rowsBetween(Window.unboundedPreceding, 0)
+    filled = {c: F.coalesce(F.last(c, True).over(back), F.col(f"_last_{c}"), F.last(c, True).over(ahead), F.col(f"_next_{c}")) for c in columns}
+    return dealt.withColumns(filled).select(*df.columns)
 
 
 def asof_nearest(left: DataFrame, right: DataFrame, values: Sequence[str], tolerance: float, clip: str | None = CLIP, time: str = TIME) -> DataFrame:
@@ -148,9 +194,8 @@ def asof_nearest(left: DataFrame, right: DataFrame, values: Sequence[str], toler
 
 def aligned(left: DataFrame, right: DataFrame, tolerance: float = 1e-8, relative: float = 1e-5, clip: str = CLIP, time: str = TIME) -> DataFrame:
     """Two streams joined by sample number; rows whose times differ, or that lack a partner, are marked ``misaligned``."""
-    w = in_time(clip, time)
-    a = left.withColumn("_i", F.row_number().over(w))
-    b = right.withColumn("_i", F.row_number().over(w)).withColumnRenamed(time, "_time").withColumnRenamed(clip, "_clip")
+    a = numbered(left, [clip], [time]).drop("_n")
+    b = numbered(right, [clip], [time]).drop("_n").withColumnRenamed(time, "_time").withColumnRenamed(clip, "_clip")
     met = a.join(b, (F.col(clip) == F.col("_clip")) & (a["_i"] == b["_i"]), "full").drop("_i", "_clip")
     off = F.abs(F.col(time) - F.col("_time")) > tolerance + relative * F.abs(F.col("_time"))
     return met.withColumn("misaligned", F.coalesce(off, F.lit(True))).drop("_time")

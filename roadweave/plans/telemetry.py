@@ -84,7 +84,7 @@ def _(spark, sf_dir):
 
 @register("rolling_z_least", f"WITH {TELEMETRY} SELECT event_id, round(CASE WHEN count(ax) OVER w >= 50 THEN (ax - avg(ax) OVER w) / (stddev_samp(ax) OVER w + 1e-9) END, 6) AS z FROM tele WINDOW w AS (PARTITION BY clip_id ORDER BY cts ROWS BETWEEN 30 PRECEDING AND 30 FOLLOWING)")
 def _(spark, sf_dir):
-    return _rounded(telemetry(spark, sf_dir).select("event_id", timeseries.rolling_z_column("ax", 61, 50, 1e-9).alias("z")))
+    return _rounded(timeseries.rolling_z(telemetry(spark, sf_dir).select("event_id", "clip_id", "cts", "ax"), {"z": ("ax", 61)}, least=50, epsilon=1e-9).select("event_id", "z"))
 
 
 
