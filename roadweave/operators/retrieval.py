@@ -2,21 +2,25 @@
 
 from __future__ import annotations
 
-import math
 from collections.abc import Iterator, Sequence
-from functools import reduce
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from roadweave.functions.storage import spread, stored
+from roadweave.operators.grid import Best, cells, streamed
 from roadweave.operators.textsim import tokens
 
-#: Clauses that a task compares with a query at once.
-BLOCK = 4096
+#: Pivots of the vectors, and clauses of one pivot that are compared, or skipped, at once.
+PIVOTS = 64
+BLOCK = 1024
+#: Documents that are bounded, and skipped or scored, at once; cells of the matrix of terms and queries that a task works with.
+DOCUMENTS = 64
+CELLS = 4_000_000
 
 
 def distance(a: Column, b: Column) -> Column:
@@ -25,55 +29,114 @@ def distance(a: Column, b: Column) -> Column:
     return F.sqrt(F.aggregate(square, F.lit(0.0), lambda s, v: s + v))
 
 
-def _near(asked: list, top: int):
-    """For mapInPandas: of (part, clause, v) the ``top`` nearest to each of the asked (key, v), ties by clause."""
-    keys, q = [k for k, _ in asked], np.array([v for _, v in asked], float)
-
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        best: dict[int, pd.DataFrame] = {}
-        for frame in frames:
-            for at in range(0, len(frame), BLOCK):
-                f = frame.iloc[at : at + BLOCK]
-                x = np.stack(f["_v"].to_numpy())
-                for i in range(len(q)):
-                    d = np.sqrt(((x - q[i]) ** 2).sum(1))
-                    worst = best[i]["distance"].iloc[-1] if i in best and len(best[i]) >= top else np.inf
-                    if len(d) > top:
-                        worst = min(worst, np.partition(d, top - 1)[top - 1])
-                    near = np.flatnonzero(d <= worst)  # ties stay
-                    if len(near):
-                        new = f.iloc[near][["_p", "_c"]].assign(distance=d[near])
-                        best[i] = pd.concat([best[i], new] if i in best else [new]).sort_values(["distance", "_c"]).head(top)
-        for i, f in best.items():
-            yield f.assign(_k=keys[i])[["_k", "_p", "_c", "distance"]]
-
-    return run
-
-
-def knn(queries: DataFrame, clauses: DataFrame, top: int = 15, each: int = 5, key: str = "query_id", part: str = "doc", clause: str = "clause_id", vector: str = "vector", asking: int = 1024) -> DataFrame:
+def _matrix(column: pa.Array, width: int) -> np.ndarray:
+    return np.asarray(column.flatten().to_numpy(zero_copy_only=False), float).reshape(len(column), width)
+
+
+def _apart(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Distances of all rows of ``a`` and ``b``, but for rounding."""
+    square = (a * a).sum(1)[:, None] + (b * b).sum(1)[None] - 2 * (a @ b.T)
+    return np.sqrt(np.maximum(square, 0.0))
+
+
+class _Nearest:
+    """A cell's queries of all lengths; clauses come by pivot, so that a block of them is skipped where none can be near enough."""
+
+    def __init__(self, asks: pa.Table, pivots: dict[int, np.ndarray], top: int, kinds: T.StructType, count: bool):
+        self.row, sizes = asks.column("_q").to_numpy(), asks.column("_size").to_numpy()
+        self.pivots, self.best, self.kinds, self.count = pivots, Best(len(self.row), top, 2), kinds, count
+        self.blocks = self.skipped = 0
+        vectors = asks.column("_v").combine_chunks()
+        self.of: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]] = {}
+        for size in np.unique(sizes).tolist():
+            at = np.flatnonzero(sizes == size)
+            x = _matrix(vectors.take(pa.array(at)), size)
+            self.of[size] = at, x, _apart(x, pivots[size]) if size in pivots else np.zeros((len(at), 1))
+
+    def meet(self, rows: pa.RecordBatch) -> None:
+        sizes, pivot = (rows.column(rows.schema.get_field_index(c)).to_numpy() for c in ("_size", "_pivot"))
+        away, parts, clauses, vectors = (rows.column(rows.schema.get_field_index(c)) for c in ("_away", "_p", "_c", "_v"))
+        away, parts, clauses = away.to_numpy(), np.array(parts.to_pylist(), object), np.array(clauses.to_pylist(), object)
+        cuts = np.flatnonzero((np.diff(sizes) != 0) | (np.diff(pivot) != 0)) + 1
+        for lo, hi in zip([0, *cuts.tolist()], [*cuts.tolist(), len(sizes)], strict=True):
+            if int(sizes[lo]) in self.of:
+                for at in range(lo, hi, BLOCK):
+                    part = slice(at, min(at + BLOCK, hi))
+                    self._block(int(sizes[lo]), int(pivot[lo]), away[part], parts[part], clauses[part], vectors.slice(at, part.stop - at))
+
+    def _block(self, size: int, pivot: int, away: np.ndarray, parts: np.ndarray, clauses: np.ndarray, vectors: pa.Array) -> None:
+        at, q, to_pivots = self.of[size]
+        self.blocks += len(at)
+        worst = self.best.worst[at]
+        near = np.maximum(to_pivots[:, pivot] - away.max(), away.min() - to_pivots[:, pivot]) if pivot >= 0 else np.zeros(len(at))
+        open_ = np.flatnonzero(near <= worst * (1 + 1e-6) + 1e-6 * (1 + away.max()))
+        self.skipped += len(at) - len(open_)
+        x = _matrix(vectors, size) if len(open_) else np.zeros((0, size))
+        for some in (open_[i : i + 256] for i in range(0, len(open_), 256)):
+            rough, limit = _apart(q[some], x), worst[some]
+            if len(x) > self.best.k:
+                limit = np.minimum(limit, np.partition(rough, self.best.k - 1, axis=1)[:, self.best.k - 1])
+            slack = 1e-6 * (1 + np.sqrt((q[some] ** 2).sum(1)) + np.sqrt((x**2).sum(1).max()))
+            i, j = np.nonzero(rough <= (limit + slack)[:, None])  # ties stay
+            exact = np.sqrt(((x[j] - q[some[i]]) ** 2).sum(1))
+            self.best.add(at[some[i]], exact, clauses[j], parts[j])
+
+    def found(self) -> pa.RecordBatch:
+        schema = to_arrow_schema(self.kinds)
+        if self.count:
+            return pa.RecordBatch.from_arrays([pa.array([self.blocks]), pa.nulls(1, schema.field(1).type), pa.nulls(1, schema.field(2).type), pa.array([float(self.skipped)])], schema=schema)
+        place, value, (clauses, parts) = self.best.found()
+        return pa.RecordBatch.from_arrays([pa.array(self.row[place]), pa.array(parts.tolist(), schema.field(1).type), pa.array(clauses.tolist(), schema.field(2).type), pa.array(value)], schema=schema)
+
+
+def _searched(queries: DataFrame, clauses: DataFrame, top: int, key: str, part: str, clause: str, vector: str, count: bool = False) -> tuple[DataFrame, DataFrame]:
+    """The queries (_q, _k), and _q, _p, _c, distance of the best that each cell found."""
+    wide = F.col(vector).cast("array<double>")
+    whole = wide.isNotNull() & ~F.exists(wide, lambda x: x.isNull() | F.isnan(x))
+    q = queries.where(whole).select(F.col(key).alias("_k"), wide.alias("_v"), F.size(wide).alias("_size"))
+    q = stored(q.withColumn("_q", F.monotonically_increasing_id()), "knn-queries")
+    c = clauses.where(whole & F.col(clause).isNotNull()).select(F.col(part).alias("_p"), F.col(clause).alias("_c"), wide.alias("_v"), F.size(wide).alias("_size"))
+    kinds = T.StructType([T.StructField("_q", T.LongType()), T.StructField("_p", c.schema["_p"].dataType), T.StructField("_c", c.schema["_c"].dataType), T.StructField("distance", T.DoubleType())])
+    pivots: dict[int, list] = {}
+    for r in c.select("_size", "_v").orderBy(F.xxhash64("_v")).limit(PIVOTS).collect():
+        pivots.setdefault(r["_size"], []).append(r["_v"])
+    known = {size: np.array(v, float).reshape(len(v), size) for size, v in pivots.items()}
+
+    def placed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sizes = batch.column(3).to_numpy()
+            pivot, away = np.full(len(sizes), -1, np.int32), np.zeros(len(sizes))
+            for size in np.unique(sizes).tolist():
+                at = np.flatnonzero(sizes == size)
+                if size in known:
+                    x = _matrix(batch.column(2).take(pa.array(at)), size)
+                    pivot[at] = _apart(x, known[size]).argmin(1)
+                    away[at] = np.sqrt(((x - known[size][pivot[at]]) ** 2).sum(1))
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(pivot), pa.array(away)], names=[*batch.schema.names, "_pivot", "_away"])
+
+    rows = c.mapInArrow(placed, T.StructType([*c.schema.fields, T.StructField("_pivot", T.IntegerType()), T.StructField("_away", T.DoubleType())]))
+    grid = cells(rows, q.drop("_k"), c.count(), q.count(), ("_size", "_pivot", "_away"))
+    return q, streamed(grid, lambda asks: _Nearest(asks, known, top, kinds, count), kinds)
+
+
+def knn(queries: DataFrame, clauses: DataFrame, top: int = 15, each: int = 5, key: str = "query_id", part: str = "doc", clause: str = "clause_id", vector: str = "vector") -> DataFrame:
     """key, part, clause, distance, rank: of the ``top`` nearest clauses of a query the first ``each`` of a part.
 
-    Exact at any size: ``asking`` queries at a time pass over all clauses, and each task keeps the best
-    ``top`` of a query, so pairs are never rows. Null vectors and those of another length take no part.
+    Exact at any size, in one pass over a grid of query parts and clause parts. A clause is known by its
+    nearest of ``PIVOTS`` pivots and the distance to it; a block of clauses of one pivot is skipped for a
+    query where, by the triangle inequality, all are farther than the ``top`` found so far. Vectors that
+    are null or hold nulls or NaN, clauses without id, and pairs of other lengths take no part.
     """
-    spark = clauses.sparkSession
-    wide = F.col(vector).cast("array<double>")
-    whole = wide.isNotNull() & ~F.exists(wide, lambda x: x.isNull())
-    q, c = queries.where(whole).select(F.col(key).alias("_k"), wide.alias("_v")), clauses.where(whole).select(F.col(part).alias("_p"), F.col(clause).alias("_c"), wide.alias("_v"))
-    kind = T.StructType([T.StructField("_k", q.schema["_k"].dataType), T.StructField("_p", c.schema["_p"].dataType), T.StructField("_c", c.schema["_c"].dataType), T.StructField("distance", T.DoubleType())])
-    sizes = {r[0]: r[1] for r in q.groupBy(F.size("_v")).count().collect()}  # one row a length
-    found = []
-    for size, n in sizes.items():
-        slices = math.ceil(n / asking)
-        for s in range(slices):
-            asked = q.where(F.size("_v") == size).where(F.pmod(F.xxhash64("_k"), F.lit(slices)) == s).collect()
-            if asked:
-                found.append(c.where(F.size("_v") == size).mapInPandas(_near([(r[0], r[1]) for r in asked], top), kind))
-    scored = reduce(DataFrame.unionByName, found) if found else spark.createDataFrame([], kind)
-    scored = scored.select(F.col("_k").alias(key), F.col("_p").alias(part), F.col("_c").alias(clause), "distance")
-    near = scored.withColumn("_r", F.row_number().over(Window.partitionBy(key).orderBy("distance", clause))).where(F.col("_r") <= top)
-    ranked = near.withColumn("rank", F.row_number().over(Window.partitionBy(key, part).orderBy("distance", clause)))
-    return ranked.where(F.col("rank") <= each).select(key, part, clause, "distance", "rank")
+    q, found = _searched(queries, clauses, top, key, part, clause, vector)
+    near = found.withColumn("_r", F.row_number().over(Window.partitionBy("_q").orderBy("distance", "_c"))).where(F.col("_r") <= top)
+    ranked = near.withColumn("rank", F.row_number().over(Window.partitionBy("_q", "_p").orderBy("distance", "_c"))).where(F.col("rank") <= each)
+    return ranked.join(q.select("_q", "_k"), "_q").select(F.col("_k").alias(key), F.col("_p").alias(part), F.col("_c").alias(clause), "distance", "rank")
+
+
+def knn_blocks(queries: DataFrame, clauses: DataFrame, top: int = 15, key: str = "query_id", part: str = "doc", clause: str = "clause_id", vector: str = "vector") -> tuple[int, int]:
+    """Pairs of a query and a block of clauses that the search meets, and those that it skips."""
+    met = _searched(queries, clauses, top, key, part, clause, vector, count=True)[1].agg(F.sum("_q"), F.sum("distance")).collect()[0]
+    return int(met[0] or 0), int(met[1] or 0)
 
 
 def retrieval_relevance(found: DataFrame, queries: DataFrame, key: str = "query_id") -> DataFrame:
@@ -82,35 +145,109 @@ def retrieval_relevance(found: DataFrame, queries: DataFrame, key: str = "query_
     return queries.select(key).join(per, key, "left").select(key, F.coalesce("_m", F.lit(0.0)).alias("relevance"))
 
 
-def tfidf_top(queries: DataFrame, documents: DataFrame, k: int = 5, query: str = "query_id", doc: str = "doc_id", text: str = "text", most_share: float = 1.0) -> DataFrame:
-    """query, doc, score, rank: the ``k`` documents of the largest TF-IDF cosine.
+class _Scored:
+    """A cell's queries as matrices of terms and queries; documents come by length, in blocks whose largest weights bound their scores."""
+
+    def __init__(self, asks: pa.Table, k: int, kinds: T.StructType, count: bool):
+        self.row = asks.column("_q").to_numpy()
+        self.best, self.kinds, self.count = Best(len(self.row), k, 1), kinds, count
+        self.pairs = self.scored = 0
+        terms, weights = (asks.column(c).combine_chunks() for c in ("_terms", "_weights"))
+        sizes = terms.value_lengths().to_numpy()
+        ends = np.cumsum(sizes)
+        terms, weights = terms.flatten().to_numpy(), weights.flatten().to_numpy()
+        self.parts: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []  # queries, their terms, weights (term x query)
+        lo = 0
+        while lo < len(sizes):
+            hi = lo + 1
+            while hi < len(sizes) and (hi + 1 - lo) * int(sizes[lo : hi + 1].sum()) <= CELLS:
+                hi += 1
+            part = slice(ends[lo] - sizes[lo], ends[hi - 1])
+            own, at = np.unique(terms[part], return_inverse=True)
+            matrix = np.zeros((len(own), hi - lo))
+            matrix[at, np.repeat(np.arange(hi - lo), sizes[lo:hi])] = weights[part]
+            self.parts.append((np.arange(lo, hi), own, matrix))
+            lo = hi
+
+    def meet(self, rows: pa.RecordBatch) -> None:
+        terms, weights, docs = (rows.column(rows.schema.get_field_index(c)) for c in ("_terms", "_weights", "_d"))
+        docs = np.array(docs.to_pylist(), object)
+        for at in range(0, len(docs), DOCUMENTS):
+            some = terms.slice(at, DOCUMENTS)
+            sizes = some.value_lengths().to_numpy()
+            self._block(docs[at : at + DOCUMENTS], np.repeat(np.arange(len(sizes)), sizes), some.flatten().to_numpy(), weights.slice(at, DOCUMENTS).flatten().to_numpy())
+
+    def _block(self, docs: np.ndarray, doc: np.ndarray, term: np.ndarray, weight: np.ndarray) -> None:
+        for queries, own, matrix in self.parts:
+            place = np.minimum(np.searchsorted(own, term), len(own) - 1)
+            held = np.flatnonzero(own[place] == term) if len(own) else np.zeros(0, int)
+            self.pairs += len(docs) * len(queries)
+            if not len(held):
+                continue
+            d, p, w = doc[held], place[held], weight[held]
+            order = np.argsort(p, kind="stable")
+            present, first = np.unique(p[order], return_index=True)
+            bound = np.maximum.reduceat(w[order], first) @ matrix[present]
+            active = np.flatnonzero((bound > 0) & (bound >= -self.best.worst[queries] - 2e-9))
+            self.scored += len(docs) * len(active)
+            if not len(active):
+                continue
+            there, start = np.unique(d, return_index=True)
+            sums = np.add.reduceat(w[:, None] * matrix[np.ix_(p, active)], start, axis=0)
+            i, j = np.nonzero((sums > 0) & (sums >= -self.best.worst[queries[active]] - 2e-9))
+            self.best.add(queries[active[j]], -np.round(sums[i, j], 9), docs[there[i]])
+
+    def found(self) -> pa.RecordBatch:
+        schema = to_arrow_schema(self.kinds)
+        if self.count:
+            return pa.RecordBatch.from_arrays([pa.array([self.pairs]), pa.nulls(1, schema.field(1).type), pa.array([float(self.scored)])], schema=schema)
+        place, value, (docs,) = self.best.found()
+        return pa.RecordBatch.from_arrays([pa.array(self.row[place]), pa.array(docs.tolist(), schema.field(1).type), pa.array(-value)], schema=schema)
+
+
+def _weighed(queries: DataFrame, documents: DataFrame, k: int, query: str, doc: str, text: str, most_share: float, count: bool = False) -> tuple[DataFrame, DataFrame]:
+    """The queries (_q, _k), and _q, _d, score of the best that each cell found."""
 
-    Terms are joined, so only documents that share a term with a query are met; terms in more than
-    ``most_share`` of the documents may be left out of the join. idf = ln((1 + N) / (1 + df)) + 1.
-    A document's words are counted once, where its text is dealt, and stored. A term brings its idf and the queries that have
-    it, so the products and the document's own square are summed in one pass, before the shuffle by
-    document; terms that most documents share are so summed where they are met.
-    """
     def terms(df: DataFrame, key: str) -> DataFrame:
-        return spread(df.select(key, text), key).select(key, F.explode(tokens(F.col(text))).alias("term")).groupBy(key, "term").agg(F.count(F.lit(1)).alias("tf"))
+        return spread(df.select(F.col(key).alias("_id"), text), "_id").select("_id", F.explode(tokens(F.col(text))).alias("term")).groupBy("_id", "term").agg(F.count(F.lit(1)).alias("tf"))
 
     d = stored(terms(documents, doc), "tfidf-terms")
     n = documents.agg(F.count(F.lit(1)).cast("double").alias("N"))
     df = d.groupBy("term").agg(F.count(F.lit(1)).alias("df")).crossJoin(n)  # single-row scalar
     idf = df.where(F.col("df") <= most_share * F.col("N")).select("term", (F.log((1 + F.col("N")) / (1 + F.col("df"))) + 1).alias("idf"))
-    q = stored(terms(queries, query).join(idf, "term").withColumn("qw", F.col("tf") * F.col("idf")).select(query, "term", "qw"), "tfidf-queries")
-    q_norm = q.groupBy(query).agg(F.sqrt(F.sum(F.col("qw") * F.col("qw"))).alias("qn"))
-    asking = q.groupBy("term").agg(F.collect_list(F.struct(F.col(query).alias("q"), "qw")).alias("qs"))
-    w = d.join(idf.join(asking, "term", "left"), "term").select(doc, (F.col("tf") * F.col("idf")).alias("dw"), "qs")
-    own = F.struct(F.lit(None).cast(q.schema[query].dataType).alias("q"), F.col("dw").alias("v"))
-    parts = F.concat(F.array(own), F.coalesce(F.transform("qs", lambda x: F.struct(x["q"].alias("q"), x["qw"].alias("v"))), F.array().cast(f"array<struct<q: {q.schema[query].dataType.simpleString()}, v: double>>")))
-    sums = w.select(doc, "dw", F.explode(parts).alias("p")).groupBy(doc, F.col("p.q").alias("q")).agg(F.sum(F.col("dw") * F.col("p.v")).alias("s"))
-    # The row without a query holds the square of the document's length.
-    per = sums.groupBy(doc).agg(F.max(F.when(F.col("q").isNull(), F.col("s"))).alias("dn2"), F.collect_list(F.when(F.col("q").isNotNull(), F.struct("q", "s"))).alias("dots"))
-    dots = per.select(doc, F.sqrt("dn2").alias("dn"), F.explode("dots").alias("x")).select(F.col("x.q").alias(query), doc, F.col("x.s").alias("dot"), "dn")
-    scored = dots.join(q_norm, query).withColumn("score", F.round(F.col("dot") / (F.col("dn") * F.col("qn")), 9))
-    ranked = scored.withColumn("rank", F.row_number().over(Window.partitionBy(query).orderBy(F.desc("score"), doc)))
-    return ranked.where(F.col("rank") <= k).select(query, doc, "score", "rank")
+    asked = terms(queries, query)
+    known = stored(idf.join(asked.select(F.col("term").alias("_asked")).distinct(), F.col("term") == F.col("_asked"), "left").withColumn("_t", F.when(F.col("_asked").isNotNull(), F.monotonically_increasing_id())).drop("_asked"), "tfidf-idf")
+
+    def vectors(postings: DataFrame) -> DataFrame:
+        """_id, _norm, _terms, _weights (of terms that queries have, over the norm of all), each text's terms in order."""
+        w = postings.join(known, "term").select("_id", "_t", (F.col("tf") * F.col("idf")).alias("w"))
+        per = w.groupBy("_id").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("_norm"), F.array_sort(F.collect_list(F.when(F.col("_t").isNotNull(), F.struct("_t", "w")))).alias("_all"))
+        return per.select("_id", "_norm", F.col("_all._t").alias("_terms"), F.transform("_all", lambda x: x["w"] / F.col("_norm")).alias("_weights")).where(F.size("_terms") > 0)
+
+    q = stored(vectors(asked).withColumn("_q", F.monotonically_increasing_id()), "tfidf-queries")
+    rows = stored(vectors(d), "tfidf-documents")
+    kinds = T.StructType([T.StructField("_q", T.LongType()), T.StructField("_d", rows.schema["_id"].dataType), T.StructField("score", T.DoubleType())])
+    grid = cells(rows.select(F.col("_id").alias("_d"), "_norm", "_terms", "_weights"), q.select("_q", "_terms", "_weights"), rows.count(), q.count(), ("_norm",))
+    return q.select("_q", F.col("_id").alias("_k")), streamed(grid, lambda asks: _Scored(asks, k, kinds, count), kinds)
+
+
+def tfidf_top(queries: DataFrame, documents: DataFrame, k: int = 5, query: str = "query_id", doc: str = "doc_id", text: str = "text", most_share: float = 1.0) -> DataFrame:
+    """query, doc, score, rank: the ``k`` documents of the largest TF-IDF cosine, among those that share a term with a query.
+
+    Terms in more than ``most_share`` of the documents may be left out. idf = ln((1 + N) / (1 + df)) + 1.
+    A document's words are counted once, weighted, and kept as one row of those terms that queries have.
+    Documents then meet queries in a grid of cells, by length: the largest weight of each term in a block
+    of documents bounds their scores, and queries that it can't help any more leave the block out.
+    """
+    q, found = _weighed(queries, documents, k, query, doc, text, most_share)
+    ranked = found.withColumn("rank", F.row_number().over(Window.partitionBy("_q").orderBy(F.desc("score"), "_d"))).where(F.col("rank") <= k)
+    return ranked.join(q, "_q").select(F.col("_k").alias(query), F.col("_d").alias(doc), "score", "rank")
+
+
+def tfidf_pairs(queries: DataFrame, documents: DataFrame, k: int = 5, query: str = "query_id", doc: str = "doc_id", text: str = "text") -> tuple[int, int]:
+    """Pairs of a query and a document that the search meets, and those that it scores."""
+    met = _weighed(queries, documents, k, query, doc, text, 1.0, count=True)[1].agg(F.sum("_q"), F.sum("score")).collect()[0]
+    return int(met[0] or 0), int(met[1] or 0)
 
 
 def clause_split(pages: DataFrame, doc: str = "doc", section: str = "section", page: str = "page", text: str = "text", heading: int = 120, most: int = 4000, wanted: Sequence[str] | None = None) -> DataFrame:
