@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Sequence
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from roadweave.functions.storage import stored
 from roadweave.operators.scans import carried, in_range, ranged, up_to_here
 from roadweave.operators.timeseries import CLIP
 
@@ -137,25 +138,29 @@ def clip_bounds(start: Column, end: Column, variant: str = "a") -> Column:
 
 
 def thinned(events: DataFrame, mid: str, category: str, order: Sequence[Column], apart: float = 2.0, most: int = 8) -> DataFrame:
-    """Per category, in ``order``, events not within ``apart`` of a kept one, until ``most`` are kept.
+    """Per category, in ascending ``order``, events not within ``apart`` of a kept one, until ``most`` are kept.
 
-    The kept middles (at most ``most``) travel through the ordered list of the category.
+    Each round keeps the first open event of every category (a minimum that tasks take over their own
+    events first); events within ``apart`` of a kept one are closed. No category is sorted or held by
+    a task; the kept middles, ``most`` a category, are what rounds hand on. Events without a middle are
+    left out; of events alike in ``order`` a hash of the row comes first.
     """
-
-    def thin(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        current, kept = None, []
-        for f in frames:
-            take = []
-            for c, m in zip(f[category], f[mid], strict=True):
-                if c != current:
-                    current, kept = c, []
-                ok = len(kept) < most and all(abs(m - x) > apart for x in kept)
-                if ok:
-                    kept.append(m)
-                take.append(ok)
-            yield f[take]
-
-    return events.repartition(category).sortWithinPartitions(category, *order).mapInPandas(thin, events.schema)
+    row = {f"_o{i}": c for i, c in enumerate(order)} | {"_h": F.xxhash64(*[F.col(c) for c in events.columns]), "_row": F.monotonically_increasing_id()}
+    placed = stored(events.where(F.col(mid).isNotNull()).withColumns(row), "thinning")
+    key = F.struct(*row, F.col(mid).cast("double").alias("_m"))
+    every = placed.select(F.col(category).alias("_k"), key.alias("_e"))
+    kept = None
+    for _ in range(most):
+        open_ = every
+        if kept is not None:
+            near = kept.groupBy(F.col("_k").alias("_fk")).agg(F.collect_list("_f._m").alias("_ms"))  # ``most`` entries at most
+            met = every.join(near, F.col("_k").eqNullSafe(F.col("_fk")))
+            open_ = met.where(~F.exists("_ms", lambda m: F.abs(F.col("_e._m") - m) <= apart))
+        first = stored(open_.groupBy("_k").agg(F.min("_e").alias("_f")), "thinning-kept")  # a row a category
+        kept = first if kept is None else kept.unionByName(first)
+        if first.isEmpty():
+            break
+    return placed.join(kept.select(F.col("_f._row").alias("_row")), "_row", "left_semi").select(*events.columns) if kept is not None else events.limit(0)
 
 
 def down_sampled(rows: DataFrame, keys: Sequence[str], order: str, most: int) -> DataFrame:

@@ -19,7 +19,7 @@ from roadweave.operators.textsim import tokens
 PIVOTS = 64
 BLOCK = 1024
 #: Documents that are bounded, and skipped or scored, at once; cells of the matrix of terms and queries that a task works with.
-DOCUMENTS = 64
+DOCUMENTS = 16
 CELLS = 4_000_000
 
 
@@ -146,7 +146,7 @@ def retrieval_relevance(found: DataFrame, queries: DataFrame, key: str = "query_
 
 
 class _Scored:
-    """A cell's queries as matrices of terms and queries; documents come by length, in blocks whose largest weights bound their scores."""
+    """A cell's queries as matrices of terms and queries; documents come by heaviest term and length, in blocks whose largest weights bound their scores."""
 
     def __init__(self, asks: pa.Table, k: int, kinds: T.StructType, count: bool):
         self.row = asks.column("_q").to_numpy()
@@ -219,15 +219,16 @@ def _weighed(queries: DataFrame, documents: DataFrame, k: int, query: str, doc:
     known = stored(idf.join(asked.select(F.col("term").alias("_asked")).distinct(), F.col("term") == F.col("_asked"), "left").withColumn("_t", F.when(F.col("_asked").isNotNull(), F.monotonically_increasing_id())).drop("_asked"), "tfidf-idf")
 
     def vectors(postings: DataFrame) -> DataFrame:
-        """_id, _norm, _terms, _weights (of terms that queries have, over the norm of all), each text's terms in order."""
+        """_id, _norm, _heaviest, _terms, _weights (of terms that queries have, over the norm of all; the heaviest of them), each text's terms in order."""
         w = postings.join(known, "term").select("_id", "_t", (F.col("tf") * F.col("idf")).alias("w"))
         per = w.groupBy("_id").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("_norm"), F.array_sort(F.collect_list(F.when(F.col("_t").isNotNull(), F.struct("_t", "w")))).alias("_all"))
-        return per.select("_id", "_norm", F.col("_all._t").alias("_terms"), F.transform("_all", lambda x: x["w"] / F.col("_norm")).alias("_weights")).where(F.size("_terms") > 0)
+        heaviest = F.array_max(F.transform("_all", lambda x: F.struct(x["w"].alias("w"), x["_t"].alias("t"))))["t"].alias("_heaviest")
+        return per.select("_id", "_norm", heaviest, F.col("_all._t").alias("_terms"), F.transform("_all", lambda x: x["w"] / F.col("_norm")).alias("_weights")).where(F.size("_terms") > 0)
 
     q = stored(vectors(asked).withColumn("_q", F.monotonically_increasing_id()), "tfidf-queries")
     rows = stored(vectors(d), "tfidf-documents")
     kinds = T.StructType([T.StructField("_q", T.LongType()), T.StructField("_d", rows.schema["_id"].dataType), T.StructField("score", T.DoubleType())])
-    grid = cells(rows.select(F.col("_id").alias("_d"), "_norm", "_terms", "_weights"), q.select("_q", "_terms", "_weights"), rows.count(), q.count(), ("_norm",))
+    grid = cells(rows.select(F.col("_id").alias("_d"), "_heaviest", "_norm", "_terms", "_weights"), q.select("_q", "_terms", "_weights"), rows.count(), q.count(), ("_heaviest", "_norm"))
     return q.select("_q", F.col("_id").alias("_k")), streamed(grid, lambda asks: _Scored(asks, k, kinds, count), kinds)
 
 
@@ -236,7 +237,7 @@ def tfidf_top(queries: DataFrame, documents: DataFrame, k: int = 5, query: str =
 
     Terms in more than ``most_share`` of the documents may be left out. idf = ln((1 + N) / (1 + df)) + 1.
     A document's words are counted once, weighted, and kept as one row of those terms that queries have.
-    Documents then meet queries in a grid of cells, by length: the largest weight of each term in a block
+    Documents then meet queries in a grid of cells, those with one heaviest term together: the largest weight of each term in a block
     of documents bounds their scores, and queries that it can't help any more leave the block out.
     """
     q, found = _weighed(queries, documents, k, query, doc, text, most_share)

@@ -132,3 +132,18 @@ def test_quantiles_are_exact(spark):
         got = {r.k: r.q for r in scans.quantiles(df, ["k"], "v", share).collect()}
         assert got == {k: pytest.approx(np.quantile([v for kk, v in rows if kk == k], share)) for k in ("hot", "a", "b")}
     assert scans.quantiles(df, [], "v").collect()[0].q == pytest.approx(0.005)
+
+
+def test_thinning_in_rounds(spark):
+    rng = np.random.default_rng(11)
+    rows = [(c, float(m), int(p), i) for i, (c, m, p) in enumerate((c, rng.uniform(0, 40), rng.integers(0, 3)) for c in ["a"] * 300 + ["b"] * 5 + [None] * 20)] + [("a", None, 0, 999)]
+    df = spark.createDataFrame(rows, "k string, mid double, p int, n long").repartition(4)
+    for most in (1, 4, 30):
+        kept = {}
+        for k, m, p, n in sorted((r for r in rows if r[1] is not None), key=lambda r: (r[2], r[1])):
+            own = kept.setdefault(k, [])
+            if len(own) < most and all(abs(m - x) > 2.0 for x, _ in own):
+                own.append((m, n))
+        got = intervals.thinned(df, "mid", "k", [F.col("p"), F.col("mid")], 2.0, most).collect()
+        assert sorted(r.n for r in got) == sorted(n for own in kept.values() for _, n in own)
+    assert intervals.thinned(df.limit(0), "mid", "k", [F.col("mid")]).count() == 0
