@@ -6,11 +6,15 @@ import math
 from collections.abc import Sequence
 
 import numpy as np
-import pandas as pd
-from pyspark.sql import DataFrame, Window
+import pyarrow as pa
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
-from roadweave.operators.timeseries import CLIP, TIME
+from roadweave.operators.scans import BLOCK as BLOCK_ROWS
+from roadweave.operators.scans import haloed, numbered
+from roadweave.operators.timeseries import CLIP, TIME, window_scores
 
 
 def sections(fs: float, low: float | None, high: float | None, order: int) -> np.ndarray:
@@ -129,35 +133,90 @@ def halo_of(sos: np.ndarray, tolerance: float = 1e-9) -> int:
     return int(math.ceil(math.log(tolerance) / math.log(min(max(radius, 1e-6), 1 - 1e-9))))
 
 
-def filtered(df: DataFrame, columns: Sequence[str], fs: float, low: float | None = None, high: float | None = None, order: int = 4, suffix: str = "_bpf", clip: str = CLIP, time: str = TIME) -> DataFrame:
-    """``df`` plus filtered columns; without cutoffs they are copies. Null samples count as 0.
+def _chunked(df: DataFrame, halo: int, clip: str, time: str) -> DataFrame:
+    """Chunks of at least ten halos of a clip's samples by number, with a halo of the neighbours' samples; one long clip is many tasks."""
+    return haloed(numbered(df, [clip], [time]), max(10 * halo, BLOCK_ROWS), halo, halo)
+
+
+def _samples(chunk: pa.Table, columns: Sequence[str]) -> tuple[np.ndarray, np.ndarray, tuple[bool, bool]]:
+    """The order of a chunk's samples, their values in it (null is 0), and whether the chunk begins and ends the clip."""
+    number = chunk.column("_i").to_numpy()
+    order = np.argsort(number, kind="stable")
+    x = np.stack([chunk.column(c).combine_chunks().cast(pa.float64()).fill_null(0.0).to_numpy(zero_copy_only=False)[order] for c in columns], 1)
+    return order, x, (number[order[0]] == 0, number[order[-1]] == chunk.column("_n")[0].as_py() - 1)
+
+
+def _clean(y: np.ndarray) -> np.ndarray:
+    if not np.isfinite(y).all():
+        raise ValueError("the filter gave values that are not finite")
+    return y
+
+
+#: A filter: low and high cutoff (None where there is none) and order; without cutoffs values stay.
+Setting = tuple[float | None, float | None, int]
+
+
+def _bank(fs: float, settings: Sequence[Setting]) -> list[np.ndarray | None]:
+    return [None if low is None and high is None else sections(fs, low, high, order) for low, high, order in settings]
+
 
-    A clip is cut into chunks of ten halos by sample number; each chunk also gets a halo of its
-    neighbours' samples, so one long clip is many tasks. Only true clip ends are extended.
+def filtered_bank(df: DataFrame, columns: Sequence[str], fs: float, settings: Sequence[Setting], suffixes: Sequence[str], clip: str = CLIP, time: str = TIME) -> DataFrame:
+    """``df`` plus each column filtered by each setting (column and suffix), all in one pass. Null samples count as 0.
+
+    Only true clip ends are extended.
     """
+    bank = _bank(fs, settings)
+    names, made = df.columns, [f"{c}{s}" for s in suffixes for c in columns]
+    schema = T.StructType([*df.schema.fields, *[T.StructField(name, T.DoubleType()) for name in made]])
+
+    def run(chunk: pa.Table) -> pa.Table:
+        order, x, ends = _samples(chunk, columns)
+        out = chunk.select(names)
+        for sos, suffix in zip(bank, suffixes, strict=True):
+            y = x if sos is None else _clean(zero_phase(x, sos, ends))
+            for j, c in enumerate(columns):
+                placed = np.empty(len(y))
+                placed[order] = y[:, j]
+                out = out.append_column(f"{c}{suffix}", pa.array(placed) if sos is not None else chunk.column(c).cast(pa.float64()))
+        return out.filter(chunk.column("_own"))
+
+    halo = max((halo_of(sos) for sos in bank if sos is not None), default=0)
+    return _chunked(df, halo, clip, time).groupBy(clip, "_block").applyInArrow(run, schema)
+
+
+def filtered(df: DataFrame, columns: Sequence[str], fs: float, low: float | None = None, high: float | None = None, order: int = 4, suffix: str = "_bpf", clip: str = CLIP, time: str = TIME) -> DataFrame:
+    """``df`` plus filtered columns; without cutoffs they are copies."""
     if low is None and high is None:
         return df.withColumns({f"{c}{suffix}": F.col(c) for c in columns})
-    sos = sections(fs, low, high, order)
-    halo = halo_of(sos)
-    size = max(10 * halo, 4096)
-    w = Window.partitionBy(clip).orderBy(time)
-    rows = df.withColumns({"_i": F.row_number().over(w) - 1, "_n": F.count(F.lit(1)).over(Window.partitionBy(clip))})
-    own = F.floor(F.col("_i") / size)
-    near = F.array_distinct(F.array(own, F.floor((F.col("_i") - halo) / size), F.floor((F.col("_i") + halo) / size)))
-    near = F.filter(near, lambda b: (b >= 0) & (b <= F.floor((F.col("_n") - 1) / size)))
-    spread = rows.withColumn("_chunk", F.explode(near)).withColumn("_own", F.col("_chunk") == own)
-    schema = ", ".join([f"{f.name} {f.dataType.simpleString()}" for f in df.schema] + [f"{c}{suffix} double" for c in columns])
-    names = df.columns
-
-    def run(frame: pd.DataFrame) -> pd.DataFrame:
-        frame = frame.sort_values("_i")
-        x = frame[list(columns)].astype(float).fillna(0.0).to_numpy()
-        y = zero_phase(x, sos, (frame["_i"].iloc[0] == 0, frame["_i"].iloc[-1] == frame["_n"].iloc[-1] - 1))
-        if not np.isfinite(y).all():
-            raise ValueError("the filter gave values that are not finite")
-        out = frame[names].copy()
-        for j, c in enumerate(columns):
-            out[f"{c}{suffix}"] = y[:, j]
-        return out[frame["_own"].to_numpy()]
-
-    return spread.groupBy(clip, "_chunk").applyInPandas(run, schema)
+    return filtered_bank(df, columns, fs, [(low, high, order)], [suffix], clip, time)
+
+
+def bank_scores(df: DataFrame, columns: Sequence[str], fs: float, settings: Sequence[Setting], widths: Sequence[int], least: float, clip: str = CLIP, time: str = TIME) -> DataFrame:
+    """clip, time, setting (its number), width, _z0, _z1, ...: |rolling z| of the filtered columns, where one of them is above ``least``.
+
+    Filters, windows and the threshold are one pass over chunks whose halos hold both a filter's memory
+    and half a window; only what passes the threshold leaves a task.
+    """
+    bank = _bank(fs, settings)
+    kept = df.select(clip, time, *columns)
+    z = [f"_z{j}" for j in range(len(columns))]
+    schema = T.StructType([*kept.select(clip, time).schema.fields, T.StructField("setting", T.IntegerType()), T.StructField("width", T.IntegerType()), *[T.StructField(name, T.DoubleType()) for name in z]])
+    arrow = to_arrow_schema(schema)
+
+    def run(chunk: pa.Table) -> pa.Table:
+        order, x, ends = _samples(chunk, columns)
+        own = chunk.column("_own").to_numpy()[order]
+        keys, parts = chunk.select([clip, time]), []
+        for number, sos in enumerate(bank):
+            y = x if sos is None else _clean(zero_phase(x, sos, ends))
+            per_column = [window_scores(y[:, j], np.ones(len(y), bool), widths) for j in range(len(columns))]
+            for k, width in enumerate(widths):
+                scores = np.abs(np.nan_to_num(np.stack([c[k] for c in per_column], 1)))
+                high = np.flatnonzero(own & (scores.max(1) > least))
+                taken = keys.take(pa.array(order[high]))
+                fixed = [pa.array(np.full(len(high), v, np.int32)) for v in (number, width)]
+                parts.append(pa.table([*taken.columns, *fixed, *[pa.array(scores[high, j]) for j in range(len(columns))]], names=arrow.names).cast(arrow))
+        return pa.concat_tables(parts)
+
+    halo = max((halo_of(sos) for sos in bank if sos is not None), default=0) + max(widths)
+    return _chunked(kept, halo, clip, time).groupBy(clip, "_block").applyInArrow(run, schema)

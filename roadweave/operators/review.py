@@ -78,33 +78,32 @@ def _scored(pred: DataFrame, gold: DataFrame, by: str, threshold: float, config:
     return t.select("*", *rates(F.col("tp"), F.col("fp"), F.col("fn")))
 
 
-def grid_events(df: DataFrame, columns: Sequence[str], widths: Sequence[int], ks: Sequence[float], channels: Sequence[int], gap: float, config: Sequence[str] = ()) -> DataFrame:
-    """Events of every configuration (``config``, width, k, channels): windows once a width, then a small parameter table.
+def grid_events(df: DataFrame, columns: Sequence[str], widths: Sequence[int], ks: Sequence[float], channels: Sequence[int], gap: float) -> DataFrame:
+    """Events of every configuration (width, k, channels): all windows in one pass, then a small parameter table."""
+    from roadweave.operators.filters import bank_scores
 
-    Samples below the smallest k are dropped before the parameters multiply them.
-    """
-    spark = df.sparkSession
-    # All widths in one pass over one sort, as columns; then one row a width.
-    wide = rolling_z(df.select(*config, CLIP, TIME, *columns), {f"_z{w}_{i}": (c, w) for w in widths for i, c in enumerate(columns)}, [*config, CLIP])
-    per_width = F.array(*[F.struct(F.lit(w).alias("width"), *[F.abs(f"_z{w}_{i}").alias(f"_z{i}") for i in range(len(columns))]) for w in widths])
-    keep = wide.select(*config, CLIP, TIME, F.explode(per_width).alias("_w")).select(*config, CLIP, TIME, "_w.*")
-    keep = keep.where(F.greatest(*[F.coalesce(f"_z{i}", F.lit(0.0)) for i in range(len(columns))]) > min(ks))
-    grid = spark.createDataFrame([(float(k), int(c)) for k in ks for c in channels], "k double, channels int")
+    scores = bank_scores(df, columns, 1.0, [(None, None, 0)], widths, min(ks)).drop("setting")
+    return runs_of_grid(scores, len(columns), ks, channels, gap, ["width"])
+
+
+def runs_of_grid(scores: DataFrame, columns: int, ks: Sequence[float], channels: Sequence[int], gap: float, config: Sequence[str]) -> DataFrame:
+    """Events of ``scores`` (``config``, clip, time, _z0, ...) for every k and number of channels."""
+    grid = scores.sparkSession.createDataFrame([(float(k), int(c)) for k in ks for c in channels], "k double, channels int")
     votes = F.lit(0)
-    for i in range(len(columns)):
-        votes = votes + F.coalesce((F.col(f"_z{i}") > F.col("k")).cast("int"), F.lit(0))
-    flagged = keep.crossJoin(F.broadcast(grid)).where(votes >= F.col("channels"))
-    keys = [*config, "width", "k", "channels", CLIP]
+    for i in range(columns):
+        votes = votes + (F.col(f"_z{i}") > F.col("k")).cast("int")
+    flagged = scores.crossJoin(F.broadcast(grid)).where(votes >= F.col("channels"))
+    keys = [*config, "k", "channels", CLIP]
     w = Window.partitionBy(*keys).orderBy(TIME)
     new = F.coalesce((F.col(TIME) - F.lag(TIME).over(w) > gap).cast("int"), F.lit(1))
     runs = flagged.withColumn("_new", new).withColumn("_no", F.sum("_new").over(w.rowsBetween(Window.unboundedPreceding, 0)))
     return runs.groupBy(*keys, "_no").agg(F.min(TIME).alias(START), F.max(TIME).alias(END)).drop("_no")
 
 
-def grid_search(df: DataFrame, gold: DataFrame, columns: Sequence[str], widths: Sequence[int], ks: Sequence[float], channels: Sequence[int], gap: float, by: str = "tolerance", threshold: float = 0.5, config: Sequence[str] = ()) -> DataFrame:
+def grid_search(df: DataFrame, gold: DataFrame, columns: Sequence[str], widths: Sequence[int], ks: Sequence[float], channels: Sequence[int], gap: float, by: str = "tolerance", threshold: float = 0.5) -> DataFrame:
     """Scores of all configurations in one job."""
-    events = grid_events(df, columns, widths, ks, channels, gap, config)
-    return scored(events, gold, by, threshold, [*config, "width", "k", "channels"])
+    events = grid_events(df, columns, widths, ks, channels, gap)
+    return scored(events, gold, by, threshold, ["width", "k", "channels"])
 
 
 def score_table(events: DataFrame, gold: DataFrame, config: Sequence[str], overlap: float = 0.5, tolerance: float = 0.5) -> DataFrame:
@@ -128,33 +127,34 @@ def filter_table(df: DataFrame, gold: DataFrame, settings: Sequence[tuple[str, f
 
     The mean is over clips and axes; a setting without filter has 0 dB.
     """
-    from roadweave.operators.detect import flags_to_events
-    from roadweave.operators.filters import filtered
+    from roadweave.operators.filters import filtered_bank
     from roadweave.operators.timeseries import magnitude
 
-    events, snrs = [], []
-    names = [f"{c}_bpf" for c in columns]
-    for name, low, high, order in settings:
-        f = filtered(df.select(CLIP, TIME, *columns), columns, fs, low, high, order)
-        z = rolling_z(f.select(CLIP, TIME, magnitude(*names).alias("_total")), {"_z": ("_total", width)})
-        events.append(flags_to_events(z, F.abs("_z") > k, gap).select(CLIP, START, END).withColumn("config", F.lit(name)))
-        # Variances of all axes in one pass.
-        spans = [v for c, b in zip(columns, names, strict=True) for v in (F.var_pop(c).alias(f"_r_{c}"), F.var_pop(b).alias(f"_f_{c}"))]
-        both = F.array(*[F.struct(F.col(f"_r_{c}").alias("r"), F.col(f"_f_{c}").alias("f")) for c in columns])
-        per = f.groupBy(CLIP).agg(*spans).select(F.explode(both).alias("x")).where("x.r > 0 and x.f > 0")
-        snrs.append(per.select((10 * F.log10(F.col("x.r") / F.col("x.f"))).alias("snr_db")).withColumn("config", F.lit(name)))
-    snr = reduce(DataFrame.unionByName, snrs).groupBy("config").agg(F.avg("snr_db").alias("mean_snr_db"))
-    return score_table(reduce(DataFrame.unionByName, events), gold, ["config"], overlap, tolerance).join(snr, "config")
+    numbers = range(len(settings))
+    bank = filtered_bank(df.select(CLIP, TIME, *columns), columns, fs, [(low, high, order) for _, low, high, order in settings], [f"_f{j}" for j in numbers])
+    bank = stored(bank, "filter-bank")  # read twice: variances, windows
+    # One group a sample passes: all settings are one key of the runs.
+    totals = bank.select(CLIP, TIME, *[magnitude(*[f"{c}_f{j}" for c in columns]).alias(f"_total{j}") for j in numbers])
+    z = rolling_z(totals, {f"_z{j}": (f"_total{j}", width) for j in numbers})
+    each = z.select(CLIP, TIME, F.explode(F.array(*[F.struct(F.lit(settings[j][0]).alias("config"), F.abs(f"_z{j}").alias("_z")) for j in numbers])).alias("_s"))
+    above = each.where(F.col("_s._z") > k).select(CLIP, TIME, F.col("_s.config").alias("config"), F.col("_s._z").alias("_z0"))
+    events = runs_of_grid(above, 1, [k], [1], gap, ["config"]).drop("k", "channels")
+    spans = [F.var_pop(f"{c}{s}").alias(f"_v_{c}{s}") for c in columns for s in ("", *[f"_f{j}" for j in numbers])]
+    both = [F.struct(F.lit(settings[j][0]).alias("config"), F.col(f"_v_{c}").alias("r"), F.col(f"_v_{c}_f{j}").alias("f")) for j in numbers for c in columns]
+    per = bank.groupBy(CLIP).agg(*spans).select(F.explode(F.array(*both)).alias("x")).where("x.r > 0 and x.f > 0")
+    snr = per.groupBy(F.col("x.config").alias("config")).agg(F.avg(10 * F.log10(F.col("x.r") / F.col("x.f"))).alias("mean_snr_db"))
+    return score_table(events, gold, ["config"], overlap, tolerance).join(snr, "config")
 
 
 def filter_grid(df: DataFrame, gold: DataFrame, bands: Sequence[tuple[float, float]], orders: Sequence[int], columns: Sequence[str], fs: float, widths: Sequence[int], ks: Sequence[float], channels: Sequence[int], gap: float, overlap: float = 0.5, tolerance: float = 0.5) -> DataFrame:
-    """The score table of all combinations of band, order, width, k and channels: filters are columns of one table, each made once."""
-    from roadweave.operators.filters import filtered
-
-    parts = [filtered(df.select(CLIP, TIME, *columns), columns, fs, low, high, order).withColumns({"low": F.lit(float(low)), "high": F.lit(float(high)), "order": F.lit(order)}) for low, high in bands for order in orders]
-    config = ["low", "high", "order"]
-    events = grid_events(reduce(DataFrame.unionByName, parts), [f"{c}_bpf" for c in columns], widths, ks, channels, gap, config)
-    return score_table(events, gold, [*config, "width", "k", "channels"], overlap, tolerance)
+    """The score table of all combinations of band, order, width, k and channels: all filters and windows in one pass over the samples."""
+    from roadweave.operators.filters import bank_scores
+
+    settings = [(float(low), float(high), order) for low, high in bands for order in orders]
+    table = df.sparkSession.createDataFrame([(i, *s) for i, s in enumerate(settings)], "setting int, low double, high double, order int")
+    scores = bank_scores(df, columns, fs, settings, widths, min(ks)).join(F.broadcast(table), "setting").drop("setting")
+    events = runs_of_grid(scores, len(columns), ks, channels, gap, ["low", "high", "order", "width"])
+    return score_table(events, gold, ["low", "high", "order", "width", "k", "channels"], overlap, tolerance)
 
 
 def kappa(df: DataFrame, a: str, b: str, by: Sequence[str] = ()) -> DataFrame:

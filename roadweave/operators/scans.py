@@ -19,7 +19,7 @@ from roadweave.functions.storage import stored
 BLOCK = 8192
 
 
-def ranged(df: DataFrame, keys: Sequence[str], order: Sequence[str]) -> DataFrame:
+def ranged(df: DataFrame, keys: Sequence[str], order: Sequence[str | Column]) -> DataFrame:
     """``df`` dealt to ranges of (keys, order), plus _range and _pos (its place in the range's order)."""
     ranges = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     dealt = df.repartitionByRange(ranges, *keys, *order).sortWithinPartitions(*keys, *order)
@@ -58,7 +58,7 @@ def carried(dealt: DataFrame, keys: Sequence[str], **parts: tuple[Column, str])
     return dealt.join(handed, same).drop("_of", *names.values())
 
 
-def numbered(df: DataFrame, keys: Sequence[str], order: Sequence[str]) -> DataFrame:
+def numbered(df: DataFrame, keys: Sequence[str], order: Sequence[str | Column]) -> DataFrame:
     """``df`` plus _i, each row's number within its key (from 0), and _n, the rows of its key."""
     dealt = ranged(df, keys, order)
     met = carried(dealt, keys, _before=(F.count(F.lit(1)), "sum"), _n=(F.count(F.lit(1)), "all"), _from=(F.min("_pos"), "own"))

@@ -349,7 +349,7 @@ def test_groups_over_ranges_are_those_of_one_window(spark):
     rng = random.Random(5)
     rows = [(float(s), float(s + rng.randint(0, 9))) for s in (rng.randint(0, 4000) for _ in range(500))]
     df = spark.createDataFrame(rows, "start_time double, end_time double").repartition(7)
-    got = {(r.start_time, r.end_time): r.group_no for r in intervals.grouped_over_ranges(df, 3.0).collect()}
+    got = {(r.start_time, r.end_time): r.group_no for r in intervals.grouped_by_gap(df, 3.0, []).collect()}
     reach, no, want = None, 0, {}
     for s, e in sorted(rows):
         no += reach is None or s - reach > 3.0
