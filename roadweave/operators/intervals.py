@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-import pandas as pd
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -94,18 +95,20 @@ def matched(pred: DataFrame, gold: DataFrame, by: str = "tiou", threshold: float
     pairs = pairs.select(*keys, "ps", "pe", "gs", "ge", "score")
     blocks = grouped_by_gap(pairs.withColumns({START: F.least("ps", "gs") - reach, END: F.greatest("pe", "ge") + reach}), 0.0, keys)
 
-    def resolve(frame: pd.DataFrame) -> pd.DataFrame:
-        used_p, used_g, rows = set(), set(), []
-        for (ps, pe), own in frame.sort_values(["ps", "pe"]).groupby(["ps", "pe"], sort=False):
-            best = None
-            for r in own.sort_values(["gs", "ge"]).itertuples():
-                if (r.gs, r.ge) not in used_g and (best is None or r.score > best.score):
-                    best = r
-            if best is not None and (ps, pe) not in used_p:
-                used_g.add((best.gs, best.ge))
-                used_p.add((ps, pe))
-                rows.append((*[frame.iloc[0][k] for k in keys], ps, best.gs))
-        return pd.DataFrame(rows, columns=[*keys, "pred_start", "gold_start"])
+    def resolve(block: pa.Table) -> pa.Table:
+        """Predictions in time order, each with its free gold event of the best score; over sorted arrays."""
+        ps, pe, gs, ge, score = (block.column(c).to_numpy() for c in ("ps", "pe", "gs", "ge", "score"))
+        golden = np.unique(np.stack([gs, ge], 1), axis=0, return_inverse=True)[1].ravel()
+        order = np.lexsort((ge, gs, -score, pe, ps))
+        first = np.concatenate([[True], (np.diff(ps[order]) != 0) | (np.diff(pe[order]) != 0)])
+        taken, waiting, made = bytearray(len(golden)), False, []
+        for at, begins, g in zip(order.tolist(), first.tolist(), golden[order].tolist(), strict=True):
+            waiting |= begins
+            if waiting and not taken[g]:
+                taken[g], waiting = 1, False
+                made.append(at)
+        rows = block.select([*keys, "ps", "gs"]).take(pa.array(made, pa.int64()))
+        return rows.rename_columns([*keys, "pred_start", "gold_start"])
 
     fields = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in pred.select(*keys).schema)
     one_p, one_g = Window.partitionBy(*keys, "ps", "pe"), Window.partitionBy(*keys, "gs", "ge")
@@ -114,7 +117,7 @@ def matched(pred: DataFrame, gold: DataFrame, by: str = "tiou", threshold: float
     marked = counted.withColumn("_tangled", tangled)
     plain = marked.where("not _tangled").select(*keys, F.col("ps").alias("pred_start"), F.col("gs").alias("gold_start"))
     rest = marked.where("_tangled").select(*keys, "group_no", "ps", "pe", "gs", "ge", "score")
-    return plain.unionByName(rest.groupBy(*keys, "group_no").applyInPandas(resolve, f"{fields}, pred_start double, gold_start double"))
+    return plain.unionByName(rest.groupBy(*keys, "group_no").applyInArrow(resolve, f"{fields}, pred_start double, gold_start double"))
 
 
 def clip_bounds(start: Column, end: Column, variant: str = "a") -> Column:

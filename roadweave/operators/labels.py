@@ -69,6 +69,7 @@ def peak_label(az: Column, jerk: Column) -> Column:
     return F.when((az > 2.5) & (jerk > 2.0), "braking").when(az > 1.2, "deceleration").when(az < -1.5, "acceleration")
 
 
+#: Limits in the functions below (peaks, jerk, coverage, circularity, area, saturation, contrast) are fixed values.
 def maneuver(detections: Column, lateral_jerk: Column, az: Column, variant: str = "lateral") -> Column:
     """Maneuver from detected things (array of labels) and peaks, by fixed limits; the variants differ in what is asked first."""
     seen = lambda *w: F.exists(detections, lambda d: d.isin(*w))

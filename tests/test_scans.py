@@ -147,3 +147,29 @@ def test_thinning_in_rounds(spark):
         got = intervals.thinned(df, "mid", "k", [F.col("p"), F.col("mid")], 2.0, most).collect()
         assert sorted(r.n for r in got) == sorted(n for own in kept.values() for _, n in own)
     assert intervals.thinned(df.limit(0), "mid", "k", [F.col("mid")]).count() == 0
+
+
+def test_matching_in_one_tangled_block(spark):
+    """Predictions take, in time order, their best free gold event; ties to the earlier one."""
+    rng = np.random.default_rng(12)
+    spans = lambda n: [("c", float(s), float(s + d)) for s, d in zip(rng.uniform(0, 60, n).round(1), rng.uniform(1, 8, n).round(1))]
+    pred, gold = spans(120), spans(110)
+    make = lambda rows: spark.createDataFrame(rows, "clip_id string, start_time double, end_time double")
+    got = sorted((r.pred_start, r.gold_start) for r in intervals.matched(make(pred), make(gold), "tiou", 0.2).collect())
+    score = lambda p, g: max(0.0, min(p[2], g[2]) - max(p[1], g[1])) / (max(p[2], g[2]) - min(p[1], g[1]))
+    free, want = sorted(set(gold)), []
+    for p in sorted(set(pred)):
+        best = max(((score(p, g), -i) for i, g in enumerate(free) if score(p, g) >= 0.2), default=None)
+        if best:
+            want.append((p[1], free.pop(-best[1])[1]))
+    assert got == sorted(want) and len(want) > 40
+
+
+def test_a_block_of_many_pairs_is_quick(spark):
+    import time
+
+    n = 1000
+    make = lambda off: spark.createDataFrame([("c", i * 1e-4 + off, 1000.0 + i * 1e-4 + off) for i in range(n)], "clip_id string, start_time double, end_time double")
+    began = time.time()
+    assert intervals.matched(make(0.0), make(1e-5), "tiou", 0.5).count() == n  # a million pairs in one block
+    assert time.time() - began < 90
