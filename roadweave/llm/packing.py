@@ -31,7 +31,7 @@ from roadweave.llm.common import stored
 CAPACITY = 1024
 END_ID = 2
 #: Distinct chunks in a generation of a worker's memo (speed only).
-MEMO = 400_000
+MEMO = 100_000
 _loaded: dict[str, "ChunkTokenizer"] = {}
 
 
