@@ -7,8 +7,9 @@ from collections.abc import Callable, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from roadweave.functions.storage import stored
 from roadweave.operators.intervals import merge_intervals
-from roadweave.operators.scans import carried, in_range, quantiles, ranged, up_to_here
+from roadweave.operators.scans import combined, handed, in_range, quantiles, ranged, short_keys, up_to_here, whole
 from roadweave.operators.timeseries import CLIP, TIME, rolling_z
 
 
@@ -21,18 +22,29 @@ def confidence(z: Column, flag: Column) -> Column:
     return F.when(flag, F.least(F.lit(1.0), F.greatest(F.lit(0.0), F.abs(z) / 6))).otherwise(0.0)
 
 
-def flags_to_events(df: DataFrame, flag: Column, gap: float = 1.0, extra: Sequence[Column] = (), clip: str = CLIP, time: str = TIME) -> DataFrame:
+def flags_to_events(df: DataFrame, flag: Column, gap: float = 1.0, extra: Sequence[Column] = (), clip: str = CLIP, time: str = TIME, short: bool | None = None) -> DataFrame:
     """clip, event_no, start_time, end_time and ``extra`` aggregates of each run of flagged samples.
 
     A run ends where the next flagged sample is more than ``gap`` seconds later. Runs are numbered from 1.
+    ``short``: as in ``scans``, of all samples.
     """
     flagged = df.where(F.coalesce(flag, F.lit(False)))
-    dealt = carried(ranged(flagged, [clip], [time]), [clip], _last=(F.max(time), "max"))
-    before = F.coalesce(F.lag(time).over(in_range([clip])), F.col("_last"))
-    marked = dealt.withColumn("_new", F.coalesce((F.col(time) - before > gap).cast("int"), F.lit(1)))
-    counted = carried(marked, [clip], _runs=(F.sum("_new"), "sum"))
-    numbered = counted.withColumn("event_no", (F.sum("_new").over(up_to_here([clip])) + F.col("_runs")).cast("int"))
-    return numbered.groupBy(clip, "event_no").agg(F.min(time).alias("start_time"), F.max(time).alias("end_time"), *extra)
+    if not short:
+        flagged = stored(flagged, "flagged")
+    dealt = ranged(flagged, [clip], [time], short)
+    apart = F.col(time) - F.lag(time).over(in_range(dealt, [clip]))
+    marked = dealt.withColumn("_new", F.when(apart.isNotNull(), (apart > gap).cast("int")))
+    within = F.coalesce(F.sum("_new").over(up_to_here(marked, [clip])), F.lit(0))
+    if whole(dealt) is not None:
+        runs = marked.withColumn("event_no", (within + 1).cast("int"))
+    else:
+        # Of a range's samples only the first can't tell by itself whether it begins a run.
+        per = marked.groupBy("_range", clip).agg(F.min(time).alias("_first"), F.max(time).alias("_last"), F.coalesce(F.sum("_new"), F.lit(0)).alias("_within"))
+        begins = F.coalesce((F.col("_first") - combined(F.col("_last"), "max", [clip]) > gap).cast("int"), F.lit(1))
+        per = per.withColumn("_begins", begins)
+        met = handed(marked, per, [clip], {"_begins": F.col("_begins"), "_runs": combined(F.col("_within") + F.col("_begins"), "sum", [clip])})
+        runs = met.withColumn("event_no", (F.col("_runs") + F.col("_begins") + within).cast("int"))
+    return runs.groupBy(clip, "event_no").agg(F.min(time).alias("start_time"), F.max(time).alias("end_time"), *extra)
 
 
 def candidate_aggregates(z: str = "z") -> list[Column]:
@@ -43,8 +55,9 @@ def candidate_aggregates(z: str = "z") -> list[Column]:
 
 def candidate_events(df: DataFrame, column: str, width: int, k: float, gap: float) -> DataFrame:
     """The flagship: rolling z-score, threshold, runs, aggregates."""
-    z = rolling_z(df.select(CLIP, TIME, column), {"z": (column, width)})
-    return flags_to_events(z, F.abs("z") > k, gap, candidate_aggregates())
+    short = short_keys(df, [CLIP])
+    z = rolling_z(df.select(CLIP, TIME, column), {"z": (column, width)}, short=short)
+    return flags_to_events(z, F.abs("z") > k, gap, candidate_aggregates(), short=short)
 
 
 def votes(columns: Sequence[str], k: float) -> Column:
@@ -61,38 +74,40 @@ def speed_scaled_k(speed: Column, k: float) -> Column:
     return F.when((s > -1) & (s <= 20), 0.8 * k).when((s > 20) & (s <= 60), 1.0 * k).when((s > 60) & (s <= 1e9), 1.3 * k)
 
 
-def _with_rolling(df: DataFrame, columns: Sequence[str], width: int) -> DataFrame:
-    return rolling_z(df, {f"_z_{c}": (c, width) for c in columns})
+def _with_rolling(df: DataFrame, columns: Sequence[str], width: int, short: bool) -> DataFrame:
+    return rolling_z(df, {f"_z_{c}": (c, width) for c in columns}, short=short)
 
 
 def fixed_global(df: DataFrame, gap: float, k: float = 3.0, z: str = "z", **_: object) -> DataFrame:
-    return flags_to_events(df, F.abs(F.col(z)) > k, gap)
+    return flags_to_events(df, F.abs(F.col(z)) > k, gap, short=short_keys(df, [CLIP]))
 
 
 def adaptive_single(df: DataFrame, gap: float, width: int, k: float = 3.0, column: str = "total", **_: object) -> DataFrame:
-    return flags_to_events(_with_rolling(df, [column], width), F.abs(F.col(f"_z_{column}")) > k, gap)
+    return adaptive_any(df, gap, width, [column], k)
 
 
 def adaptive_any(df: DataFrame, gap: float, width: int, columns: Sequence[str], k: float = 3.0, **_: object) -> DataFrame:
-    return flags_to_events(_with_rolling(df, columns, width), votes([f"_z_{c}" for c in columns], k) >= 1, gap)
+    return adaptive_fusion(df, gap, width, columns, k, 1)
 
 
 def adaptive_fusion(df: DataFrame, gap: float, width: int, columns: Sequence[str], k: float = 3.0, channels: int = 2, **_: object) -> DataFrame:
-    return flags_to_events(_with_rolling(df, columns, width), votes([f"_z_{c}" for c in columns], k) >= channels, gap)
+    short = short_keys(df, [CLIP])
+    return flags_to_events(_with_rolling(df, columns, width, short), votes([f"_z_{c}" for c in columns], k) >= channels, gap, short=short)
 
 
 def adaptive_fusion_merged(df: DataFrame, gap: float, **options: object) -> DataFrame:
-    return merge_intervals(adaptive_fusion(df, gap, **options))
+    return merge_intervals(adaptive_fusion(df, gap, **options), short=short_keys(df, [CLIP]))
 
 
 def adaptive_fusion_speed(df: DataFrame, gap: float, width: int, columns: Sequence[str], k: float = 3.0, channels: int = 2, speed: str = "speed_kmh", **_: object) -> DataFrame:
     """Fusion with one k a clip: the median of its rows' speed-scaled k, or ``k`` where none has one."""
+    short = short_keys(df, [CLIP])
     scaled = quantiles(df.select(CLIP, speed_scaled_k(F.col(speed), k).alias("_v")), [CLIP], "_v")
-    z = _with_rolling(df, columns, width).join(scaled.select(F.col(CLIP).alias("_clip"), F.col("q").alias("_k")), F.col(CLIP) == F.col("_clip"), "left").fillna(k, ["_k"])
+    z = _with_rolling(df, columns, width, short).join(scaled.select(F.col(CLIP).alias("_clip"), F.col("q").alias("_k")), F.col(CLIP) == F.col("_clip"), "left").fillna(k, ["_k"])
     total = F.lit(0)
     for c in columns:
         total = total + F.coalesce((F.abs(F.col(f"_z_{c}")) > F.col("_k")).cast("int"), F.lit(0))
-    return merge_intervals(flags_to_events(z, total >= channels, gap))
+    return merge_intervals(flags_to_events(z, total >= channels, gap, short=short), short=short)
 
 
 #: Strategies by name; users add their own.

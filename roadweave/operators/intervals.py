@@ -34,23 +34,23 @@ def interval_join(events: DataFrame, points: DataFrame, point: str, bucket: floa
     return e.join(met.select("_eid", *rest), "_eid", "left").drop("_eid")
 
 
-def merge_intervals(events: DataFrame, gap: float = 0.0, clip: str = CLIP) -> DataFrame:
+def merge_intervals(events: DataFrame, gap: float = 0.0, clip: str = CLIP, short: bool | None = None) -> DataFrame:
     """clip, event_no, start_time, end_time: intervals whose start is at most ``gap`` after the running end are one."""
-    return grouped_by_gap(events, gap, [clip]).groupBy(clip, F.col("group_no").alias("event_no")).agg(F.min(START).alias(START), F.max(END).alias(END))
+    return grouped_by_gap(events, gap, [clip], short).groupBy(clip, F.col("group_no").alias("event_no")).agg(F.min(START).alias(START), F.max(END).alias(END))
 
 
-def grouped_by_gap(events: DataFrame, gap: float, keys: Sequence[str] = (CLIP,)) -> DataFrame:
+def grouped_by_gap(events: DataFrame, gap: float, keys: Sequence[str] = (CLIP,), short: bool | None = None) -> DataFrame:
     """``events`` plus group_no: a new group where a start is more than ``gap`` after all earlier ends of its key.
 
     Ranges of (keys, start) are tasks; each takes the running end, and then the number of groups, of
-    those before it. Without ``keys`` the whole table is one key.
+    those before it. Without ``keys`` the whole table is one key. ``short``: as in ``scans``.
     """
     keys = list(keys)
-    dealt = carried(ranged(events, keys, [START, END]), keys, _reach=(F.max(END), "max"))
-    reach = F.greatest(F.max(END).over(in_range(keys).rowsBetween(Window.unboundedPreceding, -1)), F.col("_reach"))
+    dealt = carried(ranged(events, keys, [START, END], short), keys, _reach=(F.max(END), "max"))
+    reach = F.greatest(F.max(END).over(in_range(dealt, keys).rowsBetween(Window.unboundedPreceding, -1)), F.col("_reach"))
     marked = dealt.withColumn("_new", F.coalesce((F.col(START) - reach > gap).cast("int"), F.lit(1)))
     counted = carried(marked, keys, _groups=(F.sum("_new"), "sum"))
-    return counted.select(*events.columns, (F.sum("_new").over(up_to_here(keys)) + F.col("_groups")).cast("int").alias("group_no"))
+    return counted.select(*events.columns, (F.sum("_new").over(up_to_here(marked, keys)) + F.col("_groups")).cast("int").alias("group_no"))
 
 
 def tiou(s1: Column, e1: Column, s2: Column, e2: Column) -> Column:
@@ -92,7 +92,7 @@ def matched(pred: DataFrame, gold: DataFrame, by: str = "tiou", threshold: float
     left = p.withColumns({"_lo": plo, "_b": F.explode(F.sequence(plo, phi))})
     right = g.withColumns({"_lo2": glo, "_b": F.explode(F.sequence(glo, ghi))})
     pairs = left.join(right, [*keys, "_b"]).where((F.col("_b") == F.greatest("_lo", "_lo2")) & passing).withColumn("score", score)
-    pairs = pairs.select(*keys, "ps", "pe", "gs", "ge", "score")
+    pairs = stored(pairs.select(*keys, "ps", "pe", "gs", "ge", "score"), "match-pairs")
     blocks = grouped_by_gap(pairs.withColumns({START: F.least("ps", "gs") - reach, END: F.greatest("pe", "ge") + reach}), 0.0, keys)
 
     def resolve(block: pa.Table) -> pa.Table:

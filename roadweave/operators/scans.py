@@ -4,6 +4,9 @@ Rows are dealt to ranges of (key, order) and stored, so a key may span many rang
 many keys. What a scan hands on (sums, the last value, a running end) is one row a range and key;
 sums over those rows are joined to the ranges, whose own rows are then scanned by windows. Windows of
 a fixed reach stand in blocks of a key's rows with copies of the neighbours' rows at both sides.
+
+Where no key has more than ``SHORT`` rows, each key is one part of one task and nothing is handed on; the
+results are the same. Callers that know it say so by ``short``, else the keys' rows are counted.
 """
 
 from __future__ import annotations
@@ -12,27 +15,52 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.window import WindowSpec
 
-from roadweave.functions.storage import stored
+from roadweave.functions.storage import spread, stored
 
-#: Rows of a block at least.
+#: Rows of a block at least, and rows of a range, about.
 BLOCK = 8192
+RANGE = 25_000
+#: Rows of a key that one task sorts at most.
+SHORT = 500_000
+
+
+def short_keys(df: DataFrame, keys: Sequence[str]) -> bool:
+    """Whether no key has more than SHORT rows (without keys: the table)."""
+    largest = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).agg(F.max("_n")).collect()[0][0]
+    return (largest or 0) <= SHORT
+
 
+def ranged(df: DataFrame, keys: Sequence[str], order: Sequence[str | Column], short: bool | None = None) -> DataFrame:
+    """``df`` dealt to ranges of (keys, order) of about RANGE rows, plus _range and _pos (its place in the range's order).
 
-def ranged(df: DataFrame, keys: Sequence[str], order: Sequence[str | Column]) -> DataFrame:
-    """``df`` dealt to ranges of (keys, order), plus _range and _pos (its place in the range's order)."""
-    ranges = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    Reads ``df`` several times (rows, bounds, ranges): store what is costly first. Short keys are dealt whole,
+    as one range, in which rows have no place yet.
+    """
+    if short is None:
+        short = short_keys(df, keys)
+    if short:
+        kept = {"order": [c for c in order if isinstance(c, str)]}
+        return (spread(df, *keys) if keys else df).withColumns({"_range": F.lit(0).alias("_range", metadata=kept), "_pos": F.lit(0).cast("long")})
+    ranges = max(1, -(-df.count() // RANGE))
     dealt = df.repartitionByRange(ranges, *keys, *order).sortWithinPartitions(*keys, *order)
     return stored(dealt.withColumns({"_range": F.spark_partition_id(), "_pos": F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))}), "ranges")
 
 
-def in_range(keys: Sequence[str]) -> Window:
+def whole(dealt: DataFrame) -> list[str] | None:
+    """The order of keys that were dealt whole; None for ranges."""
+    return dealt.schema["_range"].metadata.get("order")
+
+
+def in_range(dealt: DataFrame, keys: Sequence[str]) -> WindowSpec:
     """A key's rows of a range, in order."""
-    return Window.partitionBy("_range", *keys).orderBy("_pos")
+    order = whole(dealt)
+    return Window.partitionBy("_range", *keys).orderBy("_pos") if order is None else Window.partitionBy(*keys).orderBy(*order)
 
 
-def up_to_here(keys: Sequence[str]) -> Window:
-    return in_range(keys).rowsBetween(Window.unboundedPreceding, 0)
+def up_to_here(dealt: DataFrame, keys: Sequence[str]) -> WindowSpec:
+    return in_range(dealt, keys).rowsBetween(Window.unboundedPreceding, 0)
 
 
 def carried(dealt: DataFrame, keys: Sequence[str], **parts: tuple[Column, str]) -> DataFrame:
@@ -43,24 +71,41 @@ def carried(dealt: DataFrame, keys: Sequence[str], **parts: tuple[Column, str])
     take the nearest that is not null), ``all`` the sum of every range, ``own`` the range's own. Sums are
     0 where there is none.
     """
-    names = {k: f"_key{i}" for i, k in enumerate(keys)}
-    per = dealt.groupBy(F.col("_range").alias("_of"), *[F.col(k).alias(n) for k, n in names.items()]).agg(*[a.alias(name) for name, (a, _) in parts.items()])
-    ranges = Window.partitionBy(*names.values()).orderBy("_of")  # a row a range
+    if whole(dealt) is not None:
+        of_key = Window.partitionBy(*keys)
+        none = {"sum": lambda a: F.lit(0).cast("long"), "all": lambda a: a.over(of_key), "own": lambda a: a.over(of_key)}
+        return dealt.withColumns({name: none.get(how, lambda a: F.when(F.lit(False), a.over(of_key)))(a) for name, (a, how) in parts.items()})
+    per = dealt.groupBy("_range", *keys).agg(*[a.alias(name) for name, (a, _) in parts.items()])
+    return handed(dealt, per, keys, {name: combined(F.col(name), how, keys) for name, (_, how) in parts.items()})
+
+
+def combined(c: Column, how: str, keys: Sequence[str]) -> Column:
+    """A column of one row a range and key, put together over the ranges of a key."""
+    ranges = Window.partitionBy(*keys).orderBy("_range")
     before, after = ranges.rowsBetween(Window.unboundedPreceding, -1), ranges.rowsBetween(1, Window.unboundedFollowing)
-    ways = {
-        "sum": lambda c: F.coalesce(F.sum(c).over(before), F.lit(0)), "max": lambda c: F.max(c).over(before), "last": lambda c: F.last(c, True).over(before),
-        "own": lambda c: c, "next": lambda c: F.first(c, True).over(after), "all": lambda c: F.sum(c).over(Window.partitionBy(*names.values())),
-    }
-    handed = per.select("_of", *names.values(), *[ways[how](F.col(name)).alias(name) for name, (_, how) in parts.items()])
+    if how == "all":
+        return F.sum(c).over(Window.partitionBy(*keys))
+    return {"sum": lambda: F.coalesce(F.sum(c).over(before), F.lit(0)), "max": lambda: F.max(c).over(before), "last": lambda: F.last(c, True).over(before), "next": lambda: F.first(c, True).over(after), "own": lambda: c}[how]()
+
+
+def handed(dealt: DataFrame, per: DataFrame, keys: Sequence[str], columns: dict[str, Column]) -> DataFrame:
+    """``dealt`` plus ``columns`` of its range's and key's row in ``per``."""
+    names = {k: f"_key{i}" for i, k in enumerate(keys)}
+    small = per.select(F.col("_range").alias("_of"), *[F.col(k).alias(n) for k, n in names.items()], *[c.alias(name) for name, c in columns.items()])
     same = F.col("_range") == F.col("_of")
     for k, n in names.items():
         same &= F.col(k).eqNullSafe(F.col(n))
-    return dealt.join(handed, same).drop("_of", *names.values())
+    return dealt.join(small, same).drop("_of", *names.values())
 
 
-def numbered(df: DataFrame, keys: Sequence[str], order: Sequence[str | Column]) -> DataFrame:
+def numbered(df: DataFrame, keys: Sequence[str], order: Sequence[str | Column], short: bool | None = None) -> DataFrame:
     """``df`` plus _i, each row's number within its key (from 0), and _n, the rows of its key."""
-    dealt = ranged(df, keys, order)
+    if short is None:
+        short = bool(keys) and short_keys(df, keys)
+    if short:
+        rows = Window.partitionBy(*keys)
+        return spread(df, *keys).withColumns({"_i": (F.row_number().over(rows.orderBy(*order)) - 1).cast("long"), "_n": F.count(F.lit(1)).over(rows)})
+    dealt = ranged(df, keys, order, short=False)
     met = carried(dealt, keys, _before=(F.count(F.lit(1)), "sum"), _n=(F.count(F.lit(1)), "all"), _from=(F.min("_pos"), "own"))
     return met.select(*df.columns, (F.col("_pos") - F.col("_from") + F.col("_before")).alias("_i"), "_n")
 
@@ -81,8 +126,9 @@ def quantiles(df: DataFrame, keys: Sequence[str], value: str, share: float = 0.5
     left out.
     """
     counts = df.where(F.col(value).isNotNull()).groupBy(*keys, F.col(value).alias("_v")).agg(F.count(F.lit(1)).alias("_c"))
-    placed = carried(ranged(counts, keys, ["_v"]), keys, _before=(F.sum("_c"), "sum"), _n=(F.sum("_c"), "all"))
-    upto = F.col("_before") + F.sum("_c").over(up_to_here(keys))
+    dealt = ranged(stored(counts, "value-counts"), keys, ["_v"])
+    placed = carried(dealt, keys, _before=(F.sum("_c"), "sum"), _n=(F.sum("_c"), "all"))
+    upto = F.col("_before") + F.sum("_c").over(up_to_here(dealt, keys))
     at = (F.col("_n") - 1) * F.lit(float(share))
     # The values that hold the two places around ``at``.
     low, high = F.floor(at), F.ceil(at)

@@ -10,9 +10,12 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from roadweave.operators.scans import BLOCK, carried, haloed, in_range, numbered, quantiles, ranged, up_to_here
+from roadweave.functions.storage import spread
+from roadweave.operators.scans import BLOCK, carried, haloed, in_range, numbered, quantiles, ranged, short_keys, up_to_here, whole
 
 CLIP, TIME = "clip_id", "cts"
+#: Windows up to so many rows are plain frames within blocks; wider ones are merged from powers of two.
+PLAIN = 64
 
 
 def in_time(clip: str | Sequence[str] = CLIP, time: str = TIME):
@@ -25,7 +28,7 @@ def sample_rate(df: DataFrame, clip: str = CLIP, time: str = TIME, forced: float
     if forced is not None:
         return df.select(clip).distinct().withColumn("fs", F.lit(float(forced)))
     dealt = carried(ranged(df.select(clip, time), [clip], [time]), [clip], _last=(F.max(time), "max"))
-    steps = dealt.select(clip, (F.col(time) - F.coalesce(F.lag(time).over(in_range([clip])), F.col("_last"))).alias("_dt"))
+    steps = dealt.select(clip, (F.col(time) - F.coalesce(F.lag(time).over(in_range(dealt, [clip])), F.col("_last"))).alias("_dt"))
     middle = df.select(clip).distinct().join(quantiles(steps, [clip], "_dt").withColumnRenamed(clip, "_clip"), F.col(clip).eqNullSafe(F.col("_clip")), "left")
     return middle.select(clip, F.when(F.col("q") > 0, F.try_divide(F.lit(1.0), F.col("q"))).alias("fs"))
 
@@ -34,7 +37,7 @@ def gradient(df: DataFrame, columns: Sequence[str], dt: float, prefix: str = "je
     """Central differences inside a clip, one-sided at its ends, for evenly spaced samples; one sample gives null."""
     values = F.struct(*columns)
     dealt = carried(ranged(df, [clip], [time]), [clip], _last=(F.max_by(values, "_pos"), "last"), _next=(F.min_by(values, "_pos"), "next"))
-    w = in_range([clip])
+    w = in_range(dealt, [clip])
 
     def slope(c: str) -> Column:
         before, after = F.coalesce(F.lag(c).over(w), F.col("_last")[c]), F.coalesce(F.lead(c).over(w), F.col("_next")[c])
@@ -109,12 +112,20 @@ def window_scores(x: np.ndarray, valid: np.ndarray, widths: Sequence[int], least
     return out
 
 
-def _rolled(df: DataFrame, made: dict[str, tuple[str, int | None]], keys: list[str], time: str, least: int, epsilon: float) -> DataFrame:
+def _rolled(df: DataFrame, made: dict[str, tuple[str, int | None]], keys: list[str], time: str, least: int, epsilon: float, short: bool | None = None) -> DataFrame:
     """``df`` plus scores; a width of None is the column _w of the row."""
+    plain = all(w is not None and w <= PLAIN for _, w in made.values())
+    if short is None:
+        short = short_keys(df, keys)
+    if short and plain:
+        return spread(df, *keys).withColumns({name: rolling_z_column(column, width, least, epsilon, keys, time) for name, (column, width) in made.items()})
     wide = F.greatest(*[F.col("_w") if w is None else F.lit(w) for _, w in made.values()], F.lit(1))
     size = F.greatest(F.lit(BLOCK), 4 * wide)
-    dealt = haloed(numbered(df, keys, [time]), size, F.floor(wide / 2), F.floor((wide - 1) / 2))
+    dealt = haloed(numbered(df, keys, [time], short), size, F.floor(wide / 2), F.floor((wide - 1) / 2))
     kept = [f for f in df.schema.fields if f.name != "_w"]
+    if plain:
+        scores = {name: rolling_z_column(column, width, least, epsilon, [*keys, "_block"], "_i") for name, (column, width) in made.items()}
+        return dealt.withColumns(scores).where("_own").select(*[f.name for f in kept], *made)
     schema = T.StructType(kept + [T.StructField(name, T.DoubleType()) for name in made])
     by_column: dict[str, list[tuple[str, int | None]]] = {}
     for name, (column, width) in made.items():
@@ -142,14 +153,14 @@ def _rolled(df: DataFrame, made: dict[str, tuple[str, int | None]], keys: list[s
     return dealt.groupBy(*keys, "_block").applyInArrow(score, schema)
 
 
-def rolling_z(df: DataFrame, made: dict[str, tuple[str, int]], clip: str | Sequence[str] = CLIP, time: str = TIME, least: int = 1, epsilon: float = 0.0) -> DataFrame:
+def rolling_z(df: DataFrame, made: dict[str, tuple[str, int]], clip: str | Sequence[str] = CLIP, time: str = TIME, least: int = 1, epsilon: float = 0.0, short: bool | None = None) -> DataFrame:
     """``df`` plus centred rolling z-scores: ``made`` names (column, width) for each new column.
 
     The windows of ``rolling_z_column``, for clips of any length: blocks of a clip's rows, with the rows
-    around them that windows reach, are tasks of their own. The cost grows with the logarithm of the
-    widths, and a window's score depends on nothing outside it.
+    around them that windows reach, are tasks of their own; windows wider than PLAIN cost the logarithm
+    of their width. A window's score depends on nothing outside it. ``short``: as in ``scans``.
     """
-    return _rolled(df, dict(made), [clip] if isinstance(clip, str) else list(clip), time, least, epsilon)
+    return _rolled(df, dict(made), [clip] if isinstance(clip, str) else list(clip), time, least, epsilon, short)
 
 
 def rolling_z_by_clip(df: DataFrame, column: str, widths: DataFrame, out: str = "z", clip: str = CLIP, time: str = TIME) -> DataFrame:
@@ -163,7 +174,8 @@ def fill_both(df: DataFrame, columns: Sequence[str], clip: str = CLIP, time: str
     there = lambda c: F.when(F.col(c).isNotNull(), F.col("_pos"))
     parts = {f"_last_{c}": (F.max_by(c, there(c)), "last") for c in columns} | {f"_next_{c}": (F.min_by(c, there(c)), "next") for c in columns}
     dealt = carried(ranged(df, [clip], [time]), [clip], **parts)
-    back, ahead = up_to_here([clip]), Window.partitionBy("_range", clip).orderBy(F.desc("_pos")).rowsBetween(Window.unboundedPreceding, 0)
+    later = Window.partitionBy("_range", clip).orderBy(F.desc("_pos")) if whole(dealt) is None else Window.partitionBy(clip).orderBy(F.desc(time))
+    back, ahead = up_to_here(dealt, [clip]), later.rowsBetween(Window.unboundedPreceding, 0)
     filled = {c: F.coalesce(F.last(c, True).over(back), F.col(f"_last_{c}"), F.last(c, True).over(ahead), F.col(f"_next_{c}")) for c in columns}
     return dealt.withColumns(filled).select(*df.columns)
 

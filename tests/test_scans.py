@@ -6,6 +6,15 @@ from pyspark.sql import functions as F
 from roadweave.operators import detect, intervals, scans, timeseries
 
 
+@pytest.fixture(autouse=True, params=["ranges", "whole keys"])
+def dealing(request, monkeypatch):
+    """Keys of any length over several ranges, and keys that are short enough for a task."""
+    monkeypatch.setattr(scans, "RANGE", 400)
+    if request.param == "ranges":
+        monkeypatch.setattr(scans, "SHORT", 0)
+    return request.param
+
+
 @pytest.fixture()
 def clips():
     """One long clip, short ones, a null clip, repeated times and nulls."""
@@ -31,7 +40,7 @@ def by_clip(rows):
 
 def test_rows_are_numbered_over_ranges(spark, clips):
     df = frame(spark, clips)
-    dealt = scans.ranged(df, ["clip_id"], ["cts"])
+    dealt = scans.ranged(df, ["clip_id"], ["cts"], short=False)
     assert dealt.where("clip_id = 'long'").select("_range").distinct().count() >= 3  # one clip is several tasks
     got = {(r.clip_id, r.n): (r._i, r._n) for r in scans.numbered(df, ["clip_id"], ["cts"]).collect()}
     assert got == {(c, r[3]): (i, len(own)) for c, own in by_clip(clips).items() for i, r in enumerate(own)}
@@ -105,6 +114,7 @@ def test_streams_are_aligned_over_ranges(spark):
 @pytest.mark.parametrize("width", [1, 2, 5, 20, 64, 2000])
 def test_rolling_scores_equal_the_plain_window(spark, clips, width, monkeypatch):
     monkeypatch.setattr(timeseries, "BLOCK", 50)
+    monkeypatch.setattr(timeseries, "PLAIN", 5)
     df = frame(spark, clips)
     plain = {(r.clip_id, r.n): r.z for r in df.withColumn("z", timeseries.rolling_z_column("v", width, 2, 1e-9)).collect()}
     got = {(r.clip_id, r.n): r.z for r in timeseries.rolling_z(df, {"z": ("v", width), "other": ("v", 3)}, least=2, epsilon=1e-9).collect()}
@@ -121,7 +131,7 @@ def test_a_quiet_stretch_after_a_violent_one(spark):
         own = x[max(0, i - 10) : i + 10]
         assert end[i * 0.005] == pytest.approx((x[i] - own.mean()) / own.std(ddof=1), abs=1e-6)
     by_clip = timeseries.rolling_z_by_clip(df, "v", spark.createDataFrame([("x", 20)], "clip_id string, width int")).where("cts > 500.25").collect()
-    assert {r.cts: r.z for r in by_clip} == end
+    assert {r.cts: r.z for r in by_clip} == pytest.approx(end, abs=1e-9)
 
 
 def test_quantiles_are_exact(spark):
