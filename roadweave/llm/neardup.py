@@ -3,8 +3,11 @@
 Each distinct five-word shingle of a text sends arrivals of a Poisson process with its weight as rate
 to random registers; a register keeps the element that arrives first. A process ends as soon as its
 next arrival is later than every register of its text. Two texts agree in a register with the
-probability Jaccard similarity of their weights. All weights are 1 here, however often a shingle
-occurs, so this is the Jaccard similarity of the shingle sets, which links are defined by.
+probability Jaccard similarity of their weights. A shingle that a text holds c times weighs 1 + ln(c).
+Links are defined by the shingle sets, and one line repeated a hundred times moves the weighted
+similarity of a pair far from that of its sets; so a text that repeats shingles has two signatures,
+one of its weights and one of equal weights, and meets others by either. Without repeats both are the
+same and made once.
 
 Registers are banded. Within each bucket every member is verified against one member only, the
 centre, and the links found are merged into groups. Where a bucket still holds several groups, the
@@ -71,15 +74,28 @@ def _band_hashes(sig: np.ndarray, bands: int, rows: int) -> np.ndarray:
 
 
 def sketch(docs: DataFrame, bands: int = BANDS, rows: int = ROWS, width: int = SHINGLE) -> DataFrame:
-    """doc_id, h1, h2 (hash of the whole text), bands (hash of each band, null without words)."""
+    """doc_id, h1, h2 (hash of the whole text), bands (hash of each band, null without words).
+
+    Entry i is of band i % ``bands``: equal weights first, then, for texts that repeat shingles, weights
+    by count, null where they say the same.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for c in chunks(pc.utf8_lower(batch.column(1))):
-                doc, h, _ = shingles(c, width)
-                sig = _band_hashes(signatures(doc, h, np.ones(len(h)), c.n, bands * rows), bands, rows).view(np.int64)
+                doc, h, count = shingles(c, width)
+                equal = _band_hashes(signatures(doc, h, np.ones(len(h)), c.n, bands * rows), bands, rows)
                 has = np.bincount(doc, minlength=c.n) > 0
-                flat = pa.ListArray.from_arrays(pa.array(np.arange(0, sig.size + 1, bands, dtype=np.int32)), pa.array(sig.ravel()))
+                repeats = np.bincount(doc, count > 1, minlength=c.n) > 0
+                again, some = np.flatnonzero(repeats), repeats[doc]
+                by_count = signatures(np.searchsorted(again, doc[some]), h[some], 1 + np.log(count[some]), len(again), bands * rows)
+                weighted = _band_hashes(by_count, bands, rows)
+                ends = np.concatenate([[0], np.cumsum(np.where(repeats, 2 * bands, bands))])
+                values, same = np.zeros(ends[-1], np.uint64), np.zeros(ends[-1], bool)
+                values[ends[:-1, None] + np.arange(bands)] = equal
+                second = ends[again, None] + bands + np.arange(bands)
+                values[second], same[second] = weighted, weighted == equal[again]
+                flat = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(values.view(np.int64), mask=same))
                 flat = pc.if_else(pa.array(has), flat, pa.scalar(None, flat.type))
                 ids = [batch.column(i).slice(c.lo, c.n) for i in (0, 2, 3)]
                 yield pa.RecordBatch.from_arrays([*ids, flat], ["doc_id", "h1", "h2", "bands"])
@@ -169,7 +185,8 @@ def near_duplicates(docs: DataFrame, threshold: float = SIMILAR, bands: int = BA
     links: a Jaccard similarity of the shingle sets of at least ``threshold``. n_links: different texts that this text was verified to be
     linked with. kept: whether the row is the one that stays of its group. Empty texts are copies of
     each other; null texts, and rows without id, stand alone. Of rows that repeat one doc_id and text
-    one is kept at most; a doc_id with several texts is in the group of each.
+    one is kept at most; a doc_id with several texts is in the group of each. An empty table gives an
+    empty result; further columns are not read. A doc_id that is no whole number is an error of the cast.
     """
     given = _given(docs)
     full = _classes(given, threshold, bands, rows, block)
@@ -195,7 +212,8 @@ def _classes(given: DataFrame, threshold: float, bands: int = BANDS, rows: int =
     # A representative's own row is the one whose id is the smallest of its text.
     member = stored(once.join(copies, ["h1", "h2"]).select("doc_id", "h1", "times", "copy_of"), "copies")
     reps = sketched.where("bands is not null").join(member.where("doc_id = copy_of").select("doc_id", "h1"), ["doc_id", "h1"], "left_semi").dropDuplicates(["h1"])
-    spread = reps.select(F.col("h1").alias("rep"), F.posexplode("bands").alias("band", "hash"))
+    spread = reps.select(F.col("h1").alias("rep"), F.posexplode("bands").alias("place", "hash")).where("hash is not null")
+    spread = spread.select("rep", (F.col("place") % bands).alias("band"), "hash")
     # Size and centre of each bucket come from map-side aggregates. The centre is the member with the
     # most company in all its buckets: in a family of copies the text that the others are nearest to.
     bucket = spread.groupBy("band", "hash").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
@@ -205,7 +223,7 @@ def _classes(given: DataFrame, threshold: float, bands: int = BANDS, rows: int =
     centre = inside.groupBy("band", "hash").agg(F.max_by("rep", F.struct("company", (-F.col("rep")).alias("first"))).alias("centre"))
     inside = stored(inside.join(centre, ["band", "hash"]).select("band", "hash", "rep", "centre"), "members")
     wanted = member.where("doc_id = copy_of").join(inside.select(F.col("rep").alias("h1")).distinct(), "h1", "left_semi").select("doc_id", "h1")
-    # Merged at every size: the texts move once by doc_id, and small inputs show the plan of large ones.
+    # Never a broadcast: ``wanted`` grows with the corpus and has no bound.
     hashed = given.where("text is not null").withColumn("h1", F.xxhash64("text"))
     texts = stored(hashed.join(wanted.hint("merge"), ["doc_id", "h1"], "left_semi").dropDuplicates(["h1"]).select(F.col("h1").alias("rep"), "text"), "texts")
 
@@ -248,6 +266,7 @@ def deduplicate(docs: DataFrame, threshold: float = SIMILAR, repeats: bool = Tru
     """``docs`` with all columns, without the rows that have a near-duplicate before them (by doc_id, then by hash).
 
     Rows that repeat both doc_id and text all stay with their first; one of them does without ``repeats``.
+    Rows with a null text or id all stay; an empty table stays empty; other columns pass as they are.
     """
     found = stored(_classes(_given(docs), threshold).select(F.col("doc_id").alias("_rw_id"), F.col("h1").alias("_rw_h1"), "times", "first"), "classes")
     key = lambda other: (F.col("doc_id").cast("long") == other["_rw_id"]) & (F.xxhash64(F.col("text").cast("string")) == other["_rw_h1"])

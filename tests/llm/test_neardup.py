@@ -71,6 +71,31 @@ def test_repeated_lines_do_not_hide_links(spark):
     assert found >= 798  # 7e-5 of the pairs may be missed
 
 
+def test_texts_meet_by_weights_too(spark):
+    """Bands of a text are those of equal weights and, if it repeats shingles, those of 1 + ln(count)."""
+    words = [f"w{k}" for k in range(300)]
+    line = words[:40]
+    rows = [(0, " ".join(words)), (1, " ".join(line * 60 + words)), (2, " ".join(line * 60 + words[:-100])), (3, "")]
+    got = {r.doc_id: r.bands for r in neardup.sketch(spark.createDataFrame(rows, "doc_id long, text string"), bands=400, rows=1).collect()}
+    assert len(got[0]) == 400 and len(got[1]) == len(got[2]) == 800 and got[3] is None
+
+    def counts(text):
+        w = text.split()
+        out = {}
+        for k in range(len(w) - 4):
+            out[tuple(w[k : k + 5])] = out.get(tuple(w[k : k + 5]), 0) + 1
+        return out
+
+    a, b = counts(rows[1][1]), counts(rows[2][1])
+    for lo, weigh in ((0, lambda n: 1.0), (400, lambda n: 1 + np.log(n))):
+        x, y = ([h if h is not None else got[i][k] for k, h in enumerate(got[i][lo : lo + 400])] for i in (1, 2))
+        agree = np.mean([p == q for p, q in zip(x, y)])
+        expect = probability_jaccard({e: weigh(n) for e, n in a.items()}, {e: weigh(n) for e, n in b.items()})
+        assert abs(agree - expect) < 0.07
+    # Without repeats the text's one signature is both.
+    assert abs(np.mean([p == q for p, q in zip(got[0], got[1][:400])]) - len(set(counts(rows[0][1])) & set(a)) / len(set(counts(rows[0][1])) | set(a))) < 0.07
+
+
 def brute_classes(rows):
     label = {i: i for i, _ in rows}
 
