@@ -18,7 +18,7 @@ from roadweave.plans.places import tables_graph
 from roadweave.plans.telemetry import _candidate_sql, _rounded, candidates, reviewed
 from roadweave.sources import readers
 from roadweave.sources.adapters import TELEMETRY, table, telemetry
-from roadweave.streaming import detection
+from roadweave.streaming import detection, stateful
 
 QUERIES, SQL, register = registrar()
 
@@ -197,27 +197,55 @@ def _(spark, sf_dir):
     return readers.markdown_rows(c)
 
 
-def arriving(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The events as a stream of files."""
+def arriving(spark: SparkSession, sf_dir: str, closed: bool = False) -> DataFrame:
+    """The events as a stream of files; ``closed``: with one row more, of value 0, a day after the last."""
     path = folder(spark, "arriving")
-    events = table(spark, sf_dir, "events")
+    events = table(spark, sf_dir, "events").select("event_id", F.col("event_type").alias("clip_id"), F.col("ts").cast("timestamp").alias("ts"), "value")
+    if closed:
+        last = events.agg(F.lit(None).alias("event_id"), F.lit("").alias("clip_id"), (F.max("ts") + F.expr("interval 1 day")).alias("ts"), F.lit(0.0).alias("value"))
+        events = events.unionByName(last)
     events.write.parquet(path)
-    return spark.readStream.schema(events.schema).parquet(path).select("event_id", F.col("event_type").alias("clip_id"), F.col("ts").cast("timestamp").alias("ts"), "value")
+    return spark.readStream.schema(events.schema).parquet(path)
 
 
 _SHORT = "tele AS (SELECT event_id, event_type AS clip_id, ts, value FROM events)"
 
 
+def run_with_state(stream: DataFrame, name: str, schema: str) -> DataFrame:
+    """What a stream with state writes until all is read; the session's state store is as before afterwards."""
+    spark = stream.sparkSession
+    before, out = spark.conf.get(stateful.ROCKSDB[0]), folder(spark, name)
+    spark.conf.set(*stateful.ROCKSDB)
+    try:
+        detection.run_to_table(stream, out, folder(spark, f"{name}-log")).awaitTermination()
+    finally:
+        spark.conf.set(stateful.ROCKSDB[0], before)
+    return spark.read.schema(schema).parquet(out)
+
+
 @register(
     "stream_candidates",
     f"WITH {_SHORT}, r AS (SELECT *, CASE WHEN epoch_us(ts) - epoch_us(lag(ts) OVER (PARTITION BY clip_id ORDER BY ts)) <= 7200000000 THEN 0 ELSE 1 END AS fresh FROM tele WHERE value > 60), g AS (SELECT *, sum(fresh) OVER (PARTITION BY clip_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS no FROM r) "
-    "SELECT clip_id, epoch_us(min(ts)) AS start_us, epoch_us(max(ts)) AS end_us, count(*) AS n_samples FROM g GROUP BY clip_id, no",
+    "SELECT clip_id, CAST(no AS BIGINT) AS event_no, epoch_us(min(ts)) AS start_us, epoch_us(max(ts)) AS end_us, count(*) AS n_samples FROM g GROUP BY clip_id, no",
+)
+def _(spark, sf_dir):
+    """Numbered runs of the event stream, each written once when the watermark has passed it; a quiet sample a day after all others closes the last."""
+    runs = stateful.candidate_runs(arriving(spark, sf_dir, closed=True), F.col("value") > 60, 7200.0)
+    got = run_with_state(runs, "runs", "clip_id string, event_no long, start_time timestamp, end_time timestamp, n_samples long")
+    return got.select("clip_id", "event_no", F.unix_micros("start_time").alias("start_us"), F.unix_micros("end_time").alias("end_us"), "n_samples")
+
+
+@register(
+    "stream_open_events",
+    f"WITH {_SHORT}, e AS (SELECT event_id AS event, clip_id, ts AS s, ts + to_minutes(CAST(floor(value) AS BIGINT)) AS t FROM tele WHERE value > 60) SELECT event, event_id AS frame_id FROM e JOIN tele f ON e.clip_id = f.clip_id AND f.ts >= s AND f.ts <= t",
 )
 def _(spark, sf_dir):
-    """The sessions of the event stream as they stand when all of it is read."""
-    runs = detection.candidate_sessions(arriving(spark, sf_dir), F.col("value") > 60, "2 hours")
-    got = detection.run_to_latest(runs, folder(spark, "sessions"), folder(spark, "sessions-log"))
-    return got.select("clip_id", F.unix_micros("start_time").alias("start_us"), F.unix_micros("end_time").alias("end_us"), "n_samples")
+    """Events as many minutes long as their value says, met by frames; no longest length is given."""
+    end = F.timestamp_micros(F.unix_micros("ts") + F.floor("value").cast("long") * 60_000_000)
+    events = arriving(spark, sf_dir).where("value > 60").select(F.col("event_id").alias("event"), "clip_id", F.col("ts").alias("start_time"), end.alias("end_time"))
+    frames = arriving(spark, sf_dir).select(F.col("event_id").alias("frame_id"), "clip_id", F.col("ts").alias("frame_time"))
+    met = stateful.event_frames(events, frames, "event", "frame_id").select(F.col("event").cast("long"), F.col("frame").cast("long").alias("frame_id"))
+    return run_with_state(met, "open", "event long, frame_id long")
 
 
 @register(
