@@ -220,8 +220,19 @@ def snr_db(df: DataFrame, raw: str, filtered: str, clip: str = CLIP) -> DataFram
 
 
 def video_time(seconds: Column) -> Column:
-    """``mm:ss.s`` of seconds since the clip's start."""
-    return F.format_string("%02d:%04.1f", F.floor(seconds / 60).cast("int"), seconds - 60 * F.floor(seconds / 60))
+    """``mm:ss.s`` of seconds since the clip's start; null without them.
+
+    Tenths are rounded by the number's exact value, a tie to the even one, as C does; ``format_string``
+    rounds its shortest decimal writing, 0.15 (a little less) to 0.2. The part of a second, times 2^58, is a whole
+    number (what is lost below 2^-6 is far from the first 0.05), and ten times it fits a long.
+    """
+    rest = seconds - 60 * F.floor(seconds / 60)
+    scaled = ((rest - F.floor(rest)) * F.lit(float(1 << 58))).cast("long") * 10
+    tenths = F.floor(rest) * 10 + F.shiftright(scaled, 58)
+    left = scaled.bitwiseAND(F.lit((1 << 58) - 1))
+    half = F.lit(1 << 57)
+    rounded = tenths + ((left > half) | ((left == half) & (tenths % 2 == 1))).cast("long")
+    return F.when(seconds.isNotNull(), F.format_string("%02d:%02d.%d", F.floor(seconds / 60).cast("int"), F.floor(rounded / 10), rounded % 10))
 
 
 def quality_profile(df: DataFrame, columns: Sequence[str], clip: str = CLIP) -> DataFrame:

@@ -315,8 +315,8 @@ def _(spark, sf_dir):
 def _(spark, sf_dir):
     t = telemetry(spark, sf_dir)
     left = t.select("clip_id", "cts", "ax")
-    right = t.where("not (clip_id = 'view' and ax > 400)").select("clip_id", (F.col("cts") + F.when(F.col("event_id") % 50 == 0, 1e-3).otherwise(0.0)).alias("cts"), "ay")
-    met = timeseries.aligned(left, right, relative=1e-10)
+    right = t.where("not (clip_id = 'view' and ax > 400)").select("clip_id", (F.col("cts") + F.when(F.col("event_id") % 50 == 0, 1e-3).otherwise(0.0)).alias("cts"), F.col("cts").alias("sampled"), "ay")
+    met = timeseries.aligned(left, right, relative=1e-10, order=["sampled"])
     return met.groupBy("clip_id").agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("misaligned").cast("long")).alias("n_off"))
 
 

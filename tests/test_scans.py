@@ -183,3 +183,11 @@ def test_a_block_of_many_pairs_is_quick(spark):
     began = time.time()
     assert intervals.matched(make(0.0), make(1e-5), "tiou", 0.5).count() == n  # a million pairs in one block
     assert time.time() - began < 90
+
+
+def test_a_late_clock_does_not_change_sample_numbers(spark):
+    """The right stream is numbered by its own order, though one of its clocks passes the next sample's; lone rows keep their clip."""
+    left = spark.createDataFrame([("c", 1.0), ("c", 1.0005), ("c", 2.0)], "clip_id string, cts double")
+    right = spark.createDataFrame([("c", 1.001, 1.0, 1), ("c", 1.0005, 1.0005, 2), ("c", 2.0, 2.0, 3), ("d", 5.0, 5.0, 4)], "clip_id string, cts double, sampled double, v int")
+    got = timeseries.aligned(left, right, relative=1e-10, order=["sampled"]).collect()
+    assert sorted((r.clip_id, r.v, r.misaligned) for r in got) == [("c", 1, True), ("c", 2, False), ("c", 3, False), ("d", 4, True)]
