@@ -156,7 +156,7 @@ def _(spark, sf_dir):
 def _(spark, sf_dir):
     t = telemetry(spark, sf_dir)
     first = t.groupBy(F.col("clip_id").alias("c")).agg(F.min("cts").alias("m"))
-    return t.join(first, F.col("clip_id") == F.col("c")).select("event_id", timeseries.video_time(F.col("cts") - F.col("m")).alias("video_ts"))
+    return t.join(first, F.col("clip_id").eqNullSafe(F.col("c"))).select("event_id", timeseries.video_time(F.col("cts") - F.col("m")).alias("video_ts"))
 
 
 @register(

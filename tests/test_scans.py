@@ -191,3 +191,12 @@ def test_a_late_clock_does_not_change_sample_numbers(spark):
     right = spark.createDataFrame([("c", 1.001, 1.0, 1), ("c", 1.0005, 1.0005, 2), ("c", 2.0, 2.0, 3), ("d", 5.0, 5.0, 4)], "clip_id string, cts double, sampled double, v int")
     got = timeseries.aligned(left, right, relative=1e-10, order=["sampled"]).collect()
     assert sorted((r.clip_id, r.v, r.misaligned) for r in got) == [("c", 1, True), ("c", 2, False), ("c", 3, False), ("d", 4, True)]
+
+
+def test_video_time_rounds_exact_values(spark):
+    """As C's printf: ties of the exact value to the even tenth, 0.15 and 7.65 by what they really are."""
+    rng = np.random.default_rng(5)
+    values = [0.0, 0.05, 0.04999999, 0.15, 0.25, 0.35, 0.75, 3.45, 7.65, 12.25, 59.95, 59.949999, 60.25, 6000.75, 1e-9, *rng.integers(0, 400_000, 400) / 1000, *rng.uniform(0, 4e6, 200)]
+    df = spark.createDataFrame([(float(v),) for v in values] + [(None,)], "s double")
+    want = ["%02d:%04.1f" % (v // 60, v - 60 * (v // 60)) for v in values] + [None]
+    assert [r[0] for r in df.select(timeseries.video_time(F.col("s"))).collect()] == want
