@@ -197,18 +197,23 @@ def asof_nearest(left: DataFrame, right: DataFrame, values: Sequence[str], toler
     both = rows.withColumns({"_r": F.lit(None).cast(r.schema["_r"].dataType), "_side": F.lit(1)}).unionByName(r.withColumns({"_row": F.lit(None).cast(rows.schema["_row"].dataType), "_side": F.lit(0)}))
     w = Window.partitionBy(*keys, "_cell")
     before = F.last("_r", True).over(w.orderBy(time, "_side").rowsBetween(Window.unboundedPreceding, 0))
-    after = F.first("_r", True).over(w.orderBy(time, F.desc("_side")).rowsBetween(0, Window.unboundedFollowing))
+    # Read backwards, as a frame that ends at the row grows by it; one that begins there is read again for every row.
+    after = F.last("_r", True).over(w.orderBy(F.desc(time), "_side").rowsBetween(Window.unboundedPreceding, 0))
     met = both.withColumns({"_b": before, "_a": after}).where("_side = 1")
     back, ahead = F.col(time) - F.col("_b.t"), F.col("_a.t") - F.col(time)
     pick = F.when((back <= tolerance) & (ahead.isNull() | (back <= ahead)), F.col("_b._v")).when(ahead <= tolerance, F.col("_a._v"))
     return met.withColumn("_pick", pick).select("_row.*", *[F.col(f"_pick.{v}").alias(v) for v in values])
 
 
-def aligned(left: DataFrame, right: DataFrame, tolerance: float = 1e-8, relative: float = 1e-5, clip: str = CLIP, time: str = TIME) -> DataFrame:
-    """Two streams joined by sample number; rows whose times differ, or that lack a partner, are marked ``misaligned``."""
+def aligned(left: DataFrame, right: DataFrame, tolerance: float = 1e-8, relative: float = 1e-5, clip: str = CLIP, time: str = TIME, order: Sequence[str] | None = None) -> DataFrame:
+    """Two streams joined by sample number; rows whose times differ, or that lack a partner, are marked ``misaligned``.
+
+    Samples of ``right`` are numbered by its columns ``order`` (which are not kept), else by time as those of
+    ``left``: a clock that is off may pass the next sample's. A row without a partner keeps its clip.
+    """
     a = numbered(left, [clip], [time]).drop("_n")
-    b = numbered(right, [clip], [time]).drop("_n").withColumnRenamed(time, "_time").withColumnRenamed(clip, "_clip")
-    met = a.join(b, (F.col(clip) == F.col("_clip")) & (a["_i"] == b["_i"]), "full").drop("_i", "_clip")
+    b = numbered(right, [clip], list(order or [time])).drop("_n", *[c for c in order or [] if c != time]).withColumnRenamed(time, "_time").withColumnRenamed(clip, "_clip")
+    met = a.join(b, (F.col(clip) == F.col("_clip")) & (a["_i"] == b["_i"]), "full").withColumn(clip, F.coalesce(clip, "_clip")).drop("_i", "_clip")
     off = F.abs(F.col(time) - F.col("_time")) > tolerance + relative * F.abs(F.col("_time"))
     return met.withColumn("misaligned", F.coalesce(off, F.lit(True))).drop("_time")
 

@@ -200,3 +200,14 @@ def test_video_time_rounds_exact_values(spark):
     df = spark.createDataFrame([(float(v),) for v in values] + [(None,)], "s double")
     want = ["%02d:%04.1f" % (v // 60, v - 60 * (v // 60)) for v in values] + [None]
     assert [r[0] for r in df.select(timeseries.video_time(F.col("s"))).collect()] == want
+
+
+def test_asof_reads_each_side_once(spark):
+    """No window frame of the join begins at the row and ends with its cell: such a frame is read again for every row."""
+    rows = spark.createDataFrame([("c", float(t), float(t % 7)) for t in range(60)], "clip_id string, cts double, v double")
+    met = timeseries.asof_nearest(rows.where("cts % 3 = 0").select("clip_id", "cts"), rows.where("cts % 4 = 1"), ["v"], 1.0)
+    assert "unboundedfollowing" not in met._jdf.queryExecution().toString().lower()
+    right = [t for t in range(60) if t % 4 == 1]
+    for r in met.collect():
+        near = min(right, key=lambda t: (abs(t - r.cts), t))
+        assert r.v == (near % 7 if abs(near - r.cts) <= 1 else None)
