@@ -115,3 +115,35 @@ def test_odd_rows(spark, odd_docs, no_docs):
     one = spark.createDataFrame([("a", f"x {long} y"), ("b", "é token=" + long)], "doc_id string, text string")
     got = {r.doc_id: r for r in credentials.digests(credentials.find(one, formats)).collect()}
     assert got["a"].spans == "hex:2:800002" and got["b"].spans == "assign:8:800008,hex:8:800008"
+
+
+def test_every_document_is_learned_from(spark):
+    """The counts are those of all credentials and all plain tokens, however many there are, and each distinct credential counts once."""
+    rng = random.Random(5)
+    hexes = ["".join(rng.choice("0123456789abcdef") for _ in range(16 + i % 9)) for i in range(3000)]
+    docs = spark.createDataFrame([(i, f"{hexes[i % 3000]} uncharacteristic{i % 7}x") for i in range(21_000)], "doc_id long, text string")
+    formats = credentials.train(docs)
+    a = formats.automata["hex"]
+    # All 3000 begin at the start; its frequencies are whole counts, as is the chain's.
+    states = [{c: to for c, (_, to) in step.items()} for step in a.step]
+    passed, ended = [dict.fromkeys(credentials.ALPHABET, 0) for _ in states], [0] * len(states)
+    for value in hexes:
+        state = 0
+        for c in value:
+            passed[state][c] += 1
+            state = states[state][c]
+        ended[state] += 1
+    for i, step in enumerate(a.step):
+        total = sum(passed[i].values()) + ended[i] + credentials.SMOOTH * (len(credentials.ALPHABET) + 1)
+        assert math.isclose(a.end[i], math.log((ended[i] + credentials.SMOOTH) / total))
+        assert all(math.isclose(step[c][0], math.log((n + credentials.SMOOTH) / total)) for c, n in passed[i].items())
+    assert sum(ended) == 3000
+    assert math.isclose(formats.plain["^"]["u"], math.log(21_001 / (21_000 + len(credentials.ALPHABET) + 1)))
+
+
+def test_rare_beginnings_are_no_states():
+    rows = [("a", 8, 0), ("b", 2, 2), ("aa", 6, 6), ("ab", 1, 1), ("ac", 1, 0)]
+    tree = credentials._Tree.of_counts(10, rows, 2)
+    assert tree.through == [10, 8, 2, 6] and tree.edges[1] == {"a": [3, 6], "b": [None, 1], "c": [None, 1]}
+    states = credentials.merged(tree)
+    assert sum(ends for _, ends in states) >= 8 and all(0 <= to < len(states) for edges, _ in states for to, _ in edges.values())
