@@ -94,3 +94,55 @@ def test_events_of_any_length_meet_frames(rocks, tmp_path):
     got = sorted((int(r.event), int(r.frame)) for r in rocks.read.parquet(str(tmp_path / "out")).collect())
     assert got == sorted((i, k) for i, c, s, t in e for k, d, u in f if c == d and s <= u <= t)
     assert (100, 2001) in got and max(state_rows(seen)) <= 40
+
+
+def test_events_over_cells_meet_each_frame_once(rocks, tmp_path):
+    events = Feed(rocks, tmp_path / "events", "event_id long, clip_id string, start_time timestamp, end_time timestamp")
+    frames = Feed(rocks, tmp_path / "frames", "frame_id long, clip_id string, frame_time timestamp")
+    e = [(1, "a", 5, 95), (2, "a", 49.5, 50), (3, "a", 100, 150), (4, "b", 0, 10)]
+    f = [(i, "a", i / 2) for i in range(400)]
+    events.add([(i, c, at(s), at(t)) for i, c, s, t in e])
+    frames.add([(i, c, at(s)) for i, c, s in f])
+    run(stateful.event_frames(events.stream(), frames.stream(), cell=50.0), tmp_path)
+    got = sorted((int(r.event), int(r.frame)) for r in rocks.read.parquet(str(tmp_path / "out")).collect())
+    assert got == sorted((i, k) for i, c, s, t in e for k, d, u in f if c == d and s <= u <= t)
+
+
+def test_parts_of_a_batch_are_met_at_once():
+    """What is held is sorted and searched twice a batch, however many parts its rows come in."""
+    import numpy as np
+    import pandas as pd
+
+    class Value:
+        kept = None
+
+        def exists(self):
+            return self.kept is not None
+
+        def get(self):
+            return self.kept
+
+        def update(self, value):
+            self.kept = value
+
+        def clear(self):
+            self.kept = None
+
+    class Handle:
+        def getValueState(self, name, schema):
+            return Value()
+
+        def registerTimer(self, at):
+            pass
+
+    class Clock:
+        def getCurrentWatermarkInMs(self):
+            return 0
+
+    met, calls = stateful._Met(), []
+    met.init(Handle())
+    plain = met._pairs
+    met._pairs = lambda key, e, f: calls.append(len(f)) or plain(key, e, f)
+    parts = [pd.DataFrame({"is_event": [True, False], "id": [f"e{i}", f"f{i}"], "us": np.array([i * 10 + 1] * 2), "until": np.array([i * 10 + 15, 0])}) for i in range(50)]
+    got = pd.concat(met.handleInputRows(("a",), iter(parts), Clock()))
+    assert len(calls) == 2 and sorted(zip(got["event"], got["frame"])) == sorted((f"e{i}", f"f{k}") for i in range(50) for k in (i, i + 1) if k < 50)
