@@ -120,14 +120,20 @@ def haa(verdicts: DataFrame, gold: DataFrame, rhr_value: DataFrame, keys: Sequen
     return acc.crossJoin(rhr_value.select(F.round("rhr", 4).alias("rhr"))).select("scored", "unmatched", "accuracy", (F.col("accuracy") * (1 - F.col("rhr"))).alias("haa"))  # single rows
 
 
-def hcas_gated(rows: DataFrame) -> DataFrame:
-    """ila, sla, cla, hcas means of rows with pred struct(irc, section, clause) and gold array of such; deeper levels need the upper."""
+def hcas_gated(rows: DataFrame, times: str | None = None) -> DataFrame:
+    """ila, sla, cla, hcas means of rows with pred struct(irc, section, clause) and gold array of such; deeper levels need the upper.
+
+    ``times``: the column of how often a row counts, where equal ones are put together.
+    """
     g = F.col("gold")
     ila = F.exists(g, lambda x: x["irc"].eqNullSafe(F.col("pred.irc")))
     sla = F.exists(g, lambda x: x["irc"].eqNullSafe(F.col("pred.irc")) & x["section"].eqNullSafe(F.col("pred.section")))
     cla = F.exists(g, lambda x: x["irc"].eqNullSafe(F.col("pred.irc")) & x["section"].eqNullSafe(F.col("pred.section")) & x["clause"].eqNullSafe(F.col("pred.clause")))
-    s = rows.where(g.isNotNull()).select(ila.cast("int").alias("i"), sla.cast("int").alias("s"), cla.cast("int").alias("c"))
-    return s.agg(F.count(F.lit(1)).alias("n"), F.avg("i").alias("ila"), F.avg("s").alias("sla"), F.avg("c").alias("cla"), F.avg(F.round((F.col("i") + F.col("s") + F.col("c")) / 3, 4)).alias("hcas"))
+    n = F.col(times).cast("long") if times else F.lit(1).cast("long")
+    s = rows.where(g.isNotNull()).select(ila.cast("int").alias("i"), sla.cast("int").alias("s"), cla.cast("int").alias("c"), n.alias("n"))
+    mean = lambda c: F.try_divide(F.sum(c * F.col("n")), F.sum("n"))
+    every = F.round((F.col("i") + F.col("s") + F.col("c")) / 3, 4)
+    return s.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), *[mean(F.col(x)).alias(name) for x, name in (("i", "ila"), ("s", "sla"), ("c", "cla"))], mean(every).alias("hcas"))
 
 
 def hcas_flat(rows: DataFrame, weights: tuple[float, float, float] = (1 / 3, 1 / 3, 1 / 3)) -> DataFrame:

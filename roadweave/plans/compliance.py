@@ -87,10 +87,11 @@ def _(spark, sf_dir):
     "SELECT count(*) AS n, round(avg(a), 9) AS ila, round(avg(b), 9) AS sla, round(avg(d), 9) AS cla, round(avg(round((a + b + d) / 3, 4)), 9) AS hcas FROM q",
 )
 def _(spark, sf_dir):
-    v = adapters.verdicts(spark, sf_dir)
-    combined = citations.parse_combined(F.translate("cited_clause", "_", "/"))
-    gold = v.where("verdict = 'COMPLIANT'").groupBy("rule").agg(F.collect_set(combined).alias("gold"))
-    return _rounded(citations.hcas_gated(v.select("rule", combined.alias("pred")).join(gold, "rule")), 9)
+    """Each distinct citation of a rule is compared once, with the number of its rows: there are two rules."""
+    v = adapters.verdicts(spark, sf_dir).groupBy("rule", "cited_clause").agg(F.count(F.lit(1)).alias("n"), F.max(F.col("verdict") == "COMPLIANT").alias("compliant"))
+    cited = v.select("rule", citations.parse_combined(F.translate("cited_clause", "_", "/")).alias("pred"), "n", "compliant")
+    gold = cited.where("compliant").groupBy("rule").agg(F.collect_set("pred").alias("gold"))
+    return _rounded(citations.hcas_gated(cited.join(gold, "rule"), "n"), 9)
 
 
 @register(

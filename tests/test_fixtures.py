@@ -370,3 +370,13 @@ def test_filter_in_blocks_is_the_filter_by_samples():
     sos = filters.sections(1.0, 0.05, 0.3, 4)
     state = filters._steady(sos)[:, :, None] * x[0]
     assert np.allclose(filters._run(sos, x), filters._steps(sos, x, state)[0], atol=1e-9)
+
+
+def test_equal_citations_count_as_often_as_they_stand(spark):
+    s = "struct<irc: string, section: string, clause: string>"
+    gold = [("35", "6", "6.2")]
+    each = [(("35", "7", "6.2"), gold), (("35", "6", "6.2"), gold), (("35", "6", "6.2"), gold), (("1", "6", "6.2"), gold)]
+    plain = citations.hcas_gated(spark.createDataFrame(each, f"pred {s}, gold array<{s}>")).collect()
+    once = [(*each[0], 1), (*each[1], 2), (*each[3], 1)]
+    assert citations.hcas_gated(spark.createDataFrame(once, f"pred {s}, gold array<{s}>, n long"), "n").collect() == plain
+    assert plain[0].n == 4 and plain[0].cla == 0.5
