@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Callable, Mapping, Sequence
+from functools import partial
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -61,26 +62,37 @@ def yes_no(text: Column, window: int = 10) -> Column:
     return F.when(F.startswith(t, F.lit("yes")) | F.contains(head, F.lit(" yes")), True).when(F.startswith(t, F.lit("no")) | F.contains(head, F.lit(" no")), False)
 
 
+def _once(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use`` of a value that is worked out once a row, however often it is read."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def fold_failure(text: Column, folds: Sequence[str] = FOLDS, keys: Sequence[str] = ("presence", "severity", "reasoning")) -> Column:
     """Why a three-fold answer is not valid (the first reason), or null."""
-    o = object_text(text)
-    top = F.json_object_keys(o)
-    reasons = [F.when(o.isNull(), "parse_error")]
-    reasons += [F.when(~F.array_contains(top, f), f"missing_fold:{f}") for f in folds]
-    for f in folds:
-        inner = F.json_object_keys(F.get_json_object(o, f"$.{f}"))
-        reasons += [F.when(~F.coalesce(F.array_contains(inner, k), F.lit(False)), f"missing_key:{f}.{k}") for k in keys]
-        presence = F.initcap(F.trim(F.get_json_object(o, f"$.{f}.presence")))
-        reasons.append(F.when(~F.coalesce(presence.isin("Yes", "No"), F.lit(False)), f"invalid_presence:{f}"))
-    return F.coalesce(*reasons)
+    return _object_failure(object_text(text), folds, keys)
+
+
+def _object_failure(o: Column, folds: Sequence[str], keys: Sequence[str] = ("presence", "severity", "reasoning")) -> Column:
+    """``fold_failure`` of an answer's object; the object, its folds and their keys are each read once."""
+
+    def of_fold(f: str, whole: Column, inner: Column) -> Column:
+        presence = F.initcap(F.trim(F.get_json_object(whole, f"$.{f}.presence")))
+        lacking = lambda said: F.coalesce(*[F.when(~F.coalesce(F.array_contains(said, k), F.lit(False)), f"missing_key:{f}.{k}") for k in keys])
+        return F.coalesce(_once(F.json_object_keys(inner), lacking), F.when(~F.coalesce(presence.isin("Yes", "No"), F.lit(False)), f"invalid_presence:{f}"))
+
+    def of_object(whole: Column) -> Column:
+        missing = lambda top: F.coalesce(*[F.when(~F.array_contains(top, f), f"missing_fold:{f}") for f in folds])
+        return F.coalesce(F.when(whole.isNull(), "parse_error"), _once(F.json_object_keys(whole), missing), *[_once(F.get_json_object(whole, f"$.{f}"), partial(of_fold, f, whole)) for f in folds])
+
+    return _once(o, of_object)
 
 
 def fold_rows(df: DataFrame, text: str, key: str, folds: Sequence[str] = FOLDS) -> DataFrame:
     """key, fold, presence, severity, reasoning, verdict, severity_level: one row a fold of each valid answer."""
-    o = object_text(F.col(text))
+    o = F.col("_o")
     part = lambda f, k: F.get_json_object(o, f"$.{f}.{k}")
     cells = F.array(*[F.struct(F.lit(f).alias("fold"), F.initcap(F.trim(part(f, "presence"))).alias("presence"), F.upper(F.trim(part(f, "severity"))).alias("severity"), part(f, "reasoning").alias("reasoning")) for f in folds])
-    valid = df.where(fold_failure(F.col(text), folds).isNull())
+    valid = df.select(key, _once(object_text(F.col(text)), lambda x: F.when(_object_failure(x, folds).isNull(), x)).alias("_o")).where("_o is not null")
     flat = valid.select(key, F.explode(cells).alias("c")).select(key, "c.*")
     level = F.when(F.col("severity") == "LOW", 1).when(F.col("severity") == "MEDIUM", 2).when(F.col("severity") == "HIGH", 3).when(F.col("severity") == "CRITICAL", 4)
     return flat.withColumns({"verdict": F.when(F.col("presence") == "Yes", "NON_COMPLIANT").otherwise("COMPLIANT"), "severity_level": level})

@@ -380,3 +380,14 @@ def test_equal_citations_count_as_often_as_they_stand(spark):
     once = [(*each[0], 1), (*each[1], 2), (*each[3], 1)]
     assert citations.hcas_gated(spark.createDataFrame(once, f"pred {s}, gold array<{s}>, n long"), "n").collect() == plain
     assert plain[0].n == 4 and plain[0].cla == 0.5
+
+
+def test_an_answer_is_read_once(spark):
+    """The object is looked for once, and each fold's keys are read once."""
+    df = spark.createDataFrame([("{}",)], "t string").select(answers.fold_failure(F.col("t")).alias("r"))
+    plan = df._jdf.queryExecution().analyzed().toString()
+    assert plan.count("json_object_keys") == 1 + len(answers.FOLDS) and plan.count("rlike") + plan.count("RLIKE") <= 2
+    fold = '{"presence": "%s", "severity": "low", "reasoning": "a"}'
+    text = '{"environment": %s, "road_surface": %s, "infrastructure": "{\\"presence\\": \\"Yes\\"}"}' % (fold % "yes", fold % "No")
+    rows = spark.createDataFrame([(text,), (None,), ("x " + text.replace('"{\\"presence\\": \\"Yes\\"}"', fold % "YES") + " y",)], "t string")
+    assert [r[0] for r in rows.select(answers.fold_failure(F.col("t"))).collect()] == ["missing_key:infrastructure.severity", "parse_error", None]
