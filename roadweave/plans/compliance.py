@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from roadweave.functions.storage import stored
 from roadweave.operators import answers, citations, classify, labels, retrieval, review, stemming, textsim
 from roadweave.plans.base import registrar
 from roadweave.plans.stems_sql import stem_steps
@@ -189,7 +190,11 @@ def _(spark, sf_dir):
     "CASE fold WHEN 'environment' THEN 1 WHEN 'road_surface' THEN 3 ELSE 2 END AS severity_level FROM v",
 )
 def _(spark, sf_dir):
-    return answers.fold_rows(fold_answers(spark, sf_dir), "t", "l_orderkey").select("l_orderkey", "fold", "verdict", "severity_level")
+    """Equal answers are parsed once; their rows take what was found."""
+    rows = fold_answers(spark, sf_dir)
+    once = stored(rows.select("t").distinct(), "answers")  # stored, else the filter of valid ones moves below ``distinct``
+    found = stored(answers.fold_rows(once, "t", "t").select("t", "fold", "verdict", "severity_level"), "fold-answers")
+    return rows.join(found, "t").select("l_orderkey", "fold", "verdict", "severity_level")
 
 
 _CLS = (

@@ -391,3 +391,10 @@ def test_an_answer_is_read_once(spark):
     text = '{"environment": %s, "road_surface": %s, "infrastructure": "{\\"presence\\": \\"Yes\\"}"}' % (fold % "yes", fold % "No")
     rows = spark.createDataFrame([(text,), (None,), ("x " + text.replace('"{\\"presence\\": \\"Yes\\"}"', fold % "YES") + " y",)], "t string")
     assert [r[0] for r in rows.select(answers.fold_failure(F.col("t"))).collect()] == ["missing_key:infrastructure.severity", "parse_error", None]
+
+
+def test_fold_tables_parse_equal_answers_once(spark):
+    from roadweave.plans.registry import queries
+
+    got = queries()["fold_tables"](spark, "/root/testdata/sf0.001")
+    assert "json" not in got._jdf.queryExecution().optimizedPlan().toString().replace("no json here", "") and got.count() > 0
