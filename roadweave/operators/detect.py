@@ -29,6 +29,8 @@ def flags_to_events(df: DataFrame, flag: Column, gap: float = 1.0, extra: Sequen
     ``short``: as in ``scans``, of all samples.
     """
     flagged = df.where(F.coalesce(flag, F.lit(False)))
+    if not extra:
+        flagged = flagged.select(clip, time)  # what is stored and dealt
     if not short:
         flagged = stored(flagged, "flagged")
     dealt = ranged(flagged, [clip], [time], short)
@@ -74,8 +76,24 @@ def speed_scaled_k(speed: Column, k: float) -> Column:
     return F.when((s > -1) & (s <= 20), 0.8 * k).when((s > 20) & (s <= 60), 1.0 * k).when((s > 60) & (s <= 1e9), 1.3 * k)
 
 
+def _scores(columns: Sequence[str], width: int) -> list[str]:
+    return [f"_z_{c}_{width}" for c in columns]
+
+
 def _with_rolling(df: DataFrame, columns: Sequence[str], width: int, short: bool) -> DataFrame:
-    return rolling_z(df, {f"_z_{c}": (c, width) for c in columns}, short=short)
+    """``df`` plus its rolling scores, but for those that are there."""
+    made = {name: (c, width) for name, c in zip(_scores(columns, width), columns, strict=True) if name not in df.columns}
+    return rolling_z(df, made, short=short) if made else df
+
+
+def scored_once(df: DataFrame, settings: Sequence[tuple[str, dict]]) -> DataFrame:
+    """``df`` with the rolling scores that several strategies (name, options) ask for, made in one pass and stored."""
+    asked = {}
+    for strategy, options in settings:
+        columns = {"fixed_global": [], "adaptive_single": [options.get("column", "total")]}.get(strategy, options.get("columns", []))
+        asked |= {name: (c, options["width"]) for name, c in zip(_scores(columns, options.get("width")), columns, strict=True)} if columns else {}
+    df = stored(df, "samples")  # read several times: rows, bounds, ranges
+    return stored(rolling_z(df, asked), "strategy-scores") if asked else df
 
 
 def fixed_global(df: DataFrame, gap: float, k: float = 3.0, z: str = "z", **_: object) -> DataFrame:
@@ -92,7 +110,7 @@ def adaptive_any(df: DataFrame, gap: float, width: int, columns: Sequence[str],
 
 def adaptive_fusion(df: DataFrame, gap: float, width: int, columns: Sequence[str], k: float = 3.0, channels: int = 2, **_: object) -> DataFrame:
     short = short_keys(df, [CLIP])
-    return flags_to_events(_with_rolling(df, columns, width, short), votes([f"_z_{c}" for c in columns], k) >= channels, gap, short=short)
+    return flags_to_events(_with_rolling(df, columns, width, short), votes(_scores(columns, width), k) >= channels, gap, short=short)
 
 
 def adaptive_fusion_merged(df: DataFrame, gap: float, **options: object) -> DataFrame:
@@ -105,8 +123,8 @@ def adaptive_fusion_speed(df: DataFrame, gap: float, width: int, columns: Sequen
     scaled = quantiles(df.select(CLIP, speed_scaled_k(F.col(speed), k).alias("_v")), [CLIP], "_v")
     z = _with_rolling(df, columns, width, short).join(scaled.select(F.col(CLIP).alias("_clip"), F.col("q").alias("_k")), F.col(CLIP) == F.col("_clip"), "left").fillna(k, ["_k"])
     total = F.lit(0)
-    for c in columns:
-        total = total + F.coalesce((F.abs(F.col(f"_z_{c}")) > F.col("_k")).cast("int"), F.lit(0))
+    for c in _scores(columns, width):
+        total = total + F.coalesce((F.abs(F.col(c)) > F.col("_k")).cast("int"), F.lit(0))
     return merge_intervals(flags_to_events(z, total >= channels, gap, short=short), short=short)
 
 

@@ -115,9 +115,10 @@ def score_table(events: DataFrame, gold: DataFrame, config: Sequence[str], overl
 
 
 def strategy_table(df: DataFrame, gold: DataFrame, settings: Sequence[tuple[str, str, dict]], overlap: float = 0.5, tolerance: float = 0.5) -> DataFrame:
-    """The score table of detection strategies: ``settings`` are (name, strategy, its options)."""
-    from roadweave.operators.detect import STRATEGIES
+    """The score table of detection strategies: ``settings`` are (name, strategy, its options). Their rolling scores are made in one pass."""
+    from roadweave.operators.detect import STRATEGIES, scored_once
 
+    df = scored_once(df, [(strategy, options) for _, strategy, options in settings])
     parts = [STRATEGIES[strategy](df, **options).select(CLIP, START, END).withColumn("config", F.lit(name)) for name, strategy, options in settings]
     return score_table(reduce(DataFrame.unionByName, parts), gold, ["config"], overlap, tolerance)
 

@@ -382,7 +382,7 @@ def _score_table(gold: str, tolerance: float) -> str:
 
 def _strategies(settings):
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        t = timeseries.global_z(telemetry(spark, sf_dir), "ax").withColumn("total", timeseries.magnitude(*AXES))
+        t = timeseries.global_z(telemetry(spark, sf_dir).drop("event_id", "user_id"), "ax").withColumn("total", timeseries.magnitude(*AXES))
         common = {"gap": GAP, "width": WIDTH, "columns": AXES, "k": K}
         return _rounded(review.strategy_table(t, candidates(spark, sf_dir, 2.4), [(name, strategy, common | options) for name, strategy, _, _, options in settings], tolerance=60.0))
 

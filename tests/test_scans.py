@@ -211,3 +211,41 @@ def test_asof_reads_each_side_once(spark):
     for r in met.collect():
         near = min(right, key=lambda t: (abs(t - r.cts), t))
         assert r.v == (near % 7 if abs(near - r.cts) <= 1 else None)
+
+
+def rides(spark):
+    rng = np.random.default_rng(11)
+    rows = [(clip, float(t), *(float(x) for x in rng.standard_normal(5)), float(rng.integers(0, 90))) for clip, n in {"long": 1500, "b": 300}.items() for t in np.arange(n) * 0.5]
+    return spark.createDataFrame(rows, "clip_id string, cts double, z double, total double, ax double, ay double, az double, speed_kmh double").repartition(6)
+
+
+def strategy_scores(spark, monkeypatch, settings):
+    """The table of some strategies, the tables of each strategy alone, and how many passes of windows the first made."""
+    from roadweave.operators import review
+
+    df, passes = rides(spark), []
+    gold = detect.fixed_global(df, 1.0, 2.0).select("clip_id", "start_time", "end_time")
+    rolled = detect.rolling_z
+    monkeypatch.setattr(detect, "rolling_z", lambda *a, **k: passes.append(1) or rolled(*a, **k))
+    got = {r.config: r for r in review.strategy_table(df, gold, settings, tolerance=2.0).collect()}
+    made = len(passes)
+    alone = {}
+    for name, strategy, options in settings:
+        events = detect.STRATEGIES[strategy](df, **options).select("clip_id", "start_time", "end_time", F.lit(name).alias("config"))
+        alone |= {r.config: r for r in review.score_table(events, gold, ["config"], 0.5, 2.0).collect()}
+    return got, alone, made
+
+
+def test_strategies_share_one_pass_of_windows(spark, monkeypatch):
+    common = {"gap": 1.0, "width": 20, "columns": ["ax", "ay", "az"], "k": 1.6}
+    names = ("fixed_global", "adaptive_single", "adaptive_fusion_speed")
+    got, alone, made = strategy_scores(spark, monkeypatch, [(n, n, common) for n in names])
+    assert got == alone and len(got) == 3 and made == 1
+
+
+def test_only_what_runs_need_is_stored(spark, monkeypatch):
+    kept = []
+    stored = detect.stored
+    monkeypatch.setattr(detect, "stored", lambda df, name: kept.append((name, df.columns)) or stored(df, name))
+    detect.flags_to_events(rides(spark), F.abs("z") > 2.0, 1.0, short=False).count()
+    assert ("flagged", ["clip_id", "cts"]) in kept
