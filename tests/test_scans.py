@@ -243,6 +243,14 @@ def test_strategies_share_one_pass_of_windows(spark, monkeypatch):
     assert got == alone and len(got) == 3 and made == 1
 
 
+def test_a_sweep_of_k_makes_its_windows_once(spark):
+    """Every k has the windows of the same columns, so nothing but them is asked for, whatever the number of settings."""
+    common = {"gap": 1.0, "width": 20, "columns": ["ax", "ay", "az"]}
+    once = detect.scored_once(rides(spark), [("adaptive_fusion_merged", common | {"k": k}) for k in (1.5, 2.0, 2.5)])
+    assert [c for c in once.columns if c.startswith("_z_")] == ["_z_ax_20", "_z_ay_20", "_z_az_20"]
+    assert detect._with_rolling(once, ["ax", "ay", "az"], 20, True) is once
+
+
 def test_only_what_runs_need_is_stored(spark, monkeypatch):
     kept = []
     stored = detect.stored
