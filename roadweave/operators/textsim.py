@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from roadweave.functions.storage import spread, stored
@@ -52,13 +52,15 @@ def cider(pairs: DataFrame, key: str = "id", variant: str = "d", by: Sequence[st
     """
     keys = [*by, key]
     base = pairs.where(F.col("candidate").isNotNull() & F.col("reference").isNotNull())
-    counts = stored(gram_rows(base, keys), "cider-grams")  # read twice: frequencies, values
     seen = (F.col("cc") > 0).cast("int") if variant == "d" else F.lit(0)
-    df = counts.where("gram is not null").groupBy(*by, "n", "gram").agg(F.sum(seen + (F.col("cr") > 0).cast("int")).alias("df")).where("df > 0")
+    # N-grams are dealt and sorted once, for their frequencies and their values; a task may spill those of a frequent one.
+    alike = Window.partitionBy(*by, "n", "gram")
+    counts = gram_rows(base, keys).withColumn("df", F.nullif(F.sum(seen + (F.col("cr") > 0).cast("int")).over(alike), F.lit(0)))
     total = base.groupBy(*by).agg((F.count(F.lit(1)) * (2 if variant == "d" else 1)).cast("double").alias("_total"))
     idf_value = F.log(F.col("_total") / (F.col("df") + 1)) if variant == "simple" else F.log(F.greatest(F.lit(1.0), F.col("_total") / F.greatest(F.col("df"), F.lit(1))))
-    weighed = counts.join(df, [*by, "n", "gram"], "left")
-    weighed = weighed.join(total, list(by)) if by else weighed.crossJoin(total)  # single-row scalar
+    if by:
+        total = stored(total, "cider-totals")  # by its true size, a row a group, it is no reason to deal n-grams by the group
+    weighed = counts.join(total, list(by)) if by else counts.crossJoin(total)  # single-row scalar
 
     def value(count: str, words: str) -> Column:
         over = F.greatest(F.lit(1), F.col(words) - F.col("n") + 1) if variant == "simple" else F.greatest(F.lit(1), F.col(words))
