@@ -329,6 +329,22 @@ def test_graph(spark):
     assert graph.union_nodes(a).count() == 1 and graph.union_edges(e, e.withColumn("relation", F.lit("CITES"))).count() == 3
 
 
+def test_graph_tasks_grow_in_number(spark, tmp_path, monkeypatch):
+    """No task sorts all lines or all nodes: files follow the parts of the input, and are in order; nodes are dealt by their rows."""
+    rows = spark.range(0, 1200, 1, 12)
+    nodes = graph.nodes_of(rows, "Frame", graph.node("Frame", F.col("id")), F.lit('a<"&'))
+    edges = graph.edges_of(rows, graph.node("Frame", F.col("id")), F.lit("Clause:1"), "CITES")
+    graph.write_graphml(nodes, edges, str(tmp_path / "ml"))
+    parts = sorted((tmp_path / "ml").glob("part-*"))
+    assert len(parts) == 26  # one for the head, one for the foot
+    lines = [line for part in parts for line in part.read_text().splitlines()]
+    assert lines[0].startswith("<?xml") and lines[5].startswith("<graph ") and lines[-2:] == ["</graph>", "</graphml>"]
+    assert [line[:5] for line in lines[6:-2]] == ["<node"] * 1200 + ["<edge"] * 1200 and 'a&lt;&quot;&amp;' in lines[6]
+    monkeypatch.setattr(graph, "ROWS", 100)
+    once = graph.union_nodes(nodes, nodes)
+    assert once.rdd.getNumPartitions() == 24 and once.count() == 1200
+
+
 def test_rider(spark):
     row = {"rider": "r", "model": "V1", "evasive_action": "Hard_Braking", "evasive_reasoning": "the rider had to brake for a sudden car in the lane", "env": "car ahead", "road_surface": "", "infrastructure": "", "irc35_verdict": "NON_COMPLIANT", "irc67_verdict": "", "irc35_clause": "a", "irc67_clause": "", "retrieved_irc35": "b; a", "retrieved_irc67": "", "crrs35": 0.4, "crrs67": 0.6}
     r = rider.summary(spark.createDataFrame([row])).collect()[0]
