@@ -205,11 +205,30 @@ class _Scored:
         return pa.RecordBatch.from_arrays([pa.array(self.row[place]), pa.array(docs.tolist(), schema.field(1).type), pa.array(-value)], schema=schema)
 
 
+def term_counts(rows: DataFrame, text: str) -> DataFrame:
+    """_id, term, tf of the words of each row of ``rows`` (_id, text), counted where the row is: no single word of a text is a row."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, BLOCK):
+                ids, words = (c.slice(at, BLOCK) for c in batch.columns)
+                sizes, coded = words.value_lengths().to_numpy(), words.flatten().dictionary_encode()
+                n = max(len(coded.dictionary), 1)
+                pair, tf = np.unique(np.repeat(np.arange(len(sizes)), sizes) * n + coded.indices.to_numpy(), return_counts=True)
+                row, term = np.divmod(pair, n)
+                yield pa.RecordBatch.from_arrays([ids.take(pa.array(row)), coded.dictionary.take(pa.array(term)), pa.array(tf)], names=["_id", "term", "tf"])
+
+    schema = T.StructType([rows.schema["_id"], T.StructField("term", T.StringType()), T.StructField("tf", T.LongType())])
+    return rows.select("_id", tokens(F.col(text))).mapInArrow(count, schema)
+
+
 def _weighed(queries: DataFrame, documents: DataFrame, k: int, query: str, doc: str, text: str, most_share: float, count: bool = False) -> tuple[DataFrame, DataFrame]:
     """The queries (_q, _k), and _q, _d, score of the best that each cell found."""
 
     def terms(df: DataFrame, key: str) -> DataFrame:
-        return spread(df.select(F.col(key).alias("_id"), text), "_id").select("_id", F.explode(tokens(F.col(text))).alias("term")).groupBy("_id", "term").agg(F.count(F.lit(1)).alias("tf"))
+        found = term_counts(spread(df.select(F.col(key).alias("_id"), text), "_id"), text)
+        once = df.groupBy(key).agg(F.count(F.lit(1)).alias("_n")).where("_n > 1").isEmpty()
+        return found if once else found.groupBy("_id", "term").agg(F.sum("tf").alias("tf"))
 
     d = stored(terms(documents, doc), "tfidf-terms")
     n = documents.agg(F.count(F.lit(1)).cast("double").alias("N"))

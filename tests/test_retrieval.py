@@ -67,6 +67,23 @@ def test_tfidf_equals_brute_force(spark, monkeypatch):
     assert retrieval.tfidf_top(q, d.limit(0)).count() == 0 == retrieval.tfidf_top(q.limit(0), d).count()
 
 
+def test_words_are_counted_where_their_row_is(spark, monkeypatch):
+    """No word of a text is a row before it is counted; rows of one id are put together."""
+    monkeypatch.setattr(retrieval, "BLOCK", 2)
+    texts = [(1, "b a  B c\ta"), (2, None), (3, "  "), (4, "é É x"), (None, "a a"), (5, "b a b"), (5, "a c")]
+    rows = spark.createDataFrame(texts, "_id long, text string").coalesce(1)
+    counted = retrieval.term_counts(rows, "text")
+    assert "Generate" not in counted._jdf.queryExecution().toString()
+    got = sorted(counted.collect(), key=str)
+    want = [(i, w, n) for i, t in texts for w, n in Counter((t or "").lower().split()).items()]
+    assert sorted(map(tuple, got), key=str) == sorted(want, key=str)
+    q = spark.createDataFrame([(1, "a c"), (2, "b")], "query_id long, text string")
+    split, whole = ([(1, "a b"), *rest] for rest in ([(5, "b a b"), (5, "a c")], [(5, "b a b a c")]))
+    of = lambda docs: spark.createDataFrame(docs, "doc_id long, text string")
+    found = lambda docs: sorted((r.query_id, r.doc_id, r["rank"]) for r in retrieval.tfidf_top(q, of(docs)).collect())
+    assert found(split) == found(whole) and len(found(whole)) == 4
+
+
 def test_documents_that_can_not_reach_the_top_are_not_scored(spark):
     rng = np.random.default_rng(4)
     topic = lambda t, n: " ".join(f"t{t}x{int(x)}" for x in rng.integers(0, 30, n))
