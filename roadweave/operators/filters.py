@@ -3,15 +3,16 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
+from roadweave.functions.storage import spread, stored
 from roadweave.operators.scans import BLOCK as BLOCK_ROWS
 from roadweave.operators.scans import haloed, numbered
 from roadweave.operators.timeseries import CLIP, TIME, window_scores
@@ -191,6 +192,23 @@ def filtered(df: DataFrame, columns: Sequence[str], fs: float, low: float | None
     return filtered_bank(df, columns, fs, [(low, high, order)], [suffix], clip, time)
 
 
+def _above(chunk: pa.Table, columns: Sequence[str], bank: Sequence[np.ndarray | None], widths: Sequence[int], least: float) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+    """For each setting (its number) and width: the chunk's own samples (their places, in time order) with a score above ``least``, and their |scores|."""
+    order, x, ends = _samples(chunk, columns)
+    own = chunk.column("_own").to_numpy()[order]
+    for number, sos in enumerate(bank):
+        y = x if sos is None else _clean(zero_phase(x, sos, ends))
+        per_column = [window_scores(y[:, j], np.ones(len(y), bool), widths) for j in range(len(columns))]
+        for k, width in enumerate(widths):
+            scores = np.abs(np.nan_to_num(np.stack([c[k] for c in per_column], 1)))
+            high = np.flatnonzero(own & (scores.max(1) > least))
+            yield number, width, order[high], scores[high]
+
+
+def _halo(bank: Sequence[np.ndarray | None], widths: Sequence[int]) -> int:
+    return max((halo_of(sos) for sos in bank if sos is not None), default=0) + max(widths)
+
+
 def bank_scores(df: DataFrame, columns: Sequence[str], fs: float, settings: Sequence[Setting], widths: Sequence[int], least: float, clip: str = CLIP, time: str = TIME) -> DataFrame:
     """clip, time, setting (its number), width, _z0, _z1, ...: |rolling z| of the filtered columns, where one of them is above ``least``.
 
@@ -204,19 +222,57 @@ def bank_scores(df: DataFrame, columns: Sequence[str], fs: float, settings: Sequ
     arrow = to_arrow_schema(schema)
 
     def run(chunk: pa.Table) -> pa.Table:
-        order, x, ends = _samples(chunk, columns)
-        own = chunk.column("_own").to_numpy()[order]
         keys, parts = chunk.select([clip, time]), []
-        for number, sos in enumerate(bank):
-            y = x if sos is None else _clean(zero_phase(x, sos, ends))
-            per_column = [window_scores(y[:, j], np.ones(len(y), bool), widths) for j in range(len(columns))]
-            for k, width in enumerate(widths):
-                scores = np.abs(np.nan_to_num(np.stack([c[k] for c in per_column], 1)))
-                high = np.flatnonzero(own & (scores.max(1) > least))
-                taken = keys.take(pa.array(order[high]))
-                fixed = [pa.array(np.full(len(high), v, np.int32)) for v in (number, width)]
-                parts.append(pa.table([*taken.columns, *fixed, *[pa.array(scores[high, j]) for j in range(len(columns))]], names=arrow.names).cast(arrow))
+        for number, width, at, scores in _above(chunk, columns, bank, widths, least):
+            taken = keys.take(pa.array(at))
+            fixed = [pa.array(np.full(len(at), v, np.int32)) for v in (number, width)]
+            parts.append(pa.table([*taken.columns, *fixed, *[pa.array(scores[:, j]) for j in range(len(columns))]], names=arrow.names).cast(arrow))
         return pa.concat_tables(parts)
 
-    halo = max((halo_of(sos) for sos in bank if sos is not None), default=0) + max(widths)
-    return _chunked(kept, halo, clip, time).groupBy(clip, "_block").applyInArrow(run, schema)
+    return _chunked(kept, _halo(bank, widths), clip, time).groupBy(clip, "_block").applyInArrow(run, schema)
+
+
+def bank_runs(df: DataFrame, columns: Sequence[str], fs: float, settings: Sequence[Setting], widths: Sequence[int], ks: Sequence[float], channels: Sequence[int], gap: float, clip: str = CLIP, time: str = TIME) -> DataFrame:
+    """setting (its number), width, k, channels, clip, start_time, end_time: runs of samples of which ``channels`` scores are above k.
+
+    The scores of ``bank_scores``, cut into runs in the chunk that holds them: flagged samples are never rows. A run ends
+    where the next flagged sample is more than ``gap`` later. Only a chunk's first and last run can go on in
+    another chunk; these, two a chunk and configuration at most, are merged by time.
+    """
+    bank, least = _bank(fs, settings), min(ks)
+    kept = df.select(clip, time, *columns)
+    config = ["setting", "width", "k", "channels"]
+    schema = T.StructType([*[T.StructField(name, T.DoubleType() if name == "k" else T.IntegerType()) for name in config], kept.schema[clip], T.StructField("_edge", T.BooleanType()), T.StructField("start_time", T.DoubleType()), T.StructField("end_time", T.DoubleType())])
+    arrow = to_arrow_schema(schema)
+    choices = [(float(k), int(c)) for k in ks for c in channels]
+
+    def run(chunk: pa.Table) -> pa.Table:
+        times = chunk.column(time).combine_chunks().cast(pa.float64()).to_numpy(zero_copy_only=False)  # null is NaN
+        found, sizes, starts, ends, edges = [], [], [], [], []
+        for number, width, at, scores in _above(chunk, columns, bank, widths, least):
+            t, votes = times[at], {k: (scores > k).sum(1) for k, _ in choices}
+            for k, c in choices:
+                some = t[votes[k] >= c]
+                if len(some):
+                    new = np.flatnonzero(~(np.diff(some) <= gap)) + 1
+                    edge = np.zeros(len(new) + 1, bool)
+                    edge[[0, -1]] = True
+                    found.append((number, width, k, c))
+                    sizes.append(len(edge))
+                    starts.append(some[np.append(0, new)])
+                    ends.append(some[np.append(new, len(some)) - 1])
+                    edges.append(edge)
+        if not found:
+            return arrow.empty_table()
+        fixed = [np.repeat(np.array(v), sizes) for v in zip(*found, strict=True)]
+        same = chunk.column(clip).take(pa.array(np.zeros(sum(sizes), np.int64)))
+        return pa.table([*map(pa.array, fixed), same, pa.array(np.concatenate(edges)), *[pa.array(np.concatenate(v), from_pandas=True) for v in (starts, ends)]], names=arrow.names).cast(arrow)
+
+    chunks = spread(_chunked(kept, _halo(bank, widths), clip, time), clip, "_block")  # they cost much a row
+    runs = stored(chunks.groupBy(clip, "_block").applyInArrow(run, schema), "bank-runs")  # read twice
+    keys = [*config, clip]
+    w = Window.partitionBy(*keys).orderBy("start_time", "end_time")
+    new = F.coalesce((F.col("start_time") - F.lag("end_time").over(w) > gap).cast("int"), F.lit(1))
+    edge = runs.where("_edge").withColumn("_new", new).withColumn("_no", F.sum("_new").over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    merged = edge.groupBy(*keys, "_no").agg(F.min("start_time").alias("start_time"), F.max("end_time").alias("end_time")).drop("_no")
+    return runs.where("not _edge").drop("_edge").unionByName(merged)

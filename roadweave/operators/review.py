@@ -79,11 +79,10 @@ def _scored(pred: DataFrame, gold: DataFrame, by: str, threshold: float, config:
 
 
 def grid_events(df: DataFrame, columns: Sequence[str], widths: Sequence[int], ks: Sequence[float], channels: Sequence[int], gap: float) -> DataFrame:
-    """Events of every configuration (width, k, channels): all windows in one pass, then a small parameter table."""
-    from roadweave.operators.filters import bank_scores
+    """Events of every configuration (width, k, channels): windows and runs in one pass over the samples."""
+    from roadweave.operators.filters import bank_runs
 
-    scores = bank_scores(df, columns, 1.0, [(None, None, 0)], widths, min(ks)).drop("setting")
-    return runs_of_grid(scores, len(columns), ks, channels, gap, ["width"])
+    return bank_runs(df, columns, 1.0, [(None, None, 0)], widths, ks, channels, gap).drop("setting")
 
 
 def runs_of_grid(scores: DataFrame, columns: int, ks: Sequence[float], channels: Sequence[int], gap: float, config: Sequence[str]) -> DataFrame:
@@ -148,13 +147,12 @@ def filter_table(df: DataFrame, gold: DataFrame, settings: Sequence[tuple[str, f
 
 
 def filter_grid(df: DataFrame, gold: DataFrame, bands: Sequence[tuple[float, float]], orders: Sequence[int], columns: Sequence[str], fs: float, widths: Sequence[int], ks: Sequence[float], channels: Sequence[int], gap: float, overlap: float = 0.5, tolerance: float = 0.5) -> DataFrame:
-    """The score table of all combinations of band, order, width, k and channels: all filters and windows in one pass over the samples."""
-    from roadweave.operators.filters import bank_scores
+    """The score table of all combinations of band, order, width, k and channels: all filters, windows and runs in one pass over the samples."""
+    from roadweave.operators.filters import bank_runs
 
     settings = [(float(low), float(high), order) for low, high in bands for order in orders]
     table = df.sparkSession.createDataFrame([(i, *s) for i, s in enumerate(settings)], "setting int, low double, high double, order int")
-    scores = bank_scores(df, columns, fs, settings, widths, min(ks)).join(F.broadcast(table), "setting").drop("setting")
-    events = runs_of_grid(scores, len(columns), ks, channels, gap, ["low", "high", "order", "width"])
+    events = bank_runs(df, columns, fs, settings, widths, ks, channels, gap).join(F.broadcast(table), "setting").drop("setting")
     return score_table(events, gold, ["low", "high", "order", "width", "k", "channels"], overlap, tolerance)
 
 

@@ -1,3 +1,5 @@
+import random
+
 import numpy as np
 import pandas as pd
 import pytest
@@ -257,3 +259,23 @@ def test_only_what_runs_need_is_stored(spark, monkeypatch):
     monkeypatch.setattr(detect, "stored", lambda df, name: kept.append((name, df.columns)) or stored(df, name))
     detect.flags_to_events(rides(spark), F.abs("z") > 2.0, 1.0, short=False).count()
     assert ("flagged", ["clip_id", "cts"]) in kept
+
+
+def test_runs_of_a_grid_are_cut_in_chunks(spark, monkeypatch):
+    """Runs of all configurations equal windows over all flagged samples, also over chunks' borders and without times."""
+    from roadweave.operators import filters, review
+
+    monkeypatch.setattr(filters, "BLOCK_ROWS", 40)
+    rng = random.Random(8)
+    rows = [(clip, i * 1.0 + (7 if i % 50 > 44 else 0), rng.gauss(0, 1), rng.gauss(0, 1)) for clip, n in (("a", 500), ("b", 90), ("c", 1)) for i in range(n)] + [("a", None, 50.0, 50.0), ("a", None, -60.0, 9.0)]
+    df = spark.createDataFrame(rows, "clip_id string, cts double, ax double, ay double")
+    ks, channels, gap = [0.5, 1.1], [1, 2], 4.0
+    made = filters.bank_runs(df, ["ax", "ay"], 1.0, [(None, None, 0)], [3, 4], ks, channels, gap)
+    plan = made._jdf.queryExecution().toString()
+    want = review.runs_of_grid(filters.bank_scores(df, ["ax", "ay"], 1.0, [(None, None, 0)], [3, 4], min(ks)), 2, ks, channels, gap, ["setting", "width"])
+    fields = ["setting", "width", "k", "channels", "clip_id", "start_time", "end_time"]
+    got = sorted(map(tuple, made.select(*fields).collect()), key=str)
+    assert got == sorted(map(tuple, want.select(*fields).collect()), key=str)
+    assert max(r[6] - r[5] for r in got if r[5] is not None) > 40 and len({r[:4] for r in got}) == 8
+    assert "FlatMapGroupsInArrow" not in plan  # samples were read once, then runs alone are
+    assert review.grid_events(df, ["ax", "ay"], [3, 4], ks, channels, gap).count() == len(got)
