@@ -86,14 +86,34 @@ def _with_rolling(df: DataFrame, columns: Sequence[str], width: int, short: bool
     return rolling_z(df, made, short=short) if made else df
 
 
+def _scored_columns(strategy: str, options: dict) -> list[str]:
+    """The columns whose rolling scores a strategy asks for."""
+    return {"fixed_global": [], "adaptive_single": [options.get("column", "total")]}.get(strategy, list(options.get("columns", [])))
+
+
+def _read_columns(strategy: str, options: dict) -> list[str] | None:
+    """The columns that a strategy reads beside clip, time and scores; None: not known (a user's own strategy)."""
+    plain = dict.fromkeys(("adaptive_single", "adaptive_any", "adaptive_fusion", "adaptive_fusion_merged"), [])
+    return ({"fixed_global": [options.get("z", "z")], "adaptive_fusion_speed": [options.get("speed", "speed_kmh")]} | plain).get(strategy)
+
+
 def scored_once(df: DataFrame, settings: Sequence[tuple[str, dict]]) -> DataFrame:
-    """``df`` with the rolling scores that several strategies (name, options) ask for, made in one pass and stored."""
-    asked = {}
+    """``df`` with the rolling scores that several strategies (name, options) ask for, made in one pass and stored.
+
+    Of its other columns those are kept that a strategy reads. Scores that ``df`` has are taken as they are.
+    """
+    asked, read = {}, []
     for strategy, options in settings:
-        columns = {"fixed_global": [], "adaptive_single": [options.get("column", "total")]}.get(strategy, options.get("columns", []))
+        columns, own = _scored_columns(strategy, options), _read_columns(strategy, options)
         asked |= {name: (c, options["width"]) for name, c in zip(_scores(columns, options.get("width")), columns, strict=True)} if columns else {}
-    df = stored(df, "samples")  # read several times: rows, bounds, ranges
-    return stored(rolling_z(df, asked), "strategy-scores") if asked else df
+        read += df.columns if own is None else own
+    new = {name: source for name, source in asked.items() if name not in df.columns}
+    if asked and not new:
+        return df
+    kept = [c for c in df.columns if c in (CLIP, TIME, *read, *asked)]
+    sources = [c for c in df.columns if c not in kept and c in {c for c, _ in new.values()}]
+    df = stored(df.select(*kept, *sources), "samples")  # read several times: rows, bounds, ranges
+    return stored(rolling_z(df, new).select(*kept, *new), "strategy-scores") if new else df
 
 
 def fixed_global(df: DataFrame, gap: float, k: float = 3.0, z: str = "z", **_: object) -> DataFrame:

@@ -89,9 +89,12 @@ def combined(c: Column, how: str, keys: Sequence[str]) -> Column:
 
 
 def handed(dealt: DataFrame, per: DataFrame, keys: Sequence[str], columns: dict[str, Column]) -> DataFrame:
-    """``dealt`` plus ``columns`` of its range's and key's row in ``per``."""
+    """``dealt`` plus ``columns`` of its range's and key's row in ``per``.
+
+    Those rows are stored: by their true size Spark joins few of them without dealing ``dealt`` again.
+    """
     names = {k: f"_key{i}" for i, k in enumerate(keys)}
-    small = per.select(F.col("_range").alias("_of"), *[F.col(k).alias(n) for k, n in names.items()], *[c.alias(name) for name, c in columns.items()])
+    small = stored(per.select(F.col("_range").alias("_of"), *[F.col(k).alias(n) for k, n in names.items()], *[c.alias(name) for name, c in columns.items()]), "handed")
     same = F.col("_range") == F.col("_of")
     for k, n in names.items():
         same &= F.col(k).eqNullSafe(F.col(n))

@@ -384,7 +384,10 @@ def _strategies(settings):
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         t = timeseries.global_z(telemetry(spark, sf_dir).drop("event_id", "user_id"), "ax").withColumn("total", timeseries.magnitude(*AXES))
         common = {"gap": GAP, "width": WIDTH, "columns": AXES, "k": K}
-        return _rounded(review.strategy_table(t, candidates(spark, sf_dir, 2.4), [(name, strategy, common | options) for name, strategy, _, _, options in settings], tolerance=60.0))
+        settings_ = [(name, strategy, common | options) for name, strategy, _, _, options in settings]
+        gold = {"gap": GAP, "width": WIDTH, "column": "ax", "k": 2.4}  # the candidates of that k, from the same scores
+        t = detect.scored_once(t, [*((strategy, options) for _, strategy, options in settings_), ("adaptive_single", gold)])
+        return _rounded(review.strategy_table(t, detect.adaptive_single(t, **gold), settings_, tolerance=60.0))
 
     return run
 

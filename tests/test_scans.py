@@ -279,3 +279,33 @@ def test_runs_of_a_grid_are_cut_in_chunks(spark, monkeypatch):
     assert max(r[6] - r[5] for r in got if r[5] is not None) > 40 and len({r[:4] for r in got}) == 8
     assert "FlatMapGroupsInArrow" not in plan  # samples were read once, then runs alone are
     assert review.grid_events(df, ["ax", "ay"], [3, 4], ks, channels, gap).count() == len(got)
+
+
+def test_a_sweep_stores_what_its_strategies_read(spark, monkeypatch):
+    """Samples keep the columns that are scored or read, scores those that are read; scores that are there are not made again."""
+    common = {"gap": 1.0, "width": 20, "columns": ["ax", "ay", "az"]}
+    kept, stored = {}, detect.stored
+    monkeypatch.setattr(detect, "stored", lambda df, name: kept.setdefault(name, set(df.columns)) and stored(df, name))
+    rows = rides(spark).withColumn("unread", F.lit("u"))
+    once = detect.scored_once(rows, [("adaptive_fusion_merged", common | {"k": 1.6}), ("adaptive_single", common | {"column": "ax"})])
+    assert kept["samples"] == {"clip_id", "cts", "ax", "ay", "az"} and kept["strategy-scores"] == {"clip_id", "cts", "_z_ax_20", "_z_ay_20", "_z_az_20"}
+    assert detect.scored_once(once, [("adaptive_any", common | {"columns": ["ax"]})]) is once
+    read = detect.scored_once(rows, [("fixed_global", common), ("adaptive_fusion_speed", common)])
+    assert set(read.columns) == {"clip_id", "cts", "z", "speed_kmh", "_z_ax_20", "_z_ay_20", "_z_az_20"}
+    assert "unread" in detect.scored_once(rows, [("own", common)]).columns  # a strategy that is not known may read every column
+
+
+def test_a_sweep_and_its_gold_share_one_pass_of_windows(spark, monkeypatch):
+    from roadweave.plans import telemetry
+
+    passes, rolled = [], detect.rolling_z
+    monkeypatch.setattr(detect, "rolling_z", lambda *a, **k: passes.append(1) or rolled(*a, **k))
+    telemetry.QUERIES["threshold_k_sweep"](spark, "/root/testdata/sf0.001").collect()
+    assert len(passes) == 1
+
+
+def test_ranges_are_not_dealt_again_for_what_is_handed_on(spark):
+    dealt = scans.ranged(spark.range(1000).select((F.col("id") % 3).alias("k"), F.col("id").alias("t")), ["k"], ["t"], short=False)
+    met = scans.carried(dealt, ["k"], _n=(F.count(F.lit(1)), "all"))
+    assert {(r.k, r._n) for r in met.collect()} == {(0, 334), (1, 333), (2, 333)}
+    assert "Exchange hashpartitioning" not in met._jdf.queryExecution().executedPlan().toString()
