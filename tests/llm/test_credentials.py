@@ -147,3 +147,42 @@ def test_rare_beginnings_are_no_states():
     assert tree.through == [10, 8, 2, 6] and tree.edges[1] == {"a": [3, 6], "b": [None, 1], "c": [None, 1]}
     states = credentials.merged(tree)
     assert sum(ends for _, ends in states) >= 8 and all(0 <= to < len(states) for edges, _ in states for to, _ in edges.values())
+
+
+def plainly_compatible(tree, a, b, alpha):
+    """The test of two states by its definition, nothing remembered."""
+    m, n = tree.through[a], tree.through[b]
+    most = math.sqrt(0.5 * math.log(2 / alpha)) * (1 / math.sqrt(m) + 1 / math.sqrt(n))
+    left, right = tree.edges[a], tree.edges[b]
+    if abs(tree.ends[a] / m - tree.ends[b] / n) > most or any(abs((left[c][1] if c in left else 0) / m - (right[c][1] if c in right else 0) / n) > most for c in {*left, *right}):
+        return False
+    return all(plainly_compatible(tree, left[c][0], right[c][0], alpha) for c in {*left} & {*right} if None not in (left[c][0], right[c][0]))
+
+
+def test_remembered_pairs_change_no_state(monkeypatch):
+    rng = random.Random(9)
+    sets = [["".join(rng.choice("ab") for _ in range(rng.randrange(1, 9))) + "c" * rng.randrange(6) for _ in range(rng.randrange(1, 400))] for _ in range(25)]
+    got = [credentials.merged(credentials._Tree(values)) for values in sets]
+    monkeypatch.setattr(credentials, "PAIRS", -1)
+    assert got == [credentials.merged(credentials._Tree(values)) for values in sets]
+    monkeypatch.setattr(credentials._Tree, "compatible", lambda tree, a, b, alpha, apart=None: plainly_compatible(tree, a, b, alpha))
+    assert got == [credentials.merged(credentials._Tree(values)) for values in sets]
+
+
+def test_a_deep_tree_is_merged_in_few_comparisons(monkeypatch):
+    """Beginnings that get longer one by one: a pair found apart is not walked to its end again."""
+    calls, alike = [0], credentials._Tree.alike
+    monkeypatch.setattr(credentials._Tree, "alike", lambda *a: calls.__setitem__(0, calls[0] + 1) or alike(*a))
+    tree = credentials._Tree.of_counts(1750, [("k" * i, 1750 - 2 * i, 0) for i in range(1, 501)], 4)
+    states = len(tree.through)
+    credentials.merged(tree)
+    assert states == 501 and calls[0] < 3 * states * states
+
+
+def test_long_beginnings_are_counted_in_few_passes(spark, monkeypatch):
+    passes, stored = [], credentials.stored
+    monkeypatch.setattr(credentials, "stored", lambda df, name: passes.append(name) or stored(df, name))
+    found = spark.createDataFrame([("assign", "k" * n + c) for n in (100, 511, 600) for c in "ab"], "kind string, value string")
+    rows = {text: (n, ends) for text, n, ends in credentials._beginnings(found, {"assign": 2})["assign"]}
+    assert passes.count("beginnings") <= 7 and {len(t) for t in rows} == set(range(1, credentials.LONGEST + 1))
+    assert rows["k" * 100] == (6, 0) and rows["k" * 100 + "a"] == (1, 1) and rows["k" * 512] == (2, 0) and rows["k" * 511 + "b"] == (1, 1)
