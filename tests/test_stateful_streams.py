@@ -146,3 +146,61 @@ def test_parts_of_a_batch_are_met_at_once():
     parts = [pd.DataFrame({"is_event": [True, False], "id": [f"e{i}", f"f{i}"], "us": np.array([i * 10 + 1] * 2), "until": np.array([i * 10 + 15, 0])}) for i in range(50)]
     got = pd.concat(met.handleInputRows(("a",), iter(parts), Clock()))
     assert len(calls) == 2 and sorted(zip(got["event"], got["frame"])) == sorted((f"e{i}", f"f{k}") for i in range(50) for k in (i, i + 1) if k < 50)
+
+
+def test_blocks_give_all_pairs_over_micro_batches(rocks, tmp_path):
+    events = Feed(rocks, tmp_path / "events", "event_id long, clip_id string, start_time timestamp, end_time timestamp")
+    frames = Feed(rocks, tmp_path / "frames", "frame_id long, clip_id string, frame_time timestamp")
+    rng = random.Random(7)
+    e = [(i, rng.choice("ab"), s, s + rng.choice([0.0, 3.0, 30.0, 120.0])) for i, s in enumerate(rng.sample(range(300), 60))] + [(100, "a", 5, 100000.0), (101, "a", 7, 6.0)]
+    f = [(i, rng.choice("ab"), rng.randrange(600) / 2) for i in range(300)] + [(1000, "a", 5), (1001, "b", 299), (None, "a", 5)]
+    blocks = lambda: stateful.event_blocks(events.stream(), frames.stream(), late="10 seconds", cell=50.0)
+    seen = []
+    for lo, hi in ((0, 100), (100, 200), (200, 400)):
+        events.add([(i, c, at(s), at(t)) for i, c, s, t in e if lo <= s < hi] + [(900, None, at(lo), at(hi))])
+        frames.add([(i, c, at(s)) for i, c, s in f if lo <= s < hi])
+        seen += run(blocks(), tmp_path)
+    events.add([(200, "a", at(50), at(60)), (201, "b", at(50000), at(50001))])  # 200 is late
+    frames.add([(2000, "a", at(20)), (2001, "a", at(50000)), (2002, "b", at(50001.5))])  # 2000 is late
+    seen += run(blocks(), tmp_path)
+    f.append((2001, "a", 50000))
+    got = [(int(r.event), r.frame and int(r.frame)) for r in stateful.block_pairs(rocks.read.parquet(str(tmp_path / "out"))).collect()]
+    least = lambda pairs: sorted(pairs, key=lambda x: (x[0], -1 if x[1] is None else x[1]))
+    assert least(got) == least((i, k) for i, c, s, t in e for k, d, u in f if c == d and s <= u <= t)
+    assert (100, 2001) in got and any(k is None for _, k in got) and seen[-1]["stateOperators"][0]["numRowsTotal"] < 2100  # the event without end stands in its cells
+
+
+def test_blocks_are_cut(monkeypatch):
+    """Frames and events of a row are bounded, and all pairs are in the rows, each once."""
+    import numpy as np
+
+    monkeypatch.setattr(stateful, "BLOCK", 7)
+    monkeypatch.setattr(stateful, "PAIRS", 40)
+    monkeypatch.setattr(stateful, "ROWS", 3)
+    rng = random.Random(3)
+    e = [(f"e{i}", s, s + rng.choice([0, 5, 60, 400])) for i, s in enumerate(rng.choices(range(300), k=90))]
+    f = [(f"f{i}", rng.randrange(300)) for i in range(100)]
+    arrays = lambda rows: [np.array([r[k] for r in rows], object if k == 0 else np.int64) for k in range(len(rows[0]))]
+    got = []
+    for part in stateful._MetBlocks()._pairs(("a", 0), arrays(e), arrays(f)):
+        assert len(part) <= 3
+        for row in part.itertuples():
+            assert len(row.events) <= 7 and len(row.frames) == len(row.times) <= 7
+            got += [(i, row.frames[k]) for i, low, n in zip(row.events, row.lows, row.counts) for k in range(low, low + n)]
+    assert sorted(got) == sorted((i, k) for i, s, t in e for k, u in f if s <= u <= t)
+
+
+@pytest.mark.parametrize("name, minutes", [("stream_open_events", 70)])
+def test_streams_store_rows_not_pairs(spark, tmp_path, name, minutes):
+    """Where all lies in one hour, pairs are the square of the rows: what the stream writes is not."""
+    import __spark_entry__
+
+    times = [at(i * 3) for i in range(1200)]
+    rows = [(i, t, i % 7, "click", 70.5 if i % 2 else 1.0, "{}") for i, t in enumerate(times)]
+    spark.createDataFrame(rows, "event_id long, ts timestamp, user_id long, event_type string, value double, props string").coalesce(1).write.parquet(str(tmp_path / "events.parquet"))
+    found = __spark_entry__.queries()[name](spark, str(tmp_path))
+    want = sum(1 for i in range(1, 1200, 2) for k in range(i, 1200) if (k - i) * 3 <= minutes * 60)
+    assert want > 200_000 and found.count() == want and found.distinct().count() == want
+    assert found.where("frame_id < event or (frame_id - event) * 3 > %d" % (minutes * 60)).count() == 0
+    stored = spark.read.parquet(*found.inputFiles())
+    assert stored.selectExpr("sum(size(events) + size(frames)) AS n").collect()[0].n <= 2400
