@@ -170,6 +170,19 @@ def test_blocks_give_all_pairs_over_micro_batches(rocks, tmp_path):
     assert (100, 2001) in got and any(k is None for _, k in got) and seen[-1]["stateOperators"][0]["numRowsTotal"] < 2100  # the event without end stands in its cells
 
 
+def test_built_in_join_of_streams(spark, tmp_path):
+    events = Feed(spark, tmp_path / "events", "event_id long, clip_id string, start_time timestamp, end_time timestamp")
+    frames = Feed(spark, tmp_path / "frames", "frame_id long, clip_id string, frame_time timestamp")
+    e = [(i, "ab"[i % 2], i * 7, i * 7 + 45) for i in range(40)]
+    f = [(i, "ab"[i % 3 % 2], i) for i in range(300)]
+    for lo, hi in ((0, 150), (150, 300)):
+        events.add([(i, c, at(s), at(t)) for i, c, s, t in e if lo <= s < hi])
+        frames.add([(i, c, at(u)) for i, c, u in f if lo <= u < hi])
+        run(detection.event_frame_stream(events.stream(), frames.stream(), longest="45 seconds").select("event_id", "frame_id"), tmp_path)
+    got = sorted((r.event_id, r.frame_id) for r in spark.read.parquet(str(tmp_path / "out")).collect())
+    assert got == sorted((i, k) for i, c, s, t in e for k, d, u in f if c == d and s <= u <= t)
+
+
 def test_blocks_are_cut(monkeypatch):
     """Frames and events of a row are bounded, and all pairs are in the rows, each once."""
     import numpy as np
@@ -190,7 +203,7 @@ def test_blocks_are_cut(monkeypatch):
     assert sorted(got) == sorted((i, k) for i, s, t in e for k, u in f if s <= u <= t)
 
 
-@pytest.mark.parametrize("name, minutes", [("stream_open_events", 70)])
+@pytest.mark.parametrize("name, minutes", [("stream_open_events", 70), ("stream_event_frames", 45)])
 def test_streams_store_rows_not_pairs(spark, tmp_path, name, minutes):
     """Where all lies in one hour, pairs are the square of the rows: what the stream writes is not."""
     import __spark_entry__
