@@ -60,22 +60,24 @@ def flatten_reports(frames: DataFrame, violations: str = "violations") -> DataFr
     return v.withColumns({"event_id": ident, "is_compliant": F.col("_v").isNull()}).select("*", "_v.*").drop("_pos", "_v")
 
 
-def write_graphml(nodes: DataFrame, edges: DataFrame, folder: str) -> None:
+def write_graphml(nodes: DataFrame, edges: DataFrame, folder: str, **options: str) -> None:
     """A GraphML document as text files whose lines are in order of the files' names: head, nodes, edges, foot.
 
     A union's partitions stand in the order of its parts, and so do the files: nothing is sorted or moved.
+    ``options`` are the writer's (``readers.PACKED``: compressed files of bounded length).
     """
     spark = nodes.sparkSession
     # The document's frame.
     head = ['<?xml version="1.0" encoding="UTF-8"?>', '<graphml xmlns="http://graphml.graphdrawing.org/xmlns">', '<key id="type" for="node" attr.name="type" attr.type="string"/>', '<key id="label" for="node" attr.name="label" attr.type="string"/>', '<key id="relation" for="edge" attr.name="relation" attr.type="string"/>', '<graph edgedefault="directed">']
     lines = lambda some: spark.range(0, 1, 1, 1).select(F.lit("\n".join(some)).alias("value"))
     every = lines(head).unionByName(graphml_lines(nodes, edges)).unionByName(lines(["</graph>", "</graphml>"]))
-    every.write.mode("overwrite").text(folder)
+    every.write.mode("overwrite").options(**options).text(folder)
 
 
 def graphml_lines(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """Lines of a GraphML file's nodes and edges, nulls as empty text."""
     esc = lambda c: F.replace(F.replace(F.replace(F.coalesce(c, F.lit("")), F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;")), F.lit('"'), F.lit("&quot;"))
-    a = nodes.select(F.format_string('<node id="%s"><data key="type">%s</data><data key="label">%s</data></node>', esc(F.col("id")), esc(F.col("type")), esc(F.col("label"))).alias("value"))
-    b = edges.select(F.format_string('<edge source="%s" target="%s"><data key="relation">%s</data></edge>', esc(F.col("src")), esc(F.col("dst")), esc(F.col("relation"))).alias("value"))
+    line = lambda *parts: F.concat(*[esc(F.col(x)) if k % 2 else F.lit(x) for k, x in enumerate(parts)]).alias("value")
+    a = nodes.select(line('<node id="', "id", '"><data key="type">', "type", '</data><data key="label">', "label", "</data></node>"))
+    b = edges.select(line('<edge source="', "src", '" target="', "dst", '"><data key="relation">', "relation", "</data></edge>"))
     return a.unionByName(b)

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from roadweave.functions.scoring import score_with_model
-from roadweave.functions.storage import session_dir
+from roadweave.functions.storage import session_dir, stored
 from roadweave.operators import citations, graph, risk
 from roadweave.plans.base import registrar
 from roadweave.plans.places import tables_graph
@@ -180,11 +180,11 @@ def _graph_sql() -> str:
 
 @register("graph_export", _graph_sql())
 def _(spark, sf_dir):
-    """The whole graph as GraphML lines and as node-link JSON, read back and counted."""
+    """The whole graph as GraphML lines and as node-link JSON, both compressed, read back and counted; nodes are put together once for both."""
     nodes, edges = tables_graph(spark, sf_dir)
-    path = folder(spark, "graph")
-    graph.write_graphml(nodes, edges, f"{path}/ml")
-    readers.write_nodes_json(nodes, edges, path)
+    nodes, path = stored(nodes, "graph-nodes"), folder(spark, "graph")
+    graph.write_graphml(nodes, edges, f"{path}/ml", **readers.PACKED)
+    readers.write_nodes_json(nodes, edges, path, **readers.PACKED)
     v = F.col("value")
     kind = F.when(F.startswith(v, F.lit("<node ")), "node").when(F.startswith(v, F.lit("<edge ")), "edge").otherwise("frame")
     lines = spark.read.text(f"{path}/ml").groupBy(kind.alias("kind")).agg(F.count(F.lit(1)).alias("n"))

@@ -162,7 +162,11 @@ def markdown_rows(df: DataFrame) -> DataFrame:
     return df.select(F.concat(F.lit("| "), F.concat_ws(" | ", *[F.coalesce(F.col(c).cast("string"), F.lit("NA")) for c in df.columns]), F.lit(" |")).alias("value"))
 
 
-def write_nodes_json(nodes: DataFrame, edges: DataFrame, folder: str) -> None:
-    """Node-link JSON lines in two folders."""
-    nodes.write.mode("overwrite").json(f"{folder}/nodes")
-    edges.write.mode("overwrite").json(f"{folder}/links")
+#: Writer's options for large texts: compressed (ids repeat much), a file of so many lines, as one task reads a compressed file.
+PACKED = {"compression": "gzip", "zlib.compress.level": "BEST_SPEED", "maxRecordsPerFile": "2000000"}
+
+
+def write_nodes_json(nodes: DataFrame, edges: DataFrame, folder: str, **options: str) -> None:
+    """Node-link JSON lines in two folders; ``options`` are the writer's."""
+    nodes.write.mode("overwrite").options(**options).json(f"{folder}/nodes")
+    edges.write.mode("overwrite").options(**options).json(f"{folder}/links")

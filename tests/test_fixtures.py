@@ -345,6 +345,47 @@ def test_graph_tasks_grow_in_number(spark, tmp_path, monkeypatch):
     assert once.rdd.getNumPartitions() == 24 and once.count() == 1200
 
 
+def test_graph_files_are_packed(spark, tmp_path):
+    """Compressed files of bounded length hold the same lines, in order, in a fraction of the room."""
+    import gzip
+    import xml.etree.ElementTree as ET
+
+    from roadweave.sources import readers
+
+    rows = spark.range(0, 3000, 1, 3)
+    nodes = graph.nodes_of(rows, "Frame", graph.node("Frame", F.col("id")), F.when(F.col("id") % 2 == 0, F.lit('a<"&')))
+    edges = graph.edges_of(rows, graph.node("Frame", F.col("id")), F.lit("Clause:1"), "CITES")
+    graph.write_graphml(nodes, edges, str(tmp_path / "plain"))
+    graph.write_graphml(nodes, edges, str(tmp_path / "ml"), **readers.PACKED | {"maxRecordsPerFile": "400"})
+    plain = "".join(p.read_text() for p in sorted((tmp_path / "plain").glob("part-*")))
+    parts = sorted((tmp_path / "ml").glob("part-*"))
+    texts = [gzip.decompress(p.read_bytes()).decode() for p in parts]
+    assert all(p.suffix == ".gz" for p in parts) and "".join(texts) == plain and max(t.count("\n") for t in texts) == 400
+    assert sum(p.stat().st_size for p in parts) * 5 < len(plain)
+    root = ET.fromstring(plain.encode())
+    found = root.findall(".//{*}node")
+    assert len(found) == 3000 and {n.findall("{*}data")[1].text for n in found} == {'a<"&', None} and len(root.findall(".//{*}edge")) == 3000
+
+
+@pytest.mark.parametrize("name", ["graph_export"])
+def test_graph_export_writes_no_plain_text(spark, name):
+    """What the query leaves in the shared folder is compressed, and its nodes were put together once."""
+    import glob
+    import os
+
+    import __spark_entry__
+    from roadweave.functions.storage import session_dir
+
+    here = session_dir(spark).removeprefix("file://").removeprefix("file:")
+    before = set(glob.glob(f"{here}/graph*"))
+    got = {r.kind: r.n for r in __spark_entry__.queries()[name](spark, "/root/testdata/sf0.001").collect()}
+    made = set(glob.glob(f"{here}/graph*")) - before
+    files = [p for m in made for d, _, names in os.walk(m) for p in (f"{d}/{x}" for x in names if x.startswith("part-"))]
+    assert files and all(p.endswith((".gz", ".parquet")) for p in files)
+    (kept,) = (m for m in made if os.path.basename(m).startswith("graph-nodes"))
+    assert spark.read.parquet(kept).count() == got["node"] and got["edge"] == got["link"] > 0 and got["frame"] == 8
+
+
 def test_rider(spark):
     row = {"rider": "r", "model": "V1", "evasive_action": "Hard_Braking", "evasive_reasoning": "the rider had to brake for a sudden car in the lane", "env": "car ahead", "road_surface": "", "infrastructure": "", "irc35_verdict": "NON_COMPLIANT", "irc67_verdict": "", "irc35_clause": "a", "irc67_clause": "", "retrieved_irc35": "b; a", "retrieved_irc67": "", "crrs35": 0.4, "crrs67": 0.6}
     r = rider.summary(spark.createDataFrame([row])).collect()[0]
